@@ -339,3 +339,21 @@ def ngram_join(df: DataFrame, words: int = 3, num: int = 90, den: int = 100, key
     out = rows.join(ids, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "node")
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("id").cast(df.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), real("component_id").cast(df.schema[key].dataType).alias("component_id"), "node")
+
+
+def keep_one(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df``, with all its columns, that stand for their component: those whose key is its smallest.
+
+    Rows that repeat a key and a set count once. Documents without words and rows without a key stay.
+    """
+    joined = ngram_join(df, words, num, den, key, text)
+    gone = written(joined.where((F.col("n_shingles") > 0) & (F.col(key) != F.col("component_id"))).select(F.col(key).alias("__key")).distinct())
+    again = joined.where((F.col("n_shingles") > 0) & F.col(key).isNotNull()).groupBy(key, "node").count().where("count > 1").select(F.col(key).alias("__key"))
+    again = written(again.distinct())
+    stays = df.join(gone, df[key] == F.col("__key"), "left_anti")
+    if again.isEmpty():
+        return stays
+    # repeated rows are few keys; only their rows are compared by text
+    repeated = stays.join(again, stays[key] == F.col("__key"), "left_semi")
+    single = stays.join(again, stays[key] == F.col("__key"), "left_anti")
+    return single.unionByName(repeated.dropDuplicates([key, text]))

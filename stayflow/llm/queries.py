@@ -10,6 +10,8 @@ from .ann import nearest
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .ngram_join import ngram_join
+from .pieces import encode_pieces
+from .quality import score_documents
 from .sharding import assign_shards
 from .vector_dedup import near_vectors
 
@@ -38,12 +40,20 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), (1, 2, 3), 3).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs", "repeats")
 
 
+def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), 0.9)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_license_scan, op2_feistel_shards, op3_hamming_search, op4_ngram_join, op6_source_mix, op10_vector_dedup)
+    own = (op1_license_scan, op2_feistel_shards, op3_hamming_search, op4_ngram_join, op6_source_mix, op8_piece_encoding, op9_quality, op10_vector_dedup)
     return {f.__name__: f for f in own}
 
 
