@@ -273,13 +273,13 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def ngram_join(df: DataFrame, words: int = 3, num: int = 90, den: int = 100, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
-    """One row per row of ``df``: key, n_shingles, component_id, node.
+    """One row per row of ``df``: key, n_shingles, component_id, node, text_key.
 
     A document's set holds its distinct shingles of ``words`` words (``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z); with
     fewer words the whole sequence is its one shingle; without words or with a null text it is empty and links with
     nothing. Documents link at den * intersection >= num * union, and every such pair is found. ``component_id`` is the
     smallest key reachable by links, itself included (null if all those keys are null); ``node`` identifies the set,
-    so rows that repeat a text share it. Shingles and sets are told apart by 64-bit hashes. ``buckets`` is the number
+    so rows that repeat a text share it, and ``text_key`` is the text's hash. Shingles and sets are told apart by 64-bit hashes. ``buckets`` is the number
     of hash ranges (as many as shuffle partitions if not given). An empty table gives an empty result; columns other
     than key and text are not read.
     """
@@ -336,9 +336,9 @@ def ngram_join(df: DataFrame, words: int = 3, num: int = 90, den: int = 100, key
     component = written(labels.join(least, "component").select("node", "least"))
     own = first.select("node", F.col("r.id").alias("own"))
     ids = written(own.join(component, "node", "left").select("node", F.coalesce("least", "own").alias("component_id")))
-    out = rows.join(ids, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "node")
+    out = rows.join(ids, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "node", "text_key")
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(real("id").cast(df.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), real("component_id").cast(df.schema[key].dataType).alias("component_id"), "node")
+    return out.select(real("id").cast(df.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), real("component_id").cast(df.schema[key].dataType).alias("component_id"), "node", "text_key")
 
 
 def keep_one(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -346,14 +346,16 @@ def keep_one(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key:
 
     Rows that repeat a key and a set count once. Documents without words and rows without a key stay.
     """
-    joined = ngram_join(df, words, num, den, key, text)
-    gone = written(joined.where((F.col("n_shingles") > 0) & (F.col(key) != F.col("component_id"))).select(F.col(key).alias("__key")).distinct())
-    again = joined.where((F.col("n_shingles") > 0) & F.col(key).isNotNull()).groupBy(key, "node").count().where("count > 1").select(F.col(key).alias("__key"))
-    again = written(again.distinct())
-    stays = df.join(gone, df[key] == F.col("__key"), "left_anti")
+    joined = ngram_join(df, words, num, den, key, text).where((F.col("n_shingles") > 0) & F.col(key).isNotNull())
+    stands = joined.where(F.col(key) == F.col("component_id"))
+    # a key may have several texts; of those in one component the one whose text hashes lowest stands for it
+    chosen = stands.groupBy(key).agg(F.min("text_key").alias("chosen"))
+    other = stands.join(chosen, key).where("text_key <> chosen")
+    gone = written(joined.where(F.col(key) != F.col("component_id")).select(key, "text_key").union(other.select(key, "text_key")).distinct().toDF("__key", "__text"))
+    again = written(stands.groupBy(key, "text_key").count().where("count > 1").select(key, "text_key").toDF("__key", "__text"))
+    same = lambda x: (df[key] == x["__key"]) & (F.xxhash64(df[text]) == x["__text"])
+    stays = df.join(gone, same(gone), "left_anti")
     if again.isEmpty():
         return stays
-    # repeated rows are few keys; only their rows are compared by text
-    repeated = stays.join(again, stays[key] == F.col("__key"), "left_semi")
-    single = stays.join(again, stays[key] == F.col("__key"), "left_anti")
+    repeated, single = (stays.join(again, same(again), how) for how in ("left_semi", "left_anti"))
     return single.unionByName(repeated.dropDuplicates([key, text]))

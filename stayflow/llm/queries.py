@@ -10,10 +10,12 @@ from .ann import nearest
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .ngram_join import ngram_join
+from .page_text import extract_text
 from .pieces import encode_pieces
 from .quality import score_documents
 from .sharding import assign_shards
 from .vector_dedup import near_vectors
+from .warc import archive_folder, read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +38,20 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = archive_folder(spark)
+    listing = write_warc(_table(spark, sf_dir, "pages"), folder, 0)
+    return read_warc(spark, folder, listing, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), (1, 2, 3), 3).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs", "repeats")
 
 
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +65,7 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_license_scan, op2_feistel_shards, op3_hamming_search, op4_ngram_join, op6_source_mix, op8_piece_encoding, op9_quality, op10_vector_dedup)
+    own = (op1_license_scan, op2_feistel_shards, op3_hamming_search, op4_ngram_join, op5_warc_archives, op6_source_mix, op7_page_text, op8_piece_encoding, op9_quality, op10_vector_dedup)
     return {f.__name__: f for f in own}
 
 
