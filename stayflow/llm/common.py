@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +85,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("parent"), F.col("component").alias("__up"))
         labels = parents.join(up, "parent", "left").select("node", F.coalesce("__up", "parent").alias("component"))
     return written(labels)
+
+
+def star_roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of a block of links between ids ``left`` and ``right``: for each id the smallest one it is connected with in the block.
+
+    Stars to these roots connect what the block's links connect, with one row per id. ``same``: both sides are one set.
+    """
+    top = np.iinfo(np.int64).max
+    a, b = left, right
+    while True:
+        down = np.minimum(b, np.where(linked, a[:, None], top).min(axis=0))
+        up = np.minimum(a, np.where(linked, down[None, :], top).min(axis=1))
+        if same:
+            down = up = np.minimum(down, up)
+        if (down == b).all() and (up == a).all():
+            return a, b
+        a, b = up, down

@@ -8,8 +8,10 @@ subparts therefore meets every similar pair, and candidates are checked with the
 
 What moves: per distinct set one 64-bit id and its signatures, packed as arrays by hash range. Equal sets are one
 node. Each task sends one node per signature on and keeps a star for the others, so a signature that a third of
-all documents share arrives once per task. Of a signature's few nodes all pairs are candidates; of many, a star
-first and later only pairs still in different components. Texts of candidates alone are moved for the check.
+all documents share arrives once per task. Of a signature's few nodes all pairs are candidates; of many, a star.
+Where a star leaves members in different components, the cluster of such signatures is cut in chunks, and pairs of
+chunks are compared as incidence matrices, which give a star per linked group and never pairs. Texts of candidates
+alone are moved for the check.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, star_roots, written
 
 #: Bands grow by this factor; wider bands mean fewer sets in two bands, narrower ones fewer signatures each.
 BAND = 1.25
@@ -32,6 +34,8 @@ BAND = 1.25
 LEAST_ELEMENTS = 6.0
 #: Up to so many nodes of one signature become candidates pairwise.
 FEW = 4
+#: Documents in a chunk of a cluster that is compared in blocks, and shingles in a block of the comparison.
+CHUNK, COLUMNS = 128, 8192
 #: Bits of the filter that picks the candidates' texts; 2 MB as a table, whatever the input.
 FILTER_BITS = 1 << 23
 
@@ -272,6 +276,72 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(kept.join(nodes, ["id", "text_key"]).dropDuplicates(["node"]).select("node", "text"))
 
 
+def _blocks(parted: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) within clusters, of (node, cluster, component): stars over what is linked in each pair of chunks.
+
+    A large component has chunks of its own, small ones share chunks; chunks of one component are not compared.
+    """
+    sizes = parted.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") < CHUNK).groupBy("cluster").agg(F.sum("n").alias("small"))
+    own = F.col("n") >= CHUNK
+    parts = F.ceil(F.when(own, F.col("n")).otherwise(F.col("small")) / CHUNK)
+    chunked = written(
+        parted.join(sizes, ["cluster", "component"]).join(small, "cluster", "left")
+        .select("node", "cluster", F.struct(
+            F.when(own, F.col("component")).alias("component"),
+            F.pmod(F.xxhash64(F.when(own, F.col("node")).otherwise(F.col("component"))), parts).alias("part"),
+        ).alias("chunk"))
+    )
+    whole = written(chunked.join(texts, "node").groupBy("cluster", "chunk").agg(F.collect_list(F.struct("node", "text")).alias("m")).select("cluster", "chunk", F.col("m.node").alias("nodes"), F.col("m.text").alias("texts")))
+    ids = whole.select("cluster", "chunk")
+    pairs = ids.alias("x").join(ids.alias("y"), F.expr("x.cluster = y.cluster AND x.chunk <= y.chunk AND (x.chunk.component IS NULL OR y.chunk.component IS NULL OR x.chunk.component <> y.chunk.component)"))
+    pairs = pairs.select(F.col("x.cluster").alias("cluster"), F.col("x.chunk").alias("chunk_a"), F.col("y.chunk").alias("chunk_b"))
+    one, two = (whole.select("cluster", F.col("chunk").alias(f"chunk_{x}"), F.col("nodes").alias(f"nodes_{x}"), F.col("texts").alias(f"texts_{x}")) for x in "ab")
+    same = lambda x: F.col(f"p.chunk_{x}").eqNullSafe(F.col(f"w.chunk_{x}")) & (F.col("p.cluster") == F.col("w.cluster"))
+    joined = pairs.alias("p").join(one.alias("w"), same("a")).select("p.*", "nodes_a", "texts_a")
+    joined = joined.alias("p").join(two.alias("w"), same("b")).select(F.expr("p.chunk_a <=> p.chunk_b").alias("same"), "nodes_a", "texts_a", "nodes_b", "texts_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for row in range(batch.num_rows):
+                same, *rest = (batch.column(c)[row].as_py() for c in ("same", "nodes_a", "texts_a", "nodes_b", "texts_b"))
+                left = [shingles(t, words) for t in rest[1]]
+                right = left if same else [shingles(t, words) for t in rest[3]]
+                both = shared_counts(left, right)
+                total = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+                linked = (both > 0) & (den * both >= num * (total - both))
+                if same:
+                    np.fill_diagonal(linked, False)
+                for names, root in zip((rest[0], rest[2]), star_roots(linked, np.array(rest[0], dtype=np.int64), np.array(rest[2], dtype=np.int64), same), strict=True):
+                    names = np.array(names, dtype=np.int64)
+                    a.append(root[root != names])
+                    b.append(names[root != names])
+            flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([flat(a), flat(b)], names=["a", "b"])
+
+    return written(joined.mapInArrow(run, "a long, b long"))
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The intersection sizes of all sets on the left with all on the right, by products of blocks of the incidence matrix."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    flat = lambda sets: (np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+    (x, row_x), (y, row_y) = flat(left), flat(right)
+    values = np.intersect1d(x, y)
+    for k in range(0, len(values), COLUMNS):
+        block = values[k : k + COLUMNS]
+        sides = []
+        for v, row, n in ((x, row_x, len(left)), (y, row_y, len(right))):
+            at = np.minimum(np.searchsorted(block, v), len(block) - 1)
+            hit = block[at] == v
+            side = np.zeros((n, len(block)), dtype=np.float32)
+            side[row[hit], at[hit]] = 1.0
+            sides.append(side)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
 def ngram_join(df: DataFrame, words: int = 3, num: int = 90, den: int = 100, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """One row per row of ``df``: key, n_shingles, component_id, node, text_key.
 
@@ -320,16 +390,16 @@ def ngram_join(df: DataFrame, words: int = 3, num: int = 90, den: int = 100, key
     if not rest.isEmpty():
         links = links.union(linked(rest))
         labels = parts(links)
-    # signatures of many nodes: members that a star left in different components are compared with each other
+    # signatures of many nodes: members that a star left in different components are compared with each other, in blocks
     stars = met.where("signature IS NOT NULL")
     members = stars.select("signature", F.explode(F.array("a", "b")).alias("node")).distinct()
     placed = members.join(labels, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("signature")
-    open_ = written(placed.join(split, "signature"))
-    if not open_.isEmpty():
-        x, y = open_.alias("x"), open_.alias("y")
-        cross = x.join(y, F.expr("x.signature = y.signature AND x.node < y.node AND x.component <> y.component")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        links = links.union(linked(written(cross.join(candidates, ["a", "b"], "left_anti"))))
+    split = written(placed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("signature"))
+    if not split.isEmpty():
+        open_ = stars.join(split, "signature").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        clusters = connected_components(open_).withColumnRenamed("component", "cluster")
+        parted = clusters.join(labels, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
+        links = links.union(_blocks(written(parted), texts, words, num, den))
         labels = parts(links)
     named = labels.join(first.select("node", F.col("r.id").alias("id")), "node")
     least = named.groupBy("component").agg(F.min("id").alias("least"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, star_roots, written
 from .itq import coded, fit_itq, sample_vectors, unit, unpack, valid_vectors
 
 TABLES, SUB_BITS, SUB_RADIUS = 4, 16, 2
@@ -59,17 +59,7 @@ def _compare(width: int, threshold: float):
                     np.fill_diagonal(linked, False)
                 if not linked.any():
                     continue
-                top = np.iinfo(np.int64).max
-                root_a, root_b = names_a, names_b
-                while True:
-                    # the smallest root among the linked of the other side, until nothing changes
-                    down = np.minimum(root_b, np.where(linked, root_a[:, None], top).min(axis=0))
-                    up = np.minimum(root_a, np.where(linked, down[None, :], top).min(axis=1))
-                    if same:
-                        down = up = np.minimum(down, up)
-                    if (down == root_b).all() and (up == root_a).all():
-                        break
-                    root_a, root_b = up, down
+                root_a, root_b = star_roots(linked, names_a, names_b, same)
                 for names, n, root in ((names_a, linked.sum(axis=1), root_a), (names_b, linked.sum(axis=0), root_b))[: 1 if same else 2]:
                     some = np.flatnonzero(n)
                     ids.append(names[some])
