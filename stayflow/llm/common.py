@@ -10,7 +10,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -47,9 +47,8 @@ def global_row_number(df: DataFrame, order: list, name: str = "row_number", part
         .withColumn("__seq", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = counts.alias("a").join(
-        F.broadcast(counts.alias("b")), F.col("b.__part") < F.col("a.__part"), "left"
-    ).groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))
+    run = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(run), F.lit(0)).alias("__before"))
     return (
         placed.join(F.broadcast(before), "__part")
         .withColumn(name, F.col("__seq") + F.col("__before"))
