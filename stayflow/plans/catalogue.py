@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import allocation, features, models, monitoring, retention, warehouse
+from . import features, retention
 
-_PARTS = (features, retention, allocation, monitoring, warehouse, models)
+_PARTS = (features, retention)
 
 
 def queries() -> dict:
