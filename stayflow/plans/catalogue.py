@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import features, retention
+from . import allocation, features, monitoring, retention
 
-_PARTS = (features, retention)
+_PARTS = (features, retention, allocation, monitoring)
 
 
 def queries() -> dict:
