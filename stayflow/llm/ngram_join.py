@@ -6,12 +6,12 @@ elements there. The domain is cut into n1 parts of n2 subparts each; some part t
 differences, so the two sets agree on some n2 - k2 of its subparts. One signature per part and such choice of
 subparts therefore meets every similar pair, and candidates are checked with their whole sets afterwards.
 
-What moves: per distinct set one 64-bit id and its signatures, packed as arrays by hash range. Equal sets are one
-node. Each task sends one node per signature on and keeps a star for the others, so a signature that a third of
+What moves: per distinct set one 64-bit id and its signatures, packed as arrays by hash range, about 6 bytes each. Equal
+sets are one node. Each task sends one node per signature on and keeps a star for the others, so a signature that a third of
 all documents share arrives once per task. Of a signature's few nodes all pairs are candidates; of many, a star.
 Where a star leaves members in different components, the cluster of such signatures is cut in chunks, and pairs of
 chunks are compared as incidence matrices, which give a star per linked group and never pairs. Texts of candidates
-alone are moved for the check.
+alone are moved for the check, and of those only what sketches of the sets cannot rule out.
 """
 
 from __future__ import annotations
@@ -31,11 +31,15 @@ from .common import connected_components, star_roots, written
 #: Bands grow by this factor; wider bands mean fewer sets in two bands, narrower ones fewer signatures each.
 BAND = 1.25
 #: The fewest elements a signature should cover on average, where parameters allow.
-LEAST_ELEMENTS = 6.0
+LEAST_ELEMENTS = 4.0
+#: Parts beyond what pigeonhole asks for, in bands of sets of SPARE_FROM elements or more.
+SPARE, SPARE_FROM = 3, 32
 #: Up to so many nodes of one signature become candidates pairwise.
 FEW = 4
 #: Documents in a chunk of a cluster that is compared in blocks, and shingles in a block of the comparison.
 CHUNK, COLUMNS = 128, 8192
+#: Signatures a task packs at once, and sets whose signatures these are; places of sets take 16 bits.
+FLUSH, MOST_NODES = 1_500_000, 30_000
 #: Bits of the filter that picks the candidates' texts; 2 MB as a table, whatever the input.
 FILTER_BITS = 1 << 23
 
@@ -111,21 +115,30 @@ def bounds(i: int) -> tuple[int, int]:
 
 @lru_cache(maxsize=None)
 def parameters(i: int, num: int, den: int) -> tuple[int, int, int]:
-    """(n1, n2, k2) for pairs whose smaller set lies in band ``i`` and whose similarity is num / den at least."""
+    """(n1, n2, k2) for pairs whose smaller set lies in band ``i`` and whose similarity is num / den at least.
+
+    One more part than pigeonhole asks for wherever SPARE allows, so that SPARE + 1 parts hold k2 differences or fewer.
+    """
     low, high = bounds(i)
     k = high * den // num - high
+    spare = SPARE if low >= SPARE_FROM else 0
     choices = []
     for k2 in range(min(k, 3) + 1):
         for n2 in range(k2 + 1, k2 + 4) if k2 else (1,):
-            n1 = k // (k2 + 1) + 1
+            n1 = k // (k2 + 1) + 1 + spare
             choices.append((n1 * comb(n2, k2), low / n1 * (n2 - k2) / n2, (n1, n2, k2)))
     enough = [c for c in choices if c[1] >= LEAST_ELEMENTS]
-    # without such a choice the fewest signatures win
-    return min(enough or choices)[2]
+    # without such a choice the one that covers most wins
+    return min(enough)[2] if enough else max(choices, key=lambda c: (c[1], -c[0]))[2]
 
 
 def signatures(elements: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The PartEnum signatures of a sorted set of hashes."""
+    """The PartEnum signatures of a sorted set of hashes.
+
+    A signature that covers no element says little and is shared by many sets. Of two similar sets SPARE + 1 parts
+    agree on a signature; if one of the sets has such empty signatures in SPARE parts at most, a part without any
+    remains, so only a set with more of those parts emits its empty signatures, and no pair is missed.
+    """
     size = len(elements)
     if not size:
         return np.zeros(0, dtype=np.uint64)
@@ -138,17 +151,31 @@ def signatures(elements: np.ndarray, num: int, den: int) -> np.ndarray:
         # equal ranges of the hash domain are the subparts; sums of a range's hashes stand for its content
         cuts = np.array([(j << 64) // parts for j in range(1, parts)], dtype=np.uint64)
         at = np.concatenate([[0], np.searchsorted(elements, cuts), [size]])
-        content = _mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).reshape(n1, n2)
+        n = np.diff(at)
+        content = _mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64)).reshape(n1, n2)
+        # a choice of n2 - k2 subparts is empty if all are: possible where so many subparts of the part are
+        sparse = (n.reshape(n1, n2) == 0).sum(axis=1) >= n2 - k2
+        skip = bounds(i)[0] >= SPARE_FROM and int(sparse.sum()) <= SPARE
         tag = np.uint64((i + 1) * _P % (1 << 64)) + np.arange(n1, dtype=np.uint64) * _M1
         for c, chosen in enumerate(combinations(range(n2), n2 - k2)):
             h = tag + np.uint64(c)
             for j in chosen:
                 h = _mix(h + content[:, j])
-            out.append(_mix(h))
+            h = _mix(h)
+            out.append(h[n.reshape(n1, n2)[:, chosen].any(axis=1)] if skip else h)
         i -= 1
     return np.concatenate(out)
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """For each of 1024 equal ranges of the hash domain whether it holds an odd number of elements, as 16 longs.
+
+    Two sets differ in at least as many elements as these bits differ in places, which rules most false candidates out.
+    """
+    odd = np.bincount((elements >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _as_long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -159,70 +186,108 @@ def _node_of(elements: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def _sets(words: int, num: int, den: int, buckets: int):
-    """Documents to two kinds of rows: one per document (bucket null), and packed signatures by hash range."""
+def _rows(words: int):
+    """Documents to (id, text_key, size of the set, node, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (shingles(text.as_py(), words) for text in batch.column("text"))
+            n, node, sketch = zip(*((len(x), _node_of(x), parities(x)) for x in sets), strict=True) if batch.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=["id", "text_key", "n", "node", "sketch"]
+            )
+
+    return run
+
+
+def _local(node: np.ndarray) -> tuple[bytes, bytes]:
+    """Ids as a table of the distinct ones and 16-bit places in it."""
+    distinct, place = np.unique(node, return_inverse=True)
+    return distinct.tobytes(), place.astype(np.uint16).tobytes()
+
+
+PACKED = ["bucket", "counts", "low", "nodes", "places", "starred", "star_signatures", "star_nodes", "star_places"]
+PACKED_SCHEMA = "bucket int, " + ", ".join(f"{c} binary" for c in PACKED[1:])
+
+
+def _pack(sig: np.ndarray, node: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Signatures and their nodes as a row per bucket; a signature is kept as its bucket and 40 more bits, 8 of them as counts.
+
+    Of a signature's many nodes only the first goes on to its bucket; a star keeps the others, in any bucket.
+    """
+    sig = (((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)) << np.uint64(40)) | (sig & np.uint64((1 << 40) - 1))
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    first = np.concatenate([[True], sig[1:] != sig[:-1]])
+    start = np.flatnonzero(first)
+    length = np.diff(np.append(start, len(sig)))
+    many = np.repeat(length > FEW, length)
+    leader = np.repeat(node[start], length)
+    star = many & ~first
+    lead_sig, lead_node, starred = sig[~star], node[~star], many[~star]
+    at = np.searchsorted(lead_sig, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(40))
+    pieces = np.linspace(0, int(star.sum()), buckets + 1).astype(int)
+    star_sig, star_pair = sig[star], np.stack([leader[star], node[star]], axis=1)
+    rows = []
+    for b in range(buckets):
+        x, y = slice(at[b], at[b + 1]), slice(pieces[b], pieces[b + 1])
+        if at[b] < at[b + 1] or pieces[b] < pieces[b + 1]:
+            own = lead_sig[x]
+            counts = np.bincount((own >> np.uint64(32)).astype(np.int64) & 255, minlength=256).astype(np.uint32)
+            rows.append((b, counts.tobytes(), own.astype(np.uint32).tobytes(), *_local(lead_node[x]), np.packbits(starred[x]).tobytes(), star_sig[y].tobytes(), *_local(star_pair[y].ravel())))
+    for k in range(0, len(rows), 16):
+        b, *packed = zip(*rows[k : k + 16], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], names=PACKED)
+
+
+def _signed(words: int, num: int, den: int, buckets: int):
+    """Documents to packed signatures by hash range; a task holds FLUSH signatures of at most MOST_NODES sets at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "text_key", "n", "node", "bucket", "signatures", "nodes", "starred", "star_signatures", "star_leaders", "star_nodes"]
         seen: set[int] = set()
-        sigs, nodes = [], []
+        sigs, nodes, held = [], [], 0
         for batch in batches:
-            n, node = [], []
             for text in batch.column("text"):
                 elements = shingles(text.as_py(), words)
-                n.append(len(elements))
-                node.append(_node_of(elements))
-                if n[-1] and node[-1] not in seen:
-                    seen.add(node[-1])
-                    sigs.append(np.unique(signatures(elements, num, den)))
-                    nodes.append(np.full(len(sigs[-1]), node[-1], dtype=np.int64))
-            m = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.binary())] * 6], names=names
-            )
-        if not sigs:
-            return
-        sig, node = np.concatenate(sigs), np.concatenate(nodes)
-        sigs, nodes = [], []
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        first = np.concatenate([[True], sig[1:] != sig[:-1]])
-        start = np.flatnonzero(first)
-        length = np.diff(np.append(start, len(sig)))
-        # of many nodes only the first goes on; a star keeps the others
-        many = np.repeat(length > FEW, length)
-        leader = np.repeat(node[start], length)
-        star = many & ~first
-        # sorted by signature, hash ranges are slices; a star stays as it is and can go anywhere
-        ranges = [(j << 64) // buckets for j in range(1, buckets)]
-        lead_sig, lead_node, starred = sig[~star], node[~star], many[~star]
-        at = np.concatenate([[0], np.searchsorted(lead_sig, np.array(ranges, dtype=np.uint64)), [len(lead_sig)]])
-        pieces = np.linspace(0, int(star.sum()), buckets + 1).astype(int)
-        star_sig, star_leader, star_node = sig[star], leader[star], node[star]
-        rows = []
-        for b in range(buckets):
-            x, y = slice(at[b], at[b + 1]), slice(pieces[b], pieces[b + 1])
-            if at[b] < at[b + 1] or pieces[b] < pieces[b + 1]:
-                rows.append((b, lead_sig[x].tobytes(), lead_node[x].tobytes(), starred[x].tobytes(), star_sig[y].tobytes(), star_leader[y].tobytes(), star_node[y].tobytes()))
-        for k in range(0, len(rows), 16):
-            b, *packed = zip(*rows[k : k + 16], strict=True)
-            m = len(b)
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 4, pa.array(b, pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], names=names)
+                node = _node_of(elements)
+                if not len(elements) or node in seen:
+                    continue
+                seen.add(node)
+                sigs.append(np.unique(signatures(elements, num, den)))
+                nodes.append(node)
+                held += len(sigs[-1])
+                if held >= FLUSH or len(nodes) == MOST_NODES:
+                    yield from _pack(np.concatenate(sigs), np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in sigs]), buckets)
+                    sigs, nodes, held = [], [], 0
+        if sigs:
+            yield from _pack(np.concatenate(sigs), np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in sigs]), buckets)
 
     return run
 
 
-SETS_SCHEMA = "id long, text_key long, n long, node long, bucket int, signatures binary, nodes binary, starred binary, star_signatures binary, star_leaders binary, star_nodes binary"
+def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(signature, node, starred, star signature, star leader, star node) of a bucket's rows."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, kind)] for kind in (np.uint64, np.int64, np.bool_, np.uint64, np.int64, np.int64)]
+    for row in range(table.num_rows):
+        raw = {c: table.column(c)[row].as_py() for c in PACKED}
+        low = np.frombuffer(raw["low"], np.uint32).astype(np.uint64)
+        sub = np.repeat(np.arange(256, dtype=np.uint64), np.frombuffer(raw["counts"], np.uint32))
+        out[0].append(np.uint64(raw["bucket"] << 40) | (sub << np.uint64(32)) | low)
+        out[1].append(np.frombuffer(raw["nodes"], np.int64)[np.frombuffer(raw["places"], np.uint16)])
+        out[2].append(np.unpackbits(np.frombuffer(raw["starred"], np.uint8), count=len(low)).astype(np.bool_))
+        out[3].append(np.frombuffer(raw["star_signatures"], np.uint64))
+        ends = np.frombuffer(raw["star_nodes"], np.int64)[np.frombuffer(raw["star_places"], np.uint16)]
+        out[4].append(ends[::2])
+        out[5].append(ends[1::2])
+    return tuple(np.concatenate(x) for x in out)
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """A hash range's packed signatures to candidates: (a, b, shared) of few nodes, (signature, a, b) of many with leader a."""
-    column = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=kind)
-    sig, node, starred = column("signatures", np.uint64), column("nodes", np.int64), column("starred", np.bool_)
+    sig, node, starred, star_sig, star_leader, star_node = _unpack(table)
     order = np.lexsort((node, sig))
     sig, node, starred = sig[order], node[order], starred[order]
-    out_sig = [column("star_signatures", np.uint64)]
-    out_a, out_b = [column("star_leaders", np.int64)], [column("star_nodes", np.int64)]
+    out_sig, out_a, out_b = [star_sig], [star_leader], [star_node]
     pair_a, pair_b = [], []
     if len(sig):
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -356,16 +421,21 @@ def ngram_join(df: DataFrame, words: int = 3, num: int = 90, den: int = 100, key
     spark = df.sparkSession
     n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.coalesce(df[key].cast("long"), F.lit(NULL_ID)).alias("id"), df[text].alias("text"), F.xxhash64(df[text]).alias("text_key"))
-    sets = written(docs.mapInArrow(_sets(words, num, den, n_buckets), SETS_SCHEMA))
-    rows = sets.where("bucket IS NULL").select("id", "text_key", "n", "node")
+    # texts are read twice, so that signatures, which outweigh them, are never written but as the shuffle's files
+    rows = written(docs.mapInArrow(_rows(words), "id long, text_key long, n long, node long, sketch array<long>"))
+    first = written(rows.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("r"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     met = written(
-        sets.where("bucket IS NOT NULL").select("bucket", "signatures", "nodes", "starred", "star_signatures", "star_leaders", "star_nodes")
+        docs.mapInArrow(_signed(words, num, den, n_buckets), PACKED_SCHEMA)
         .groupBy("bucket").applyInArrow(_meet, "signature long, a long, b long, shared long")
     )
-    candidates = written(met.groupBy("a", "b").agg(F.sum("shared").alias("shared")))
-    first = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("r"))
-    involved = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = _texts(docs, written(first.join(involved, "node").select("node", "r.id", "r.text_key")))
+    pairs = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    for x in "ab":
+        pairs = pairs.join(first.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")), x)
+    apart_by = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    both = F.col("n_a") + F.col("n_b")
+    candidates = written(pairs.where((num + den) * (both - apart_by) >= 2 * num * both).select("a", "b", "shared"))
+    text_of = lambda nodes: _texts(docs, written(first.join(nodes, "node").select("node", "r.id", "r.text_key")))
+    texts = text_of(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
     def linked(pairs: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
@@ -399,7 +469,8 @@ def ngram_join(df: DataFrame, words: int = 3, num: int = 90, den: int = 100, key
         open_ = stars.join(split, "signature").select(F.col("a").alias("src"), F.col("b").alias("dst"))
         clusters = connected_components(open_).withColumnRenamed("component", "cluster")
         parted = clusters.join(labels, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
-        links = links.union(_blocks(written(parted), texts, words, num, den))
+        parted = written(parted)
+        links = links.union(_blocks(parted, text_of(parted.select("node")), words, num, den))
         labels = parts(links)
     named = labels.join(first.select("node", F.col("r.id").alias("id")), "node")
     least = named.groupBy("component").agg(F.min("id").alias("least"))
