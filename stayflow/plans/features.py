@@ -27,7 +27,7 @@ def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pit.rfm_summary(frame(spark, sf_dir, EVENTS), "2000-01-01")
-    return _rounded(out, "recency", "T", digits=6).withColumns({"monetary_value": F.round("monetary_value", 4), "monetary_total": F.round("monetary_total", 2)})
+    return _rounded(out, "recency", "T", digits=6).withColumns({"monetary_value": F.round("monetary_value", 7), "monetary_total": F.round("monetary_total", 2)})
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ SELECT feature, count(*) AS n_rows, round(corr(p, f), 4) AS corr_with_future, ro
     "rfm_summary": f"""
 WITH e AS {_E}, d AS (SELECT customer_id, event_ts::DATE AS day, min(event_ts) AS ts, sum(amount) AS amount, count(*) AS n FROM e WHERE event_ts <= TIMESTAMP '2000-01-01' GROUP BY 1, 2)
 SELECT customer_id, count(*) - 1 AS frequency, round((epoch_us(max(ts)) - epoch_us(min(ts))) / (86400000000 * 30.436875::DOUBLE), 6) AS recency, round((epoch_us(TIMESTAMP '2000-01-01') - epoch_us(min(ts))) / (86400000000 * 30.436875::DOUBLE), 6) AS T,
-  round(CASE WHEN count(*) > 1 THEN (sum(amount) - arg_min(amount, day)) / (count(*) - 1) ELSE 0 END, 4) AS monetary_value, round(sum(amount), 2) AS monetary_total, sum(n)::BIGINT AS n_transactions, min(ts) AS first_purchase, max(ts) AS last_purchase
+  round(CASE WHEN count(*) > 1 THEN (sum(amount) - arg_min(amount, day)) / (count(*) - 1) ELSE 0 END, 7) AS monetary_value, round(sum(amount), 2) AS monetary_total, sum(n)::BIGINT AS n_transactions, min(ts) AS first_purchase, max(ts) AS last_purchase
 FROM d GROUP BY customer_id""",
     "clean_panel": f"""
 WITH d AS {_D}, one AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY customer_id, period ORDER BY ingest_seq) = 1), kept AS (
