@@ -15,6 +15,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -97,17 +98,12 @@ def archive(records: Iterator[bytes], out, limit: int) -> tuple[int, int]:
     done, n = 8 + len(content), 0
     packer = zstandard.ZstdCompressor(level=3, dict_data=own, write_checksum=True) if own else zstandard.ZstdCompressor(level=3, write_checksum=True)
 
-    def rest() -> Iterator[bytes]:
-        yield from held
-        held.clear()
-        if done < limit:
-            yield from records
-
-    for r in rest():
+    # a chain, unlike a generator, can be dropped without closing ``records``, from which the next archive goes on
+    for r in chain(held, records):
         frame = packer.compress(r)
         out.write(frame)
         done, n = done + len(frame), n + 1
-        if done >= limit and not held:
+        if done >= limit and n >= len(held):
             break
     return done, n
 
@@ -168,13 +164,8 @@ def write_warc(df: DataFrame, path: str, least: int = 0, key: str = "page_id", u
         first = next(source, None)
         while first is not None:
             name = uuid.uuid4().hex
-
-            def rest(head=first):
-                yield head
-                yield from source
-
             with files.open_output_stream(f"{folder}/.{name}.tmp") as out:
-                size, count = archive(rest(), out, ARCHIVE_BYTES)
+                size, count = archive(chain([first], source), out, ARCHIVE_BYTES)
             files.move(f"{folder}/.{name}.tmp", f"{folder}/{name}.warc.zst")
             rows.append((f"{name}.warc.zst", size, count))
             first = next(source, None)
