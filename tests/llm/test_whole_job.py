@@ -1,8 +1,12 @@
 """Cases in which an operator once did less than its whole job."""
 
+import math
 import random
 
-from stayflow.llm import warc
+import numpy as np
+import pytest
+
+from stayflow.llm import pieces, warc
 
 
 def test_one_task_writes_several_archives(spark, tmp_path, monkeypatch):
@@ -16,3 +20,41 @@ def test_one_task_writes_several_archives(spark, tmp_path, monkeypatch):
     stored = {r.page_id: r.payload for r in back if r.record_type == "response"}
     assert sorted(r.page_id for r in back) == [p[0] for p in pages]
     assert all((stored[r.page_id if r.refers_to is None else r.refers_to] or "") == (p[2] or "") for r, p in zip(sorted(back), pages, strict=True))
+
+
+def test_expected_counts_equal_all_paths():
+    names = ["<unk>", *(f"<0x{b:02X}>" for b in range(256)), "▁", "a", "b", "ab", "▁a", "▁ab", "ba"]
+    kinds = [2, *[6] * 256, *[1] * 7]
+    scores = np.array([0.0] * 257 + [-1.0, -2.0, -2.5, -3.0, -1.5, -4.0, -2.2])
+    v = pieces.Vocabulary(names, scores.tolist(), kinds)
+    units, weights = ["▁abab", "▁", "▁bé", "a"], [2, 1, 3, 5]
+
+    def paths(s):
+        if not s:
+            yield 0.0, []
+        for n in range(1, len(s) + 1):
+            k = names.index(s[:n]) if s[:n] in names else None
+            if k is not None or n == 1 and s[0] == "é":
+                for cost, own in paths(s[n:]):
+                    yield cost + (scores[k] if k is not None else -14.0), [k, *own]
+
+    want, likelihood = np.zeros(len(names)), 0.0
+    for u, w in zip(units, weights, strict=True):
+        every = list(paths(u))
+        whole = sum(math.exp(c) for c, _ in every)
+        likelihood += w * math.log(whole)
+        for c, own in every:
+            for k in own:
+                want[k if k is not None else 0] += w * math.exp(c) / whole
+    want[0] = 0
+    found, value = pieces.expected_counts([u.encode() for u in units], np.array(weights, float), v, scores, -14.0)
+    assert found == pytest.approx(want) and value == pytest.approx(likelihood)
+
+
+def test_scores_are_fitted_log_probabilities(spark, tmp_path):
+    df = spark.createDataFrame([(i, "therefore the house needs information, and information needs a house" if i % 9 else None) for i in range(40)], "doc_id long, text string")
+    row = pieces.encode_pieces(df, keep=f"file://{tmp_path}/v").where("doc_id = 1").first()
+    v = pieces.read_vocabulary(spark, f"file://{tmp_path}/v")
+    assert {"▁therefore", "▁house", "▁information"} <= {v.pieces[i] for i in row.ids} and row.exact
+    assert sum(math.exp(s) for s, k in zip(v.scores, v.kinds, strict=True) if k == pieces.NORMAL) == pytest.approx(1, abs=1e-3)
+    assert pieces.Encoder(v).encode([df.where("doc_id = 1").first().text])[0].tolist() == row.ids
