@@ -1,8 +1,9 @@
 """Near-duplicate vectors: iterative quantisation codes, multi-index Hamming tables, rerank with the original vectors.
 
-Rows of one code form a cell. Cells meet in four tables of 16-bit substrings: two codes within Hamming distance 11
-differ in at most 2 bits of some substring, so both list one common value among the substring and its 16 one-bit
-neighbours. A pair of cells is taken in the first table and at the smallest common value only, so it comes up once.
+Rows of one code form a cell. The radius within which cells are compared is measured on the fitted rotation: it holds
+99 of 100 pairs that lie exactly at the threshold. Cells meet in eight tables of 8-bit substrings, whose own radii add
+up to that radius by the pigeonhole principle (at 15 bits, one bit in each): a code is at home under its substring and
+visits the substrings within the table's radius. A pair of cells is taken in the first table where it meets only.
 Members of cells are packed in chunks, and pairs of chunks are compared as matrices: what leaves a comparison is a
 count per vector and a star per group linked there, never the pairs of a group. A hot cell is many chunks, whose
 comparisons are dealt out over all tasks.
@@ -18,31 +19,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, star_roots, written
-from .itq import coded, fit_itq, sample_vectors, unit, unpack, valid_vectors
+from .itq import Itq, coded, fit_itq, sample_vectors, unit, unpack, valid_vectors
 
-TABLES, SUB_BITS, SUB_RADIUS = 4, 16, 2
-#: Codes of 64 bits at this distance or less share a value in some table.
-RADIUS = TABLES * (SUB_RADIUS + 1) - 1
+TABLES, SUB_BITS = 8, 8
+#: The radius where none is measured.
+RADIUS = 15
 CHUNK = 256
+#: Codes at home in one group, and codes compared at once.
+HOMES, TILE = 1 << 16, 2048
 
 
-def _cell_pairs(cells: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different codes, a < b, within RADIUS bits; each pair once."""
-    tables = ", ".join(f"({t}, int(shiftrightunsigned(code, {t * SUB_BITS}) & 65535))" for t in range(TABLES))
-    near = "array(0, " + ", ".join(str(1 << i) for i in range(SUB_BITS)) + ")"
-    rows = cells.selectExpr("code", f"inline(transform(array({tables}), x -> struct(x.col1 AS t, x.col2 AS sub)))")
-    rows = rows.selectExpr("code", "t", f"explode(transform({near}, m -> sub ^ m)) AS value")
-    diff = lambda t: f"int(shiftrightunsigned(a.code ^ b.code, {t} * {SUB_BITS}) & 65535)"
-    earlier = " AND ".join(f"(a.t <= {t} OR bit_count({diff(t)}) > {SUB_RADIUS})" for t in range(TABLES - 1))
-    sub = f"int(shiftrightunsigned(a.code, a.t * {SUB_BITS}) & 65535)"
-    low = f"({diff('a.t')} & -{diff('a.t')})"
-    # the smallest value within one bit of both: at distance 1 the smaller one, at distance 2 one of the two between
-    smallest = (
-        f"CASE bit_count({diff('a.t')}) WHEN 0 THEN {sub} & ~int(CASE WHEN {sub} = 0 THEN 0 ELSE 1 << int(floor(log2({sub}))) END)"
-        f" WHEN 1 THEN {sub} & ~{diff('a.t')} ELSE least({sub} ^ {low}, {sub} ^ ({diff('a.t')} ^ {low})) END"
-    )
-    on = f"a.t = b.t AND a.value = b.value AND a.code < b.code AND bit_count(a.code ^ b.code) <= {RADIUS} AND bit_count({diff('a.t')}) <= {SUB_RADIUS} AND {earlier} AND a.value = {smallest}"
-    return rows.alias("a").join(rows.alias("b"), F.expr(on)).select(F.col("a.code").alias("a"), F.col("b.code").alias("b"))
+def link_radius(model: Itq, vectors: np.ndarray, threshold: float, recall: float = 0.99, seed: int = 7) -> int:
+    """The least radius that holds ``recall`` of pairs at cosine ``threshold``: sample vectors (of length 1) turned by that angle.
+
+    They turn in random directions and towards other sample vectors; the wider of both radii counts.
+    """
+    if len(vectors) < 2 or vectors.shape[1] < 2:
+        return RADIUS
+    rng = np.random.default_rng(seed)
+    u = vectors[rng.integers(0, len(vectors), 8192)]
+    cos = min(1.0, max(-1.0, threshold))
+    radius = 0
+    for aside in (rng.normal(size=u.shape), vectors[rng.integers(0, len(vectors), len(u))] - u):
+        aside = aside - (aside * u).sum(axis=1, keepdims=True) * u
+        length = np.linalg.norm(aside, axis=1, keepdims=True)
+        some = length[:, 0] > 1e-9
+        if some.any():
+            turned = cos * u[some] + np.sqrt(1 - cos * cos) * aside[some] / length[some]
+            radius = max(radius, int(np.quantile(np.bitwise_count(model.codes(u[some]) ^ model.codes(turned)), recall, method="higher")))
+    return radius
+
+
+def _table_radii(radius: int) -> list[int]:
+    """Each table's radius; codes within ``radius`` bits are within it in some table. A table of radius -1 is not needed."""
+    return [(radius + 1) // TABLES + (t < (radius + 1) % TABLES) - 1 for t in range(TABLES)]
+
+
+def _cell_pairs(cells: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of different codes, a < b, within ``radius`` bits; each pair once."""
+    radii = _table_radii(radius)
+    used = [t for t in range(TABLES) if radii[t] >= 0]
+    sub = lambda t: f"int(shiftrightunsigned(code, {t * SUB_BITS}) & {(1 << SUB_BITS) - 1})"
+    masks = lambda t: ", ".join(str(m) for m in range(1 << SUB_BITS) if m.bit_count() <= radii[t])
+    homes = cells.selectExpr("code", "inline(array(" + ", ".join(f"struct({t} AS t, {sub(t)} AS value)" for t in used) + "))")
+    visits = cells.selectExpr("code", "inline(array(" + ", ".join(f"struct({t} AS t, transform(array({masks(t)}), m -> {sub(t)} ^ m) AS near)" for t in used) + "))")
+    visits = visits.select("code", "t", F.explode("near").alias("value"))
+    # one row per table and value; a value where many codes are at home is several groups
+    parts = F.broadcast(homes.groupBy("t", "value").agg(F.ceil(F.count("*") / HOMES).cast("int").alias("parts")))
+    homes = homes.join(parts, ["t", "value"]).select("t", "value", F.pmod(F.xxhash64("code"), "parts").cast("int").alias("part"), "code", F.lit(True).alias("home"))
+    visits = visits.join(parts, ["t", "value"]).select("t", "value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "code", F.lit(False).alias("home"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(list(batches))
+        code, home = whole.column("code").to_numpy(), whole.column("home").to_numpy()
+        table = whole.column("t")[0].as_py()
+        own, other = code[home], code[~home]
+        for i in range(0, len(own), TILE):
+            for j in range(0, len(other), TILE):
+                a, b = own[i : i + TILE], other[j : j + TILE]
+                at, to = np.nonzero(np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= radius)
+                a, b = a[at], b[to]
+                differ, take = a.view(np.uint64) ^ b.view(np.uint64), a < b
+                for t in range(table):
+                    if radii[t] >= 0:
+                        take &= np.bitwise_count((differ >> np.uint64(t * SUB_BITS)) & np.uint64((1 << SUB_BITS) - 1)) > radii[t]
+                if take.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(a[take]), pa.array(b[take])], names=["a", "b"])
+
+    return homes.union(visits).groupBy("t", "value", "part").applyInArrow(run, "a long, b long")
 
 
 def _compare(width: int, threshold: float):
@@ -74,15 +118,17 @@ def _compare(width: int, threshold: float):
 def near_vectors(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", sample: int = 8192, seed: int = 7) -> DataFrame:
     """One row per row of ``df``: key, n_links, component_id, kept.
 
-    Vectors link at cosine ``threshold`` or more, in double precision, as far as their codes lie within RADIUS bits
-    (the recall on all such pairs is measured in the tests and the README); no pair below the threshold links. The
-    rotation is fitted on ``sample`` vectors at most; all rows are indexed. Null, zero and non-finite vectors, those of
+    Vectors link at cosine ``threshold`` or more, in double precision, as far as their codes lie within the radius
+    that holds 0.99 of pairs at the threshold (``link_radius``; the README gives the recall measured); no pair below the
+    threshold links. The rotation and the radius are fitted on ``sample`` vectors at most; all rows are indexed. Null, zero and non-finite vectors, those of
     another width than most, and null ids link with nothing; such rows are their own component. Of rows with one id,
     one vector counts and all get its result. An empty table gives an empty result; other columns are not read.
     """
     vectors = valid_vectors(df, key, vector)
     fitted = sample_vectors(vectors, sample)
-    model, width = fit_itq(unit(fitted) if len(fitted) else fitted, 64, seed=seed), fitted.shape[1]
+    fitted = unit(fitted) if len(fitted) else fitted
+    model, width = fit_itq(fitted, 64, seed=seed), fitted.shape[1]
+    radius = link_radius(model, fitted, threshold, seed=seed)
     rows = written(coded(vectors, model, True))
     counts = rows.groupBy("code").agg(F.count("*").alias("n"))
     cells = written(counts)
@@ -92,7 +138,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vec
         .groupBy("code", "chunk").agg(F.collect_list(F.struct("id", "packed")).alias("m"))
         .select("code", "chunk", F.col("m.id").alias("ids"), F.col("m.packed").alias("packed"))
     )
-    between = _cell_pairs(cells)
+    between = _cell_pairs(cells, radius)
     within = cells.where("n > 1").select(F.col("code").alias("a"), F.col("code").alias("b"))
     one, two = (chunks.select(F.col("code").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("chunk", "ids", "packed"))) for x in "ab")
     pairs = between.union(within).join(one, "a").join(two, "b").where("a < b OR chunk_a <= chunk_b")

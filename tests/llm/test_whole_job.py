@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from stayflow.llm import pieces, warc
+from stayflow.llm import pieces, vector_dedup, warc
 
 
 def test_one_task_writes_several_archives(spark, tmp_path, monkeypatch):
@@ -58,3 +58,35 @@ def test_scores_are_fitted_log_probabilities(spark, tmp_path):
     assert {"▁therefore", "▁house", "▁information"} <= {v.pieces[i] for i in row.ids} and row.exact
     assert sum(math.exp(s) for s, k in zip(v.scores, v.kinds, strict=True) if k == pieces.NORMAL) == pytest.approx(1, abs=1e-3)
     assert pieces.Encoder(v).encode([df.where("doc_id = 1").first().text])[0].tolist() == row.ids
+
+
+def test_links_near_the_threshold_are_found(spark):
+    rng = np.random.default_rng(4)
+    u = rng.normal(size=(2000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w = rng.normal(size=u.shape)
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    cos = rng.uniform(0.9001, 0.93, (len(u), 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([u, cos * u + np.sqrt(1 - cos * cos) * w]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vector_dedup.near_vectors(df).collect()}
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (x @ x.T >= 0.9).sum() - len(rows)
+    recall = sum(r.n_links for r in got.values()) / linked
+    print("recall at 0.90 to 0.93:", recall, "of", linked // 2)
+    assert linked >= 2 * len(u) and 0.985 <= recall <= 1
+
+
+def test_cell_pairs_at_other_radii(spark):
+    rng = random.Random(9)
+    codes = {rng.getrandbits(64) for _ in range(30)}
+    for c in list(codes):
+        codes |= {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 18))) for _ in range(6)}
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    df = spark.createDataFrame([(c,) for c in signed], "code long")
+    for radius in (0, 5, 16):
+        got = [(r.a, r.b) for r in vector_dedup._cell_pairs(df, radius).collect()]
+        want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= radius}
+        assert len(got) == len(set(got)) and set(got) == want
