@@ -9,9 +9,11 @@ subparts therefore meets every similar pair, and candidates are checked with the
 What moves: per distinct set one 64-bit id and its signatures, packed as arrays by hash range, about 6 bytes each. Equal
 sets are one node. Each task sends one node per signature on and keeps a star for the others, so a signature that a third of
 all documents share arrives once per task. Of a signature's few nodes all pairs are candidates; of many, a star.
-Where a star leaves members in different components, the cluster of such signatures is cut in chunks, and pairs of
-chunks are compared as incidence matrices, which give a star per linked group and never pairs. Texts of candidates
-alone are moved for the check, and of those only what sketches of the sets cannot rule out.
+Sketches of the sets, about a bit per shingle, rule out most candidates that are not similar before any text moves.
+For the check a candidate's text moves once to each set it is compared with, first to one partner each, and further
+only where that left both in different components. Where a star leaves members in different components, the cluster of
+such signatures is cut in chunks; pairs of chunks are compared by sketches, and the texts of what is left as incidence
+matrices, which give a star per linked group and never pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,14 @@ LEAST_ELEMENTS = 4.0
 SPARE, SPARE_FROM = 3, 32
 #: Up to so many nodes of one signature become candidates pairwise.
 FEW = 4
-#: Documents in a chunk of a cluster that is compared in blocks, and shingles in a block of the comparison.
-CHUNK, COLUMNS = 128, 8192
+#: Sets and shingles in a chunk of a cluster that is compared in blocks, and shingles in a block of the comparison.
+CHUNK, CHUNK_SHINGLES, COLUMNS = 1024, 4_000_000, 8192
+#: Partners of a set that one slice compares; a set with more is sent to several slices.
+SLICE = 1024
+#: Signatures a hash range should hold at most.
+BUCKET = 2_000_000
+#: Bytes of a sketch in comparisons of whole chunks.
+CHUNK_SKETCH = 512
 #: Signatures a task packs at once, and sets whose signatures these are; places of sets take 16 bits.
 FLUSH, MOST_NODES = 1_500_000, 30_000
 #: Bits of the filter that picks the candidates' texts; 2 MB as a table, whatever the input.
@@ -167,13 +175,40 @@ def signatures(elements: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def parities(elements: np.ndarray) -> np.ndarray:
-    """For each of 1024 equal ranges of the hash domain whether it holds an odd number of elements, as 16 longs.
+def signature_bound(size: int, num: int, den: int) -> int:
+    """How many signatures a set of this size has at most."""
+    n, i = 0, band_of(size) if size else -1
+    while i >= 0 and (bounds(i)[1] >= size or size * num <= bounds(i)[1] * den):
+        n1, n2, k2 = parameters(i, num, den)
+        n, i = n + n1 * comb(n2, k2), i - 1
+    return n
+
+
+def parities(elements: np.ndarray) -> bytes:
+    """For each of 2 ** k equal ranges of the hash domain, at least one per element, whether it holds an odd number of elements, as bits.
 
     Two sets differ in at least as many elements as these bits differ in places, which rules most false candidates out.
     """
-    odd = np.bincount((elements >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    k = max(6, (len(elements) - 1).bit_length())
+    odd = np.bincount((elements >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch in ``size`` bytes at most: the parities of ranges twice as wide are sums of two."""
+    while len(sketch) > size:
+        pairs = sketch ^ (sketch << np.uint8(1))  # the upper bit of each pair holds the pair's sum
+        sketch = np.packbits(np.unpackbits(pairs)[::2])
+    return sketch
+
+
+def differing(one: bytes, two: bytes) -> int:
+    """In how many places two sketches differ, in the ranges of the coarser one."""
+    x, y = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
+    if len(x) != len(y):
+        size = min(len(x), len(y))
+        x, y = folded(x, size), folded(y, size)
+    return int(np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum())
 
 
 def _as_long(x: np.ndarray) -> pa.Array:
@@ -186,16 +221,20 @@ def _node_of(elements: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def _rows(words: int):
-    """Documents to (id, text_key, size of the set, node, sketch)."""
+def _rows(words: int, num: int, den: int):
+    """Documents to (id, text_key, size of the set, node, sketch, bound of its signatures)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = (shingles(text.as_py(), words) for text in batch.column("text"))
-            n, node, sketch = zip(*((len(x), _node_of(x), parities(x)) for x in sets), strict=True) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=["id", "text_key", "n", "node", "sketch"]
-            )
+        bound = lru_cache(maxsize=65536)(lambda n: signature_bound(n, num, den))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                batch = whole.slice(lo, 2048)
+                sets = (shingles(text.as_py(), words) for text in batch.column("text"))
+                n, node, sketch = zip(*((len(x), _node_of(x), parities(x)) for x in sets), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), pa.array(list(map(bound, n)), pa.int64())],
+                    names=["id", "text_key", "n", "node", "sketch", "signs"],
+                )
 
     return run
 
@@ -314,78 +353,158 @@ def _meet(table: pa.Table) -> pa.Table:
     })
 
 
+def _possible(num: int, den: int):
+    """Pairs with sizes and sketches to those that may be similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.add(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+            apart = [differing(x.as_py(), y.as_py()) for x, y in zip(batch.column("s_a"), batch.column("s_b"), strict=True)]
+            keep = (num + den) * (both - np.array(apart, dtype=np.int64)) >= 2 * num * both
+            yield batch.select(["a", "b", "shared"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _linked(words: int, num: int, den: int):
-    """Pairs with both texts to the pairs that are similar enough."""
+    """Rows (center, node, text), each center's own row before its partners', to the pairs that are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
+        center, own = None, None
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            for k, x in enumerate(a):
-                if x != last:
-                    last, left = x, shingles(batch.column("text_a")[k].as_py(), words)
-                right = shingles(batch.column("text_b")[k].as_py(), words)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(both > 0 and den * both >= num * (len(left) + len(right) - both))
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep, strict=True) if k], pa.int64()) for c in (a, b)], names=["a", "b"])
+            a, b = [], []
+            for x, y, text in zip(batch.column("center").to_pylist(), batch.column("node").to_pylist(), batch.column("text"), strict=True):
+                if x == y:
+                    if x != center:
+                        center, own = x, shingles(text.as_py(), words)
+                    continue
+                other = shingles(text.as_py(), words)
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if both and den * both >= num * (len(own) + len(other) - both):
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the nodes (node, id, text_key): a fixed-size bit filter drops other documents before the shuffle."""
-    bit = F.pmod(F.xxhash64("id", "text_key"), F.lit(FILTER_BITS))
-    bits = nodes.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit % 64))")).alias("bits"))
-    kept = docs.withColumn("bit", bit).withColumn("word", (F.col("bit") / 64).cast("int")).join(F.broadcast(bits), "word").where("shiftrightunsigned(bits, int(bit % 64)) & 1 = 1")
-    return written(kept.join(nodes, ["id", "text_key"]).dropDuplicates(["node"]).select("node", "text"))
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows that repeat an id and a text one per task."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        keep = []
+        for row in zip(batch.column("id").to_pylist(), batch.column("text_key").to_pylist(), strict=True):
+            keep.append(row not in seen)
+            seen.add(row)
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def _blocks(parted: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) within clusters, of (node, cluster, component): stars over what is linked in each pair of chunks.
+def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (node, id, text_key and more) with its texts: a fixed-size bit filter drops other documents before the shuffle.
 
-    A large component has chunks of its own, small ones share chunks; chunks of one component are not compared.
+    A row that the input repeats comes once per task that reads it.
     """
-    sizes = parted.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") < CHUNK).groupBy("cluster").agg(F.sum("n").alias("small"))
-    own = F.col("n") >= CHUNK
-    parts = F.ceil(F.when(own, F.col("n")).otherwise(F.col("small")) / CHUNK)
-    chunked = written(
-        parted.join(sizes, ["cluster", "component"]).join(small, "cluster", "left")
-        .select("node", "cluster", F.struct(
-            F.when(own, F.col("component")).alias("component"),
-            F.pmod(F.xxhash64(F.when(own, F.col("node")).otherwise(F.col("component"))), parts).alias("part"),
-        ).alias("chunk"))
-    )
-    whole = written(chunked.join(texts, "node").groupBy("cluster", "chunk").agg(F.collect_list(F.struct("node", "text")).alias("m")).select("cluster", "chunk", F.col("m.node").alias("nodes"), F.col("m.text").alias("texts")))
-    ids = whole.select("cluster", "chunk")
-    pairs = ids.alias("x").join(ids.alias("y"), F.expr("x.cluster = y.cluster AND x.chunk <= y.chunk AND (x.chunk.component IS NULL OR y.chunk.component IS NULL OR x.chunk.component <> y.chunk.component)"))
-    pairs = pairs.select(F.col("x.cluster").alias("cluster"), F.col("x.chunk").alias("chunk_a"), F.col("y.chunk").alias("chunk_b"))
-    one, two = (whole.select("cluster", F.col("chunk").alias(f"chunk_{x}"), F.col("nodes").alias(f"nodes_{x}"), F.col("texts").alias(f"texts_{x}")) for x in "ab")
-    same = lambda x: F.col(f"p.chunk_{x}").eqNullSafe(F.col(f"w.chunk_{x}")) & (F.col("p.cluster") == F.col("w.cluster"))
-    joined = pairs.alias("p").join(one.alias("w"), same("a")).select("p.*", "nodes_a", "texts_a")
-    joined = joined.alias("p").join(two.alias("w"), same("b")).select(F.expr("p.chunk_a <=> p.chunk_b").alias("same"), "nodes_a", "texts_a", "nodes_b", "texts_b")
+    bit = F.pmod(F.xxhash64("id", "text_key"), F.lit(FILTER_BITS))
+    bits = wanted.select(bit.alias("bit")).distinct().groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit % 64))")).alias("bits"))
+    kept = docs.withColumn("bit", bit).withColumn("word", (F.col("bit") / 64).cast("int")).join(F.broadcast(bits), "word").where("shiftrightunsigned(bits, int(bit % 64)) & 1 = 1")
+    kept = kept.select("id", "text", "text_key").mapInArrow(_once, "id long, text string, text_key long")
+    return kept.join(wanted, ["id", "text_key"]).drop("id", "text_key")
+
+
+def _checked(docs: DataFrame, first: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that are similar enough: each text of ``b`` moves to its ``a``, of which every slice of partners gets a copy."""
+    slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    pairs = pairs.join(slices, "a").withColumn("slice", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int"))
+    asked = pairs.select(F.col("a").alias("center"), "slice", F.col("b").alias("node")).union(pairs.select("a", "slice", "a").distinct())
+    asked = written(asked.join(first.select("node", "r.id", "r.text_key"), "node"))
+    rows = _with_texts(docs, asked).withColumn("partner", F.expr("center <> node"))
+    rows = rows.repartition("center", "slice").sortWithinPartitions("center", "slice", "partner").select("center", "node", "text")
+    return written(rows.mapInArrow(_linked(words, num, den), "a long, b long"))
+
+
+def _members(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
+    """(nodes, components, sizes, sketches) of a chunk."""
+    nodes, components, sizes = (rows.field(c).to_numpy() for c in ("node", "component", "n"))
+    return nodes, components, sizes, np.array([np.frombuffer(x, np.uint8) for x in rows.field("sketch").to_pylist()] + [None], dtype=object)[:-1]
+
+
+def _near(left: tuple, right: tuple, num: int, den: int) -> np.ndarray:
+    """For the members of two chunks which pairs of different components sizes and sketches do not rule out."""
+    out = np.zeros((len(left[0]), len(right[0])), dtype=bool)
+    widths = lambda side: {w: np.flatnonzero([len(x) == w for x in side[3]]) for w in {len(x) for x in side[3]}}
+    for w, x in widths(left).items():
+        for v, y in widths(right).items():
+            size = min(v, w)
+            a, b = (np.array([folded(side[3][i], size) for i in at]).view(np.uint64) for side, at in ((left, x), (right, y)))
+            for k, word in zip(x, a, strict=True):
+                both = left[2][k] + right[2][y]
+                apart = np.maximum(np.bitwise_count(word ^ b).sum(axis=1), np.abs(left[2][k] - right[2][y]))
+                out[k, y] = ((num + den) * (both - apart) >= 2 * num * both) & (left[1][k] != right[1][y])
+    return out
+
+
+def _survivors(num: int, den: int):
+    """Pairs of chunks with sketches to their members (cluster, chunk_a, chunk_b, node, side) that are possibly similar to one of the other side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
             for row in range(batch.num_rows):
-                same, *rest = (batch.column(c)[row].as_py() for c in ("same", "nodes_a", "texts_a", "nodes_b", "texts_b"))
-                left = [shingles(t, words) for t in rest[1]]
-                right = left if same else [shingles(t, words) for t in rest[3]]
-                both = shared_counts(left, right)
-                total = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
-                linked = (both > 0) & (den * both >= num * (total - both))
-                if same:
-                    np.fill_diagonal(linked, False)
-                for names, root in zip((rest[0], rest[2]), star_roots(linked, np.array(rest[0], dtype=np.int64), np.array(rest[2], dtype=np.int64), same), strict=True):
-                    names = np.array(names, dtype=np.int64)
-                    a.append(root[root != names])
-                    b.append(names[root != names])
-            flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([flat(a), flat(b)], names=["a", "b"])
-
-    return written(joined.mapInArrow(run, "a long, b long"))
+                left, right = (_members(batch.column(c)[row].values) for c in ("left", "right"))
+                possible = _near(left, right, num, den)
+                a, b = left[0][possible.any(axis=1)], right[0][possible.any(axis=0)]
+                n = len(a) + len(b)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(c)[row].as_py()] * n, pa.int64()) for c in ("cluster", "chunk_a", "chunk_b")] + [pa.array(np.concatenate([a, b])), pa.array(np.arange(n) >= len(a))],
+                    names=["cluster", "chunk_a", "chunk_b", "node", "side"],
+                )
+
+    return run
+
+
+def _blocks(docs: DataFrame, first: DataFrame, parted: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) within clusters, of (node, cluster, component): stars over what is linked in each pair of chunks.
+
+    A chunk holds sets of one range of sizes, so that a set meets those of its own range and of the next ones only. A
+    large component has chunks of its own, small ones share chunks; chunks of one component are not compared.
+    """
+    # a little more than the ratio of sizes of similar sets, so that rounding puts them one range apart at most
+    level = F.floor(F.ln("n") / (1.001 * log(den / num) + 1e-9))
+    rows = written(parted.join(first.select("node", "n", "sketch"), "node").mapInArrow(_narrow, "node long, cluster long, component long, n long, sketch binary").withColumn("level", level))
+    sizes = rows.groupBy("cluster", "level", "component").agg(F.count("*").alias("count"), F.sum("n").alias("weight"))
+    large = (F.col("count") >= CHUNK) | (F.col("weight") >= CHUNK_SHINGLES)
+    parts = lambda count, weight: F.greatest(F.ceil(count / CHUNK), F.ceil(weight / CHUNK_SHINGLES))
+    small = sizes.where(~large).groupBy("cluster", "level").agg(parts(F.sum("count"), F.sum("weight")).alias("shared"))
+    place = F.when(large, F.xxhash64("component", F.pmod(F.xxhash64("node"), parts(F.col("count"), F.col("weight"))))).otherwise(F.pmod(F.xxhash64("component"), F.col("shared")))
+    chunked = rows.join(sizes, ["cluster", "level", "component"]).join(small, ["cluster", "level"], "left").select(
+        "cluster", "level", F.xxhash64("level", place).alias("chunk"), F.when(large, F.col("component")).alias("whole"), F.struct("node", "component", "n", "sketch").alias("row")
+    )
+    whole = written(chunked.groupBy("cluster", "level", "chunk", "whole").agg(F.collect_list("row").alias("rows")))
+    side = lambda x, name: whole.select("cluster", "level", F.col("chunk").alias(f"chunk_{x}"), F.col("whole").alias(f"whole_{x}"), F.col("rows").alias(name))
+    ahead = side("a", "left").withColumn("own", F.col("level")).withColumn("level", F.explode(F.array("level", F.col("level") + 1)))
+    pairs = ahead.join(side("b", "right"), ["cluster", "level"]).where("(own < level OR chunk_a <= chunk_b) AND (whole_a IS NULL OR whole_b IS NULL OR whole_a <> whole_b)")
+    found = written(pairs.select("cluster", "chunk_a", "chunk_b", "left", "right").mapInArrow(_survivors(num, den), "cluster long, chunk_a long, chunk_b long, node long, side boolean"))
+    asked = written(found.join(first.select("node", "r.id", "r.text_key"), "node"))
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        nodes = table.column("node").to_numpy()
+        texts = table.column("text")
+        (left, a), (right, b) = (([shingles(texts[i].as_py(), words) for i in np.flatnonzero(side == s)], nodes[side == s]) for s in (False, True))
+        both = shared_counts(left, right)
+        total = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+        linked = (both > 0) & (den * both >= num * (total - both)) & (a[:, None] != b[None, :])
+        roots = star_roots(linked, a, b, False)
+        ends = [(root[root != own], own[root != own]) for own, root in zip((a, b), roots, strict=True)]
+        return pa.table({"a": np.concatenate([x[0] for x in ends]), "b": np.concatenate([x[1] for x in ends])})
+
+    return written(_with_texts(docs, asked).groupBy("cluster", "chunk_a", "chunk_b").applyInArrow(run, "a long, b long"))
+
+
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with sketches of CHUNK_SKETCH bytes at most."""
+    for batch in batches:
+        sketches = [folded(np.frombuffer(s.as_py(), np.uint8), CHUNK_SKETCH).tobytes() for s in batch.column("sketch")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "cluster", "component", "n")), pa.array(sketches, pa.binary())], names=["node", "cluster", "component", "n", "sketch"])
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -415,32 +534,28 @@ def ngram_join(df: DataFrame, words: int = 3, num: int = 90, den: int = 100, key
     nothing. Documents link at den * intersection >= num * union, and every such pair is found. ``component_id`` is the
     smallest key reachable by links, itself included (null if all those keys are null); ``node`` identifies the set,
     so rows that repeat a text share it, and ``text_key`` is the text's hash. Shingles and sets are told apart by 64-bit hashes. ``buckets`` is the number
-    of hash ranges (as many as shuffle partitions if not given). An empty table gives an empty result; columns other
+    of hash ranges (if not given, as many as shuffle partitions, or more where they would hold more than BUCKET signatures). An empty table gives an empty result; columns other
     than key and text are not read.
     """
     spark = df.sparkSession
-    n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.coalesce(df[key].cast("long"), F.lit(NULL_ID)).alias("id"), df[text].alias("text"), F.xxhash64(df[text]).alias("text_key"))
     # texts are read twice, so that signatures, which outweigh them, are never written but as the shuffle's files
-    rows = written(docs.mapInArrow(_rows(words), "id long, text_key long, n long, node long, sketch array<long>"))
-    first = written(rows.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("r"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    rows = written(docs.mapInArrow(_rows(words, num, den), "id long, text_key long, n long, node long, sketch binary, signs long"))
+    first = written(rows.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("r"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("signs").alias("signs")))
+    signs = first.agg(F.sum("signs")).first()[0] or 0
+    n_buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-signs // BUCKET))
     met = written(
         docs.mapInArrow(_signed(words, num, den, n_buckets), PACKED_SCHEMA)
         .groupBy("bucket").applyInArrow(_meet, "signature long, a long, b long, shared long")
     )
-    pairs = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    pairs = met.where("a <> b").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     for x in "ab":
         pairs = pairs.join(first.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")), x)
-    apart_by = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    both = F.col("n_a") + F.col("n_b")
-    candidates = written(pairs.where((num + den) * (both - apart_by) >= 2 * num * both).select("a", "b", "shared"))
-    text_of = lambda nodes: _texts(docs, written(first.join(nodes, "node").select("node", "r.id", "r.text_key")))
-    texts = text_of(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    alike = F.expr(f"{num} * greatest(n_a, n_b) <= {den} * least(n_a, n_b)")
+    candidates = written(pairs.where(alike).select("a", "b", "shared", "n_a", "n_b", "s_a", "s_b").mapInArrow(_possible(num, den), "a long, b long, shared long"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-        return written(both.mapInArrow(_linked(words, num, den), "a long, b long"))
+        return _checked(docs, first, pairs.select("a", "b"), words, num, den)
 
     def parts(links: DataFrame) -> DataFrame:
         return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -470,7 +585,7 @@ def ngram_join(df: DataFrame, words: int = 3, num: int = 90, den: int = 100, key
         clusters = connected_components(open_).withColumnRenamed("component", "cluster")
         parted = clusters.join(labels, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
         parted = written(parted)
-        links = links.union(_blocks(parted, text_of(parted.select("node")), words, num, den))
+        links = links.union(_blocks(docs, first, parted, words, num, den))
         labels = parts(links)
     named = labels.join(first.select("node", F.col("r.id").alias("id")), "node")
     least = named.groupBy("component").agg(F.min("id").alias("least"))
