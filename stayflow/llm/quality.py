@@ -1,9 +1,13 @@
 """Quality classifier without hand labels: heuristic labellers, expectation-maximisation, and a hashed linear scorer.
 
-Every document gets votes of overlapping labellers (good, bad or abstain). Documents are counted by vote pattern, and
-expectation-maximisation under conditional independence (Dawid & Skene 1979) estimates from these counts how often
-each labeller is right and how many documents are good. The posterior of a pattern labels the documents that have it,
-and a logistic scorer over hashed character-class n-grams and word-repetition features learns those labels.
+Every document gets votes of overlapping labellers (good, bad or abstain). A labeller that knows one flaw says bad
+where it sees it and abstains elsewhere, as not to see a flaw is no evidence of quality; those that know traits of
+prose say good where they see them. Marks are counted by one labeller only, since several would agree by construction.
+Documents are counted by vote pattern, and expectation-maximisation under conditional independence (Dawid & Skene
+1979, an abstention being a third answer) estimates from these counts how each labeller answers on good and on bad
+documents and how many are good. Bad documents are of several kinds, as many as there are flaws, since answers are not
+independent over all of them: what repeats a word has words of ordinary length. The posterior of a pattern labels the documents that have it, and a logistic scorer
+over hashed character-class n-grams, hashed words and word-repetition features learns those labels.
 
 The counts cover all documents but number at most 3 ** labellers; only they and a bounded sample of feature rows
 reach the driver. Texts are read where they lie, once for the votes and once for the scores.
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +33,17 @@ _CLASS = np.array(
     [1 if c in (10, 13) else 0 if c == 32 or 9 <= c <= 13 else 2 if 97 <= c <= 122 or 48 <= c <= 57 else 3 if 65 <= c <= 90
      else 4 if chr(c) in ".,;:'\"?()-@+/_" else 6 if c >= 128 else 5 for c in range(256)], dtype=np.int64)
 _CLASSES = 7
-NAMES = ("symbols", "capitals", "bars", "repeats", "variety", "odd_words", "word_length", "sentences")
-#: Hash buckets of the scorer's features.
-FEATURES = 512
+NAMES = ("marks", "capitals", "bars", "repeats", "variety", "word_length", "sentences")
+#: Hash buckets of the scorer's features: character-class n-grams, words, repetition.
+GRAMS, WORDS, STEPS = 256, 128, 32
+FEATURES = GRAMS + WORDS + STEPS
 _NGRAM = 4
+#: Words of a run whose distinct ones are counted.
+RUN = 64
 
 
-def statistics(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(classes of bytes, statistics that the labellers read, numbers of the words) of a whole text; None without words."""
+def statistics(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]] | None:
+    """(classes of bytes, statistics that the labellers read, words) of a whole text; None without words."""
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
     if not words:
@@ -48,9 +56,9 @@ def statistics(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] |
     numbers: dict[bytes, int] = {}
     order = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int64, count=len(words))
     n = len(words)
-    # distinct words in runs of 64, so that long texts are judged as short ones are
-    blocks = n // 64
-    distinct = len(numbers) / n if not blocks else float(np.mean([len(set(b)) for b in order[: blocks * 64].reshape(blocks, 64).tolist()])) / 64
+    # distinct words in runs, so that long texts are judged as short ones are; the last run ends with the text
+    starts = [*range(0, n - RUN, RUN), n - RUN]
+    distinct = len(numbers) / n if n <= RUN else float(np.mean([len(set(order[k : k + RUN].tolist())) for k in starts])) / RUN
     blank = kind < 2
     of_word = np.cumsum(np.diff(blank.astype(np.int8), prepend=1) == -1)
     odd = len(np.unique(of_word[kind == 5]))  # words with a mark that prose does not use
@@ -58,7 +66,7 @@ def statistics(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] |
     return kind, np.array([
         count[5] / visible, count[3] / max(1, letters), data.count(b"|") / n, np.count_nonzero(order[1:] == order[:-1]) / max(1, n - 1),
         distinct, odd / n, visible / n, ends / n, n,
-    ]), order
+    ]), words
 
 
 def votes(s: np.ndarray | None) -> list[int]:
@@ -66,62 +74,86 @@ def votes(s: np.ndarray | None) -> list[int]:
     if s is None:
         return [BAD] * len(NAMES)
     symbols, capitals, bars, repeats, distinct, odd, length, ends, n = s
-    pick = lambda bad, good: BAD if bad else GOOD if good else ABSTAIN
+    say = lambda bad, good=False: BAD if bad else GOOD if good else ABSTAIN
     return [
-        pick(symbols > 0.06, symbols < 0.03),
-        pick(capitals > 0.5, capitals < 0.15),
-        pick(bars > 0.1, bars < 0.02 and n >= 20),
-        pick(repeats > 0.25 and n >= 8, repeats < 0.05 and n >= 20),
-        pick(distinct < 0.35 and n >= 32, distinct > 0.6 and n >= 20),
-        pick(odd > 0.25 and n >= 8, odd < 0.1),
-        pick(length > 15 or length < 2, 3 <= length <= 10),
-        pick(ends / max(1, n) == 0 and n >= 40, 0.02 <= ends <= 0.25),
+        say(symbols > 0.06 or (odd > 0.25 and n >= 8)),
+        say(capitals > 0.5),
+        say(bars > 0.1),
+        say(repeats > 0.25 and n >= 8),
+        say(distinct < 0.35 and n >= 32, distinct > 0.7 and n >= 20 and odd < 0.1),
+        say(length > 15 or length < 2, 3 <= length <= 10 and symbols < 0.03),
+        say(ends == 0 and n >= 40, 0.02 <= ends <= (0.25 if n >= 20 else 0.5) and capitals < 0.15),
     ]
 
 
-def features(kind: np.ndarray, s: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Shares of hashed character-class n-grams, and hashed marks of word repetition, as a vector of FEATURES."""
+def features(kind: np.ndarray, s: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Shares of hashed character-class n-grams and of hashed words, and marks of word repetition, as a vector of FEATURES."""
     code = np.zeros(max(0, len(kind) - _NGRAM + 1), dtype=np.int64)
     for j in range(_NGRAM):
         code = code * _CLASSES + kind[j : j + len(code)]
-    hashed = (code * 2654435761 % (1 << 32)) * (FEATURES // 2) >> 32
+    hashed = (code * 2654435761 % (1 << 32)) * GRAMS >> 32
     out = np.zeros(FEATURES)
     if len(code):
-        out[: FEATURES // 2] = np.sqrt(np.bincount(hashed, minlength=FEATURES // 2) / len(code))
-    for name, (value, steps) in enumerate(((s[3], 8), (s[4], 8), (s[5], 8))):
-        step = int(min(1.0, value) * steps)
-        out[FEATURES // 2 + (name * 64 + step) * 2654435761 % (FEATURES // 2)] += 1.0
+        out[:GRAMS] = np.sqrt(np.bincount(hashed, minlength=GRAMS) / len(code))
+    place = np.fromiter(map(crc32, words), dtype=np.int64, count=len(words)) % WORDS
+    out[GRAMS : GRAMS + WORDS] = np.sqrt(np.bincount(place, minlength=WORDS) / len(words))
+    for name, value in enumerate((s[3], s[4], s[5])):
+        step = int(min(1.0, value) * 8)
+        out[GRAMS + WORDS + (name * 64 + step) * 2654435761 % (1 << 32) * STEPS // (1 << 32)] += 1.0
     return out
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    good: float  # share of good documents
-    right_good: np.ndarray  # per labeller: P(vote good | good, no abstention)
-    right_bad: np.ndarray  # P(vote bad | bad, no abstention)
+    shares: np.ndarray  # of good documents and of each kind of bad ones
+    rates: np.ndarray  # kinds x labellers x (bad, good, abstain): how often each answers so
+
+    @property
+    def good(self) -> float:
+        """The share of good documents."""
+        return float(self.shares[0])
+
+    @property
+    def right_good(self) -> np.ndarray:
+        """Per labeller P(says good | good, no abstention)."""
+        return self.rates[0, :, GOOD] / (self.rates[0, :, GOOD] + self.rates[0, :, BAD])
+
+    @property
+    def right_bad(self) -> np.ndarray:
+        """Per labeller P(says bad | bad, no abstention), over all kinds."""
+        on_bad = np.tensordot(self.shares[1:], self.rates[1:], axes=1)
+        return on_bad[:, BAD] / (on_bad[:, GOOD] + on_bad[:, BAD])
+
+    def shares_of(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(P(kind | pattern) for each row of votes, log P(pattern))."""
+        who = np.arange(patterns.shape[1])
+        logs = np.log(self.shares) + np.log(self.rates[:, who, patterns]).sum(axis=2).T
+        top = logs.max(axis=1, keepdims=True)
+        whole = np.exp(logs - top).sum(axis=1, keepdims=True)
+        return np.exp(logs - top) / whole, (top + np.log(whole))[:, 0]
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """P(good) for each row of votes."""
-        up, down = patterns == GOOD, patterns == BAD
-        lg = np.log(self.good) + up @ np.log(self.right_good) + down @ np.log(1 - self.right_good)
-        lb = np.log(1 - self.good) + down @ np.log(self.right_bad) + up @ np.log(1 - self.right_bad)
-        return 1 / (1 + np.exp(np.clip(lb - lg, -500, 500)))
+        return self.shares_of(patterns)[0][:, 0] if len(patterns) else np.zeros(0)
 
 
-def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-    """Expectation-maximisation over vote patterns and their counts, started from the majority of votes with one bad vote against three good.
+def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> LabelModel:
+    """Expectation-maximisation over vote patterns and their counts.
 
-    Estimates are smoothed by one vote on either side, so no probability is 0 or 1.
+    It starts from good where no vote is bad or where as many are good as bad twice over, and else from the kind of
+    the first bad vote. Shares and rates are smoothed by one observation of each kind and of each answer, so no
+    probability is 0 or 1: the estimates are those of the largest posterior under a flat Dirichlet prior.
     """
-    up, down = (patterns == GOOD).astype(float), (patterns == BAD).astype(float)
-    p = np.where(down.sum(1) > 0, np.clip((up.sum(1) - 3 * down.sum(1)) / patterns.shape[1] / 2 + 0.5, 0.05, 0.95), 0.95)
+    cast = np.stack([patterns == BAD, patterns == GOOD, patterns == ABSTAIN], axis=2).astype(float)
+    is_bad, says_good = patterns == BAD, cast[:, :, GOOD].sum(axis=1)
+    good = ~is_bad.any(axis=1) | (is_bad.sum(axis=1) * 2 <= says_good)
+    p = np.eye(1 + patterns.shape[1])[np.where(good, 0, 1 + is_bad.argmax(axis=1))]
     model = None
     for _ in range(rounds):
-        g, b = p * counts, (1 - p) * counts
-        new = LabelModel(
-            float((g.sum() + 1) / (counts.sum() + 2)), (g @ up + 1) / (g @ (up + down) + 2), (b @ down + 1) / (b @ (up + down) + 2)
-        )
-        q = new.posterior(patterns)
+        weight = p * counts[:, None]
+        own = weight.sum(axis=0)
+        new = LabelModel((own + 1) / (own.sum() + len(own)), (np.einsum("pk,plv->klv", weight, cast) + 1) / (own[:, None, None] + 3))
+        q, _ = new.shares_of(patterns)
         if model is not None and np.abs(q - p).max() < 1e-9:
             return new
         model, p = new, q
@@ -177,7 +209,7 @@ def fit(df: DataFrame, text: str = "text", sample: int = 8192) -> tuple[LabelMod
     voted = written(hashed.mapInArrow(_votes_of, "hash long, votes array<int>"))
     counted = voted.groupBy("votes").count().collect()  # 3 ** labellers rows at most
     patterns = np.array([r["votes"] for r in counted], dtype=np.int64).reshape(-1, len(NAMES))
-    labels = fit_labels(patterns, np.array([r["count"] for r in counted], dtype=float)) if len(patterns) else LabelModel(0.5, np.full(len(NAMES), 0.5), np.full(len(NAMES), 0.5))
+    labels = fit_labels(patterns, np.array([r["count"] for r in counted], dtype=float)) if len(patterns) else LabelModel(np.array([0.5, 0.5]), np.full((2, len(NAMES), 3), 1 / 3))
     # equal texts count once in the sample, whatever their number
     last = voted.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
     chosen = hashed.where(F.col("hash") <= F.lit(last if last is not None else 0)).dropDuplicates(["hash"])
