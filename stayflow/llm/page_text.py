@@ -2,11 +2,14 @@
 
 Wu, Li & Hu, "Web news extraction via path ratios" (CIKM 2013): text that matters comes in long, punctuated runs that
 share a root-to-leaf path of tags. Per path the text length and punctuation are aggregated over the page; each text
-block takes its path's ratios, which are smoothed along the page, fused, and thresholded. The blocks above the
-threshold point out the content element, whose blocks are the text, short ones and headings included. Elements that
-mark themselves as something else (navigation, adverts, forms, comments and so on) take no part.
-
-Pages are independent, so the operator is one pass over the rows where they lie.
+block takes its path's ratios, which are smoothed along the page, fused, and thresholded. What passes the threshold
+points out the element that holds the content, whose blocks are the text, short ones and headings included, along with
+blocks elsewhere that pass. Elements that mark themselves as something else (navigation, adverts, forms, comments and
+so on) have paths of their own, whose scores are cut to a tenth: a mark counts as far as the page has better text
+outside it, so a mark on a wrapper of the whole page changes nothing.
+
+Pages are independent, so the operator is one pass over the rows where they lie. A page takes memory in proportion to
+its length, however deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -19,14 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Elements without content, with raw content, that end a block, and that are never main text.
+#: Elements without content, with raw content, that end a block, and that hold no text of the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noframes svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-SKIP = frozenset("aside button dialog footer form head header menu nav object select canvas audio video label fieldset datalist".split())
+SKIP = frozenset("button head object select canvas audio video datalist".split())
+#: Elements that are marked by their tag, and those that are leaves of a text, which no word marks.
+MARKED = frozenset("aside dialog footer form header menu nav fieldset label".split())
+LEAVES = frozenset("html body article main p h1 h2 h3 h4 h5 h6 li td th dd dt pre tr tbody figcaption".split())
 #: Words of class, id and role that mark an element as something besides the main text.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav aside menu nav navbar navigation breadcrumb"
@@ -43,66 +49,87 @@ CLOSED_BY = {
 SCOPE = frozenset("html body article main section div table td th ul ol dl blockquote nav aside footer header form".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*>|[^>]*(?:>|\Z))", re.S)
-_MARKS = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_HIDDEN = re.compile(r"""\shidden(?=[\s=/>]|\Z)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?。，、！？；：…¿¡]")
 
 
-def _hinted(attributes: str) -> bool:
-    if "=" not in attributes and "hidden" not in attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for m in _MARKS.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").split():
-            parts = [x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)]
-            if parts and parts[0] not in ("with", "has", "no", "js", "is") and (parts[0] in HINTS or parts[-1] in HINTS):
-                return True
-    return False
-
-
-class Block:
-    __slots__ = ("path", "chain", "text", "linked", "tag")
-
-    def __init__(self, path: str, chain: tuple[int, ...], text: str, linked: bool, tag: str):
-        self.path, self.chain, self.text, self.linked, self.tag = path, chain, text, linked, tag
-
-
-def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
-    """The page's text blocks outside skipped elements, in order, and the tag of every open element's number."""
-    out: list[Block] = []
-    tags: dict[int, str] = {0: "#"}
-    stack: list[tuple[str, int, bool]] = [("#", 0, False)]  # tag, number, skipped
+#: What is left of the score of a path for each mark on it.
+MARK_FACTOR = 0.1
+#: The share of the content that the content element holds.
+SHARE = 0.9
+
+
+def _marks(attributes: str) -> tuple[bool, bool]:
+    """(whether the attributes hide the element, whether their class, id or role names something besides the text)."""
+    hidden = named = False
+    if len(attributes) < 4:
+        return hidden, named
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _UNSEEN.search(value):
+            hidden = True
+        elif name in ("class", "id", "role"):
+            for word in value.split():
+                parts = [x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", word)]
+                if parts and parts[0] not in ("with", "has", "no", "js", "is") and (parts[0] in HINTS or parts[-1] in HINTS):
+                    named = True
+    return hidden, named
+
+
+class Page:
+    """Elements by number (parent, tag, path, marks on the way to the root) and text blocks (element, text, whether all of it is links)."""
+
+    def __init__(self):
+        self.parent, self.tag, self.path, self.marks = [0], ["#"], [0], [0]
+        self.paths: dict[tuple[int, str, bool], int] = {}
+        self.blocks: list[tuple[int, str, bool]] = []
+
+    def open(self, parent: int, tag: str, marked: bool) -> int:
+        step = (self.path[parent], tag, marked)
+        self.path.append(self.paths.setdefault(step, len(self.paths) + 1))
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.marks.append(self.marks[parent] + marked)
+        return len(self.tag) - 1
+
+
+def read_page(page: str) -> Page:
+    """The page's block elements and text blocks, in order; what the elements of SKIP and RAW hold is left out."""
+    out = Page()
+    stack: list[tuple[str, int, bool]] = [("#", 0, False)]  # tag, number of the innermost block element, skipped
+    open_tags: dict[str, int] = {}
     held: list[str] = []
-    where: list = [None]
-    plain = False
+    where, plain = 0, False
 
     def flush() -> None:
         nonlocal plain
         if held:
             text = _SPACE.sub(" ", "".join(held)).strip()
             if text:
-                inside = where[0]
-                blocks = [x for x in inside if x[0] in BLOCK or x[0] == "#"]
-                out.append(Block("/".join(x[0] for x in blocks), tuple(x[1] for x in blocks), text, not plain, blocks[-1][0]))
+                out.blocks.append((where, text, not plain))
             held.clear()
         plain = False
 
     def add(text: str) -> None:
-        nonlocal plain
+        nonlocal plain, where
         if stack[-1][2] or not text:
             return
         if not held:
             if text.isspace():
                 return
-            where[0] = list(stack)
+            where = stack[-1][1]
         text = html.unescape(text)
-        plain = plain or not text.isspace() and not any(x[0] == "a" for x in stack)
+        plain = plain or not text.isspace() and not open_tags.get("a")
         held.append(text)
 
-    at = number = 0
-    end = len(page)
+    def close(k: int) -> None:
+        for tag, _, _ in stack[k:]:
+            open_tags[tag] -= 1
+        del stack[k:]
+
+    at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
         add(page[at : m.start()] if m else page[at:])
@@ -113,11 +140,11 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_tags.get(tag) else ():
                 if stack[k][0] == tag:
                     if tag in BLOCK or any(x[0] in BLOCK for x in stack[k:]):
                         flush()
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in SCOPE and tag not in BLOCK:
                     break
@@ -126,7 +153,7 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
             flush()
             for k in range(len(stack) - 1, 0, -1):
                 if tag in CLOSED_BY.get(stack[k][0], ()):
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in SCOPE:
                     break
@@ -135,71 +162,77 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
                 add(" ")
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = page.find(">", close.start()) + 1 if close else end
+            ends = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
+            at = page.find(">", ends.start()) + 1 if ends else end
             at = at or end
             continue
-        number += 1
-        tags[number] = tag
-        skipped = stack[-1][2] or tag in SKIP or tag not in ("html", "body", "article", "main") and _hinted(m[3])
-        if skipped and not stack[-1][2]:
-            flush()
+        skipped, number = stack[-1][2] or tag in SKIP, stack[-1][1]
+        hidden, named = _marks(m[3])
+        marked = hidden or tag in MARKED or named and tag not in LEAVES
+        if tag in BLOCK or marked:
+            if marked or skipped and not stack[-1][2]:
+                flush()
+            number = out.open(number, tag, marked)
         stack.append((tag, number, skipped))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
-    return out, tags
-
-
-def path_scores(blocks: list[Block]) -> np.ndarray:
-    """Each block's fused ratio: its path's text length per node times punctuation per node, both smoothed along the page."""
-    length: dict[str, list[float]] = {}
-    for b in blocks:
-        own = length.setdefault(b.path, [0, 0, 0])
-        own[0] += len(b.text) * (0.2 if b.linked else 1.0)
-        own[1] += len(_PUNCTUATION.findall(b.text))
-        own[2] += 1
-    ratio = np.array([[length[b.path][0] / length[b.path][2], length[b.path][1] / length[b.path][2]] for b in blocks])
+    return out
+
+
+def path_scores(page: Page) -> tuple[np.ndarray, np.ndarray]:
+    """Each block's fused ratio, with and without its neighbours: its path's text length per node times punctuation per node, smoothed along the page, less its marks."""
+    path = np.array([page.path[e] for e, _, _ in page.blocks])
+    own = np.array([(len(t) * (0.2 if linked else 1.0), len(_PUNCTUATION.findall(t)), 1.0) for _, t, linked in page.blocks])
+    total = np.stack([np.bincount(path, own[:, j]) for j in range(3)], axis=1)[path]
+    ratio = total[:, :2] / total[:, 2:]
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     kernel /= kernel.sum()
     padded = np.pad(ratio, ((2, 2), (0, 0)), mode="edge")
     smooth = sum(k * padded[j : j + len(ratio)] for j, k in enumerate(kernel))
-    return np.sqrt(smooth[:, 0] * (smooth[:, 1] + 0.05))
+    marks = np.array([page.marks[e] for e, _, _ in page.blocks])
+    left = MARK_FACTOR ** (marks - marks.min()).astype(float)
+    return np.sqrt(smooth[:, 0] * (smooth[:, 1] + 0.05)) * left, np.sqrt(ratio[:, 0] * (ratio[:, 1] + 0.05)) * left
 
 
-def main_text(page: str | None) -> str:
+def main_text(text: str | None) -> str:
     """The page's main text, a line per block; empty if there is none."""
-    blocks, tags = blocks_of(page or "")
-    if not blocks:
+    page = read_page(text or "")
+    if not page.blocks:
         return ""
-    score = path_scores(blocks)
-    content = score >= min(score.std(), score.max())
-    size = np.array([len(b.text) for b in blocks], dtype=float)
-    # the deepest element with nine tenths of the content, widened to the article that holds it; an article with half of it does
-    held: dict[int, float] = {}
-    for b, c, n in zip(blocks, content, size, strict=True):
-        if c:
-            for e in b.chain:
-                held[e] = held.get(e, 0.0) + n
-    total = size[content].sum()
-    articles = [e for e in held if tags[e] in ("article", "main") and held[e] >= 0.5 * total]
-    if articles:
-        root = min(articles)
-    else:
-        root = max(e for e in held if held[e] >= 0.9 * total)
-        if tags[root] not in ("#", "html", "body", "div", "section"):
-            chain = next(b.chain for b in blocks if root in b.chain)
-            root = chain[chain.index(root) - 1]
-    taken = [b for b in blocks if root in b.chain]
-    menu = [b.linked and b.tag == "li" for b in taken]
-    keep, k = [], 0
-    while k < len(taken):
-        run = k
-        while run < len(taken) and menu[run]:
-            run += 1
-        if run - k < 3:  # three items in a row that are links only are a menu
-            run = max(run, k + 1)
-            keep += taken[k:run]
-        k = run
-    return "\n".join(b.text for b in keep)
+    score, own = path_scores(page)
+    level = min(score.std(), score.max())
+    content = score >= level
+    element = np.array([e for e, _, _ in page.blocks])
+    parent = np.array(page.parent)
+    # the deepest element that holds SHARE of the content; children have greater numbers than their parents
+    held = np.bincount(element[content], [len(t) for (_, t, _), c in zip(page.blocks, content, strict=True) if c], len(parent))
+    for e in range(len(parent) - 1, 0, -1):
+        held[parent[e]] += held[e]
+    root = int(np.flatnonzero(held >= SHARE * held[0])[-1]) if held[0] else 0
+    while root and page.tag[root] in LEAVES - {"html", "body", "article", "main"}:
+        root = page.parent[root]
+    inside = np.zeros(len(parent), dtype=bool)
+    inside[root] = True
+    marks = np.array(page.marks)
+    for e in range(root + 1, len(parent)):  # the text's own header is no mark
+        inside[e] = inside[parent[e]]
+        if inside[e] and page.tag[e] == "header" and page.tag[root] not in ("#", "html", "body"):
+            marks[e] = marks[parent[e]]
+        elif inside[e]:
+            marks[e] = marks[parent[e]] + page.marks[e] - page.marks[parent[e]]
+    taken = inside[element] & (content | (marks[element] <= marks[root])) | content & (own >= 0.5 * own.max())
+    # a heading above the content element, if that has none
+    heads = [k for k, e in enumerate(element) if page.tag[e] == "h1" and page.marks[e] <= page.marks[root]]
+    first = int(taken.argmax())
+    if heads and not any(taken[k] for k in heads) and heads[0] < first:
+        taken[max(k for k in heads if k < first)] = True
+    if page.tag[root] in ("#", "html", "body"):  # without an element of its own for the text, three items in a row that are links only are a menu
+        menu = np.array([linked and page.tag[e] == "li" for e, _, linked in page.blocks])
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], menu.astype(int), [0]])))
+        for start, stop in zip(edges[::2], edges[1::2], strict=True):
+            if stop - start >= 3:
+                taken[start:stop] = False
+    return "\n".join(t for (_, t, _), keep in zip(page.blocks, taken, strict=True) if keep)
 
 
 def extract_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
