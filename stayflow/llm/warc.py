@@ -29,6 +29,8 @@ from .common import shared_dir, written
 #: Fixed value: the skippable frame that carries a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
+#: Pages carry no time of their own.
+DATE = "1970-01-01T00:00:00Z"
 #: Records that a task holds back to build an archive's dictionary from, and the size at which it starts another archive.
 SAMPLE_BYTES = 2 << 20
 ARCHIVE_BYTES = 64 << 20
@@ -41,22 +43,41 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()  # noqa: S324
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, own_digest: str) -> bytes:
-    """A WARC/1.1 record: a response with its payload, or a revisit of page ``refers_to`` without one."""
+def _uri(url: str) -> str:
+    """The url with what no URI may hold in percent form; what is in that form already stays."""
+    return quote(url, safe="%/:?#[]@!$&'()*+,;=~")
+
+
+def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
+    head = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields if v is not None), f"WARC-Block-Digest: sha1:{digest(block)}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def info(name: str) -> bytes:
+    """The warcinfo record that starts the archive ``name``."""
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id(name, "info")), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+    return _record(fields, b"format: WARC File Format 1.1\r\nsoftware: stayflow\r\n")
+
+
+def _record_id(archive: str, place: int | str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}/{place}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, own_digest: str, refers_url: str | None = None, record_id: str | None = None) -> bytes:
+    """A WARC/1.1 record: a response with its payload, or a revisit of page ``refers_to`` (at ``refers_url``) without one.
+
+    The page's own id and url, from which it is read back, are fields of our own beside the standard ones.
+    """
+    revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http + (b"" if refers_to is not None else payload)
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}"]
-    if page_id is not None:
-        head.append(f"WARC-Record-ID: <urn:page:{page_id}>")
-    if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe='')}")
-    head.append("WARC-Date: 1970-01-01T00:00:00Z")
-    head.append(f"WARC-Payload-Digest: sha1:{own_digest}")
-    if refers_to is not None:
-        head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
-        head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    fields = [
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id or _record_id("page", str(page_id))),
+        ("WARC-Target-URI", _uri(url) if url else f"urn:page:{'none' if page_id is None else page_id}"), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{own_digest}"),
+        ("WARC-Refers-To-Target-URI", (_uri(refers_url) if refers_url else f"urn:page:{refers_to}") if revisit else None), ("WARC-Refers-To-Date", DATE if revisit else None),
+        ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None),
+        ("X-Page-ID", page_id), ("X-Page-URL", None if url is None else quote(url, safe="", errors="surrogatepass")), ("X-Page-Refers-To", refers_to), ("Content-Type", "application/http; msgtype=response"),
+    ]
+    return _record(fields, http + (b"" if revisit else payload))
 
 
 def parse(raw: bytes) -> dict:
@@ -66,10 +87,10 @@ def parse(raw: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])["Content-Length"])
-    page = lambda name: int(fields[name][10:-1]) if name in fields else None
+    page = lambda name: int(fields[name]) if name in fields else None
     return {
-        "page_id": page("WARC-Record-ID"), "url": unquote(fields["WARC-Target-URI"]) if "WARC-Target-URI" in fields else None,
-        "record_type": fields["WARC-Type"], "payload_digest": fields["WARC-Payload-Digest"][5:], "refers_to": page("WARC-Refers-To"),
+        "page_id": page("X-Page-ID"), "url": unquote(fields["X-Page-URL"], errors="surrogatepass") if "X-Page-URL" in fields else None,
+        "record_type": fields["WARC-Type"], "payload_digest": fields["WARC-Payload-Digest"][5:], "refers_to": page("X-Page-Refers-To"),
         "payload_bytes": size, "payload": payload if fields["WARC-Type"] == "response" else None,
     }
 
@@ -84,8 +105,8 @@ def _dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
         return None  # records without anything in common
 
 
-def archive(records: Iterator[bytes], out, limit: int) -> tuple[int, int]:
-    """Writes records to ``out`` until it holds ``limit`` bytes and all records that the dictionary was built from: (bytes, records)."""
+def archive(records: Iterator[bytes], out, limit: int, name: str = "archive") -> tuple[int, int]:
+    """Writes a warcinfo record and records to ``out`` until it holds ``limit`` bytes and all records that the dictionary was built from: (bytes, records without the first)."""
     held, size = [], 0
     for r in records:
         held.append(r)
@@ -98,6 +119,9 @@ def archive(records: Iterator[bytes], out, limit: int) -> tuple[int, int]:
     done, n = 8 + len(content), 0
     packer = zstandard.ZstdCompressor(level=3, dict_data=own, write_checksum=True) if own else zstandard.ZstdCompressor(level=3, write_checksum=True)
 
+    first = packer.compress(info(name))
+    out.write(first)
+    done += len(first)
     # a chain, unlike a generator, can be dropped without closing ``records``, from which the next archive goes on
     for r in chain(held, records):
         frame = packer.compress(r)
@@ -135,7 +159,7 @@ def write_warc(df: DataFrame, path: str, least: int = 0, key: str = "page_id", u
 
     The payload is the html in UTF-8 (null: empty). Of records with equal payloads of ``least`` bytes or more the one
     with the smallest key is the response (a null key counts as largest; of rows with that key, the one whose url
-    hashes lowest; rows that repeat even that are all responses), and the others are revisits of it. Smaller ones are
+    hashes lowest; of rows that repeat even that, one), and the others are revisits of it. Smaller ones are
     all responses. Tasks write with pyarrow's file systems, so ``path`` may be a URI of any of them that all executors
     reach. An empty table writes no archive; other columns are not read.
     """
@@ -143,29 +167,41 @@ def write_warc(df: DataFrame, path: str, least: int = 0, key: str = "page_id", u
     pages = df.select(
         df[key].cast("long").alias("page_id"), df[url].cast("string").alias("url"), F.coalesce(df[html], F.lit("")).alias("html")
     ).withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("bytes", F.octet_length("html").cast("long")).withColumn("url_key", F.xxhash64("url"))
-    narrow = written(pages.select("page_id", "url_key", "digest", "bytes"))
-    own = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("p"), F.col("url_key").alias("u"))
-    firsts = narrow.where(F.col("bytes") >= least).groupBy("digest").agg(F.min(own).alias("f"), F.count("*").alias("n")).where("n > 1 AND f.p IS NOT NULL")
-    revisits = narrow.where(F.col("bytes") >= least).withColumn("own", own).join(firsts, "digest").where("NOT (own <=> f)")
-    roles = written(revisits.select("page_id", "url_key", "digest", F.col("f.p").alias("refers_to")).distinct())
-    same = pages["page_id"].eqNullSafe(roles["page_id"]) & (pages["url_key"] == roles["url_key"]) & (pages["digest"] == roles["digest"])
-    placed = pages.join(roles, same, "left").select(pages["page_id"], pages["url"], pages["html"], pages["digest"], roles["refers_to"])
+    same = ["page_id", "url_key", "digest"]
+    narrow = written(pages.select(*same, "url", "bytes"))
+    own = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("p"), F.col("url_key").alias("u"), F.col("url"))
+    firsts = narrow.where(F.col("bytes") >= least).groupBy("digest").agg(F.min(own).alias("f"), F.count("*").alias("n")).where("n > 1 AND f.p IS NOT NULL").drop("n")
+    # rows that repeat id, url and payload differ in nothing: the first of them may be the response, further copies are revisits
+    placed_rows = narrow.where(F.col("bytes") >= least).groupBy(*same).agg(F.count("*").alias("copies"), F.first("url").alias("url")).withColumn("own", own).join(firsts, "digest")
+    roles = written(placed_rows.select(*same, (F.col("own").eqNullSafe(F.col("f"))).alias("leads"), "copies", F.col("f.p").alias("refers_to"), F.col("f.url").alias("refers_url")).where("NOT leads OR copies > 1"))
+    pages = pages.alias("p")
+    meet = F.expr("p.page_id <=> r.page_id AND p.url_key = r.url_key AND p.digest = r.digest")
+    once = pages.join(roles.where("NOT leads OR copies = 1").alias("r"), meet, "left").select("p.page_id", "p.url", "p.html", "p.digest", "r.refers_to", "r.refers_url")
+    again = roles.where("leads AND copies > 1")
+    if again.isEmpty():
+        placed = once
+    else:
+        placed = once.alias("p").join(again.alias("r"), F.expr("p.page_id <=> r.page_id AND xxhash64(p.url) = r.url_key AND p.digest = r.digest"), "left_anti")
+        one = pages.join(again.alias("r"), meet).select("p.page_id", "p.url", "p.html", "p.digest", "p.url_key", "r.copies", "r.refers_to", "r.refers_url")
+        one = one.dropDuplicates(["page_id", "url_key", "digest"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        lead = F.col("copy") == 1
+        placed = placed.unionByName(one.select("page_id", "url", "html", "digest", F.when(~lead, F.col("refers_to")).alias("refers_to"), F.when(~lead, F.col("refers_url")).alias("refers_url")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = pyarrow.fs.FileSystem.from_uri(path)
 
         def records() -> Iterator[bytes]:
             for batch in batches:
-                for row in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
-                    page_id, link, page, sha, refers_to = (x.as_py() for x in row)
-                    yield record(page_id, link, page.encode("utf-8", "surrogatepass"), refers_to, base64.b32encode(sha).decode())
+                for row in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "refers_to", "refers_url")), strict=True):
+                    page_id, link, page, sha, refers_to, refers_url = (x.as_py() for x in row)
+                    yield record(page_id, link, page.encode("utf-8", "surrogatepass"), refers_to, base64.b32encode(sha).decode(), refers_url, f"<urn:uuid:{uuid.uuid4()}>")
 
         rows, source = [], records()
         first = next(source, None)
         while first is not None:
             name = uuid.uuid4().hex
             with files.open_output_stream(f"{folder}/.{name}.tmp") as out:
-                size, count = archive(chain([first], source), out, ARCHIVE_BYTES)
+                size, count = archive(chain([first], source), out, ARCHIVE_BYTES, f"{name}.warc.zst")
             files.move(f"{folder}/.{name}.tmp", f"{folder}/{name}.warc.zst")
             rows.append((f"{name}.warc.zst", size, count))
             first = next(source, None)
@@ -194,6 +230,8 @@ def read_warc(spark: SparkSession, path: str, listing: DataFrame, payloads: bool
                     data = f.read()
                 rows: list[tuple] = []
                 for raw in read_archive(data):
+                    if raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo"):
+                        continue
                     r = parse(raw)
                     if r["payload"] is not None and (digest(r["payload"]) != r["payload_digest"] or len(r["payload"]) != r["payload_bytes"]):
                         raise ValueError(f"{file}: page {r['page_id']} does not match its digest")
