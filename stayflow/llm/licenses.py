@@ -62,6 +62,9 @@ def to_postfix(expression: str) -> list[str] | None:
     out: list[str] = []
     stack: list[str] = []
     operand = True  # what must come next
+    simple: str | None = None  # the license just read
+    if _TOKEN.sub("", expression).strip():
+        return None  # marks that no expression holds
     for token in _TOKEN.findall(expression):
         low = token.lower()
         if token == "(":
@@ -76,16 +79,20 @@ def to_postfix(expression: str) -> list[str] | None:
             if not stack:
                 return None
             stack.pop()
+            simple = None
         elif low in _RANK:
-            if operand:
+            if operand or low == "with" and simple is None:
                 return None
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
                 out.append(stack.pop())
             stack.append(low)
             operand = True
+            simple = None if low == "with" else simple
         else:
             if not operand:
                 return None
+            # an exception follows a license, neither a bracket nor another exception
+            simple = None if stack and stack[-1] == "with" else low
             out.append(low)
             operand = False
     if operand:
@@ -173,9 +180,12 @@ def scan_text(text: str | None, automaton, tags) -> tuple:
         whole = raw.decode("utf-8", "surrogatepass")
         if len(low) == len(whole):
             expressions = [e for end, _ in tags.iter(low) if (e := tag_expression(whole, end + 1))]
-    allowed = [a for a in map(allows, expressions) if a is not None]
+    allowed = [bool(a) for a in map(allows, expressions)]  # a tag that does not parse allows nothing
     for e in expressions:
-        labels.update(f"spdx:{x}" for x in to_postfix(e) or [] if x not in _RANK)
+        postfix = to_postfix(e) or []
+        # of an exception and its license, which stand before their operator, only the license is one
+        exceptions = {i - 1 for i, x in enumerate(postfix) if x == "with"}
+        labels.update(f"spdx:{x}" for i, x in enumerate(postfix) if x not in _RANK and i not in exceptions)
     score = 1.0 if allowed else (0.9 if labels and granted else 0.5 if labels else 0.0)
     place = lambda at: None if at is None else line.count(" ", 0, at)
     return (
