@@ -20,7 +20,7 @@ from .common import written
 from .itq import Itq, coded, fit_itq, sample_vectors, unpack, valid_vectors
 
 SUBSTRINGS = 8
-CANDIDATE_BLOCK, QUERY_BLOCK = 32768, 1024
+CANDIDATE_BLOCK, QUERY_BLOCK = 32768, 8192
 _BYTE_ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 #: Hamming distance of any two bytes.
 _BYTE_DISTANCE = _BYTE_ONES[np.arange(256)[:, None] ^ np.arange(256)[None, :]]
