@@ -1,9 +1,10 @@
 """Near-duplicate vectors: iterative quantisation codes, multi-index Hamming tables, rerank with the original vectors.
 
 Rows of one code form a cell. The radius within which cells are compared is measured on the fitted rotation: it holds
-99 of 100 pairs that lie exactly at the threshold. Cells meet in eight tables of 8-bit substrings, whose own radii add
-up to that radius by the pigeonhole principle (at 15 bits, one bit in each): a code is at home under its substring and
-visits the substrings within the table's radius. A pair of cells is taken in the first table where it meets only.
+99 of 100 pairs that lie exactly at the threshold. Cells meet in tables of substrings, whose own radii add up to that
+radius by the pigeonhole principle (at 15 bits and eight tables, one bit in each): a code is at home under its substring
+and visits the substrings within the table's radius. The more codes, the wider the substrings, so that buckets stay
+small as the tables grow. A pair of cells is taken in the first table where it meets only.
 Members of cells are packed in chunks, and pairs of chunks are compared as matrices: what leaves a comparison is a
 count per vector and a star per group linked there, never the pairs of a group. A hot cell is many chunks, whose
 comparisons are dealt out over all tasks.
@@ -12,6 +13,8 @@ comparisons are dealt out over all tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import connected_components, star_roots, written
 from .itq import Itq, coded, fit_itq, sample_vectors, unit, unpack, valid_vectors
 
-TABLES, SUB_BITS = 8, 8
+BITS = 64
+#: Numbers of tables to choose from, and what a visit costs in comparisons of codes.
+TABLES, VISIT = (8, 7, 6, 5, 4), 400
 #: The radius where none is measured.
 RADIUS = 15
 CHUNK = 256
@@ -50,17 +55,33 @@ def link_radius(model: Itq, vectors: np.ndarray, threshold: float, recall: float
     return radius
 
 
-def _table_radii(radius: int) -> list[int]:
-    """Each table's radius; codes within ``radius`` bits are within it in some table. A table of radius -1 is not needed."""
-    return [(radius + 1) // TABLES + (t < (radius + 1) % TABLES) - 1 for t in range(TABLES)]
+def _tables(radius: int, tables: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, own radius) of each table; codes within ``radius`` bits are within the own radius in some table. One of radius -1 is not needed."""
+    edges = [BITS * t // tables for t in range(tables + 1)]
+    return [(edges[t], edges[t + 1] - edges[t], (radius + 1) // tables + (t < (radius + 1) % tables) - 1) for t in range(tables)]
 
 
-def _cell_pairs(cells: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _near_values(bits: int, radius: int) -> list[int]:
+    """All differences of ``radius`` bits or fewer in a substring."""
+    return [sum(1 << b for b in chosen) for k in range(min(radius, bits) + 1) for chosen in combinations(range(bits), k)]
+
+
+def choose_tables(codes: int, radius: int) -> int:
+    """The number of tables at which visits and comparisons cost least for so many codes."""
+
+    def cost(tables: int) -> float:
+        own = [(bits, sum(comb(bits, k) for k in range(r + 1))) for _, bits, r in _tables(radius, tables) if r >= 0]
+        return sum(near * (VISIT + codes / 2**bits) for bits, near in own)
+
+    return min(TABLES, key=cost)
+
+
+def _cell_pairs(cells: DataFrame, radius: int = RADIUS, tables: int = 8) -> DataFrame:
     """Pairs (a, b) of different codes, a < b, within ``radius`` bits; each pair once."""
-    radii = _table_radii(radius)
-    used = [t for t in range(TABLES) if radii[t] >= 0]
-    sub = lambda t: f"int(shiftrightunsigned(code, {t * SUB_BITS}) & {(1 << SUB_BITS) - 1})"
-    masks = lambda t: ", ".join(str(m) for m in range(1 << SUB_BITS) if m.bit_count() <= radii[t])
+    every = _tables(radius, tables)
+    used = [t for t in range(tables) if every[t][2] >= 0]
+    sub = lambda t: f"int(shiftrightunsigned(code, {every[t][0]}) & {(1 << every[t][1]) - 1})"
+    masks = lambda t: ", ".join(map(str, _near_values(every[t][1], every[t][2])))
     homes = cells.selectExpr("code", "inline(array(" + ", ".join(f"struct({t} AS t, {sub(t)} AS value)" for t in used) + "))")
     visits = cells.selectExpr("code", "inline(array(" + ", ".join(f"struct({t} AS t, transform(array({masks(t)}), m -> {sub(t)} ^ m) AS near)" for t in used) + "))")
     visits = visits.select("code", "t", F.explode("near").alias("value"))
@@ -80,9 +101,9 @@ def _cell_pairs(cells: DataFrame, radius: int = RADIUS) -> DataFrame:
                 at, to = np.nonzero(np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= radius)
                 a, b = a[at], b[to]
                 differ, take = a.view(np.uint64) ^ b.view(np.uint64), a < b
-                for t in range(table):
-                    if radii[t] >= 0:
-                        take &= np.bitwise_count((differ >> np.uint64(t * SUB_BITS)) & np.uint64((1 << SUB_BITS) - 1)) > radii[t]
+                for first, bits, own_radius in every[:table]:
+                    if own_radius >= 0:
+                        take &= np.bitwise_count((differ >> np.uint64(first)) & np.uint64((1 << bits) - 1)) > own_radius
                 if take.any():
                     yield pa.RecordBatch.from_arrays([pa.array(a[take]), pa.array(b[take])], names=["a", "b"])
 
@@ -138,7 +159,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", vec
         .groupBy("code", "chunk").agg(F.collect_list(F.struct("id", "packed")).alias("m"))
         .select("code", "chunk", F.col("m.id").alias("ids"), F.col("m.packed").alias("packed"))
     )
-    between = _cell_pairs(cells, radius)
+    between = _cell_pairs(cells, radius, choose_tables(cells.count(), radius))
     within = cells.where("n > 1").select(F.col("code").alias("a"), F.col("code").alias("b"))
     one, two = (chunks.select(F.col("code").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("chunk", "ids", "packed"))) for x in "ab")
     pairs = between.union(within).join(one, "a").join(two, "b").where("a < b OR chunk_a <= chunk_b")
