@@ -138,16 +138,26 @@ class LabelModel:
 
 
 def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> LabelModel:
-    """Expectation-maximisation over vote patterns and their counts.
+    """Expectation-maximisation over vote patterns and their counts, with one kind of bad documents or one per labeller.
 
-    It starts from good where no vote is bad or where as many are good as bad twice over, and else from the kind of
-    the first bad vote. Shares and rates are smoothed by one observation of each kind and of each answer, so no
+    Several kinds are taken where they raise the log likelihood by more than their parameters number (Akaike's criterion).
+    """
+    one, many = (_fit_kinds(patterns, counts, kinds, rounds) for kinds in (1, patterns.shape[1]))
+    gain = counts @ (many.shares_of(patterns)[1] - one.shares_of(patterns)[1])
+    return many if gain > (len(many.shares) - len(one.shares)) * (1 + 2 * patterns.shape[1]) else one
+
+
+def _fit_kinds(patterns: np.ndarray, counts: np.ndarray, kinds: int, rounds: int) -> LabelModel:
+    """The model with so many kinds of bad documents.
+
+    It starts from good where no vote is bad or where twice as many votes are good, and else from the kind of the
+    first bad vote. Shares and rates are smoothed by one observation of each kind and of each answer, so no
     probability is 0 or 1: the estimates are those of the largest posterior under a flat Dirichlet prior.
     """
     cast = np.stack([patterns == BAD, patterns == GOOD, patterns == ABSTAIN], axis=2).astype(float)
     is_bad, says_good = patterns == BAD, cast[:, :, GOOD].sum(axis=1)
     good = ~is_bad.any(axis=1) | (is_bad.sum(axis=1) * 2 <= says_good)
-    p = np.eye(1 + patterns.shape[1])[np.where(good, 0, 1 + is_bad.argmax(axis=1))]
+    p = np.eye(1 + kinds)[np.where(good, 0, 1 + is_bad.argmax(axis=1) % kinds)]
     model = None
     for _ in range(rounds):
         weight = p * counts[:, None]
