@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or one of this machine where no folder is set, as in tests."""
+    """The shared folder of the cluster. Where none is set, one of this machine serves a local session; a cluster needs the setting."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="stayflow-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -86,7 +86,8 @@ def test_cell_pairs_at_other_radii(spark):
         codes |= {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 18))) for _ in range(6)}
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
     df = spark.createDataFrame([(c,) for c in signed], "code long")
-    for radius in (0, 5, 16):
-        got = [(r.a, r.b) for r in vector_dedup._cell_pairs(df, radius).collect()]
+    assert vector_dedup.choose_tables(10**9, 15) < vector_dedup.choose_tables(1000, 15)
+    for radius, tables in ((0, 8), (5, 8), (16, 5), (15, 7)):
+        got = [(r.a, r.b) for r in vector_dedup._cell_pairs(df, radius, tables).collect()]
         want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= radius}
         assert len(got) == len(set(got)) and set(got) == want
