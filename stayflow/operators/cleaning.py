@@ -38,7 +38,7 @@ def truthy(c: Column) -> Column:
 
 def normalise_token(c: Column, levels: Sequence[str] | None = None, synonyms: Mapping[str, str] | None = None) -> Column:
     """A category in lower case with runs of blanks, dots, dashes and slashes as one underscore; null tokens and unknown levels are null."""
-    t = F.regexp_replace(F.lower(F.regexp_replace(c.cast("string"), "[\\u00A0\\u200B]", "")), r"^\s+|\s+$", "")
+    t = F.regexp_replace(F.lower(F.translate(F.translate(c.cast("string"), "\u00a0", " "), "\u200b", "")), r"^\s+|\s+$", "")
     t = F.regexp_replace(F.regexp_replace(t, r"[\s\-./]+", "_"), "_+", "_")
     t = F.regexp_replace(t, "^_|_$", "")
     if synonyms:
@@ -49,9 +49,9 @@ def normalise_token(c: Column, levels: Sequence[str] | None = None, synonyms: Ma
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: str) -> tuple[DataFrame, DataFrame]:
     """(rows that come first by ``order`` for their key, counts of exact and near duplicates dropped); nulls are equal keys."""
-    payload = F.hash(*[c for c in df.columns if c not in (order, *key)])
+    payload = F.struct(*[c for c in df.columns if c not in (order, *key)] or [F.lit(1)])  # as values, null-safe: a hash skips nulls
     w = Window.partitionBy(*key).orderBy(order)
-    marked = df.withColumn("__rn", F.row_number().over(w)).withColumn("__same", payload == F.first(payload).over(w))
+    marked = df.withColumn("__rn", F.row_number().over(w)).withColumn("__same", payload.eqNullSafe(F.first(payload).over(w)))
     counts = marked.agg(F.count_if((F.col("__rn") > 1) & F.col("__same")).alias("exact"), F.count_if((F.col("__rn") > 1) & ~F.col("__same")).alias("near"))
     return marked.where("__rn = 1").drop("__rn", "__same"), counts
 

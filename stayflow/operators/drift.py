@@ -101,7 +101,7 @@ def drift_report(reference: DataFrame, current: DataFrame, numbers: Sequence[str
     cat = cat.select("feature", F.lit("category").alias("kind"), "psi", F.lit(None).cast("double").alias("ks"), F.lit(None).cast("double").alias("js"), "chi2", "cramers_v")
     out = num.unionByName(cat).join(missing_rates(reference, current, [*numbers, *categories]), "feature")
     severity = F.when(F.col("psi") >= PSI_ALERT, "alert").when((F.col("psi") >= PSI_WARN) | (F.col("missing_delta") > MISSING_WARN), "warn").otherwise("ok")
-    return out.withColumn("severity", severity)
+    return out.withColumn("severity", severity).orderBy(F.desc("psi"), "feature")
 
 
 def performance_decay(df: DataFrame, period: str, score: str, outcome: str, binary: bool = True, least: int = 30, threshold: float = 0.1) -> DataFrame:
@@ -111,8 +111,11 @@ def performance_decay(df: DataFrame, period: str, score: str, outcome: str, bina
     ``least`` rows and a skill. first_decay marks the first period that drops more than ``threshold``.
     """
     agg = df.groupBy(period).agg(
-        F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(outcome).alias("mean_outcome"), F.corr(score, outcome).alias("corr"), F.regr_slope(F.col(outcome).cast("double"), F.col(score).cast("double")).alias("slope"),
+        F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(outcome).alias("mean_outcome"), F.corr(score, outcome).alias("corr"),
+        *([] if binary else [F.regr_slope(F.col(outcome).cast("double"), F.col(score).cast("double")).alias("slope")]),
     )
+    if binary:
+        agg = agg.join(calibration_slope(df, score, outcome, period), period)
     agg = agg.join(auc(df, score, outcome, [period]).select(period, "auc"), period) if binary else agg.withColumn("auc", F.lit(None).cast("double"))
     skill = F.when(F.col("n") >= least, F.col("auc") - 0.5 if binary else F.abs("corr"))
     w = Window.orderBy(period)  # a row per period
@@ -123,6 +126,57 @@ def performance_decay(df: DataFrame, period: str, score: str, outcome: str, bina
     return rows.withColumn("first_decay", F.coalesce((down == 1) & (F.sum(down).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1), F.lit(False)))
 
 
+def calibration_slope(df: DataFrame, score: str, outcome: str, period: str, rounds: int = 8) -> DataFrame:
+    """(period, slope): the slope of a logistic regression of a binary outcome on the score, scaled by the score's mean and deviation.
+
+    A value of 1 per deviation of the score means odds that rise by the factor e. A round of Newton's method is one
+    aggregate for all periods; null where a period has one outcome only or no spread.
+    """
+    scale = df.groupBy(period).agg(F.avg(score).alias("__m"), F.stddev_pop(score).alias("__s"), F.avg(F.col(outcome).cast("double")).alias("__o"))
+    scale = scale.where("__s > 0 AND __o > 0 AND __o < 1")
+    rows = df.select(period, F.col(score).cast("double").alias("__x"), F.col(outcome).cast("double").alias("__y"))
+    fit = {r[period]: (0.0, 0.0) for r in scale.select(period).collect()}  # a row per period
+    for _ in range(rounds):
+        if not fit:
+            break
+        now = df.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in fit.items()], f"{period} {dict(df.dtypes)[period]}, __a double, __b double")
+        z = (F.col("__x") - F.col("__m")) / F.col("__s")
+        p = 1 / (1 + F.exp(-(F.col("__a") + F.col("__b") * F.col("z"))))
+        v, g = F.col("p") * (1 - F.col("p")), F.col("__y") - F.col("p")
+        sums = rows.join(F.broadcast(scale.join(now, period)), period).withColumn("z", z).withColumn("p", p).groupBy(period).agg(
+            F.sum(g).alias("g0"), F.sum(g * F.col("z")).alias("g1"), F.sum(v).alias("h0"), F.sum(v * F.col("z")).alias("h1"), F.sum(v * F.col("z") * F.col("z")).alias("h2"))
+        for r in sums.collect():
+            det = r.h0 * r.h2 - r.h1 * r.h1
+            a, b = fit[r[period]]
+            fit[r[period]] = (a + (r.h2 * r.g0 - r.h1 * r.g1) / det, b + (r.h0 * r.g1 - r.h1 * r.g0) / det) if det > 1e-12 else (a, b)
+    found = df.sparkSession.createDataFrame([(k, b) for k, (_, b) in fit.items()], f"{period} {dict(df.dtypes)[period]}, slope double")
+    return df.select(period).distinct().join(F.broadcast(found), period, "left")
+
+
+def prediction_drift(reference: DataFrame, current: DataFrame, score: str) -> DataFrame:
+    """(psi, ks, js, mean_ref, mean_cur, sd_ratio, p90_shift, severity) of one prediction between two tables."""
+    one = psi(reference, current, [score]).join(ks_statistic(reference, current, [score]), "feature").join(js_divergence(reference, current, [score]), "feature")
+    side = lambda df, s: df.agg(F.avg(score).alias(f"mean_{s}"), F.stddev_samp(score).alias(f"sd_{s}"), F.percentile(score, 0.9).alias(f"p90_{s}"))
+    both = one.crossJoin(side(reference, "ref")).crossJoin(side(current, "cur"))
+    severity = F.when(F.col("psi") >= PSI_ALERT, "alert").when(F.col("psi") >= PSI_WARN, "warn").otherwise("ok")
+    return both.select("psi", "ks", "js", "mean_ref", "mean_cur", (F.col("sd_cur") / F.nullif(F.col("sd_ref"), F.lit(0.0))).alias("sd_ratio"), (F.col("p90_cur") - F.col("p90_ref")).alias("p90_shift"), severity.alias("severity"))
+
+
+def p_values(ks: DataFrame, chi2: DataFrame) -> DataFrame:
+    """(feature, test, statistic, p_value) of KS distances (feature, n_ref, n_cur, ks) and chi-square sums (feature, dof, chi2): a row per feature."""
+    from ..functions.numerics import chi2_sf, kolmogorov_sf
+
+    rows = [(r.feature, "ks", float(r.ks), kolmogorov_sf(r.ks, r.n_ref, r.n_cur)) for r in ks.collect()]
+    rows += [(r.feature, "chi2", float(r.chi2), chi2_sf(r.chi2, r.dof) if r.dof > 0 else 1.0) for r in chi2.collect()]
+    return ks.sparkSession.createDataFrame(rows, "feature string, test string, statistic double, p_value double")
+
+
+def alert_summary(found: DataFrame) -> DataFrame:
+    """(severity, n, blocks): alerts per severity, critical first; critical ones block a deployment."""
+    counts = found.groupBy("severity").agg(F.count("*").alias("n"))
+    return counts.withColumn("blocks", F.col("severity") == "critical").orderBy(F.expr("array_position(array('critical', 'warn', 'info'), severity)"))
+
+
 def effect_stability(df: DataFrame, ref: str, cur: str, key: str, bins: int = 10) -> tuple[DataFrame, DataFrame]:
     """((n, spearman, pearson, sign_flips, top_retention), (ref_bin, cur_bin, n)) of two predictions for the same units.
 

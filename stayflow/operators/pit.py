@@ -120,6 +120,41 @@ def leakage_report(events: DataFrame, spine: DataFrame, specs: Sequence[FeatureS
     )
 
 
+class LeakageError(ValueError):
+    """Events lie after the date that their features are for."""
+
+
+def assert_no_leakage(events: DataFrame, spine: DataFrame, entity: str = "customer_id", as_of: str = "as_of_date", event_ts: str = "event_ts") -> DataFrame:
+    """Raises LeakageError if a joined table (events with the date they were joined for) holds an event after that date; else returns it."""
+    late = future_rows(events, as_of, event_ts).agg(F.sum("n_future").alias("n")).first()["n"]
+    if late:
+        raise LeakageError(f"{late} events lie after {as_of}")
+    return events
+
+
+def future_rows(joined: DataFrame, as_of: str = "as_of_date", event_ts: str = "event_ts") -> DataFrame:
+    """(as_of, n_rows, n_future) per date: rows of a joined table, and those whose event lies after the date."""
+    late = F.col(event_ts).cast("timestamp") > F.col(as_of).cast("timestamp")
+    return joined.groupBy(as_of).agg(F.count("*").alias("n_rows"), F.count_if(late).alias("n_future"))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
+    """The join of two tables that hold each key at most once; ValueError if one does not."""
+    for name, df in (("left", left), ("right", right)):
+        if not df.groupBy(*key).count().where("count > 1").isEmpty():
+            raise ValueError(f"the {name} side repeats keys")
+    return left.join(right, list(key), how)
+
+
+def aligned(base: DataFrame, key: str, *others: DataFrame, fill: float = 0.0) -> DataFrame:
+    """All rows of ``base`` with the columns of the others, which hold a row per key at most; missing numbers are ``fill``."""
+    out = base
+    for o in others:
+        numbers = [c for c, t in o.dtypes if c != key and t in ("int", "bigint", "float", "double")]
+        out = out.join(o, key, "left").fillna(fill, numbers)
+    return out
+
+
 def rfm_summary(
     events: DataFrame, as_of: str, entity: str = "customer_id", event_ts: str = "event_ts", amount: str = "amount", types: Sequence[str] = PURCHASES, month_days: float = 30.436875,
 ) -> DataFrame:

@@ -19,7 +19,7 @@ SCHEMA = "column string, kind string, severity string, detail string, n_bad long
 
 @dataclass(frozen=True)
 class Expectation:
-    """A rule of one kind on a column: row_count, not_null, dtype, in_range, in_set, unique, monotonic or regex."""
+    """A rule of one kind on a column: row_count, column_exists, not_null, dtype, in_range, in_set, unique, monotonic or regex."""
 
     column: str
     kind: str
@@ -75,9 +75,12 @@ class Contract:
                 groups = df.groupBy(*p["subset"]).count()
                 count = groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()[0]
             elif e.kind == "monotonic":
-                last = F.lag(e.column).over(Window.partitionBy(p["within"]).orderBy(p["by"]))
+                by = [p["by"]] if isinstance(p["by"], str) else list(p["by"])
+                last = F.lag(e.column).over(Window.partitionBy(p["within"]).orderBy(*by))
                 groups = df.select(F.col(p["within"]).alias("g"), (F.col(e.column) < last).alias("down")).where("down").select("g").distinct()
                 count = groups.count()
+            elif e.kind == "column_exists":
+                count = 0
             elif e.kind == "not_null":
                 count = bad[i] if n and bad[i] / n > p.get("max_frac", 0.0) else 0
             else:

@@ -25,20 +25,25 @@ def purged_split(df: DataFrame, train_end: int, valid_end: int, embargo: int = 1
 
 
 def uniform(seed: int, *key: str) -> Column:
-    """A number in [0, 1) from a row's key: the same under any partitioning."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11).cast("double") / float(1 << 53)
+    """A number in [0, 1) from a row's key: the same under any partitioning, and in any engine that knows MD5."""
+    return F.conv(F.substring(hashed(seed, *key), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def hashed(seed: int, *key: str) -> Column:
+    """A hash of a seed and a row's key as 32 hex digits."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary"))
 
 
 def decision_sample(df: DataFrame, unit: Sequence[str] = ("customer_id", "split"), row: str = "period", seed: int = 0, most: int | None = None) -> DataFrame:
     """One row per unit, chosen by hash; ``most`` keeps so many units, those that hash lowest."""
-    order = Window.partitionBy(*unit).orderBy(F.xxhash64(F.lit(seed), *unit, row), row)
+    order = Window.partitionBy(*unit).orderBy(hashed(seed, *unit, row), row)
     one = df.withColumn("__rn", F.row_number().over(order)).where("__rn = 1").drop("__rn")
-    return one if most is None else one.orderBy(F.xxhash64(F.lit(seed + 1), *unit)).limit(most)
+    return one if most is None else one.orderBy(hashed(seed + 1, *unit)).limit(most)
 
 
 def folds(df: DataFrame, arm: str, key: str, k: int, seed: int = 0, name: str = "fold") -> DataFrame:
     """Adds a fold by hash of the key within arms, so every arm is spread evenly and no global order is needed."""
-    return df.withColumn(name, F.pmod(F.xxhash64(F.lit(seed), key, arm), F.lit(k)).cast("int"))
+    return df.withColumn(name, F.floor(uniform(seed, key, arm) * k).cast("int"))
 
 
 @dataclass(frozen=True)

@@ -9,11 +9,15 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: An event log of orders and of browsing events.
+#: An event log of orders and of browsing events; those of the stream are set back by 9344 days, into the time of the orders.
 EVENTS = """
 SELECT o.o_custkey AS customer_id, o.o_orderkey AS seq, CAST(o.o_orderdate AS TIMESTAMP) AS event_ts, 'order' AS event_type,
   o.o_totalprice AS amount, o.o_orderpriority AS category, l.n_items AS n_items
 FROM {orders} o JOIN (SELECT l_orderkey, COUNT(*) AS n_items FROM {lineitem} GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey
+UNION ALL SELECT user_id, 1000000000 + event_id, CAST(ts - INTERVAL '9344' DAY AS TIMESTAMP),
+  CASE event_type WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'payment_failure' ELSE 'support_ticket' END WHEN 'purchase' THEN 'purchase' ELSE 'session' END,
+  CASE WHEN event_type = 'purchase' THEN value ELSE 0e0 END, event_type, CAST(1 AS BIGINT)
+FROM {events}
 """
 
 #: Three dates per customer.

@@ -48,7 +48,7 @@ def report(spark, sf_dir):
 
 def decay(spark, sf_dir):
     out = drift.performance_decay(frame(spark, sf_dir, DRIFT), "period", "price", "done")
-    return _rounded(out, "mean_score", "mean_outcome", "auc", "corr", "skill", "rel_drop").select("period", "n", "mean_score", "mean_outcome", "auc", "corr", "skill", "rel_drop", "first_decay")
+    return _rounded(out, "mean_score", "mean_outcome", "auc", "corr", "slope", "skill", "rel_drop")
 
 
 def stability(spark, sf_dir):
@@ -95,11 +95,15 @@ SELECT feature, any_value(nr) AS n_ref, any_value(nc) AS n_cur, round(max(abs(r
 SELECT feature, dof, round(chi2, 6) AS chi2, round(sqrt(chi2 / n), 6) AS cramers_v FROM x""",
     "missing_rates": f"""WITH {_NUM}, m AS (SELECT feature, avg((x IS NULL)::INT) FILTER (now = 1) - avg((x IS NULL)::INT) FILTER (now = 0) AS d FROM l GROUP BY feature)
 SELECT feature, round(d, 6) AS missing_delta FROM m UNION ALL SELECT unnest(['priority', 'status']), 0""",
-    "performance_decay": f"""WITH d AS {_D}, r AS (SELECT *, rank() OVER (PARTITION BY period ORDER BY price) + (count(*) OVER (PARTITION BY period, price) - 1) / 2 AS rk FROM d), a AS (
+    "performance_decay": f"""WITH RECURSIVE d AS {_D}, z AS (SELECT period, done, (price - avg(price) OVER w) / stddev_pop(price) OVER w AS z, avg(done) OVER w AS o FROM d WINDOW w AS (PARTITION BY period)), newton(i, period, a, b) AS (
+  SELECT 0, period, 0::DOUBLE, 0::DOUBLE FROM z WHERE o > 0 AND o < 1 GROUP BY period UNION ALL
+  SELECT i + 1, period, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1), b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) FROM (
+    SELECT i, period, a, b, sum(done - p) AS g0, sum((done - p) * z) AS g1, sum(p * (1 - p)) AS h0, sum(p * (1 - p) * z) AS h1, sum(p * (1 - p) * z * z) AS h2
+    FROM (SELECT i, n.period, a, b, done, z, 1 / (1 + exp(-(a + b * z))) AS p FROM newton n JOIN z ON z.period = n.period WHERE i < 8) GROUP BY i, period, a, b)), r AS (SELECT *, rank() OVER (PARTITION BY period ORDER BY price) + (count(*) OVER (PARTITION BY period, price) - 1) / 2 AS rk FROM d), a AS (
   SELECT period, count(*) AS n, avg(price) AS ms, avg(done) AS mo, sum(done) AS n1, sum(rk) FILTER (done = 1) AS rs, corr(price, done) AS c FROM r GROUP BY period), u AS (
   SELECT *, CASE WHEN n1 > 0 AND n1 < n THEN (rs - n1 * (n1 + 1) / 2) / (n1 * (n - n1)) END AS auc FROM a), s AS (SELECT *, CASE WHEN n >= 30 THEN auc - 0.5::DOUBLE END AS skill FROM u), b AS (
   SELECT *, (SELECT arg_min(skill, period) FROM s WHERE skill IS NOT NULL) AS base FROM s), f AS (SELECT *, CASE WHEN base > 0 THEN (base - skill) / base END AS drop_ FROM b)
-SELECT period, n, round(ms, 6) AS mean_score, round(mo, 6) AS mean_outcome, round(auc, 6) AS auc, round(c, 6) AS corr, round(skill, 6) AS skill, round(drop_, 6) AS rel_drop,
+SELECT period, n, round(ms, 6) AS mean_score, round(mo, 6) AS mean_outcome, round(auc, 6) AS auc, round(c, 6) AS corr, round((SELECT b FROM newton w WHERE w.period = f.period AND i = 8), 6) AS slope, round(skill, 6) AS skill, round(drop_, 6) AS rel_drop,
   coalesce(drop_ > 0.1 AND sum((drop_ > 0.1)::INT) OVER (ORDER BY period) = 1, false) AS first_decay FROM f""",
     "effect_stability": f"""WITH r AS (SELECT effect AS r, effect2 AS c, rank() OVER (ORDER BY effect) + (count(*) OVER (PARTITION BY effect) - 1) / 2 AS rr, rank() OVER (ORDER BY effect2) + (count(*) OVER (PARTITION BY effect2) - 1) / 2 AS rc,
   (row_number() OVER (ORDER BY effect, unit_id) - 1) * 10 // count(*) OVER () AS rb, (row_number() OVER (ORDER BY effect2, unit_id) - 1) * 10 // count(*) OVER () AS cb FROM {_U})
