@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import allocation, features, monitoring, retention
+from . import allocation, estimation, features, monitoring, retention
 
-_PARTS = (features, retention, allocation, monitoring)
+_PARTS = (features, retention, allocation, estimation, monitoring)
 
 
 def queries() -> dict:
