@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prefix import running
@@ -73,69 +73,9 @@ def assign_at(net: Column, price: float, costs: Sequence[float] = COSTS) -> Colu
     return first_argmax(F.transform(net, lambda v, i: v - price * F.element_at(F.array(*[F.lit(float(c)) for c in costs]), i + 1)))
 
 
-def lagrangian_allocate(df: DataFrame, net: str, budget: float, costs: Sequence[float] = COSTS, rounds: int = 60) -> tuple[DataFrame, dict]:
-    """Adds arm under a budget, and tells (price, spent, value, bound): the least price per unit of cost at which the best arms fit.
-
-    Spending falls as the price rises, so the price is found by bisection. Each round asks for the spending at many
-    prices in one pass, which narrows the range fast; only sums reach the driver. ``bound`` is the dual value, which
-    no allocation within the budget exceeds.
-    """
-    cost = F.array(*[F.lit(float(c)) for c in costs])
-    spent = lambda p: F.sum(F.element_at(cost, assign_at(F.col(net), p, costs) + 1))
-    rows = df.select(net)
-    low, high = 0.0, None
-    first = rows.agg(spent(0.0).alias("s"), F.max(F.array_max(F.transform(net, lambda v: F.abs(F.coalesce(v, F.lit(0.0)))))).alias("m")).first()
-    if first["s"] is not None and first["s"] > budget:
-        high = (first["m"] or 0.0) / min(c for c in costs if c > 0) + 1.0
-        for _ in range(max(1, rounds // 12)):
-            grid = [low + (high - low) * i / 16 for i in range(1, 16)]
-            got = rows.agg(*[spent(p).alias(f"s{i}") for i, p in enumerate(grid)]).first()
-            over = [p for i, p in enumerate(grid) if got[i] > budget]
-            under = [p for i, p in enumerate(grid) if got[i] <= budget]
-            low, high = (over[-1] if over else low), (under[0] if under else high)
-    price = high or 0.0
-    out = df.withColumn("arm", assign_at(F.col(net), price, costs))
-    value = F.element_at(F.col(net), F.col("arm") + 1)
-    best = F.array_max(F.transform(net, lambda v, i: F.coalesce(v, F.lit(float("-inf"))) - price * F.element_at(cost, i + 1)))
-    s = out.agg(F.sum(F.element_at(cost, F.col("arm") + 1)).alias("spent"), F.sum(value).alias("value"), F.sum(best).alias("dual")).first()
-    return out, {"price": price, "spent": s["spent"] or 0.0, "value": s["value"] or 0.0, "bound": (s["dual"] or 0.0) + price * budget}
-
-
-def greedy_allocate(df: DataFrame, net: str, key: str, budget: float, costs: Sequence[float] = COSTS) -> DataFrame:
-    """(key, arm, cost, value, spent_before) of units funded in order of value per cost, each by its best arm on that ratio, while the running cost fits.
-
-    The running cost is a prefix sum over ranges; funding stops at the first unit that does not fit.
-    """
-    ratio = F.transform(net, lambda v, i: F.when((i > 0) & (v > 0), v / F.element_at(F.array(*[F.lit(max(float(c), 1e-12)) for c in costs]), i + 1)).otherwise(F.lit(float("-inf"))))
-    rows = df.withColumn("__ratio", F.array_max(ratio)).withColumn("arm", first_argmax(ratio)).where(F.col("__ratio") > 0)
-    cost = F.element_at(F.array(*[F.lit(float(c)) for c in costs]), F.col("arm") + 1)
-    rows = rows.select(key, "arm", cost.alias("cost"), F.element_at(F.col(net), F.col("arm") + 1).alias("value"), "__ratio")
-    out = running(rows, -F.col("__ratio"), [F.col(key)], {"__spent": F.col("cost")})
-    return out.where(F.col("__spent") <= budget).select(key, "arm", "cost", "value", (F.col("__spent") - F.col("cost")).alias("spent_before"))
-
-
-def efficient_frontier(df: DataFrame, net: str, budgets: Sequence[float], costs: Sequence[float] = COSTS) -> DataFrame:
-    """(budget, value, spent, price, marginal): the allocation per budget, values never falling; marginal is the value per further unit of budget."""
-    rows = []
-    for b in sorted(budgets):
-        _, s = lagrangian_allocate(df, net, float(b), costs)
-        rows.append((float(b), float(s["value"]), float(s["spent"]), float(s["price"])))
-    grid = df.sparkSession.createDataFrame(rows, "budget double, raw double, spent double, price double")
-    w = Window.orderBy("budget")  # a row per budget
-    top = grid.withColumn("value", F.max("raw").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    marginal = (F.col("value") - F.lag("value").over(w)) / (F.col("budget") - F.lag("budget").over(w))
-    return top.select("budget", "value", "spent", "price", marginal.alias("marginal"))
-
-
-def baseline_policies(df: DataFrame, key: str, scores: Mapping[str, Column], cost: float, budget: float) -> DataFrame:
-    """(policy, key): for each score the units that one offer of equal cost reaches within the budget, from the highest score on."""
-    n = int(budget // cost) if cost > 0 else df.count()
-    out = None
-    for name, score in scores.items():
-        # the order is cut at n units, so a top-n suffices
-        one = df.select(F.lit(name).alias("policy"), F.col(key), score.alias("__s")).orderBy(F.desc_nulls_last("__s"), key).limit(n).drop("__s")
-        out = one if out is None else out.unionByName(one)
-    return out
+def breakeven(costs: Sequence[float] = ARM_COSTS, redemption: Sequence[float] = ARM_REDEMPTION, fixed: float = 0.0) -> list[float]:
+    """Per arm the effect that pays for the offer."""
+    return expected_costs(costs, redemption, fixed)
 
 
 def off_policy(df: DataFrame, y: str, arm: str, chosen: str, e: Sequence[str], mu: Sequence[str] | None = None, cap: float = 50.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import economics
+from ..operators import allocation, economics
 from .features import _rounded
 from .inputs import UNITS, frame, plain
 
@@ -46,24 +46,57 @@ def arms(spark, sf_dir):
     return _rounded(economics.per_arm(_nets(spark, sf_dir), "arm", "net"), "cost", "value", digits=4)
 
 
+def _budget(spark, sf_dir) -> float:
+    """Three units of money per unit."""
+    return 3.0 * spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+
+
 def lagrangian(spark, sf_dir):
-    """A tenth of what the best arms without a budget would cost."""
-    units = _nets(spark, sf_dir)
-    out, told = economics.lagrangian_allocate(units, "net", 3.0 * units.count())
-    return out.groupBy("arm").agg(F.count("*").alias("n")).withColumns({k: F.lit(float(v)) for k, v in told.items()})
+    out, told = allocation.lagrangian_allocate(_nets(spark, sf_dir), "net", "unit_id", _budget(spark, sf_dir), top_up=False)
+    out = out.groupBy("arm").agg(F.count("*").alias("n"))
+    return _rounded(out.withColumns({k: F.lit(float(told[k])) for k in ("price", "spent", "value", "bound")}), "price", "spent", "value", "bound", digits=4)
+
+
+def topped_up(spark, sf_dir):
+    """Each unit's arm once the rest of the budget is spent too."""
+    return allocation.lagrangian_allocate(_nets(spark, sf_dir), "net", "unit_id", _budget(spark, sf_dir))[0].select("unit_id", "arm")
+
+
+def allocation_summary(spark, sf_dir):
+    b = _budget(spark, sf_dir)
+    out, _ = allocation.lagrangian_allocate(_nets(spark, sf_dir), "net", "unit_id", b, top_up=False)
+    return _rounded(allocation.summary(out, "arm", "net", b), "spent", "value", "roi", "utilisation", digits=4)
 
 
 def greedy(spark, sf_dir):
-    out = economics.greedy_allocate(_nets(spark, sf_dir), "net", "unit_id", 5000.0)
-    return _rounded(out, "cost", "value", "spent_before")
+    return _rounded(allocation.greedy_allocate(_nets(spark, sf_dir), "net", "unit_id", 5000.0), "cost", "value")
 
 
 def frontier(spark, sf_dir):
-    return economics.efficient_frontier(_nets(spark, sf_dir), "net", (500.0, 1000.0, 2000.0, 4000.0))
+    out = allocation.efficient_frontier(_nets(spark, sf_dir), "net", (500.0, 1000.0, 2000.0, 4000.0))
+    return _rounded(out, "value", "spent", "price", "bound", "marginal", digits=4)
+
+
+def pareto(spark, sf_dir):
+    return _nets(spark, sf_dir).select("unit_id", F.concat_ws(",", allocation.pareto_keep(F.col("net")).cast("array<string>")).alias("arms"))
+
+
+def repaired(spark, sf_dir):
+    rows = _chosen(spark, sf_dir).withColumn("cost", F.element_at(F.array(*[F.lit(float(c)) for c in economics.COSTS]), F.col("chosen") + 1)).select("unit_id", "chosen", "cost", "gain")
+    return _rounded(allocation.repair_budget(rows, "unit_id", "cost", "gain", _budget(spark, sf_dir)), "cost", "gain")
 
 
 def baselines(spark, sf_dir):
-    return economics.baseline_policies(_units(spark, sf_dir), "unit_id", {"highest_risk": F.col("risk"), "highest_value": F.col("y"), "highest_effect": F.col("effect")}, economics.COSTS[1], 1000.0)
+    return allocation.baseline_policies(_units(spark, sf_dir), "unit_id", "risk", "y", economics.COSTS[1], 1000.0)
+
+
+def parity(spark, sf_dir):
+    out, share = allocation.parity_allocate(_nets(spark, sf_dir), "net", "unit_id", "grp", _budget(spark, sf_dir))
+    return out.withColumn("share", F.lit(share))
+
+
+def breakevens(spark, sf_dir):
+    return spark.createDataFrame([(a, float(c)) for a, c in enumerate(economics.breakeven())], "arm int, breakeven double")
 
 
 def policy_value(spark, sf_dir):
@@ -73,7 +106,7 @@ def policy_value(spark, sf_dir):
 
 def policy_bootstrap(spark, sf_dir):
     values = {"chosen": F.col("gain"), "nobody": F.lit(0.0), "first": F.col("net")[1]}
-    return economics.bootstrap_differences(_chosen(spark, sf_dir), "unit_id", values, "nobody", 50)
+    return _rounded(economics.bootstrap_differences(_chosen(spark, sf_dir), "unit_id", values, "nobody", 50), "diff", "diff_low", "diff_high", digits=5)
 
 
 def gap(spark, sf_dir):
@@ -92,6 +125,7 @@ def impact(spark, sf_dir):
 
 QUERIES = {
     "decision_frame": decisions, "net_values": net_value, "roi_summary": roi, "per_arm_summary": arms, "lagrangian_allocate": lagrangian, "greedy_allocate": greedy,
+    "topped_up_allocation": topped_up, "allocation_summary": allocation_summary, "pareto_arms": pareto, "repair_budget": repaired, "parity_allocation": parity, "breakeven_effects": breakevens,
     "efficient_frontier": frontier, "baseline_policies": baselines, "off_policy_value": policy_value, "policy_bootstrap": policy_bootstrap, "oracle_gap": gap,
     "fairness_audit": fairness, "disparate_impact": impact,
 }
@@ -103,6 +137,15 @@ _NET = f"n AS (SELECT *, 0::DOUBLE AS n0, {', '.join(f'tau{a} - {_COSTS[a]} AS n
 _BEST = "list_position(net, list_max(net)) - 1"
 _CHOSEN = f"c AS (SELECT *, {_BEST} AS chosen, list_max(net) AS gain FROM n)"
 _NAME = "['control', 'discount_10', 'discount_25', 'concierge']"
+#: Each unit's chain of upgrades, all of them in order, and what the budget's price buys.
+_NEXT = "SELECT unit_id, unnest(list_transform([1, 2, 3], lambda a: struct_pack(slope := (v[a + 1] - {v0}) / (k[a + 1] - {c0}), arm := a, dv := v[a + 1] - {v0}, dc := k[a + 1] - {c0}))) AS o, v, k FROM {of}"
+_PICK = "SELECT unit_id, v, k, {step} AS step, arg_max(o, (o.slope, o.dc)) AS o FROM ({next}) WHERE o.dc > 0 AND o.dv > 0 GROUP BY 1, 2, 3"
+_S1 = _PICK.format(step=1, next=_NEXT.format(v0="0", c0="0", of=f"(SELECT unit_id, net AS v, {_ARM_COST}::DOUBLE[] AS k FROM n)"))
+_S2, _S3 = (_PICK.format(step=i, next=_NEXT.format(v0="v[o.arm + 1]", c0="k[o.arm + 1]", of=f"s{i - 1}")) for i in (2, 3))
+_HULL = f"""{_NET}, s1 AS ({_S1}), s2 AS ({_S2}), s3 AS ({_S3}), s AS (SELECT unit_id, step, o.slope AS slope, o.arm AS arm, o.dv AS dv, o.dc AS dc FROM (SELECT unit_id, step, o FROM s1 UNION ALL SELECT unit_id, step, o FROM s2 UNION ALL SELECT unit_id, step, o FROM s3)),
+o AS (SELECT slope, sum(sum(dc)) OVER (ORDER BY slope DESC) AS upto FROM s GROUP BY slope), g AS (SELECT 3.0::DOUBLE * count(*) AS budget FROM customer)"""
+_AT = "l AS (SELECT price, coalesce(sum(dc) FILTER (slope > price), 0) AS spent, coalesce(sum(dv) FILTER (slope > price), 0) AS value FROM s, (SELECT coalesce(max(slope) FILTER (upto > budget), 0) AS price FROM o, g) GROUP BY price)"
+_FILL = "f AS ({items}), w(rn, spent, took) AS (SELECT 0, 0::DOUBLE, false UNION ALL SELECT w.rn + 1, CASE WHEN w.spent + f.c <= {budget} + 1e-9 THEN w.spent + f.c ELSE w.spent END, w.spent + f.c <= {budget} + 1e-9 FROM w JOIN f ON f.rn = w.rn + 1)"
 _GROUP = "count(*) AS n, avg((chosen > 0)::INT) AS treat_rate, avg(gain) AS mean_net, avg((chosen > 0)::INT) FILTER (gain > 0) AS opportunity"
 SQL = {
     "net_values": f"WITH {_NET} SELECT unit_id, n0 AS net_0, round(n1, 6) AS net_1, round(n2, 6) AS net_2, round(n3, 6) AS net_3 FROM n",
@@ -115,14 +158,35 @@ SELECT unit_id, n0 AS net_0, round(n1, 6) AS net_1, round(n2, 6) AS net_2, round
     "roi_summary": f"""WITH {_NET}, s AS (SELECT count(*) FILTER (arm > 0) AS n_targeted, sum({_ARM_COST}[arm + 1]) FILTER (arm > 0) AS cost, sum(net[arm + 1]) FILTER (arm > 0) AS net FROM n)
 SELECT n_targeted, round(cost, 4) AS cost, round(net, 4) AS net, round(net + cost, 4) AS gross, round(net / cost, 4) AS roi FROM s""",
     "per_arm_summary": f"WITH {_NET} SELECT arm, count(*) AS n, round(count(*) * any_value({_ARM_COST}[arm + 1]), 4) AS cost, round(sum(net[arm + 1]), 4) AS value FROM n GROUP BY arm",
-    "greedy_allocate": f"""WITH {_NET}, r AS (SELECT *, [CASE WHEN n1 > 0 THEN n1 / {_COSTS[1]} ELSE -1 END, CASE WHEN n2 > 0 THEN n2 / {_COSTS[2]} ELSE -1 END, CASE WHEN n3 > 0 THEN n3 / {_COSTS[3]} ELSE -1 END]::DOUBLE[] AS q FROM n), b AS (
-  SELECT unit_id, list_position(q, list_max(q)) AS arm, list_max(q) AS q, net FROM r WHERE list_max(q) > 0), s AS (
-  SELECT *, sum({_ARM_COST}[arm + 1]) OVER (ORDER BY q DESC, unit_id ROWS UNBOUNDED PRECEDING) AS upto FROM b)
-SELECT unit_id, arm::INT AS arm, round({_ARM_COST}[arm + 1], 6) AS cost, round(net[arm + 1], 6) AS value, round(upto - {_ARM_COST}[arm + 1], 6) AS spent_before FROM s WHERE upto <= 5000""",
+    "greedy_allocate": f"""WITH RECURSIVE {_NET}, r AS (SELECT *, [CASE WHEN n1 > 0 THEN n1 / {_COSTS[1]} ELSE -1 END, CASE WHEN n2 > 0 THEN n2 / {_COSTS[2]} ELSE -1 END, CASE WHEN n3 > 0 THEN n3 / {_COSTS[3]} ELSE -1 END]::DOUBLE[] AS q FROM n), b AS (
+  SELECT unit_id, list_position(q, list_max(q)) AS arm, net, row_number() OVER (ORDER BY list_max(q) DESC, unit_id) AS rn FROM r WHERE list_max(q) > 0), {_FILL.format(items='SELECT rn, ' + _ARM_COST + '[arm + 1] AS c FROM b', budget='5000::DOUBLE')}
+SELECT unit_id, arm::INT AS arm, round({_ARM_COST}[arm + 1], 6) AS cost, round(net[arm + 1], 6) AS value FROM b JOIN w ON w.rn = b.rn AND w.took""",
+    "lagrangian_allocate": f"""WITH {_HULL}, {_AT}, a AS (SELECT u.unit_id, coalesce(max(s.arm), 0) AS arm FROM n u LEFT JOIN (SELECT * FROM s, l WHERE slope > price) s ON s.unit_id = u.unit_id GROUP BY 1)
+SELECT arm::INT AS arm, count(*) AS n, any_value(round(price, 4)) AS price, any_value(round(spent, 4)) AS spent, any_value(round(value, 4)) AS value, any_value(round(value + price * (budget - spent), 4)) AS bound FROM a, l, g GROUP BY arm""",
+    "allocation_summary": f"""WITH {_HULL}, {_AT}, a AS (SELECT u.unit_id, coalesce(max(s.arm), 0) AS arm FROM n u LEFT JOIN (SELECT * FROM s, l WHERE slope > price) s ON s.unit_id = u.unit_id GROUP BY 1)
+SELECT count(*) AS n, count(*) FILTER (arm > 0) AS n_treated, any_value(round(spent, 4)) AS spent, any_value(round(value, 4)) AS value, any_value(round(value / spent, 4)) AS roi, any_value(round(spent / budget, 4)) AS utilisation FROM a, l, g""",
+    "topped_up_allocation": f"""WITH RECURSIVE {_HULL}, {_AT}, a AS (SELECT u.unit_id, coalesce(max(s.arm), 0) AS arm, count(s.arm) AS k FROM n u LEFT JOIN (SELECT * FROM s, l WHERE slope > price) s ON s.unit_id = u.unit_id GROUP BY 1), b AS (
+  SELECT a.unit_id, s.arm, s.dc, row_number() OVER (ORDER BY slope DESC, a.unit_id) AS rn FROM a JOIN s ON s.unit_id = a.unit_id AND s.step = a.k + 1), {_FILL.format(items='SELECT rn, dc AS c FROM b', budget='(SELECT budget - spent FROM l, g)')}
+SELECT a.unit_id, coalesce(t.arm, a.arm)::INT AS arm FROM a LEFT JOIN (SELECT unit_id, arm FROM b JOIN w ON w.rn = b.rn AND w.took) t ON t.unit_id = a.unit_id""",
+    "efficient_frontier": f"""WITH {_HULL}, v AS (SELECT unnest([500, 1000, 2000, 4000])::DOUBLE AS budget), p AS (SELECT budget, coalesce(max(slope) FILTER (upto > budget), 0) AS price FROM o, v GROUP BY budget), x AS (
+  SELECT budget, price, coalesce(sum(dc) FILTER (slope > price), 0) AS spent, coalesce(sum(dv) FILTER (slope > price), 0) AS value FROM s, p GROUP BY 1, 2)
+SELECT budget, round(value, 4) AS value, round(spent, 4) AS spent, round(price, 4) AS price, round(value + price * (budget - spent), 4) AS bound, round((value - lag(value) OVER (ORDER BY budget)) / (budget - lag(budget) OVER (ORDER BY budget)), 4) AS marginal FROM x""",
+    "pareto_arms": f"""WITH {_NET} SELECT unit_id, '0' || CASE WHEN n1 > n0 THEN ',1' ELSE '' END || CASE WHEN n2 > greatest(n0, n1) THEN ',2' ELSE '' END || CASE WHEN n3 > greatest(n0, n1, n2) THEN ',3' ELSE '' END AS arms FROM n""",
+    "repair_budget": f"""WITH {_NET}, {_CHOSEN}, k AS (SELECT unit_id, chosen::INT AS chosen, {_ARM_COST}[chosen + 1] AS cost, gain FROM c), o AS (SELECT *, CASE WHEN cost > 0 THEN sum(cost) OVER (ORDER BY CASE WHEN cost > 0 THEN gain / cost END DESC NULLS LAST, unit_id DESC ROWS UNBOUNDED PRECEDING) END AS upto FROM k)
+SELECT unit_id, chosen, round(cost, 6) AS cost, round(gain, 6) AS gain FROM o WHERE upto IS NULL OR upto <= (SELECT 3.0 * count(*) FROM customer)""",
+    "parity_allocation": f"""WITH {_NET}, {_CHOSEN}, k AS (SELECT unit_id, grp, chosen::INT AS arm, {_ARM_COST}[chosen + 1] AS cost, ceil(row_number() OVER (PARTITION BY grp, chosen > 0 ORDER BY gain DESC, unit_id) * 200 / count(*) OVER (PARTITION BY grp)) AS step FROM c QUALIFY chosen > 0),
+m AS (SELECT min(s) AS m FROM (SELECT max(step) AS s FROM k GROUP BY grp)), g AS (SELECT step, sum(cost) AS cost FROM k GROUP BY step), t AS (SELECT step, sum(cost) OVER (ORDER BY step) AS upto FROM g), b AS (SELECT coalesce(max(step), 0) AS best FROM t, m WHERE step <= m AND upto <= (SELECT 3.0 * count(*) FROM customer))
+SELECT unit_id, grp, arm, best / 200 AS share FROM k, b WHERE step <= best""",
+    "breakeven_effects": "SELECT * FROM (VALUES " + ", ".join(f"({a}, {c}::DOUBLE)" for a, c in enumerate(_COSTS)) + ") t(arm, breakeven)",
     "baseline_policies": " UNION ALL ".join(
-        f"SELECT * FROM (SELECT '{name}' AS policy, unit_id FROM {_U} ORDER BY {score} DESC NULLS LAST, unit_id LIMIT {int(1000.0 // economics.COSTS[1])})"
-        for name, score in (("highest_risk", "risk"), ("highest_value", "y"), ("highest_effect", "effect"))
+        f"SELECT * FROM (SELECT '{name}' AS policy, unit_id FROM {_U} ORDER BY {order}, unit_id LIMIT {int(1000.0 // economics.COSTS[1])})"
+        for name, order in (("treat_all", "1"), ("highest_risk", "risk DESC NULLS LAST"), ("highest_clv", "y DESC NULLS LAST"), ("risk_x_clv", "risk * y DESC NULLS LAST"), ("random", "md5(concat_ws('|', '7', unit_id))"))
     ),
+    "policy_bootstrap": f"""WITH {_NET}, {_CHOSEN}, b AS (SELECT unnest(range(1, 51)) AS b), u AS (SELECT b, gain, net[2] AS one, ('0x' || substr(md5(concat_ws('|', '7', unit_id, b)), 1, 12))::BIGINT / 281474976710656::DOUBLE AS u FROM c, b), w AS (
+  SELECT b, gain, one, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]::DOUBLE[], lambda z: z <= u)) AS w FROM u), r AS (
+  SELECT b, sum(w * gain) / sum(w) AS chosen, sum(w * one) / sum(w) AS first FROM w GROUP BY b), q AS (SELECT 'chosen' AS policy, quantile_cont(chosen, 0.025) AS lo, quantile_cont(chosen, 0.975) AS hi FROM r UNION ALL SELECT 'first', quantile_cont(first, 0.025), quantile_cont(first, 0.975) FROM r), p AS (
+  SELECT 'chosen' AS policy, avg(gain) AS d FROM c UNION ALL SELECT 'first', avg(net[2]) FROM c)
+SELECT policy, round(d, 5) AS diff, round(lo, 5) AS diff_low, round(hi, 5) AS diff_high, lo > 0 AS beats_baseline FROM p JOIN q USING (policy)""",
     "off_policy_value": f"""WITH {_NET}, {_CHOSEN}, r AS (
   SELECT y, CASE WHEN arm = chosen THEN least(1 / [e0, e1, e2, e3][arm + 1], 50) ELSE 0 END AS w, [mu0, mu1, mu2, mu3][chosen + 1] AS m FROM c), s AS (SELECT sum(w * y) / sum(w) AS sn, avg(w) AS mw FROM r), d AS (
   SELECT *, m + w * (y - m) AS d, w * (y - sn) / mw AS r FROM r, s)
