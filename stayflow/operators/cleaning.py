@@ -15,16 +15,22 @@ NULL_TOKENS = ("", "na", "nan", "none", "null", "unknown", "?")
 TRUE_TOKENS = ("1", "true", "t", "y", "yes", "late")
 
 
-def enforce_schema(df: DataFrame, schema: Mapping[str, str] = PANEL) -> DataFrame:
-    """The schema's columns with its types: what cannot be read becomes null, whole numbers are rounded half to even, categories are trimmed and lower-cased."""
+def enforce_schema(df: DataFrame, schema: Mapping[str, str] = PANEL, strict: bool = False) -> DataFrame:
+    """The table with the schema's columns in its types: what cannot be read becomes null, whole numbers are rounded half to even, categories are trimmed and lower-cased.
+
+    Other columns pass, columns that are missing stay missing; ``strict`` raises KeyError for those.
+    """
+    missing = [c for c in schema if c not in df.columns]
+    if strict and missing:
+        raise KeyError(", ".join(missing))
     out = []
-    for name, kind in schema.items():
-        c = F.col(name) if name in df.columns else F.lit(None)
+    for name in df.columns:
+        c, kind = F.col(name), schema.get(name)
         if kind == "bigint":
             c = F.bround(c.cast("string").try_cast("double")).try_cast("bigint")
         elif name in CATEGORICAL_LEVELS:
             c = F.lower(F.trim(c.cast("string")))
-        else:
+        elif kind:
             c = c.try_cast(kind)
         out.append(c.alias(name))
     return df.select(*out)

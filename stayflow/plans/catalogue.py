@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import allocation, estimation, features, monitoring, retention
+from . import allocation, estimation, features, monitoring, retention, storage
 
-_PARTS = (features, retention, allocation, estimation, monitoring)
+_PARTS = (features, retention, allocation, estimation, monitoring, storage)
 
 
 def queries() -> dict:

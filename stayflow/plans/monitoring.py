@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift
+from . import allocation
 from .features import _rounded
 from .inputs import DRIFT, UNITS, frame, plain
 
@@ -60,17 +61,36 @@ def transitions(spark, sf_dir):
     return drift.effect_stability(frame(spark, sf_dir, UNITS), "effect", "effect2", "unit_id")[1]
 
 
+def _policy(spark, sf_dir):
+    """(ci_low, gap, roi, utilisation) of the allocation: its bootstrapped gain, its lead over the first offer for all, what it earns and spends."""
+    boot = {r.policy: r for r in allocation.policy_bootstrap(spark, sf_dir).collect()}
+    spent = allocation.allocation_summary(spark, sf_dir).first()
+    return spark.createDataFrame([(boot["chosen"].diff_low, boot["chosen"].diff - boot["first"].diff, spent.roi, spent.utilisation)], "ci_low double, gap double, roi double, utilisation double")
+
+
+def prediction(spark, sf_dir):
+    return _rounded(drift.prediction_drift(*_sides(spark, sf_dir), "price"), "psi", "ks", "js", "mean_ref", "mean_cur", "sd_ratio", "p90_shift", digits=5)
+
+
+def p_values(spark, sf_dir):
+    return _rounded(drift.p_values(drift.ks_statistic(*_sides(spark, sf_dir), NUMBERS), drift.chi2_categories(*_sides(spark, sf_dir), CATEGORIES)), "statistic", "p_value", digits=5)
+
+
+def summary_of_alerts(spark, sf_dir):
+    return drift.alert_summary(alerts(spark, sf_dir))
+
+
 def alerts(spark, sf_dir):
     found = drift.drift_report(*_sides(spark, sf_dir), NUMBERS, CATEGORIES)
     decayed = drift.performance_decay(frame(spark, sf_dir, DRIFT), "period", "price", "done")
-    policy = spark.createDataFrame([(-1.0, 2.0, 0.5, 0.4)], "ci_low double, gap double, roi double, utilisation double")
+    policy = _policy(spark, sf_dir)
     stable, _ = drift.effect_stability(frame(spark, sf_dir, UNITS), "effect", "effect2", "unit_id")
     return _rounded(drift.alerts(found, decayed, stable, policy), "value")
 
 
 QUERIES = {
     "population_stability": psi, "category_stability": psi_categories, "js_divergence": js, "ks_distance": ks, "chi2_categories": chi2, "missing_rates": missing,
-    "drift_report": report, "performance_decay": decay, "effect_stability": stability, "effect_transitions": transitions, "alert_rules": alerts,
+    "drift_report": report, "performance_decay": decay, "effect_stability": stability, "effect_transitions": transitions, "alert_rules": alerts, "alert_summary": summary_of_alerts, "prediction_drift": prediction, "drift_p_values": p_values,
 }
 
 _D = f"({plain(DRIFT)})"
@@ -115,3 +135,31 @@ SQL["drift_report"] = f"""
 SELECT *, {_GRADE} AS severity FROM (
   SELECT feature, 'number' AS kind, psi, ks, js, NULL::DOUBLE AS chi2, NULL::DOUBLE AS cramers_v, missing_delta FROM ({SQL['population_stability']}) a JOIN ({SQL['ks_distance']}) b USING (feature) JOIN ({SQL['js_divergence']}) c USING (feature) JOIN ({SQL['missing_rates']}) d USING (feature)
   UNION ALL SELECT feature, 'category', psi, NULL, NULL, chi2, cramers_v, missing_delta FROM ({SQL['category_stability']}) a JOIN ({SQL['chi2_categories']}) b USING (feature) JOIN ({SQL['missing_rates']}) d USING (feature))"""
+_TAU = "(SELECT sum(CASE WHEN i % 2 = 1 THEN 2 ELSE -2 END * exp(-2 * i * i * s * s * r * c / (r + c))) FROM range(1, 101) t(i))"
+_GAMMA = "(SELECT sum(exp(-u / 2) * u ** (dof / 2 - 1)) * (x2 / 200000) / (2 ** (dof / 2) * gamma(dof / 2)) FROM (SELECT (i + 0.5) * x2 / 200000 AS u FROM range(200000) t(i)))"
+SQL["drift_p_values"] = f"""SELECT feature, 'ks' AS test, round(ks, 5) AS statistic, round(least(1, greatest(0, {_TAU})), 5) AS p_value FROM (SELECT feature, ks, ks AS s, n_ref::DOUBLE AS r, n_cur::DOUBLE AS c FROM ({SQL['ks_distance']}))
+UNION ALL SELECT feature, 'chi2', round(x2, 5), round(1 - {_GAMMA}, 5) FROM (SELECT feature, chi2 AS x2, dof::DOUBLE AS dof FROM ({SQL['chi2_categories']}))"""
+SQL["prediction_drift"] = f"""WITH d AS {_D}, m AS (SELECT avg(price) FILTER (now = 0) AS a, avg(price) FILTER (now = 1) AS b, stddev_samp(price) FILTER (now = 1) / stddev_samp(price) FILTER (now = 0) AS s, quantile_cont(price, 0.9) FILTER (now = 1) - quantile_cont(price, 0.9) FILTER (now = 0) AS p FROM d)
+SELECT round(psi, 5) AS psi, round(ks, 5) AS ks, round(js, 5) AS js, round(a, 5) AS mean_ref, round(b, 5) AS mean_cur, round(s, 5) AS sd_ratio, round(p, 5) AS p90_shift, CASE WHEN psi >= 0.25 THEN 'alert' WHEN psi >= 0.1 THEN 'warn' ELSE 'ok' END AS severity
+FROM m, (SELECT psi, ks, js FROM ({SQL['population_stability']}) x JOIN ({SQL['ks_distance']}) y USING (feature) JOIN ({SQL['js_divergence']}) z USING (feature) WHERE feature = 'price')"""
+_BOOT, _SPENT = allocation.SQL["policy_bootstrap"], allocation.SQL["allocation_summary"]
+
+
+def _rule(source: str, subject: str, rule: str, value: str, levels: tuple[tuple[str, str, float], ...], table: str) -> str:
+    severity = " ".join(f"WHEN {value} {when} THEN '{level}'" for level, when, _ in levels)
+    bound = " ".join(f"WHEN {value} {when} THEN {limit}::DOUBLE" for _, when, limit in levels)
+    return f"SELECT '{source}' AS source, {subject} AS subject, '{rule}' AS rule, CASE {severity} END AS severity, round({value}, 6)::DOUBLE AS value, CASE {bound} END AS bound FROM {table}"
+
+
+_PERIODS, _STABLE = f"(SELECT arg_min(auc, period) - arg_max(auc, period) AS d FROM ({SQL['performance_decay']}))", f"({SQL['effect_stability']})"
+_GAINS = f"(SELECT max(diff_low) FILTER (policy = 'chosen') AS lo, max(diff) FILTER (policy = 'chosen') - max(diff) FILTER (policy = 'first') AS gap FROM ({_BOOT}))"
+SQL["alert_rules"] = "SELECT * FROM (" + " UNION ALL ".join((
+    _rule("drift", "feature", "psi", "psi", (("critical", ">= 0.25", drift.PSI_ALERT), ("warn", ">= 0.1", drift.PSI_WARN)), f"({SQL['drift_report']})"),
+    _rule("drift", "feature", "missing", "missing_delta", (("critical", ">= 0.2", 0.2), ("warn", ">= 0.1", 0.1)), f"({SQL['drift_report']})"),
+    _rule("decay", "'auc'", "auc_drop", "d", (("critical", f">= {drift.DECAY_CRITICAL}", drift.DECAY_CRITICAL), ("warn", f">= {drift.DECAY_WARN}", drift.DECAY_WARN)), _PERIODS),
+    _rule("stability", "'rank'", "rank_correlation", "spearman", (("critical", "< 0.35", 0.35), ("warn", "< 0.7", 0.7)), _STABLE),
+    _rule("stability", "'sign'", "sign_flips", "sign_flips", (("critical", ">= 0.3", 0.3), ("warn", ">= 0.15", 0.15)), _STABLE),
+    _rule("policy", "'value'", "ci_low", "lo", (("critical", "<= 0", 0.0),), _GAINS), _rule("policy", "'baseline'", "gap", "gap", (("critical", "<= 0", 0.0),), _GAINS),
+    _rule("policy", "'roi'", "roi", "roi", (("warn", "< 0", 0.0),), f"({_SPENT})"), _rule("policy", "'budget'", "utilisation", "utilisation", (("info", "< 0.6", 0.6),), f"({_SPENT})"),
+)) + ") WHERE severity IS NOT NULL"
+SQL["alert_summary"] = f"SELECT severity, count(*) AS n, severity = 'critical' AS blocks FROM ({SQL['alert_rules']}) GROUP BY severity"
