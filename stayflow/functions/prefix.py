@@ -2,32 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(df: DataFrame, lead: Column, then: list[Column], sums: Mapping[str, Column] | None = None, number: str = "rn", buckets: int | None = None) -> DataFrame:
-    """Adds the row's number from 1 and running sums in ascending order of ``lead`` (a number, nulls last) and ``then``.
+def running(
+    df: DataFrame, lead: Column, then: list[Column], sums: Mapping[str, Column] | None = None, number: str = "rn", buckets: int | None = None, by: Sequence[str] = (),
+) -> DataFrame:
+    """Adds the row's number from 1 and running sums in ascending order of ``lead`` (a number, nulls last) and ``then``, within groups ``by``.
 
-    Rows are cut into ranges of ``lead`` at its approximate quantiles; each range is summed by itself, and the totals
-    of the ranges before it, a row per range, are added. The result equals an unpartitioned ROWS window, whatever
-    the cuts are; only a value of ``lead`` that many rows share is one range.
+    Each group's rows are cut into ranges of ``lead`` at its approximate quantiles; a range is summed by itself, and the
+    totals of the group's ranges before it, a row per range, are added. The result equals a ROWS window over the
+    group, whatever the cuts are; only a value of ``lead`` that many rows share is one range.
     """
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("__lead", F.when(F.isnan(lead.cast("double")), None).otherwise(lead.cast("double")))
-    cuts = keyed.agg(F.percentile_approx("__lead", [i / n for i in range(1, n)] or [0.5], 1000)).first()[0] or []
-    bounds = sorted(set(cuts))
-    place = F.when(F.col("__lead").isNull(), F.lit(len(bounds) + 1))
-    place = place.otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("__lead"))) if bounds else F.lit(0))
-    keyed = keyed.withColumn("__range", place)
+    groups = [F.col(b).alias(f"__b{i}") for i, b in enumerate(by)]
+    own = [f"__b{i}" for i in range(len(by))]
+    keyed = df.withColumn("__lead", F.when(F.isnan(lead.cast("double")), None).otherwise(lead.cast("double"))).select("*", *groups)
+    cuts = keyed.groupBy(*own).agg(F.array_distinct(F.percentile_approx("__lead", [i / n for i in range(1, n)] or [0.5], 1000)).alias("__cuts"))
+    same = lambda left, right: [F.col(f"{left}.{b}").eqNullSafe(F.col(f"{right}.{b}")) for b in own]
+    # a row per group
+    keyed = keyed.alias("k").join(F.broadcast(cuts).alias("c"), same("k", "c")) if own else keyed.alias("k").crossJoin(F.broadcast(cuts).alias("c"))
+    place = F.when(F.col("__lead").isNull(), F.size("__cuts") + 1).otherwise(F.size(F.filter("__cuts", lambda b: b < F.col("__lead"))))
     parts = {number: F.lit(1).cast("long"), **(sums or {})}
-    keyed = keyed.select("*", *[c.alias(f"__v_{k}") for k, c in parts.items()])
-    totals = keyed.groupBy("__range").agg(*[F.sum(f"__v_{k}").alias(k) for k in parts])
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__range", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"__o_{k}") for k in parts])
-    inside = Window.partitionBy("__range").orderBy(F.col("__lead").asc_nulls_last(), *then).rowsBetween(Window.unboundedPreceding, 0)
-    out = keyed.join(F.broadcast(offsets), "__range")  # a row per range
+    keyed = keyed.select("k.*", F.coalesce(place, F.lit(0)).alias("__range")).select("*", *[c.alias(f"__v_{k}") for k, c in parts.items()])
+    totals = keyed.groupBy(*own, "__range").agg(*[F.sum(f"__v_{k}").alias(k) for k in parts])
+    before = Window.partitionBy(*own).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*own, "__range", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"__o_{k}") for k in parts])
+    inside = Window.partitionBy(*own, "__range").orderBy(F.col("__lead").asc_nulls_last(), *then).rowsBetween(Window.unboundedPreceding, 0)
+    out = keyed.alias("k").join(F.broadcast(offsets).alias("o"), [*same("k", "o"), F.col("k.__range") == F.col("o.__range")])  # a row per range
+    out = out.select("k.*", *[f"__o_{k}" for k in parts])
     added = {k: F.coalesce(F.sum(f"__v_{k}").over(inside), F.lit(0)) + F.col(f"__o_{k}") for k in parts}
     return out.select(*[F.col(c) for c in df.columns], *[c.alias(k) for k, c in added.items()])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import running
+
 
 def own_propensity(arm: str, e: Sequence[str]) -> Column:
     return F.element_at(F.array(*e), (F.col(arm) + 1).cast("int"))
@@ -81,8 +83,8 @@ def hajek_means(df: DataFrame, y: str, treated: str, e1: Column) -> DataFrame:
 def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, auc) by rank sums over distinct scores; null without both labels."""
     cells = df.groupBy(*by, F.col(score).cast("double").alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
-    below = F.coalesce(F.sum(F.col("n") - F.col("p")).over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = cells.withColumn("won", F.col("p") * (below + (F.col("n") - F.col("p")) / 2))
+    # negatives up to a score, half of those at it
+    won = running(cells, F.col("s"), [], {"upto": F.col("n") - F.col("p")}, "__rn", by=by).withColumn("won", F.col("p") * (F.col("upto") - (F.col("n") - F.col("p")) / 2))
     out = won.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum("won").alias("won"))
     pairs = F.col("p") * (F.col("n") - F.col("p"))
     return out.select(*by, "n", F.when(pairs > 0, F.col("won") / pairs).alias("auc"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import running
+
 from .balance import auc
 
 FLOOR = 1e-6
@@ -68,10 +70,10 @@ def ks_statistic(reference: DataFrame, current: DataFrame, features: Sequence[st
     """(feature, n_ref, n_cur, ks): the largest gap between both distribution functions, from counts of distinct values."""
     both = _both(reference, current, features, "double").where("x IS NOT NULL AND NOT isnan(x)")
     cells = both.groupBy("feature", "x").agg(F.count_if(F.col("side") == "r").alias("r"), F.count_if(F.col("side") == "c").alias("c"))
-    w = Window.partitionBy("feature")
-    upto = w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    gaps = cells.select("feature", "r", "c", F.abs(F.sum("r").over(upto) / F.sum("r").over(w) - F.sum("c").over(upto) / F.sum("c").over(w)).alias("gap"))
-    return gaps.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"), F.max("gap").alias("ks"))
+    totals = cells.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
+    upto = running(cells, F.col("x"), [], {"upto_r": F.col("r"), "upto_c": F.col("c")}, by=["feature"])
+    gaps = upto.join(F.broadcast(totals), "feature")  # a row per feature
+    return gaps.groupBy("feature", "n_ref", "n_cur").agg(F.max(F.abs(F.col("upto_r") / F.col("n_ref") - F.col("upto_c") / F.col("n_cur"))).alias("ks"))
 
 
 def chi2_categories(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -182,15 +184,13 @@ def effect_stability(df: DataFrame, ref: str, cur: str, key: str, bins: int = 10
 
     Bins hold equal counts: rank i from 0 of n is in bin floor(i * bins / n). Rank correlation uses mean ranks of ties.
     """
-    from ..functions.prefix import running
-
     n = df.count()
     rows = df.select(key, F.col(ref).cast("double").alias("r"), F.col(cur).cast("double").alias("c"))
     for x in ("r", "c"):
         cells = rows.groupBy(x).agg(F.count("*").alias("__n"))
         mean = running(cells, F.col(x), [], {"__u": F.col("__n")}, "__k").select(F.col(x).alias("__x"), (F.col("__u") - (F.col("__n") - 1) / 2).alias(f"rank_{x}"))
         rows = rows.join(mean, rows[x] == mean["__x"]).drop("__x")
-        rows = running(rows, F.col(x), [F.col(key)], number=f"rn_{x}")
+        rows = running(rows.persist(), F.col(x), [F.col(key)], number=f"rn_{x}")
         rows = rows.withColumn(f"{'ref' if x == 'r' else 'cur'}_bin", F.floor((F.col(f"rn_{x}") - 1) * bins / n).cast("int"))
     both = (F.col("r") != 0) & (F.col("c") != 0)
     top = F.col("ref_bin") == bins - 1

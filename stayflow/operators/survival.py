@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import running
+
 
 def person_period(df: DataFrame, time: str, event: str, horizon: int, keep: Sequence[str]) -> DataFrame:
     """A row per unit and period lived, up to the horizon: (keep, period from 0, event = 1 in the last one if it ended there)."""
@@ -70,16 +72,21 @@ def ipcw(df: DataFrame, time: str, event: str, horizon: int, rate: float = 0.0,
 def concordance(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     """(concordant, tied, pairs, c_index): of pairs in which one unit's event comes before the other's end, how often it had the higher risk.
 
-    A unit censored at the time of an event counts as ending later. Units are counted by (time, event, risk) first,
-    so the join is between distinct values; score risks in steps where they are continuous.
+    A unit censored at the time of an event counts as ending later. Units are counted by (time, event, risk); each
+    count stands below all earlier event times, and running counts over risk there answer how many had a lower one.
+    Rows grow with distinct (time, risk) times distinct event times; score times in steps where they are continuous.
     """
-    cells = df.groupBy(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r")).count()
-    a, b = cells.where("e = 1").alias("a"), cells.alias("b")
-    pairs = a.join(b, F.expr("b.t > a.t OR (b.t = a.t AND b.e = 0)"))
-    n = F.col("a.count") * F.col("b.count")
-    sums = pairs.agg(
-        F.coalesce(F.sum(F.when(F.col("a.r") > F.col("b.r"), n)), F.lit(0)).alias("concordant"),
-        F.coalesce(F.sum(F.when(F.col("a.r") == F.col("b.r"), n)), F.lit(0)).alias("tied"), F.coalesce(F.sum(n), F.lit(0)).alias("pairs"),
+    cells = df.groupBy(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r")).count().where("t IS NOT NULL AND e IS NOT NULL AND r IS NOT NULL")
+    events = cells.where("e = 1").select("t", "r", F.col("count").alias("cases"))
+    times = events.agg(F.array_sort(F.collect_set("t")).alias("times"))  # the distinct times of events
+    later = cells.crossJoin(F.broadcast(times)).select(F.explode(F.filter("times", lambda x: (x < F.col("t")) | ((x == F.col("t")) & (F.col("e") == 0)))).alias("t"), "r", F.col("count").alias("others"))
+    both = events.withColumn("others", F.lit(0)).unionByName(later.withColumn("cases", F.lit(0))).groupBy("t", "r").agg(F.sum("cases").alias("cases"), F.sum("others").alias("others"))
+    upto = running(both, F.col("r"), [], {"upto": F.col("others")}, "__rn", by=["t"])
+    whole = both.groupBy("t").agg(F.sum("others").alias("every"))
+    scored = upto.join(whole, "t")
+    sums = scored.agg(
+        F.coalesce(F.sum(F.col("cases") * (F.col("upto") - F.col("others"))), F.lit(0)).alias("concordant"),
+        F.coalesce(F.sum(F.col("cases") * F.col("others")), F.lit(0)).alias("tied"), F.coalesce(F.sum(F.col("cases") * F.col("every")), F.lit(0)).alias("pairs"),
     )
     return sums.withColumn("c_index", F.when(F.col("pairs") > 0, (F.col("concordant") + F.col("tied") / 2) / F.col("pairs")))
 
@@ -91,8 +98,7 @@ def time_dependent_auc(df: DataFrame, time: str, event: str, risk: str, times: S
     case = (F.col("t") <= F.col("tau")) & (F.col("e") == 1)
     control = F.col("t") > F.col("tau")
     cells = rows.groupBy("tau", "r").agg(F.coalesce(F.sum(F.when(case, 1 / F.col("__g"))), F.lit(0.0)).alias("w"), F.count_if(case).alias("n"), F.count_if(control).alias("c"))
-    below = Window.partitionBy("tau").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    scored = cells.withColumn("below", F.coalesce(F.sum("c").over(below), F.lit(0)))
+    scored = running(cells, F.col("r"), [], {"upto": F.col("c")}, "__rn", by=["tau"]).withColumn("below", F.col("upto") - F.col("c"))
     sums = scored.groupBy("tau").agg(F.sum(F.col("w") * (F.col("below") + F.col("c") / 2)).alias("won"), F.sum("w").alias("w"), F.sum("n").alias("n_cases"), F.sum("c").alias("n_controls"))
     return sums.select("tau", "n_cases", "n_controls", F.when((F.col("w") > 0) & (F.col("n_controls") > 0), F.col("won") / (F.col("w") * F.col("n_controls"))).alias("auc"))
 
@@ -121,8 +127,6 @@ def calibration(df: DataFrame, time: str, event: str, survival: str, t: float, k
 
     A row of rank i (from 0) of n is in bin floor(i * bins / n).
     """
-    from ..functions.prefix import running
-
     ranked = running(df, F.col(survival), [F.col(key)])
     n = df.count()
     binned = ranked.withColumn("bin", F.floor((F.col("rn") - 1) * bins / n).cast("int"))
