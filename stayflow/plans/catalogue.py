@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import allocation, estimation, features, monitoring, retention, storage
+from . import allocation, estimation, features, lifetime, monitoring, retention, storage
 
-_PARTS = (features, retention, allocation, estimation, monitoring, storage)
+_PARTS = (features, retention, allocation, estimation, lifetime, monitoring, storage)
 
 
 def queries() -> dict:
