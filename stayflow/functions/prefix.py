@@ -20,18 +20,18 @@ def running(
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = [F.col(b).alias(f"__b{i}") for i, b in enumerate(by)]
     own = [f"__b{i}" for i in range(len(by))]
-    keyed = df.withColumn("__lead", F.when(F.isnan(lead.cast("double")), None).otherwise(lead.cast("double"))).select("*", *groups)
-    cuts = keyed.groupBy(*own).agg(F.array_distinct(F.percentile_approx("__lead", [i / n for i in range(1, n)] or [0.5], 1000)).alias("__cuts"))
+    keyed = df.withColumn("__running_lead", F.when(F.isnan(lead.cast("double")), None).otherwise(lead.cast("double"))).select("*", *groups)
+    cuts = keyed.groupBy(*own).agg(F.array_distinct(F.percentile_approx("__running_lead", [i / n for i in range(1, n)] or [0.5], 1000)).alias("__cuts"))
     same = lambda left, right: [F.col(f"{left}.{b}").eqNullSafe(F.col(f"{right}.{b}")) for b in own]
     # a row per group
     keyed = keyed.alias("k").join(F.broadcast(cuts).alias("c"), same("k", "c")) if own else keyed.alias("k").crossJoin(F.broadcast(cuts).alias("c"))
-    place = F.when(F.col("__lead").isNull(), F.size("__cuts") + 1).otherwise(F.size(F.filter("__cuts", lambda b: b < F.col("__lead"))))
+    place = F.when(F.col("__running_lead").isNull(), F.size("__cuts") + 1).otherwise(F.size(F.filter("__cuts", lambda b: b < F.col("__running_lead"))))
     parts = {number: F.lit(1).cast("long"), **(sums or {})}
     keyed = keyed.select("k.*", F.coalesce(place, F.lit(0)).alias("__range")).select("*", *[c.alias(f"__v_{k}") for k, c in parts.items()])
     totals = keyed.groupBy(*own, "__range").agg(*[F.sum(f"__v_{k}").alias(k) for k in parts])
     before = Window.partitionBy(*own).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*own, "__range", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"__o_{k}") for k in parts])
-    inside = Window.partitionBy(*own, "__range").orderBy(F.col("__lead").asc_nulls_last(), *then).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*own, "__range").orderBy(F.col("__running_lead").asc_nulls_last(), *then).rowsBetween(Window.unboundedPreceding, 0)
     out = keyed.alias("k").join(F.broadcast(offsets).alias("o"), [*same("k", "o"), F.col("k.__range") == F.col("o.__range")])  # a row per range
     out = out.select("k.*", *[f"__o_{k}" for k in parts])
     added = {k: F.coalesce(F.sum(f"__v_{k}").over(inside), F.lit(0)) + F.col(f"__o_{k}") for k in parts}

@@ -58,13 +58,13 @@ def fill(items: DataFrame, lead: Column, key: str, cost: str, budget: float) ->
     Until an item does not fit, those that do are a prefix, found by running sums; from then on no item of that cost or
     more can fit. So there are at most as many rounds as there are distinct costs.
     """
-    rows = items.withColumn("__lead", lead)
+    rows = items.withColumn("__order", lead)
     taken, left, after = None, float(budget), None
     while True:
         now = rows.where(F.col(cost) <= left + 1e-9)
         if after is not None:
-            now = now.where((F.col("__lead") < after[0]) | ((F.col("__lead") == after[0]) & (F.col(key) > after[1])))
-        now = running(now, -F.col("__lead"), [F.col(key)], {"__upto": F.col(cost)}).persist()
+            now = now.where((F.col("__order") < after[0]) | ((F.col("__order") == after[0]) & (F.col(key) > after[1])))
+        now = running(now, -F.col("__order"), [F.col(key)], {"__upto": F.col(cost)}).persist()
         over = now.where(F.col("__upto") > left + 1e-9).agg(F.min("rn").alias("rn")).first()["rn"]
         part = now if over is None else now.where(F.col("rn") < over)
         taken = part if taken is None else taken.unionByName(part)
@@ -72,7 +72,7 @@ def fill(items: DataFrame, lead: Column, key: str, cost: str, budget: float) ->
             return taken.select(*items.columns)
         left -= part.agg(F.coalesce(F.sum(cost), F.lit(0.0))).first()[0]
         stop = now.where(F.col("rn") == over).first()
-        after = (stop["__lead"], stop[key])
+        after = (stop["__order"], stop[key])
 
 
 def lagrangian_allocate(df: DataFrame, net: str, key: str, budget: float, costs: Sequence[float] = COSTS, top_up: bool = True) -> tuple[DataFrame, dict]:
