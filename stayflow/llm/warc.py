@@ -159,7 +159,7 @@ def write_warc(df: DataFrame, path: str, least: int = 0, key: str = "page_id", u
 
     The payload is the html in UTF-8 (null: empty). Of records with equal payloads of ``least`` bytes or more the one
     with the smallest key is the response (a null key counts as largest; of rows with that key, the one whose url
-    hashes lowest; of rows that repeat even that, one), and the others are revisits of it. Smaller ones are
+    hashes lowest; rows that repeat even that are all responses), and the others are revisits of it. Smaller ones are
     all responses. Tasks write with pyarrow's file systems, so ``path`` may be a URI of any of them that all executors
     reach. An empty table writes no archive; other columns are not read.
     """
@@ -171,21 +171,10 @@ def write_warc(df: DataFrame, path: str, least: int = 0, key: str = "page_id", u
     narrow = written(pages.select(*same, "url", "bytes"))
     own = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("p"), F.col("url_key").alias("u"), F.col("url"))
     firsts = narrow.where(F.col("bytes") >= least).groupBy("digest").agg(F.min(own).alias("f"), F.count("*").alias("n")).where("n > 1 AND f.p IS NOT NULL").drop("n")
-    # rows that repeat id, url and payload differ in nothing: the first of them may be the response, further copies are revisits
-    placed_rows = narrow.where(F.col("bytes") >= least).groupBy(*same).agg(F.count("*").alias("copies"), F.first("url").alias("url")).withColumn("own", own).join(firsts, "digest")
-    roles = written(placed_rows.select(*same, (F.col("own").eqNullSafe(F.col("f"))).alias("leads"), "copies", F.col("f.p").alias("refers_to"), F.col("f.url").alias("refers_url")).where("NOT leads OR copies > 1"))
-    pages = pages.alias("p")
+    revisits = narrow.where(F.col("bytes") >= least).withColumn("own", own).join(firsts, "digest").where("NOT (own <=> f)")
+    roles = written(revisits.select(*same, F.col("f.p").alias("refers_to"), F.col("f.url").alias("refers_url")).distinct())
     meet = F.expr("p.page_id <=> r.page_id AND p.url_key = r.url_key AND p.digest = r.digest")
-    once = pages.join(roles.where("NOT leads OR copies = 1").alias("r"), meet, "left").select("p.page_id", "p.url", "p.html", "p.digest", "r.refers_to", "r.refers_url")
-    again = roles.where("leads AND copies > 1")
-    if again.isEmpty():
-        placed = once
-    else:
-        placed = once.alias("p").join(again.alias("r"), F.expr("p.page_id <=> r.page_id AND xxhash64(p.url) = r.url_key AND p.digest = r.digest"), "left_anti")
-        one = pages.join(again.alias("r"), meet).select("p.page_id", "p.url", "p.html", "p.digest", "p.url_key", "r.copies", "r.refers_to", "r.refers_url")
-        one = one.dropDuplicates(["page_id", "url_key", "digest"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        lead = F.col("copy") == 1
-        placed = placed.unionByName(one.select("page_id", "url", "html", "digest", F.when(~lead, F.col("refers_to")).alias("refers_to"), F.when(~lead, F.col("refers_url")).alias("refers_url")))
+    placed = pages.alias("p").join(roles.alias("r"), meet, "left").select("p.page_id", "p.url", "p.html", "p.digest", "r.refers_to", "r.refers_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = pyarrow.fs.FileSystem.from_uri(path)
