@@ -175,7 +175,7 @@ SELECT budget, round(value, 4) AS value, round(spent, 4) AS spent, round(price,
     "repair_budget": f"""WITH {_NET}, {_CHOSEN}, k AS (SELECT unit_id, chosen::INT AS chosen, {_ARM_COST}[chosen + 1] AS cost, gain FROM c), o AS (SELECT *, CASE WHEN cost > 0 THEN sum(cost) OVER (ORDER BY CASE WHEN cost > 0 THEN gain / cost END DESC NULLS LAST, unit_id DESC ROWS UNBOUNDED PRECEDING) END AS upto FROM k)
 SELECT unit_id, chosen, round(cost, 6) AS cost, round(gain, 6) AS gain FROM o WHERE upto IS NULL OR upto <= (SELECT 3.0 * count(*) FROM customer)""",
     "parity_allocation": f"""WITH {_NET}, {_CHOSEN}, k AS (SELECT unit_id, grp, chosen::INT AS arm, {_ARM_COST}[chosen + 1] AS cost, ceil(row_number() OVER (PARTITION BY grp, chosen > 0 ORDER BY gain DESC, unit_id) * 200 / count(*) OVER (PARTITION BY grp)) AS step FROM c QUALIFY chosen > 0),
-m AS (SELECT min(s) AS m FROM (SELECT max(step) AS s FROM k GROUP BY grp)), g AS (SELECT step, sum(cost) AS cost FROM k GROUP BY step), t AS (SELECT step, sum(cost) OVER (ORDER BY step) AS upto FROM g), b AS (SELECT coalesce(max(step), 0) AS best FROM t, m WHERE step <= m AND upto <= (SELECT 3.0 * count(*) FROM customer))
+m AS (SELECT min(s) AS m FROM (SELECT max(step) AS s FROM k GROUP BY grp)), g AS (SELECT r.step, coalesce(sum(cost), 0) AS cost FROM range(1, 201) r(step) LEFT JOIN k ON k.step = r.step GROUP BY 1), t AS (SELECT step, sum(cost) OVER (ORDER BY step) AS upto FROM g), b AS (SELECT coalesce(max(step), 0) AS best FROM t, m WHERE step <= m AND upto <= (SELECT 3.0 * count(*) FROM customer))
 SELECT unit_id, grp, arm, best / 200 AS share FROM k, b WHERE step <= best""",
     "breakeven_effects": "SELECT * FROM (VALUES " + ", ".join(f"({a}, {c}::DOUBLE)" for a, c in enumerate(_COSTS)) + ") t(arm, breakeven)",
     "baseline_policies": " UNION ALL ".join(
