@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import hazard, learners, refute
+from ..operators import cox, hazard, learners, refute
 from .features import _rounded
 from .inputs import UNITS, frame, plain
 
@@ -97,6 +97,14 @@ def hazard_slopes(spark, sf_dir):
     return _rounded(out, "rmst", "churn", "value", digits=5)
 
 
+def cox_curves(spark, sf_dir):
+    units = _units(spark, sf_dir)
+    m = cox.fit_cox(units, "half_years", "event", X)
+    s = m.survival(range(1, HORIZON + 1))
+    out = units.select("unit_id", m.risk().alias("hazard_ratio"), hazard.churn_probability(s, 6).alias("churn"), hazard.mean_time(s, HORIZON).alias("rmst"))
+    return _rounded(out, "hazard_ratio", "churn", "rmst", digits=5)
+
+
 def uplift_on_survival(spark, sf_dir):
     out = hazard.survival_effects(_units(spark, sf_dir), "half_years", "event", "arm", HORIZON, margin=F.col("mu0"), within=8)
     names = [f"{k}_{a}" for a in (1, 2, 3) for k in ("rmst", "value", "churn")]
@@ -152,7 +160,7 @@ def rosenbaum(spark, sf_dir):
 QUERIES = {
     "s_learner": s_learner, "t_learner": t_learner, "t_learner_folds": t_learner_folds, "x_learner": x_learner, "dr_learner": dr_learner, "dr_ate": dr_ate, "r_learner": r_learner, "local_centering": centering,
     "learner_leaderboard": leaderboard, "propensity_scores": propensities, "propensity_report": propensity_report, "confounding_demo": confounding, "segment_effects": segment_means, "hazard_model": hazards,
-    "hazard_values": hazard_slopes, "survival_uplift": uplift_on_survival, "linear_effect": linear_effect, "partial_linear_ate": partial_linear, "refute_placebo": placebo, "refute_common_cause": common_cause,
+    "hazard_values": hazard_slopes, "cox_survival": cox_curves, "survival_uplift": uplift_on_survival, "linear_effect": linear_effect, "partial_linear_ate": partial_linear, "refute_placebo": placebo, "refute_common_cause": common_cause,
     "refute_subset": subsets, "refute_confounder": confounder, "refutation_suite": suite, "sensitivity_contour": contour, "rosenbaum_bounds": rosenbaum,
 }
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stayflow.functions.numerics import chi2_sf, e_value, kolmogorov_sf
 from stayflow.functions.prefix import running
-from stayflow.operators import allocation, cleaning, economics, hazard, learners, lifetime, pit, quality, refute, survival
+from stayflow.operators import allocation, cleaning, cox, economics, hazard, learners, lifetime, pit, quality, refute, survival
 from stayflow.sources import adapters, warehouse
 
 
@@ -214,3 +214,37 @@ def test_adapters(spark):
     assert (r.arm, r.treated, r.churn_next, r.value_h, r.recency_days) == (1, 1, 0, 9.5, 3 * 30.4375)
     assert adapters.read_table(spark, "/tmp/no-such-file.csv") is None
     assert adapters.sample_rows(telco, "customerID", 5).count() == 1
+
+
+def test_cox_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cox, "STEP", 3)  # several rows per time of many events
+    rng = random.Random(11)
+    rows = [(float(rng.randint(1, 6)), rng.randint(0, 1), rng.gauss(0, 2), float(rng.random() < 0.3)) for _ in range(150)]
+    df = spark.createDataFrame([*rows, (None, 1, 0.0, 0.0), (3.0, 1, None, 1.0)], "t double, e int, u double, v double")
+    m = cox.fit_cox(df, "t", "e", ("u", "v"))
+    t, e, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2:] for r in rows])
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+
+    def likelihood(b):
+        risk, total = np.exp(z @ b), 0.0
+        for at in np.unique(t[e == 1]):
+            dead = (t == at) & (e == 1)
+            total += (z[dead] @ b).sum() - sum(math.log(risk[t >= at].sum() - i / dead.sum() * risk[dead].sum()) for i in range(dead.sum()))
+        return total
+
+    b = m.coef * x.std(axis=0)
+    aim = lambda b: likelihood(b) / len(t) - 0.0005 * (b @ b)
+    for step in np.eye(2) * 1e-4:
+        assert abs(aim(b + step) - aim(b - step)) / 2e-4 < 1e-6 and aim(b) > max(aim(b + 100 * step), aim(b - 100 * step))
+    assert abs(likelihood(b) - m.log_likelihood) < 1e-6
+    risk = np.exp((x - x.mean(axis=0)) @ m.coef)
+    so_far = 0.0
+    for r in m.baseline.orderBy("t").collect():
+        own = ((t == r.t) & (e == 1)).sum() / risk[t >= r.t].sum()
+        so_far += own
+        assert abs(r.hazard - own) < 1e-9 and abs(r.cumhaz - so_far) < 1e-9
+    curve = df.dropna().select(m.survival([0.5, 6.0]).alias("s")).first().s
+    assert curve[0] == 1.0 and abs(curve[1] - math.exp(-so_far * risk[0])) < 1e-9
+    none = cox.fit_cox(df.where("e = 0"), "t", "e", ("u",))
+    assert none.coef[0] == 0 and none.baseline.count() == 0
+    assert cox.fit_cox(df.limit(0), "t", "e", ("u",)).coef[0] == 0
