@@ -208,8 +208,8 @@ def _votes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [statistics(t.as_py()) for t in batch.column("text")]
-        rows = [(votes(s[1]), features(*s).tolist()) for s in found if s is not None]
+        # one text's statistics at a time: they are many times as large as the text
+        rows = [(votes(s[1]), features(*s).tolist()) for s in (statistics(t.as_py()) for t in batch.column("text")) if s is not None]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["votes", "x"])
 
 
@@ -244,11 +244,13 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", samp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [statistics(t.as_py()) for t in batch.column("text")]
-            cast = np.array([votes(s and s[1]) for s in found], dtype=np.int64).reshape(-1, len(NAMES))
-            x = np.array([features(*s) if s else np.zeros(FEATURES) for s in found]).reshape(-1, FEATURES)
-            score = np.where([s is not None for s in found], scorer.score(x), 0.0) if len(found) else np.zeros(0)
-            n = [int(s[1][-1]) if s else 0 for s in found]
+            n, own_votes, scores = [], [], []
+            for t in batch.column("text"):
+                s = statistics(t.as_py())
+                n.append(int(s[1][-1]) if s else 0)
+                own_votes.append(votes(s and s[1]))
+                scores.append(float(scorer.score(features(*s))) if s else 0.0)
+            cast, score = np.array(own_votes, dtype=np.int64).reshape(-1, len(NAMES)), np.array(scores, dtype=np.float64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array(n, pa.int64()), pa.array(cast.tolist(), pa.list_(pa.int32())), pa.array(labels.posterior(cast)), pa.array(score), pa.array(score >= threshold)],
                 names=["key", "n_words", "votes", "posterior", "score", "kept"],
@@ -263,10 +265,12 @@ def keep_good(df: DataFrame, text: str = "text", sample: int = 8192, threshold:
     _, scorer = fit(df, text, sample)
     at = df.columns.index(text)
 
+    def passes(value: str | None) -> bool:
+        s = statistics(value)
+        return s is not None and bool(scorer.score(features(*s)) >= threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [statistics(t.as_py()) for t in batch.column(at)]
-            keep = [s is not None and bool(scorer.score(features(*s)) >= threshold) for s in found]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array([passes(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
