@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import align_documents
 from .ann import nearest
+from .language import identify_languages
 from .licenses import scan_licenses
+from .manifest import document_manifest
 from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .page_text import extract_text
@@ -64,13 +67,28 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op11_byte_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_license_scan, op2_feistel_shards, op3_hamming_search, op4_ngram_join, op5_warc_archives, op6_source_mix, op7_page_text, op8_piece_encoding, op9_quality, op10_vector_dedup)
+    own = (
+        op1_license_scan, op2_feistel_shards, op3_hamming_search, op4_ngram_join, op5_warc_archives, op6_source_mix, op7_page_text, op8_piece_encoding, op9_quality, op10_vector_dedup,
+        op11_byte_language, op12_merkle_manifest, op13_token_alignment,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_join": OP4_SQL, "op6_source_mix": OP6_SQL}
+    return {"op4_ngram_join": OP4_SQL, "op6_source_mix": OP6_SQL, "op12_merkle_manifest": _merkle_sql()}
 
 
 #: All pairs that share a shingle; the fixpoint takes the smallest document of each component.
@@ -125,3 +143,55 @@ SELECT doc_id, size, t.source_size, t.target, size * (floor(epochs)::INT + CASE
   d.source, epochs, floor(epochs)::INT + CASE WHEN bucket <= coalesce(cut, -1) THEN 1 ELSE 0 END AS repeats
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """The tree built level by level, for groups of up to 8 ** levels rows; paths are joined from the levels."""
+    step = "SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END AS c FROM "
+    table = "(SELECT range AS i, range AS c FROM range(256))"
+    for _ in range(8):
+        table = f"({step}{table})"
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({field('doc_id')} || {field('source')} || {field('lang')} || {field('n_chars')} || {field(text)})"
+
+    def tree(name: str, start: str) -> str:
+        """CTEs name0, name1, ...: (tree, i, h, n), a level each; nodes of trees that are done stay out of the next."""
+        out = [f"{name}0 AS ({start})"]
+        for k in range(levels):
+            out.append(f"{name}{k + 1} AS (SELECT tree, i // 8 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, (any_value(n) + 7) // 8 AS n FROM {name}{k} WHERE n > 1 GROUP BY tree, i // 8)")
+        return ", ".join(out)
+
+    def siblings(name: str) -> str:
+        """Per level and node the digests left and right of it in its run; none of a node that is alone in its tree."""
+        w = "PARTITION BY tree, i // 8 ORDER BY i ROWS BETWEEN"
+        return " UNION ALL ".join(
+            f"SELECT {k} AS k, tree, i, coalesce(string_agg(h, '') OVER ({w} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER ({w} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k} WHERE n > 1" for k in range(levels)
+        )
+
+    joins, proof = [], []
+    for name, own, at in (("s", "tree", "place"), ("t", "zero", "tree")):
+        for k in range(levels):
+            a = f"{name}x{k}"
+            joins.append(f"LEFT JOIN {name}s {a} ON {a}.k = {k} AND {a}.tree = d.{own} AND {a}.i = d.{at} // {8**k}")
+            proof.append(f"coalesce({a}.l || {a}.r, '')")
+    sides = ", ".join(f"{n}x{k}.l AS {n}l{k}, {n}x{k}.r AS {n}r{k}" for n in "st" for k in range(levels))
+    last, chain = "f0", []
+    for j, (n, k) in enumerate([(n, k) for n in "st" for k in range(levels)]):
+        chain.append(f"f{j + 1} AS (SELECT * REPLACE (CASE WHEN {n}l{k} IS NULL THEN g ELSE sha256({n}l{k} || g || {n}r{k}) END AS g) FROM {last})")
+        last = f"f{j + 1}"
+    return f"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM {table}), d0 AS (
+  SELECT doc_id, lang, {leaf('text')} AS leaf, {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS changed,
+    xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(t[xor(c & 255, b) + 1], c // 256)), 4294967295) AS crc
+  FROM documents, crc
+), d AS (
+  SELECT doc_id, leaf, CASE WHEN crc % 3 = 0 THEN changed ELSE leaf END AS shown, 0 AS zero, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM d0
+), {tree('s', 'SELECT tree, place AS i, leaf AS h, n FROM d')}, roots AS ({' UNION ALL '.join(f'SELECT tree, h FROM s{k} WHERE n = 1' for k in range(levels + 1))}),
+{tree('t', 'SELECT 0 AS tree, tree AS i, h, count(*) OVER () AS n FROM roots')}, top AS ({' UNION ALL '.join(f'SELECT h FROM t{k} WHERE n = 1' for k in range(levels + 1))}),
+ss AS ({siblings('s')}), ts AS ({siblings('t')}), f0 AS (
+  SELECT d.doc_id, leaf, roots.h AS subroot, top.h AS root, sha256({' || '.join(proof)}) AS proof_sha256, shown AS g, {sides}
+  FROM d JOIN roots ON roots.tree = d.tree, top {' '.join(joins)}
+), {', '.join(chain)}
+SELECT doc_id, leaf, subroot, root, proof_sha256, g AS folded_root, g = root AS verified FROM {last}
+"""
