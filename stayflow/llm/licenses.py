@@ -51,6 +51,8 @@ TAG = "spdx-license-identifier:"
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+#: What ends a tag's value; a quotation mark or a tag of markup may stand behind one too.
+_VALUE_END = re.compile(r"[\r\n]|\*/|-->|#}|%>|\?>|</|\"")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -119,33 +121,13 @@ def allows(expression: str, allowed: tuple[str, ...] = ALLOWED) -> bool | None:
     return stack[0]
 
 
-def tag_expression(text: str, at: int) -> str:
-    """The expression after a tag that ends at ``at``: the longest run of tokens on that line that alternates as an expression does."""
-    end = text.find("\n", at)
-    line = text[at : len(text) if end < 0 else end]
-    taken, depth, operand = 0, 0, True
-    for m in re.finditer(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)", line):
-        if line[taken : m.start()].strip():
-            break
-        token, low = m[1], m[1].lower()
-        if token == "(":
-            if not operand:
-                break
-            depth += 1
-        elif token == ")":
-            if operand or not depth:
-                break
-            depth -= 1
-        elif low in _RANK:
-            if operand:
-                break
-            operand = True
-        else:
-            if not operand:
-                break
-            operand = False
-        taken = m.end()
-    return re.sub(r"(?i)(\s+(and|or|with))+\s*$", "", line[:taken]).strip()
+def tag_expression(text: str, at: int, end: int) -> str:
+    """The value of a tag that ends at ``at``: what follows on its line, up to the mark that ends a comment or to ``end``, the next tag.
+
+    Nothing is cut off that the parser might refuse.
+    """
+    m = _VALUE_END.search(text, at, end)
+    return text[at : m.start() if m else end].strip()
 
 
 def _automaton(phrases: dict[str, tuple]) -> ahocorasick.Automaton:
@@ -179,14 +161,17 @@ def scan_text(text: str | None, automaton, tags) -> tuple:
         low = raw.lower().decode("utf-8", "surrogatepass")
         whole = raw.decode("utf-8", "surrogatepass")
         if len(low) == len(whole):
-            expressions = [e for end, _ in tags.iter(low) if (e := tag_expression(whole, end + 1))]
-    allowed = [bool(a) for a in map(allows, expressions)]  # a tag that does not parse allows nothing
+            ends = [end + 1 for end, _ in tags.iter(low)]
+            expressions = [tag_expression(whole, e, stop) for e, stop in zip(ends, [*[e - len(TAG) for e in ends[1:]], len(whole)], strict=True)]
+    answers = [allows(e) for e in expressions]
+    allowed = [bool(a) for a in answers]  # a tag that does not parse allows nothing
+    parsed = any(a is not None for a in answers)
     for e in expressions:
         postfix = to_postfix(e) or []
         # of an exception and its license, which stand before their operator, only the license is one
         exceptions = {i - 1 for i, x in enumerate(postfix) if x == "with"}
         labels.update(f"spdx:{x}" for i, x in enumerate(postfix) if x not in _RANK and i not in exceptions)
-    score = 1.0 if allowed else (0.9 if labels and granted else 0.5 if labels else 0.0)
+    score = 1.0 if parsed else (0.9 if labels and granted else 0.5 if labels or answers else 0.0)
     place = lambda at: None if at is None else line.count(" ", 0, at)
     return (
         len(words), n_base, place(first), place(last), ",".join(sorted(base)), ",".join(sorted(labels | base)), score,
@@ -205,9 +190,10 @@ def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Words are ``[0-9a-z\\x80-]+`` after lower-casing A-Z. ``n_base`` counts all places of base phrases, overlaps
     included; ``first_word`` and ``last_word`` are the smallest and largest start of such a place in words from 0,
     null without one. ``labels`` holds the base labels, the labels of further phrases and ``spdx:`` identifiers of
-    tags. ``score`` is 1 with a tag that parses, 0.9 with a phrase and a grant wording, 0.5 with a phrase only, else
-    0. ``expression`` joins the tags' expressions, and ``allowed`` tells whether all of them permit reuse (null
-    without one). A null or empty text has no words, labels '' and score 0; repeated rows give repeated results; an
+    tags that parse. ``score`` is 1 with a tag that parses, else 0.9 with a label and a grant wording, 0.5 with a label
+    or a tag only, else 0. ``expression`` joins the tags' values (a value goes to the end of
+    its line or comment, however long), and ``allowed`` tells whether all of them parse and permit reuse (null without
+    a tag). A null or empty text has no words, labels '' and score 0; repeated rows give repeated results; an
     empty table gives an empty result; other columns are not read.
     """
 

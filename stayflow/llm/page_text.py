@@ -6,7 +6,8 @@ block takes its path's ratios, which are smoothed along the page, fused, and thr
 points out the element that holds the content, whose blocks are the text, short ones and headings included, along with
 blocks elsewhere that pass. Elements that mark themselves as something else (navigation, adverts, forms, comments and
 so on) have paths of their own, whose scores are cut to a tenth: a mark counts as far as the page has better text
-outside it, so a mark on a wrapper of the whole page changes nothing.
+outside it, so a mark on a wrapper of the whole page changes nothing as long as an article or main element in it has none;
+without one, a page that is marked throughout (a menu, a form) has no main text.
 
 Pages are independent, so the operator is one pass over the rows where they lie. A page takes memory in proportion to
 its length, however deep its elements are nested.
@@ -40,11 +41,18 @@ HINTS = frozenset(
     " notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended pagination pager skip widget"
     " contentinfo complementary search dialog feedback reviews survey paywall disclaimer".split()
 )
+#: Of these, the words that mark leaves of a text too.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments reply replies cookie cookies consent gdpr notice notices"
+    " alert popup newsletter subscribe signup login paywall disclaimer".split()
+)
 #: An open element of the key is closed by a start tag of the values.
 CLOSED_BY = {
     "p": BLOCK - {"body", "html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody"}, "td": {"td", "th", "tr"},
-    "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}, "h1": {"h1", "h2", "h3", "p"}, "h2": {"h1", "h2", "h3", "p"}, "h3": {"h1", "h2", "h3", "p"},
+    "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}, **{f"h{k}": frozenset("h1 h2 h3 h4 h5 h6 p".split()) for k in range(1, 7)},
 }
+#: By start tag, the open elements that it closes.
+CLOSES = {tag: tuple(e for e, tags in CLOSED_BY.items() if tag in tags) for tag in BLOCK}
 #: An open element of these is closed by nothing from within but its own end.
 SCOPE = frozenset("html body article main section div table td th ul ol dl blockquote nav aside footer header form".split())
 
@@ -61,11 +69,11 @@ MARK_FACTOR = 0.1
 SHARE = 0.9
 
 
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """(whether the attributes hide the element, whether their class, id or role names something besides the text)."""
-    hidden = named = False
+def _marks(attributes: str) -> tuple[bool, bool, bool]:
+    """(whether the attributes hide the element, whether their class, id or role names something besides the text, whether so by a word that marks leaves too)."""
+    hidden = named = strong = False
     if len(attributes) < 4:
-        return hidden, named
+        return hidden, named, strong
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _UNSEEN.search(value):
@@ -75,7 +83,8 @@ def _marks(attributes: str) -> tuple[bool, bool]:
                 parts = [x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", word)]
                 if parts and parts[0] not in ("with", "has", "no", "js", "is") and (parts[0] in HINTS or parts[-1] in HINTS):
                     named = True
-    return hidden, named
+                    strong = strong or parts[0] in STRONG or parts[-1] in STRONG
+    return hidden, named, strong
 
 
 class Page:
@@ -99,7 +108,8 @@ def read_page(page: str) -> Page:
     """The page's block elements and text blocks, in order; what the elements of SKIP and RAW hold is left out."""
     out = Page()
     stack: list[tuple[str, int, bool]] = [("#", 0, False)]  # tag, number of the innermost block element, skipped
-    open_tags: dict[str, int] = {}
+    places: dict[str, list[int]] = {}  # by tag, where it stands in the stack
+    scopes: list[int] = []  # where elements of SCOPE stand
     held: list[str] = []
     where, plain = 0, False
 
@@ -121,12 +131,14 @@ def read_page(page: str) -> Page:
                 return
             where = stack[-1][1]
         text = html.unescape(text)
-        plain = plain or not text.isspace() and not open_tags.get("a")
+        plain = plain or not text.isspace() and not places.get("a")
         held.append(text)
 
     def close(k: int) -> None:
-        for tag, _, _ in stack[k:]:
-            open_tags[tag] -= 1
+        for tag, _, _ in reversed(stack[k:]):
+            places[tag].pop()
+            if tag in SCOPE:
+                scopes.pop()
         del stack[k:]
 
     at, end = 0, len(page)
@@ -140,23 +152,17 @@ def read_page(page: str) -> Page:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1) if open_tags.get(tag) else ():
-                if stack[k][0] == tag:
-                    if tag in BLOCK or any(x[0] in BLOCK for x in stack[k:]):
-                        flush()
-                    close(k)
-                    break
-                if stack[k][0] in SCOPE and tag not in BLOCK:
-                    break
+            k = places[tag][-1] if places.get(tag) else 0
+            if k and (tag in BLOCK or not scopes or scopes[-1] <= k):
+                if tag in BLOCK or any(x[0] in BLOCK for x in stack[k:]):
+                    flush()
+                close(k)
             continue
         if tag in BLOCK:
             flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if tag in CLOSED_BY.get(stack[k][0], ()):
-                    close(k)
-                    break
-                if stack[k][0] in SCOPE:
-                    break
+            k = max((places[t][-1] for t in CLOSES[tag] if places.get(t)), default=0)
+            if k and (not scopes or scopes[-1] <= k):
+                close(k)
         if tag in VOID:
             if tag == "br" or tag == "hr":
                 add(" ")
@@ -167,14 +173,16 @@ def read_page(page: str) -> Page:
             at = at or end
             continue
         skipped, number = stack[-1][2] or tag in SKIP, stack[-1][1]
-        hidden, named = _marks(m[3])
-        marked = hidden or tag in MARKED or named and tag not in LEAVES
+        hidden, named, strong = _marks(m[3])
+        marked = hidden or tag in MARKED or named and tag not in LEAVES or strong and tag not in ("html", "body", "main")
         if tag in BLOCK or marked:
             if marked or skipped and not stack[-1][2]:
                 flush()
             number = out.open(number, tag, marked)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SCOPE:
+            scopes.append(len(stack))
         stack.append((tag, number, skipped))
-        open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
     return out
 
@@ -199,9 +207,13 @@ def main_text(text: str | None) -> str:
     page = read_page(text or "")
     if not page.blocks:
         return ""
+    least = min(page.marks[e] for e, _, _ in page.blocks)
+    if least and not any(t in ("article", "main") and page.marks[e] == page.marks[page.parent[e]] for e, t in enumerate(page.tag)):
+        return ""  # all is marked, and nothing in it says it is the text
     score, own = path_scores(page)
     level = min(score.std(), score.max())
-    content = score >= level
+    # a marked block must be as good as half of the best one even so
+    content = score >= np.where(np.array([page.marks[e] for e, _, _ in page.blocks]) > least, max(level, 0.5 * score.max()), level)
     element = np.array([e for e, _, _ in page.blocks])
     parent = np.array(page.parent)
     # the deepest element that holds SHARE of the content; children have greater numbers than their parents

@@ -15,8 +15,10 @@ reach the driver. Texts are read where they lie, once for the votes and once for
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -31,42 +33,68 @@ GOOD, BAD, ABSTAIN = 1, 0, -1
 #: Character classes of bytes: 0 blank, 1 line end, 2 a-z and digits, 3 A-Z, 4 marks of prose and addresses, 5 other ASCII, 6 from 0x80 (parts of letters).
 _CLASS = np.array(
     [1 if c in (10, 13) else 0 if c == 32 or 9 <= c <= 13 else 2 if 97 <= c <= 122 or 48 <= c <= 57 else 3 if 65 <= c <= 90
-     else 4 if chr(c) in ".,;:'\"?()-@+/_" else 6 if c >= 128 else 5 for c in range(256)], dtype=np.int64)
+     else 4 if chr(c) in ".,;:'\"?()-@+/_" else 6 if c >= 128 else 5 for c in range(256)], dtype=np.uint8)
 _CLASSES = 7
 NAMES = ("marks", "capitals", "bars", "repeats", "variety", "word_length", "sentences")
 #: Hash buckets of the scorer's features: character-class n-grams, words, repetition.
 GRAMS, WORDS, STEPS = 256, 128, 32
 FEATURES = GRAMS + WORDS + STEPS
 _NGRAM = 4
-#: Words of a run whose distinct ones are counted.
-RUN = 64
+#: Words of a run whose distinct ones are counted, and bytes of a text that are looked at together.
+RUN, BLOCK = 64, 1 << 18
+_BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
-def statistics(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]] | None:
-    """(classes of bytes, statistics that the labellers read, words) of a whole text; None without words."""
+def _blocks(data: bytes) -> Iterator[tuple[int, int]]:
+    """Ranges of about BLOCK bytes that end before white space, so that no word is cut."""
+    at = 0
+    while at < len(data):
+        m = _BLANK.search(data, at + BLOCK) if at + BLOCK < len(data) else None
+        yield at, (at := m.start() if m else len(data))
+
+
+def statistics(text: str | None, scored: bool = False) -> tuple[np.ndarray, np.ndarray | None] | None:
+    """(statistics that the labellers read, with ``scored`` the scorer's features) of a whole text; None without words.
+
+    The text is gone through in blocks, so arrays stay small however long it is.
+    """
     data = (text or "").encode("utf-8", "surrogatepass")
-    words = data.split()
-    if not words:
-        return None
     raw = np.frombuffer(data, dtype=np.uint8)
-    kind = _CLASS[raw]
-    count = np.bincount(kind, minlength=_CLASSES)
+    count, grams, hashed = np.zeros(_CLASSES, dtype=np.int64), np.zeros(GRAMS, dtype=np.int64), np.zeros(WORDS, dtype=np.int64)
+    n = odd = same = runs = distinct = 0
+    pending: list[bytes] = []  # words of the run that is not full
+    recent: list[bytes] = []  # the last RUN words
+    for begin, end in _blocks(data):
+        kind = _CLASS[raw[begin:end]]
+        count += np.bincount(kind, minlength=_CLASSES)
+        words = data[begin:end].split()
+        if words:
+            same += sum(map(eq, words, words[1:])) + bool(recent and recent[-1] == words[0])
+            of_word = np.cumsum(np.diff((kind < 2).astype(np.int8), prepend=1) == -1)
+            odd += len(np.unique(of_word[kind == 5]))  # words with a mark that prose does not use
+            n += len(words)
+            pending += words
+            recent = (recent + words)[-RUN:]
+            at = 0
+            while len(pending) - at > RUN:
+                distinct, runs, at = distinct + len(set(pending[at : at + RUN])), runs + 1, at + RUN
+            pending = pending[at:]
+        if scored:
+            code = _CLASS[raw[max(0, begin - _NGRAM + 1) : end]].astype(np.int64)
+            whole = np.zeros(max(0, len(code) - _NGRAM + 1), dtype=np.int64)
+            for j in range(_NGRAM):
+                whole = whole * _CLASSES + code[j : j + len(whole)]
+            grams += np.bincount((whole * 2654435761 % (1 << 32)) * GRAMS >> 32, minlength=GRAMS)
+            hashed += np.bincount(np.fromiter(map(crc32, words), dtype=np.int64, count=len(words)) % WORDS, minlength=WORDS)
+    if not n:
+        return None
     letters = count[2] + count[3] + count[6]
     visible = max(1, len(raw) - count[0] - count[1])
-    numbers: dict[bytes, int] = {}
-    order = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int64, count=len(words))
-    n = len(words)
     # distinct words in runs, so that long texts are judged as short ones are; the last run ends with the text
-    starts = [*range(0, n - RUN, RUN), n - RUN]
-    distinct = len(numbers) / n if n <= RUN else float(np.mean([len(set(order[k : k + RUN].tolist())) for k in starts])) / RUN
-    blank = kind < 2
-    of_word = np.cumsum(np.diff(blank.astype(np.int8), prepend=1) == -1)
-    odd = len(np.unique(of_word[kind == 5]))  # words with a mark that prose does not use
+    variety = len(set(recent)) / n if n <= RUN else (distinct + len(set(recent))) / (runs + 1) / RUN
     ends = sum(data.count(m) for m in (b". ", b".\n", b"? ", b"! ")) + data.rstrip().endswith((b".", b"?", b"!"))
-    return kind, np.array([
-        count[5] / visible, count[3] / max(1, letters), data.count(b"|") / n, np.count_nonzero(order[1:] == order[:-1]) / max(1, n - 1),
-        distinct, odd / n, visible / n, ends / n, n,
-    ]), words
+    s = np.array([count[5] / visible, count[3] / max(1, letters), data.count(b"|") / n, same / max(1, n - 1), variety, odd / n, visible / n, ends / n, n])
+    return s, features(s, grams, hashed) if scored else None
 
 
 def votes(s: np.ndarray | None) -> list[int]:
@@ -86,17 +114,11 @@ def votes(s: np.ndarray | None) -> list[int]:
     ]
 
 
-def features(kind: np.ndarray, s: np.ndarray, words: list[bytes]) -> np.ndarray:
+def features(s: np.ndarray, grams: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     """Shares of hashed character-class n-grams and of hashed words, and marks of word repetition, as a vector of FEATURES."""
-    code = np.zeros(max(0, len(kind) - _NGRAM + 1), dtype=np.int64)
-    for j in range(_NGRAM):
-        code = code * _CLASSES + kind[j : j + len(code)]
-    hashed = (code * 2654435761 % (1 << 32)) * GRAMS >> 32
     out = np.zeros(FEATURES)
-    if len(code):
-        out[:GRAMS] = np.sqrt(np.bincount(hashed, minlength=GRAMS) / len(code))
-    place = np.fromiter(map(crc32, words), dtype=np.int64, count=len(words)) % WORDS
-    out[GRAMS : GRAMS + WORDS] = np.sqrt(np.bincount(place, minlength=WORDS) / len(words))
+    out[:GRAMS] = np.sqrt(grams / max(1, grams.sum()))
+    out[GRAMS : GRAMS + WORDS] = np.sqrt(hashed / hashed.sum())
     for name, value in enumerate((s[3], s[4], s[5])):
         step = int(min(1.0, value) * 8)
         out[GRAMS + WORDS + (name * 64 + step) * 2654435761 % (1 << 32) * STEPS // (1 << 32)] += 1.0
@@ -202,14 +224,13 @@ def fit_scorer(x: np.ndarray, target: np.ndarray, penalty: float = 1e-3, rounds:
 
 def _votes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [votes(s and s[1]) for s in (statistics(t.as_py()) for t in batch.column("text"))]
+        rows = [votes(s and s[0]) for s in (statistics(t.as_py()) for t in batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array(rows, pa.list_(pa.int32()))], names=["hash", "votes"])
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        # one text's statistics at a time: they are many times as large as the text
-        rows = [(votes(s[1]), features(*s).tolist()) for s in (statistics(t.as_py()) for t in batch.column("text")) if s is not None]
+        rows = [(votes(s), x.tolist()) for s, x in filter(None, (statistics(t.as_py(), True) for t in batch.column("text")))]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["votes", "x"])
 
 
@@ -246,10 +267,10 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", samp
         for batch in batches:
             n, own_votes, scores = [], [], []
             for t in batch.column("text"):
-                s = statistics(t.as_py())
-                n.append(int(s[1][-1]) if s else 0)
-                own_votes.append(votes(s and s[1]))
-                scores.append(float(scorer.score(features(*s))) if s else 0.0)
+                s = statistics(t.as_py(), True)
+                n.append(int(s[0][-1]) if s else 0)
+                own_votes.append(votes(s and s[0]))
+                scores.append(float(scorer.score(s[1])) if s else 0.0)
             cast, score = np.array(own_votes, dtype=np.int64).reshape(-1, len(NAMES)), np.array(scores, dtype=np.float64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array(n, pa.int64()), pa.array(cast.tolist(), pa.list_(pa.int32())), pa.array(labels.posterior(cast)), pa.array(score), pa.array(score >= threshold)],
@@ -266,8 +287,8 @@ def keep_good(df: DataFrame, text: str = "text", sample: int = 8192, threshold:
     at = df.columns.index(text)
 
     def passes(value: str | None) -> bool:
-        s = statistics(value)
-        return s is not None and bool(scorer.score(features(*s)) >= threshold)
+        s = statistics(value, True)
+        return s is not None and bool(scorer.score(s[1]) >= threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,9 @@
 import html
 import itertools
 import re
+import subprocess
+import sys
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -41,9 +44,26 @@ def test_marks_on_wrappers_change_nothing(pages, start):
         assert page_text.main_text(p.replace("<body>", f"<body>{start}").replace("</body>", f"{end}</body>")) == article(p)
 
 
-def test_own_header_and_leaves_stay(pages):
-    p = pages[0].replace("<article><h1>", "<article><header><h1>").replace("</h1>", "</h1></header>", 1).replace("</article>", '<p class="notice">A notice, here.</p></article>', 1)
-    assert page_text.main_text(p) == article(pages[0]) + "\nA notice, here."
+def test_own_header_stays_and_marked_leaves_go(pages):
+    p = pages[0].replace("<article><h1>", "<article><header><h1>").replace("</h1>", "</h1></header>", 1)
+    for leaf in ('<p class="notice">A notice, here.</p>', '<p class="advert">Buy this. Now, please.</p>', '<ul><li class="comment">I, too, think so.</li></ul>'):
+        assert page_text.main_text(p.replace("</article>", leaf + "</article>", 1)) == article(pages[0])
+    assert page_text.main_text(p.replace("</article>", '<p class="lead">A lead, here.</p></article>', 1)) == article(pages[0]) + "\nA lead, here."
+
+
+@pytest.mark.parametrize("page", [
+    "<body><nav><ul><li><a href=/>Home</a><li><a href=/a>About</a></ul></nav></body>", "<form><label>Name</label><input></form>", "<footer>All rights, reserved. 2020.</footer>",
+    '<div id="comments"><article class="comment"><p>A comment, at length. It says much, and more.</p></article></div>', '<div class="cookie-notice">We use cookies, as all do. Accept.</div>', "<script>x</script>", "",
+])
+def test_pages_without_text_of_their_own(page):
+    assert page_text.main_text(page) == ""
+
+
+@pytest.mark.parametrize("part", ["<b><h4>x", "<b><pre>x", "<i><dt></dt>", "<b></i><h2>y", "<td><b><td>", "<li><div><b><li>z"])
+def test_broken_pages_take_linear_time(part):
+    began = time.process_time()
+    page_text.read_page("<dt><div>" + part * 100_000)
+    assert time.process_time() - began < 10
 
 
 def test_deep_nesting():
@@ -109,3 +129,35 @@ def test_warc_fields():
     back = warc.parse(raw.encode())
     assert (back["page_id"], back["url"], back["refers_to"], back["record_type"], back["payload_bytes"]) == (7, "http://x/a b?c=%20#d", 3, "revisit", 5)
     assert warc.info("a.warc.zst").startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+
+
+def test_statistics_by_blocks_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("ab c.\n|é#A  "), 700)) for _ in range(20)] + ["word " * 200, "x", " \n", "tail #"]
+    whole = [quality.statistics(t, True) for t in texts]
+    monkeypatch.setattr(quality, "BLOCK", 37)
+    for t, w in zip(texts, whole, strict=True):
+        got = quality.statistics(t, True)
+        assert (got is None) == (w is None) and (w is None or (np.allclose(got[0], w[0]) and np.allclose(got[1], w[1])))
+    words = texts[0].split()
+    s = whole[0][0]
+    assert s[-1] == len(words) and s[3] == sum(a == b for a, b in zip(words, words[1:])) / (len(words) - 1) and s[5] == sum("#" in w or "|" in w for w in words) / len(words)
+    runs = [words[k : k + 64] for k in [*range(0, len(words) - 64, 64), len(words) - 64]] if len(words) > 64 else [words]
+    assert s[4] == pytest.approx(np.mean([len(set(r)) / len(r) for r in runs]))
+
+
+def test_a_text_of_200_mb_takes_little_memory():
+    """In a process of its own: the peak stays within 2 GB, of which the text itself and its bytes are 0.4."""
+    code = "import resource\nfrom stayflow.llm import quality\nt = 'Some words of prose, and more. ' * 6_500_000\nassert quality.statistics(t, True)[0][-1] == 39_000_000\nprint(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 2_000_000
+
+
+@pytest.mark.parametrize("value, allowed", [("MIT", True), ("MIT AND /*x*/ GPL-3.0-only", False), ("MIT @ OR GPL-2.0", False), ("MIT AND", False), ("MIT */", True), ("(MIT OR GPL-2.0) -->", True), ("", False), ("MIT and more prose", False)])
+def test_tag_values_are_parsed_whole(value, allowed):
+    automaton = licenses._automaton({p: ("base", v) for p, v in licenses.BASE_PHRASES.items()})
+    tags = licenses.ahocorasick.Automaton()
+    tags.add_word(licenses.TAG, True)
+    tags.make_automaton()
+    row = licenses.scan_text(f"/* SPDX-License-Identifier: {value}\nGPL-2.0", automaton, tags)
+    assert row[8] is allowed and row[6] == (1.0 if licenses.to_postfix(row[7] or "") else 0.5)
+    assert len(licenses.scan_text("SPDX-License-Identifier:" * 100_000, automaton, tags)) == 9
