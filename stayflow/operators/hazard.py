@@ -31,11 +31,12 @@ class Hazard:
         return survival_of(self.hazard())
 
 
-def fit_hazard(df: DataFrame, time: str, event: str, horizon: int, x: Sequence[str] = (), by: str | None = None, l2: float = 1e-6, rounds: int = 15, tol: float = 1e-7) -> dict:
+def fit_hazard(df: DataFrame, time: str, event: str, horizon: int, x: Sequence[str] = (), by: str | None = None, l2: float = 1e-6, rounds: int = 30, tol: float = 1e-9) -> dict:
     """Per value of ``by`` (few; one entry None without) the model fitted on a row per unit and period lived, by Newton's method.
 
     Rows that agree in group, period and features are counted once, before the first round. A round is one aggregate
-    per group and period: levels meet in no row, so their part of the second derivatives is diagonal.
+    per group and period: levels meet in no row, so their part of the second derivatives is diagonal. Periods without
+    an event have hazard 0, those that nobody outlives hazard 1, whatever the features. It ends with steps below ``tol``.
     """
     p = len(x)
     rows = person_period(df, time, event, horizon, [*x, *([by] if by else [])]).select((F.col(by) if by else F.lit(0)).alias("g"), "period", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)], "event").dropna()
@@ -45,8 +46,8 @@ def fit_hazard(df: DataFrame, time: str, event: str, horizon: int, x: Sequence[s
     for g, b in beta.items():
         b[:horizon] = -30.0  # nobody is left then
     for r in start:
-        beta[r.g][r.period] = np.log((r.d + 0.5) / (r.n - r.d + 0.5))
-    seen = {(r.g, r.period) for r in start}
+        beta[r.g][r.period] = -30.0 if r.d == 0 else 30.0 if r.d == r.n else np.log((r.d + 0.5) / (r.n - r.d + 0.5))
+    seen = {(r.g, r.period) for r in start if 0 < r.d < r.n}
     kind = dict(rows.dtypes)["g"]
     for _ in range(rounds):
         now = df.sparkSession.createDataFrame([(g, k, float(b[k]), [float(v) for v in b[horizon:]]) for g, b in beta.items() for k in range(horizon) if (g, k) in seen], f"g {kind}, period int, level double, slopes array<double>")
@@ -58,7 +59,8 @@ def fit_hazard(df: DataFrame, time: str, event: str, horizon: int, x: Sequence[s
         scored = cells.join(F.broadcast(now), ["g", "period"]).withColumn("e", F.col("d") - h).withColumn("v", h * (1 - h / F.col("n")))
         terms = [F.sum("e").alias("e"), F.sum("v").alias("v"), *[F.sum(F.col("e") * c).alias(f"e{i}") for i, c in enumerate(xs)], *[F.sum(F.col("v") * c).alias(f"v{i}") for i, c in enumerate(xs)]]
         terms += [F.sum(F.col("v") * xs[i] * xs[j]).alias(f"v{i}_{j}") for i in range(p) for j in range(i, p)]
-        gradient, hessian = {g: -l2 * b for g, b in beta.items()}, {g: l2 * np.eye(horizon + p) for g in beta}
+        ridge = np.array([0.0] * horizon + [l2] * p)  # levels are determined by their own events
+        gradient, hessian = {g: -ridge * b for g, b in beta.items()}, {g: np.diag(ridge) for g in beta}
         for r in scored.groupBy("g", "period").agg(*terms).collect():
             gradient[r.g][r.period] += r.e
             hessian[r.g][r.period, r.period] += r.v
@@ -71,10 +73,11 @@ def fit_hazard(df: DataFrame, time: str, event: str, horizon: int, x: Sequence[s
                     hessian[r.g][horizon + j, horizon + i] = hessian[r.g][horizon + i, horizon + j]
         largest = 0.0
         for g, b in beta.items():
-            step = np.where([*((g, k) in seen for k in range(horizon)), *[True] * p], np.clip(solve(hessian[g], gradient[g]), -3, 3), 0.0)
-            b += step
-            largest = max(largest, float(np.abs(gradient[g][[*[k for k in range(horizon) if (g, k) in seen], *range(horizon, horizon + p)]]).max(initial=0.0)))
-        if largest < tol * max(1.0, sum(r.n for r in start)):
+            own = [*[k for k in range(horizon) if (g, k) in seen], *range(horizon, horizon + p)]
+            step = np.clip(solve(hessian[g][np.ix_(own, own)], gradient[g][own]), -3, 3) if own else np.zeros(0)
+            b[own] += step
+            largest = max(largest, float(np.abs(step).max(initial=0.0)))
+        if largest < tol:
             break
     cells.unpersist()
     return {(g if by else None): Hazard(b[:horizon], b[horizon:], tuple(x)) for g, b in beta.items()}

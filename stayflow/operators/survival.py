@@ -91,9 +91,12 @@ def concordance(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     return sums.withColumn("c_index", F.when(F.col("pairs") > 0, (F.col("concordant") + F.col("tied") / 2) / F.col("pairs")))
 
 
-def time_dependent_auc(df: DataFrame, time: str, event: str, risk: str, times: Sequence[float], least: float = 1e-3) -> DataFrame:
-    """(tau, n_cases, n_controls, auc): cases with an event up to tau, weighted by 1 / G before it, against units that live longer."""
-    g = step_lookup(df, F.col(time).cast("double"), censoring_survival(df, time, event, least), "g", "__g", left=True)
+def time_dependent_auc(df: DataFrame, time: str, event: str, risk: str, times: Sequence[float], least: float = 1e-3, before: Column | None = None) -> DataFrame:
+    """(tau, n_cases, n_controls, auc): cases with an event up to tau, weighted by 1 / G before it, against units that live longer.
+
+    ``before``: each row's own probability to be uncensored until its end, where censoring depends on the features.
+    """
+    g = step_lookup(df, F.col(time).cast("double"), censoring_survival(df, time, event, least), "g", "__g", left=True) if before is None else df.withColumn("__g", before)
     rows = g.select(F.explode(F.array(*[F.lit(float(t)) for t in times])).alias("tau"), F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r"), "__g")
     case = (F.col("t") <= F.col("tau")) & (F.col("e") == 1)
     control = F.col("t") > F.col("tau")
@@ -103,12 +106,19 @@ def time_dependent_auc(df: DataFrame, time: str, event: str, risk: str, times: S
     return sums.select("tau", "n_cases", "n_controls", F.when((F.col("w") > 0) & (F.col("n_controls") > 0), F.col("won") / (F.col("w") * F.col("n_controls"))).alias("auc"))
 
 
-def brier(df: DataFrame, time: str, event: str, survival: Column, times: Sequence[float], least: float = 1e-3) -> DataFrame:
-    """(tau, brier): the inverse-probability weighted squared error of ``survival`` (an expression of the column tau)."""
-    curve = censoring_survival(df, time, event, least)
+def brier(df: DataFrame, time: str, event: str, survival: Column, times: Sequence[float], least: float = 1e-3, before: Column | None = None, at: Column | None = None) -> DataFrame:
+    """(tau, brier): the inverse-probability weighted squared error of ``survival`` (an expression of the column tau).
+
+    ``before`` and ``at`` (of tau): each row's own probabilities to be uncensored until its end and beyond tau, where
+    censoring depends on the features; else one curve serves all rows.
+    """
     rows = df.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in times])))
-    rows = step_lookup(rows, F.col(time).cast("double"), curve, "g", "__before", left=True)
-    rows = step_lookup(rows, F.col("tau"), curve, "g", "__at")
+    if before is None or at is None:
+        curve = censoring_survival(df, time, event, least)
+        rows = step_lookup(rows, F.col(time).cast("double"), curve, "g", "__before", left=True)
+        rows = step_lookup(rows, F.col("tau"), curve, "g", "__at")
+    else:
+        rows = rows.withColumns({"__before": before, "__at": at})
     dead = (F.col(time) <= F.col("tau")) & F.col(event).cast("boolean")
     error = F.when(dead, F.pow(survival, 2) / F.col("__before")).when(F.col(time) > F.col("tau"), F.pow(1 - survival, 2) / F.col("__at")).otherwise(0.0)
     return rows.groupBy("tau").agg(F.avg(error).alias("brier"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import allocation, estimation, features, lifetime, monitoring, retention, storage
+from . import allocation, estimation, features, lifetime, monitoring, retention, storage, trees
 
-_PARTS = (features, retention, allocation, estimation, lifetime, monitoring, storage)
+_PARTS = (features, retention, allocation, estimation, trees, lifetime, monitoring, storage)
 
 
 def queries() -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,10 +137,17 @@ SQL["drift_report"] = f"""
 SELECT *, {_GRADE} AS severity FROM (
   SELECT feature, 'number' AS kind, psi, ks, js, NULL::DOUBLE AS chi2, NULL::DOUBLE AS cramers_v, missing_delta FROM ({SQL['population_stability']}) a JOIN ({SQL['ks_distance']}) b USING (feature) JOIN ({SQL['js_divergence']}) c USING (feature) JOIN ({SQL['missing_rates']}) d USING (feature)
   UNION ALL SELECT feature, 'category', psi, NULL, NULL, chi2, cramers_v, missing_delta FROM ({SQL['category_stability']}) a JOIN ({SQL['chi2_categories']}) b USING (feature) JOIN ({SQL['missing_rates']}) d USING (feature))"""
+
+
+def _whole(sql: str, name: str) -> str:
+    """The query with the column ``name`` not rounded."""
+    return re.sub(rf"round\((.*), 6\) AS {name}\b", rf"\1 AS {name}", sql)
+
+
 _TAU = "(SELECT sum(CASE WHEN i % 2 = 1 THEN 2 ELSE -2 END * exp(-2 * i * i * s * s * r * c / (r + c))) FROM range(1, 101) t(i))"
 _GAMMA = "(SELECT sum(exp(-u / 2) * u ** (dof / 2 - 1)) * (x2 / 200000) / (2 ** (dof / 2) * gamma(dof / 2)) FROM (SELECT (i + 0.5) * x2 / 200000 AS u FROM range(200000) t(i)))"
-SQL["drift_p_values"] = f"""SELECT feature, 'ks' AS test, round(ks, 5) AS statistic, round(least(1, greatest(0, {_TAU})), 5) AS p_value FROM (SELECT feature, ks, ks AS s, n_ref::DOUBLE AS r, n_cur::DOUBLE AS c FROM ({SQL['ks_distance']}))
-UNION ALL SELECT feature, 'chi2', round(x2, 5), round(1 - {_GAMMA}, 5) FROM (SELECT feature, chi2 AS x2, dof::DOUBLE AS dof FROM ({SQL['chi2_categories']}))"""
+SQL["drift_p_values"] = f"""SELECT feature, 'ks' AS test, round(ks, 5) AS statistic, round(least(1, greatest(0, {_TAU})), 5) AS p_value FROM (SELECT feature, ks, ks AS s, n_ref::DOUBLE AS r, n_cur::DOUBLE AS c FROM ({_whole(SQL['ks_distance'], 'ks')}))
+UNION ALL SELECT feature, 'chi2', round(x2, 5), round(1 - {_GAMMA}, 5) FROM (SELECT feature, chi2 AS x2, dof::DOUBLE AS dof FROM ({_whole(SQL['chi2_categories'], 'chi2')}))"""
 SQL["prediction_drift"] = f"""WITH d AS {_D}, m AS (SELECT avg(price) FILTER (now = 0) AS a, avg(price) FILTER (now = 1) AS b, stddev_samp(price) FILTER (now = 1) / stddev_samp(price) FILTER (now = 0) AS s, quantile_cont(price, 0.9) FILTER (now = 1) - quantile_cont(price, 0.9) FILTER (now = 0) AS p FROM d)
 SELECT round(psi, 5) AS psi, round(ks, 5) AS ks, round(js, 5) AS js, round(a, 5) AS mean_ref, round(b, 5) AS mean_cur, round(s, 5) AS sd_ratio, round(p, 5) AS p90_shift, CASE WHEN psi >= 0.25 THEN 'alert' WHEN psi >= 0.1 THEN 'warn' ELSE 'ok' END AS severity
 FROM m, (SELECT psi, ks, js FROM ({SQL['population_stability']}) x JOIN ({SQL['ks_distance']}) y USING (feature) JOIN ({SQL['js_divergence']}) z USING (feature) WHERE feature = 'price')"""

@@ -10,7 +10,13 @@ from stayflow.plans.inputs import TABLES
 
 
 def plain(v):
-    return None if isinstance(v, float) and math.isnan(v) else round(v, 4) if isinstance(v, float) else str(v) if v is not None else None
+    """Queries round what they return; beyond their digits only the noise of another order of sums is allowed for."""
+    return None if isinstance(v, float) and math.isnan(v) else v if isinstance(v, float) else str(v) if v is not None else None
+
+
+def unit(x, y):
+    """One in the last decimal that either number shows."""
+    return 10.0 ** -max(next((d for d in range(9) if abs(round(v, d) - v) < 1e-10), 9) for v in (x, y))
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +40,13 @@ def test_equals_sql(spark, sf, duck, name):
     got = sorted((key(plain(r[c]) for c in names) for r in df.collect()), key=repr)
     want = sorted((key(plain(v) for v in r) for r in cur.fetchall()), key=repr)
     assert len(got) == len(want)
+    # what lies on a half may be rounded to either side, as sums are added up in another order: one value in fifty, no more
+    turned = 0
     for a, b in zip(got, want, strict=True):
         for x, y in zip(a, b, strict=True):
-            assert x == y or isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-4, abs_tol=2e-4), (a, b)
+            if x != y:
+                assert isinstance(x, float) and isinstance(y, float), (a, b)
+                if not math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9):
+                    turned += 1
+                    assert abs(x - y) <= 1.01 * unit(x, y), (a, b)
+    assert turned <= max(1, len(got) * len(names) // 50)
