@@ -53,7 +53,7 @@ def prices(df: DataFrame, net: str, budgets: Sequence[float], costs: Sequence[fl
 
 
 def fill(items: DataFrame, lead: Column, key: str, cost: str, budget: float) -> DataFrame:
-    """The items that fit one after another in descending order of ``lead`` (ties by key): one that does not fit is passed over.
+    """The items that fit one after another in descending order of ``lead`` (ties by the column ``key``, which tells all items apart): one that does not fit is passed over.
 
     Until an item does not fit, those that do are a prefix, found by running sums; from then on no item of that cost or
     more can fit. So there are at most as many rounds as there are distinct costs.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import allocation, economics
+from ..operators import allocation, constrained, economics
 from .features import _rounded
 from .inputs import UNITS, frame, plain
 
@@ -95,6 +95,25 @@ def parity(spark, sf_dir):
     return out.withColumn("share", F.lit(share))
 
 
+def capacities(spark, sf_dir):
+    """A budget, and room for a tenth of the units in each arm but the first."""
+    n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    out, _ = constrained.capacity_allocate(_nets(spark, sf_dir), "net", "unit_id", 3.0 * n, (None, None, n // 10, n // 10))
+    return _rounded(out, "cost", "value")
+
+
+def parity_within(spark, sf_dir):
+    out, told = constrained.parity_reweight(_nets(spark, sf_dir), "net", "unit_id", "grp", _budget(spark, sf_dir), 0.05)
+    return _rounded(out.withColumn("share", F.lit(float(told["share"]))), "cost", "value", "share")
+
+
+def reference_policies(spark, sf_dir):
+    """Costs differ by unit: contacts in some nations cost more."""
+    nets = _nets(spark, sf_dir)
+    cost = F.array(*[F.lit(float(c)) * (1 + (F.col("x2") % 3) / 10) for c in economics.COSTS])
+    return _rounded(constrained.reference_policies(nets, "unit_id", "risk", "y", "net", cost, 1000.0), "cost")
+
+
 def breakevens(spark, sf_dir):
     return spark.createDataFrame([(a, float(c)) for a, c in enumerate(economics.breakeven())], "arm int, breakeven double")
 
@@ -125,7 +144,7 @@ def impact(spark, sf_dir):
 
 QUERIES = {
     "decision_frame": decisions, "net_values": net_value, "roi_summary": roi, "per_arm_summary": arms, "lagrangian_allocate": lagrangian, "greedy_allocate": greedy,
-    "topped_up_allocation": topped_up, "allocation_summary": allocation_summary, "pareto_arms": pareto, "repair_budget": repaired, "parity_allocation": parity, "breakeven_effects": breakevens,
+    "topped_up_allocation": topped_up, "allocation_summary": allocation_summary, "pareto_arms": pareto, "repair_budget": repaired, "parity_allocation": parity, "capacity_allocation": capacities, "parity_reweighted": parity_within, "reference_policies": reference_policies, "breakeven_effects": breakevens,
     "efficient_frontier": frontier, "baseline_policies": baselines, "off_policy_value": policy_value, "policy_bootstrap": policy_bootstrap, "oracle_gap": gap,
     "fairness_audit": fairness, "disparate_impact": impact,
 }
