@@ -34,7 +34,7 @@ from .common import written
 
 A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Units kept per worker, code points of text aligned at once, links of a chunk of documents.
-REMEMBERED, PART, LINKS = 1 << 19, 1 << 20, 1 << 22
+REMEMBERED, PART, LINKS = 1 << 18, 1 << 19, 1 << 22
 #: Units of more code points than this go to the library whose merges take no quadratic time.
 LONG = 512
 #: Steps from the middle of an interval before its other ends are tried all at once.
