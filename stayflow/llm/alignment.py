@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trimmed, written
 
 A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Units kept per worker, code points of text aligned at once, links of a chunk of documents.
@@ -345,7 +345,7 @@ def encode_documents(df: DataFrame, key: str, text: str, a_path: str, b_path: st
         if chunk.rows:
             yield chunk.batch()
 
-    return written(df.select(df[key].cast("string").alias("key"), df[text].alias("text")).mapInArrow(run, f"key string, {ENCODED}"), "zstd")
+    return written(df.select(df[key].cast("string").alias("key"), df[text].alias("text")).mapInArrow(trimmed(run), f"key string, {ENCODED}"), "zstd")
 
 
 def _slices(parts: list[str]) -> Iterator[list[str]]:

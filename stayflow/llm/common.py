@@ -6,10 +6,14 @@ lost executor costs a rerun of single tasks and never of the whole lineage.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,21 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trimmed(run):
+    """The batch function of a task that gives freed memory back when it ends: worker processes stay for later tasks, which share their executor's memory."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform.startswith("linux"):
+                with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it has
+                    ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def global_row_number(df: DataFrame, order: list, name: str = "row_number", partitions: int | None = None) -> DataFrame:
     """Adds the row's number from 0 in the order of the columns ``order`` (nulls first), over all rows.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trimmed, written
 
 GOOD, BAD, ABSTAIN = 1, 0, -1
 
@@ -237,14 +237,14 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(df: DataFrame, text: str = "text", sample: int = 8192) -> tuple[LabelModel, Scorer]:
     """The label model of all documents' votes and the scorer of ``sample`` documents at most, those whose text hashes lowest."""
     hashed = df.select(F.xxhash64(df[text]).alias("hash"), df[text].alias("text"))
-    voted = written(hashed.mapInArrow(_votes_of, "hash long, votes array<int>"))
+    voted = written(hashed.mapInArrow(trimmed(_votes_of), "hash long, votes array<int>"))
     counted = voted.groupBy("votes").count().collect()  # 3 ** labellers rows at most
     patterns = np.array([r["votes"] for r in counted], dtype=np.int64).reshape(-1, len(NAMES))
     labels = fit_labels(patterns, np.array([r["count"] for r in counted], dtype=float)) if len(patterns) else LabelModel(np.array([0.5, 0.5]), np.full((2, len(NAMES), 3), 1 / 3))
     # equal texts count once in the sample, whatever their number
     last = voted.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
     chosen = hashed.where(F.col("hash") <= F.lit(last if last is not None else 0)).dropDuplicates(["hash"])
-    rows = chosen.mapInArrow(_features_of, "votes array<int>, x array<float>").collect()
+    rows = chosen.mapInArrow(trimmed(_features_of), "votes array<int>, x array<float>").collect()
     if not rows:
         return labels, Scorer(np.zeros(FEATURES), 0.0)
     x = np.array([r["x"] for r in rows], dtype=np.float64)
@@ -278,7 +278,7 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", samp
             )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(run, f"key {kind}, {SCORED}").withColumnRenamed("key", key)
+    return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(trimmed(run), f"key {kind}, {SCORED}").withColumnRenamed("key", key)
 
 
 def keep_good(df: DataFrame, text: str = "text", sample: int = 8192, threshold: float = 0.5) -> DataFrame:
@@ -294,4 +294,4 @@ def keep_good(df: DataFrame, text: str = "text", sample: int = 8192, threshold:
         for batch in batches:
             yield batch.filter(pa.array([passes(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)
