@@ -162,7 +162,8 @@ def scan_text(text: str | None, automaton, tags) -> tuple:
         whole = raw.decode("utf-8", "surrogatepass")
         if len(low) == len(whole):
             ends = [end + 1 for end, _ in tags.iter(low)]
-            expressions = [tag_expression(whole, e, stop) for e, stop in zip(ends, [*[e - len(TAG) for e in ends[1:]], len(whole)], strict=True)]
+            stops = [e - len(TAG) for e in [*ends[1:], len(whole) + len(TAG)]][: len(ends)]
+            expressions = [tag_expression(whole, e, stop) for e, stop in zip(ends, stops, strict=True)]
     answers = [allows(e) for e in expressions]
     allowed = [bool(a) for a in answers]  # a tag that does not parse allows nothing
     parsed = any(a is not None for a in answers)

@@ -161,3 +161,5 @@ def test_tag_values_are_parsed_whole(value, allowed):
     row = licenses.scan_text(f"/* SPDX-License-Identifier: {value}\nGPL-2.0", automaton, tags)
     assert row[8] is allowed and row[6] == (1.0 if licenses.to_postfix(row[7] or "") else 0.5)
     assert len(licenses.scan_text("SPDX-License-Identifier:" * 100_000, automaton, tags)) == 9
+    assert licenses.scan_text("spdx alone is no tag", automaton, tags)[6:] == (0.0, None, None)
+    assert licenses.scan_text("SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0", automaton, tags)[7:] == ("MIT | GPL-2.0", False)
