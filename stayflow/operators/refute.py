@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numerics import normal_cdf
 from ..functions.prefix import running
+from ..functions.tables import written
 from .linear import design, moments, solve
 from .splits import folds, uniform
 
@@ -79,6 +80,30 @@ def placebo(df: DataFrame, y: str, w: str, x: Sequence[str], key: str, n: int =
     return _result(df, "placebo", original, values, not low <= original <= high)
 
 
+def placebo_permuted(df: DataFrame, y: str, w: str, x: Sequence[str], key: str, n: int = 20, seed: int = 11) -> DataFrame:
+    """(test, original, mean, low, high, p_value, passed): the treatment column shuffled over all rows, with every arm's count kept exactly.
+
+    Each draw orders the rows by a hash of their key and hands the arms out in that order; the draws are numbered over
+    ranges in one job and fitted from one aggregate. ``p_value`` is the share of draws at least as far from 0 as the
+    original. Rows without outcome or treatment take no part. Rows of equal keys lie side by side in a draw.
+    """
+    rows = df.where(F.col(y).isNotNull() & F.col(w).isNotNull())
+    original = linear_effect(rows, F.col(y), F.col(w), x)["effect"]
+    arms = rows.groupBy(F.col(w).cast("double").alias("w")).count().orderBy("w").collect()  # a row per arm
+    last = np.cumsum([r["count"] for r in arms])
+    shuffled = F.lit(None).cast("double")
+    for r, upto in zip(reversed(arms), reversed(last), strict=True):
+        shuffled = F.when(F.col("__rank") <= int(upto), F.lit(r["w"])).otherwise(shuffled)
+    drawn = rows.select(F.col(key).alias("__key"), F.col(y).alias("__y"), *[F.col(c).alias(f"__x{i}") for i, c in enumerate(x)], F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__draw"))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", (F.col("__draw") + seed).cast("string"), F.col("__key").cast("string")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    ranked = running(drawn.withColumn("__u", u), F.col("__u"), [F.col("__key")], number="__rank", by=["__draw"])
+    parts = moments(ranked.withColumn("__w", shuffled), [*design([f"__x{i}" for i in range(len(x))]), F.col("__w")], [F.col("__y")], [F.col("__draw")])
+    values = [float(solve(gram, cross)[-1, 0]) for gram, cross, _ in parts.values()]
+    low, high = np.quantile(values, [0.025, 0.975])
+    p = float(np.mean(np.abs(values) >= abs(original)))
+    return _result(df, "placebo_permuted", original, values, not low <= original <= high).select("test", "original", "mean", "low", "high", F.lit(p).alias("p_value"), "passed")
+
+
 def common_cause(df: DataFrame, y: str, w: str, x: Sequence[str], key: str, n: int = 10, seed: int = 12, tolerance: float = 0.1) -> DataFrame:
     """A random regressor should change nothing: the mean relative change stays below ``tolerance``."""
     original = linear_effect(df, F.col(y), F.col(w), x)["effect"]
@@ -140,6 +165,43 @@ def matched_pairs(df: DataFrame, y: str, w: str, score: str, key: str) -> DataFr
     return thin[1].join(thin[0], "pair").select("pair", (F.col("y1") - F.col("y0")).alias("difference"))
 
 
+def hodges_lehmann(pairs: DataFrame, column: str = "difference", bins: int = 4096, at_once: int = 31, precision: float = 1e-10) -> DataFrame:
+    """(n, mean_difference, hodges_lehmann): the median of all averages of two differences, each with itself too, without writing the averages.
+
+    Counts per bin, folded with themselves, enclose the median within a bin's width; then candidates between the bounds
+    are counted: a candidate m has below it, for each difference d, the differences up to 2 m - d, which running counts
+    over ranges answer. The bounds meet to ``precision`` of the differences' range. Nulls and NaN take no part; no row:
+    n = 0 and nulls.
+    """
+    d = F.col("d")
+    rows = written(pairs.select(F.col(column).cast("double").alias("d")).where(d.isNotNull() & ~F.isnan(d)))
+    s = rows.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.min("d").alias("low"), F.max("d").alias("high")).first()
+    found, span = s["low"], (s["high"] - s["low"]) if s["n"] else 0.0
+    if span > 0:
+        counts = np.zeros(bins, dtype=np.int64)
+        for r in rows.groupBy(F.least(F.floor((d - s["low"]) / span * bins), F.lit(bins - 1)).alias("bin")).count().collect():  # a row per bin
+            counts[r["bin"]] = r["count"]
+        folded = np.convolve(counts, counts)
+        folded[::2] += counts
+        upto, every = np.cumsum(folded // 2), s["n"] * (s["n"] + 1) // 2
+        ranks = sorted({(every + 1) // 2, every // 2 + 1})  # an even number of averages has two middle ones
+        fuzz, bounds = 1e-12 * (span + abs(s["low"])), {}
+        for k in ranks:
+            at = int(np.searchsorted(upto, k))
+            bounds[k] = (s["low"] + at * span / bins / 2 - fuzz, s["low"] + (at + 2) * span / bins / 2 + fuzz)
+        while any(high - low > precision * span and np.nextafter(low, high) < high for low, high in bounds.values()):
+            tried = sorted({float(m) for low, high in bounds.values() for m in np.linspace(low, high, at_once + 2)[1:-1]})
+            asked = rows.select(F.posexplode(F.array(*[F.lit(2 * m) - d for m in tried])).alias("m", "v"))
+            points = rows.select(F.lit(-1).alias("m"), d.alias("v")).unionByName(asked)
+            counted = running(points, F.col("v"), [F.col("m")], {"below": (F.col("m") < 0).cast("long")}, "__rn").where("m >= 0").groupBy("m").agg(F.sum("below").alias("c")).collect()  # a row per candidate
+            own = rows.agg(*[F.count_if(d <= m).alias(f"m{i}") for i, m in enumerate(tried)]).first()
+            below = [(tried[r["m"]], (r["c"] + own[f"m{r['m']}"]) // 2) for r in counted]
+            for k, (low, high) in bounds.items():
+                bounds[k] = (max([low, *[m for m, c in below if c < k]]), min([high, *[m for m, c in below if c >= k]]))
+        found = float(np.mean([(low + high) / 2 for low, high in bounds.values()]))
+    return pairs.sparkSession.createDataFrame([(s["n"], s["mean"], found)], "n long, mean_difference double, hodges_lehmann double")
+
+
 def rosenbaum(pairs: DataFrame, gammas: Sequence[float] = (1.0, 1.2, 1.5, 2.0, 3.0)) -> DataFrame:
     """(gamma, n, w_plus, z_low, z_high, p_low, p_high): signed-rank bounds where hidden bias changes the odds of treatment by up to gamma."""
     d = F.col("difference")

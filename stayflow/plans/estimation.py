@@ -157,11 +157,21 @@ def rosenbaum(spark, sf_dir):
     return _rounded(refute.rosenbaum(pairs), "z_low", "z_high", "p_low", "p_high", digits=5)
 
 
+def placebo_permuted(spark, sf_dir):
+    return _rounded(refute.placebo_permuted(_treated(spark, sf_dir), "y", "w", X, "unit_id"), "original", "mean", "low", "high", digits=5)
+
+
+def hodges_lehmann(spark, sf_dir):
+    pairs = refute.matched_pairs(_treated(spark, sf_dir), "y", "w", "x1", "unit_id")
+    return _rounded(refute.hodges_lehmann(pairs), "mean_difference", "hodges_lehmann", digits=5)
+
+
 QUERIES = {
     "s_learner": s_learner, "t_learner": t_learner, "t_learner_folds": t_learner_folds, "x_learner": x_learner, "dr_learner": dr_learner, "dr_ate": dr_ate, "r_learner": r_learner, "local_centering": centering,
     "learner_leaderboard": leaderboard, "propensity_scores": propensities, "propensity_report": propensity_report, "confounding_demo": confounding, "segment_effects": segment_means, "hazard_model": hazards,
     "hazard_values": hazard_slopes, "cox_survival": cox_curves, "survival_uplift": uplift_on_survival, "linear_effect": linear_effect, "partial_linear_ate": partial_linear, "refute_placebo": placebo, "refute_common_cause": common_cause,
     "refute_subset": subsets, "refute_confounder": confounder, "refutation_suite": suite, "sensitivity_contour": contour, "rosenbaum_bounds": rosenbaum,
+    "refute_placebo_permuted": placebo_permuted, "hodges_lehmann": hodges_lehmann,
 }
 
 _U = f"(SELECT *, ceil(t / 6)::BIGINT AS half_years FROM ({plain(UNITS)}))"
@@ -255,3 +265,17 @@ SQL["learner_leaderboard"] = "WITH r AS (" + " UNION ALL ".join(
     f"SELECT '{name}' AS learner, (" + " + ".join(f"sqrt(avg((cate_{a} - tau{a}) ** 2))" for a in (1, 2, 3)) + ") / 3 AS pehe, (" + " + ".join(f"abs(avg(cate_{a} - tau{a}))" for a in (1, 2, 3)) + f") / 3 AS eps FROM ({SQL[q]}) c JOIN {_U} u ON u.unit_id = c.unit_id"
     for name, q in (("s", "s_learner"), ("t", "t_learner"), ("dr", "dr_learner"), ("r", "r_learner"))
 ) + ") SELECT learner, round(pehe, 4) AS pehe, round(eps, 4) AS eps_ate, rank() OVER (ORDER BY pehe, learner) AS rank FROM r"
+
+
+def _coef_of_three(y: str, a: str) -> str:
+    """The coefficient of ``a`` in a regression of ``y`` on it and both features."""
+    c = lambda p, q: f"covar_pop({p}, {q})"
+    det, g1, g2 = f"({c('x1', 'x1')} * {c('x2', 'x2')} - {c('x1', 'x2')} ** 2)", f"({c(a, 'x1')} * {c('x2', 'x2')} - {c(a, 'x2')} * {c('x1', 'x2')})", f"({c(a, 'x2')} * {c('x1', 'x1')} - {c(a, 'x1')} * {c('x1', 'x2')})"
+    return f"(({c(y, a)} - ({g1} * {c(y, 'x1')} + {g2} * {c(y, 'x2')}) / {det}) / ({c(a, a)} - ({g1} * {c(a, 'x1')} + {g2} * {c(a, 'x2')}) / {det}))"
+
+
+SQL["refute_placebo_permuted"] = f"""WITH u AS {_U}, s AS (SELECT unnest(range(20)) AS s), r AS (SELECT s, y, x1, x2, row_number() OVER (PARTITION BY s ORDER BY {_uniform('11 + s')}, unit_id) AS r FROM u, s), z AS (
+  SELECT s, y, x1, x2, (r > (SELECT count(*) FROM u WHERE w = 0))::INT AS z FROM r), v AS (SELECT s, {_coef_of_three('y', 'z')} AS v FROM z GROUP BY s)
+SELECT 'placebo_permuted' AS test, {_TOLD}, count(*) FILTER (abs(v) >= abs(original)) / count(*) AS p_value, {_OUT} AS passed FROM v, (SELECT {_coef_of_three('y', 'w')} AS original FROM u) GROUP BY original"""
+SQL["hodges_lehmann"] = SQL["rosenbaum_bounds"].partition(", q AS (")[0] + """, i AS (SELECT d, row_number() OVER (ORDER BY d) AS i FROM d)
+SELECT (SELECT count(*) FROM i) AS n, round((SELECT avg(d) FROM i), 5) AS mean_difference, round(median((a.d + b.d) / 2), 5) AS hodges_lehmann FROM i a JOIN i b ON a.i <= b.i"""

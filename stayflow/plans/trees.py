@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import forest, learners, meta, survival, survival_uplift
+from ..operators import forest, learners, meta, survival, survival_forest, survival_uplift
 from .features import _rounded
 from .inputs import UNITS, frame
 
@@ -78,7 +78,27 @@ def conditional_brier(spark, sf_dir):
     return _rounded(out, "brier")
 
 
-QUERIES = {f.__name__: f for f in (boosted_effects, boosted_leaderboard, cross_fitted_nuisances, causal_forest, forest_importances, robust_survival_uplift, conditional_censoring, conditional_brier)}
+def _survival(spark, sf_dir):
+    units = _units(spark, sf_dir)
+    model = survival_forest.fit_survival_forest(units, "half_years", "event", X, "unit_id", trees=30, depth=4)
+    return survival_forest.predict_survival_forest(units, model, (2.0, 4.0, 8.0), HORIZON)
 
-#: Trees and iterated fits have no SQL; tests/test_trees.py and tests/test_survival_uplift.py hold them against brute force.
+
+def survival_forest_curves(spark, sf_dir):
+    out = _survival(spark, sf_dir).select("unit_id", *[F.col("survival")[i].alias(f"survival_{t}") for i, t in enumerate((2, 4, 8))], "rmst", "mortality")
+    return _rounded(out, *out.columns[1:], digits=5)
+
+
+def survival_forest_concordance(spark, sf_dir):
+    return _rounded(survival.concordance(_survival(spark, sf_dir), "half_years", "event", "mortality"), "c_index")
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        boosted_effects, boosted_leaderboard, cross_fitted_nuisances, causal_forest, forest_importances, robust_survival_uplift, conditional_censoring, conditional_brier,
+        survival_forest_curves, survival_forest_concordance,
+    )
+}
+
+#: Trees and iterated fits have no SQL; tests/test_trees.py, tests/test_survival_forest.py and tests/test_survival_uplift.py hold them against brute force.
 SQL: dict[str, str] = {}

@@ -1,5 +1,6 @@
 """Own operators against brute force, worked examples, and odd rows."""
 
+import hashlib
 import math
 import random
 
@@ -148,6 +149,32 @@ def test_refutations_of_a_known_effect(spark):
     assert all(abs(r.original - want) < 1e-8 for r in rows.values())
 
 
+def test_a_permuted_placebo_keeps_the_arms_and_finds_chance(spark):
+    rng = np.random.default_rng(17)
+    x, w = rng.normal(size=400), rng.integers(0, 3, 400)
+    real, none = x + 1.5 * w + rng.normal(size=400), x + rng.normal(size=400)
+    rows = [(i, float(a), int(b), float(c), float(d)) for i, (a, b, c, d) in enumerate(zip(x, w, real, none, strict=True))]
+    df = spark.createDataFrame([*rows, (400, 0.0, None, 1.0, 1.0)], "k long, x double, w int, y double, z double")
+    found, chance = (refute.placebo_permuted(df, y, "w", ("x",), "k", n=40).first() for y in ("y", "z"))
+    assert found.p_value == 0 and found.passed and abs(found.mean) < 0.1 and chance.p_value > 0.05
+    # one draw against the same shuffle by hand
+    u = [int(hashlib.md5(f"11|{i}".encode()).hexdigest()[:12], 16) for i in range(400)]
+    shuffled = np.empty(400)
+    shuffled[np.argsort(u)] = np.sort(w)
+    want = np.linalg.lstsq(np.column_stack([np.ones(400), x, shuffled]), real, rcond=None)[0][-1]
+    assert abs(refute.placebo_permuted(df, "y", "w", ("x",), "k", n=1).first()["mean"] - want) < 1e-8
+
+
+def test_the_hodges_lehmann_estimate_equals_the_median_of_all_averages(spark):
+    rng = np.random.default_rng(18)
+    for d in (rng.standard_t(2, 2000), np.round(rng.normal(size=301), 1), np.array([1.0, 2.0, 4.0, 1e6]), np.array([3.0, 3.0])):
+        i, j = np.triu_indices(len(d))
+        got = refute.hodges_lehmann(spark.createDataFrame([(float(v),) for v in [*d, float("nan")]], "difference double")).first()
+        assert got.n == len(d) and abs(got.hodges_lehmann - np.median((d[i] + d[j]) / 2)) <= 2e-10 * max(1, np.ptp(d))
+    got = refute.hodges_lehmann(spark.createDataFrame([(None,)], "difference double")).first()
+    assert got.n == 0 and got.hodges_lehmann is None
+
+
 def test_lifetime_fit_is_a_maximum(spark):
     rng = np.random.default_rng(8)
     n = 800
