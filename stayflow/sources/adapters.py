@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.splits import hashed
+from ..functions.prefix import running
+from ..operators.splits import uniform
 from ..schema import PANEL
 
 MONTH_DAYS = 30.4375
@@ -25,8 +26,13 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def sample_rows(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
-    """``most`` rows at most, those whose keys hash lowest: the same ones under any partitioning."""
-    return df.orderBy(hashed(seed, key), key).limit(most)
+    """``most`` rows at most, those whose keys hash lowest: the same ones under any partitioning.
+
+    Rows are numbered over ranges of the hash, so ``most`` may be any share of the table. Null keys hash alike; of rows
+    with equal keys at the border any are taken.
+    """
+    numbered = running(df.withColumn("__sampled", uniform(seed, key)), F.col("__sampled"), [F.col(key)], number="__number")
+    return numbered.where(F.col("__number") <= most).drop("__sampled", "__number")
 
 
 def finalise(df: DataFrame, mapped: Mapping[str, Column], extras: Mapping[str, Column] | None = None) -> DataFrame:

@@ -149,6 +149,15 @@ def test_refutations_of_a_known_effect(spark):
     assert all(abs(r.original - want) < 1e-8 for r in rows.values())
 
 
+def test_a_sample_takes_the_rows_that_hash_lowest(spark):
+    low = sorted(range(500), key=lambda i: int(hashlib.md5(f"3|{i}".encode()).hexdigest()[:12], 16))
+    df = spark.range(500).withColumn("v", F.col("id") * 2)
+    for most in (0, 1, 350, 900):
+        got = adapters.sample_rows(df.repartition(5), "id", most, 3)
+        assert got.columns == ["id", "v"] and sorted(r.id for r in got.collect()) == sorted(low[:most])
+    assert adapters.sample_rows(df.where("false"), "id", 5).count() == 0
+
+
 def test_a_permuted_placebo_keeps_the_arms_and_finds_chance(spark):
     rng = np.random.default_rng(17)
     x, w = rng.normal(size=400), rng.integers(0, 3, 400)
