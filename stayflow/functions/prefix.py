@@ -15,7 +15,8 @@ def running(
 
     Each group's rows are cut into ranges of ``lead`` at its approximate quantiles; a range is summed by itself, and the
     totals of the group's ranges before it, a row per range, are added. The result equals a ROWS window over the
-    group, whatever the cuts are; only a value of ``lead`` that many rows share is one range.
+    group, whatever the cuts are; only a value of ``lead`` that many rows share is one range. A row per group and range
+    is broadcast, so groups must be few; ``df`` is computed three times, so write what is costly first.
     """
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = [F.col(b).alias(f"__b{i}") for i, b in enumerate(by)]

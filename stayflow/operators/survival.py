@@ -1,4 +1,4 @@
-"""Survival operators on (time, event) columns: times are few distinct values, so curves are aggregates over times."""
+"""Survival operators on (time, event) columns. Curves are aggregates over distinct times, summed by ranges of time, so times may be continuous."""
 
 from __future__ import annotations
 
@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import running
+from ..functions.tables import written
+
+#: Curves of more steps than this are joined by ranges instead of travelling as one array.
+ARRAY_STEPS = 4096
+#: Bits of a digit of a time's place in ``concordance``.
+DIGIT = 3
 
 
 def person_period(df: DataFrame, time: str, event: str, horizon: int, keep: Sequence[str]) -> DataFrame:
@@ -19,20 +25,19 @@ def person_period(df: DataFrame, time: str, event: str, horizon: int, keep: Sequ
 
 
 def kaplan_meier(df: DataFrame, time: str, event: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, t, n_events, n_at_risk, survival, greenwood) at the times of events.
+    """(by, t, n_events, n_at_risk, survival, greenwood) at the times of events; rows without a time take no part.
 
-    Rows are counted by time before any window, so the windows hold one row per distinct time. greenwood is the sum of
-    d / (n (n - d)) so far, null once nobody is left.
+    Rows are counted by time, and running sums over ranges of time give those at risk and the logarithms of the curve,
+    so no task holds all times of a group. greenwood is the sum of d / (n (n - d)) so far, null once nobody is left.
     """
-    times = df.groupBy(*by, F.col(time).cast("double").alias("t")).agg(F.sum(F.col(event).cast("int")).alias("n_events"), F.count("*").alias("__n"))
-    after = Window.partitionBy(*by).orderBy("t").rowsBetween(0, Window.unboundedFollowing)
-    upto = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    counted = times.withColumn("n_at_risk", F.sum("__n").over(after)).where("n_events > 0")
+    times = df.where(F.col(time).isNotNull()).groupBy(*by, F.col(time).cast("double").alias("t")).agg(F.sum(F.col(event).cast("int")).alias("n_events"), F.count("*").alias("__n"))
+    # from the last time back, the running count is the number at risk
+    counted = written(running(written(times), -F.col("t"), [], {"n_at_risk": F.col("__n")}, "__rn", by=by).where("n_events > 0"))
     d, n = F.col("n_events"), F.col("n_at_risk")
-    return counted.select(
-        *by, "t", "n_events", "n_at_risk", F.product(1 - d / n).over(upto).alias("survival"),
-        F.when(F.min(n - d).over(upto) > 0, F.sum(F.when(n > d, d / (n * (n - d)))).over(upto)).alias("greenwood"),
-    )
+    sums = {"__log": F.when(n > d, F.log1p(-d / n)).otherwise(0.0), "__gone": (n == d).cast("int"), "__green": F.when(n > d, d / (n * (n - d))).otherwise(0.0)}
+    curve = running(counted, F.col("t"), [], sums, "__rn", by=by)
+    alive = F.col("__gone") == 0
+    return curve.select(*by, "t", "n_events", "n_at_risk", F.when(alive, F.exp("__log")).otherwise(0.0).alias("survival"), F.when(alive, F.col("__green")).alias("greenwood"))
 
 
 def censoring_survival(df: DataFrame, time: str, event: str, least: float = 1e-3, by: Sequence[str] = ()) -> DataFrame:
@@ -42,14 +47,25 @@ def censoring_survival(df: DataFrame, time: str, event: str, least: float = 1e-3
 
 
 def step_lookup(df: DataFrame, at: Column, curve: DataFrame, value: str, name: str, before: float = 1.0, left: bool = False) -> DataFrame:
-    """Adds the value of a step curve (t, value) at ``at``: of the last t not above it, or with ``left`` of the last below; ``before`` ahead of the first.
+    """Adds the value of a step curve (t, value) at ``at``: of the last t not above it, or with ``left`` of the last below; ``before`` ahead of the first and where ``at`` is null.
 
-    The curve has a row per distinct time and travels as one sorted array.
+    A curve of at most ARRAY_STEPS steps travels as one sorted array. The steps of a longer one are numbered together
+    with the distinct places asked for, over ranges of time: a place's number of steps names its step.
     """
-    steps = curve.agg(F.array_sort(F.collect_list(F.struct("t", F.col(value).alias("v")))).alias("__steps"))
-    below = F.filter("__steps", lambda s: (s["t"] < at) if left else (s["t"] <= at))
-    found = df.crossJoin(F.broadcast(steps))  # a single row of the distinct times
-    return found.withColumn(name, F.coalesce(F.try_element_at(below, F.lit(-1))["v"], F.lit(before))).drop("__steps")
+    curve = written(curve.select(F.col("t").cast("double").alias("t"), F.col(value).alias("v")))
+    if curve.count() <= ARRAY_STEPS:
+        steps = curve.agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("__steps"))
+        below = F.filter("__steps", lambda s: (s["t"] < at) if left else (s["t"] <= at))
+        found = df.crossJoin(F.broadcast(steps))  # a single row of at most ARRAY_STEPS steps
+        return found.withColumn(name, F.coalesce(F.try_element_at(below, F.lit(-1))["v"], F.lit(before))).drop("__steps")
+    rows = df.withColumn("__at", at.cast("double"))
+    asked = rows.select(F.col("__at").alias("t")).where("t IS NOT NULL").distinct()
+    marks = curve.withColumn("__step", F.lit(1)).unionByName(asked.withColumn("__step", F.lit(0)), allowMissingColumns=True)
+    numbered = written(running(written(marks), F.col("t"), [F.col("__step") if left else F.desc("__step")], {"__upto": F.col("__step")}, "__rn"))
+    steps = numbered.where("__step = 1").select("__upto", "v")
+    found = numbered.where("__step = 0").select(F.col("t").alias("__at"), "__upto").join(steps, "__upto", "left").select("__at", F.col("v").alias("__found"))
+    out = rows.join(found, "__at", "left").withColumn(name, F.coalesce("__found", F.lit(before)))
+    return out.select(*[c for c in df.columns if c != name], name)
 
 
 def restricted_outcome(df: DataFrame, time: str, event: str, horizon: int, rate: float = 0.0) -> DataFrame:
@@ -72,23 +88,36 @@ def ipcw(df: DataFrame, time: str, event: str, horizon: int, rate: float = 0.0,
 def concordance(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     """(concordant, tied, pairs, c_index): of pairs in which one unit's event comes before the other's end, how often it had the higher risk.
 
-    A unit censored at the time of an event counts as ending later. Units are counted by (time, event, risk); each
-    count stands below all earlier event times, and running counts over risk there answer how many had a lower one.
-    Rows grow with distinct (time, risk) times distinct event times; score times in steps where they are continuous.
+    A unit censored at the time of an event counts as ending later. Units are counted by (time, event, risk) and the
+    distinct (time, event) are numbered in order. Two numbers differ first in one digit, so every pair meets once, in
+    the block of those whose higher digits agree; there running counts over risk, one for each digit, tell how many of
+    larger digit had a lower risk. Rows grow with the units times the digits of the number of distinct times, and a
+    block is cut into ranges of risk, so both may be continuous. Rows with a null in any of the three take no part.
     """
-    cells = df.groupBy(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r")).count().where("t IS NOT NULL AND e IS NOT NULL AND r IS NOT NULL")
-    events = cells.where("e = 1").select("t", "r", F.col("count").alias("cases"))
-    times = events.agg(F.array_sort(F.collect_set("t")).alias("times"))  # the distinct times of events
-    later = cells.crossJoin(F.broadcast(times)).select(F.explode(F.filter("times", lambda x: (x < F.col("t")) | ((x == F.col("t")) & (F.col("e") == 0)))).alias("t"), "r", F.col("count").alias("others"))
-    both = events.withColumn("others", F.lit(0)).unionByName(later.withColumn("cases", F.lit(0))).groupBy("t", "r").agg(F.sum("cases").alias("cases"), F.sum("others").alias("others"))
-    upto = running(both, F.col("r"), [], {"upto": F.col("others")}, "__rn", by=["t"])
-    whole = both.groupBy("t").agg(F.sum("others").alias("every"))
-    scored = upto.join(whole, "t")
-    sums = scored.agg(
-        F.coalesce(F.sum(F.col("cases") * (F.col("upto") - F.col("others"))), F.lit(0)).alias("concordant"),
-        F.coalesce(F.sum(F.col("cases") * F.col("others")), F.lit(0)).alias("tied"), F.coalesce(F.sum(F.col("cases") * F.col("every")), F.lit(0)).alias("pairs"),
+    cells = df.groupBy(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r")).agg(F.count("*").alias("n")).where("t IS NOT NULL AND e IS NOT NULL AND r IS NOT NULL")
+    cells = written(cells)
+    places = written(running(cells.select("t", "e").distinct(), F.col("t"), [F.desc("e")], number="place"))
+    levels = max(1, -(-places.count().bit_length() // DIGIT))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = cells.agg(F.array_distinct(F.percentile_approx("r", [i / parts for i in range(1, parts)] or [0.5], 1000)).alias("cuts"))  # a single row
+    ranged = cells.join(places, ["t", "e"]).crossJoin(F.broadcast(cuts)).select("place", "e", "r", "n", F.size(F.filter("cuts", lambda b: b < F.col("r"))).alias("range"))
+    rows = ranged.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    rows = rows.withColumn("block", F.expr(f"shiftright(place, {DIGIT} * (level + 1))")).withColumn("digit", F.expr(f"shiftright(place, {DIGIT} * level) & {(1 << DIGIT) - 1}"))
+    digits = range((1 << DIGIT) - 1)  # nothing is larger than the last digit
+    sums = [F.sum(F.when(F.col("digit") > d, F.col("n")).otherwise(0)).alias(f"o{d}") for d in digits] + [F.sum(F.when((F.col("digit") == d) & (F.col("e") == 1), F.col("n")).otherwise(0)).alias(f"c{d}") for d in digits]
+    met = written(rows.groupBy("level", "block", "range", "r").agg(*sums))
+    block = ["level", "block"]
+    whole = Window.partitionBy(*block)
+    before = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = met.groupBy(*block, "range").agg(*[F.sum(f"o{d}").alias(f"o{d}") for d in digits])
+    offsets = totals.select(*block, "range", *[F.coalesce(F.sum(f"o{d}").over(before), F.lit(0)).alias(f"b{d}") for d in digits], *[F.sum(f"o{d}").over(whole).alias(f"a{d}") for d in digits])
+    inside = Window.partitionBy(*block, "range").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    lower = met.select("*", *[F.coalesce(F.sum(f"o{d}").over(inside), F.lit(0)).alias(f"l{d}") for d in digits]).join(offsets, [*block, "range"])
+    over = lambda f: F.coalesce(F.sum(sum((F.col(f"c{d}") * f(d) for d in digits), F.lit(0))), F.lit(0))
+    got = lower.agg(
+        over(lambda d: F.col(f"l{d}") + F.col(f"b{d}")).alias("concordant"), over(lambda d: F.col(f"o{d}")).alias("tied"), over(lambda d: F.col(f"a{d}")).alias("pairs"),
     )
-    return sums.withColumn("c_index", F.when(F.col("pairs") > 0, (F.col("concordant") + F.col("tied") / 2) / F.col("pairs")))
+    return got.withColumn("c_index", F.when(F.col("pairs") > 0, (F.col("concordant") + F.col("tied") / 2) / F.col("pairs")))
 
 
 def time_dependent_auc(df: DataFrame, time: str, event: str, risk: str, times: Sequence[float], least: float = 1e-3, before: Column | None = None) -> DataFrame:
