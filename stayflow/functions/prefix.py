@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def running(
-    df: DataFrame, lead: Column, then: list[Column], sums: Mapping[str, Column] | None = None, number: str = "rn", buckets: int | None = None, by: Sequence[str] = (),
+    df: DataFrame, lead: Column, then: list[Column], sums: Mapping[str, Column] | None = None, number: str = "rn", buckets: int | None = None, by: Sequence[str] = (), mean_rank: str | None = None,
 ) -> DataFrame:
     """Adds the row's number from 1 and running sums in ascending order of ``lead`` (a number, nulls last) and ``then``, within groups ``by``.
 
@@ -17,6 +17,7 @@ def running(
     totals of the group's ranges before it, a row per range, are added. The result equals a ROWS window over the
     group, whatever the cuts are; only a value of ``lead`` that many rows share is one range. A row per group and range
     is broadcast, so groups must be few; ``df`` is computed three times, so write what is costly first.
+    ``mean_rank`` names a further column: the mean of the numbers of all rows with the same ``lead``.
     """
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = [F.col(b).alias(f"__b{i}") for i, b in enumerate(by)]
@@ -36,4 +37,8 @@ def running(
     out = keyed.alias("k").join(F.broadcast(offsets).alias("o"), [*same("k", "o"), F.col("k.__range") == F.col("o.__range")])  # a row per range
     out = out.select("k.*", *[f"__o_{k}" for k in parts])
     added = {k: F.coalesce(F.sum(f"__v_{k}").over(inside), F.lit(0)) + F.col(f"__o_{k}") for k in parts}
+    if mean_rank:  # rows of one value are in one range
+        peers = Window.partitionBy(*own, "__range").orderBy(F.col("__running_lead").asc_nulls_last())
+        last = F.count(F.lit(1)).over(peers.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        added[mean_rank] = F.col(f"__o_{number}") + last - (F.count(F.lit(1)).over(peers.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
     return out.select(*[F.col(c) for c in df.columns], *[c.alias(k) for k, c in added.items()])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import running
+from ..functions.tables import written
 
 from .balance import auc
 
@@ -183,15 +184,13 @@ def effect_stability(df: DataFrame, ref: str, cur: str, key: str, bins: int = 10
     """((n, spearman, pearson, sign_flips, top_retention), (ref_bin, cur_bin, n)) of two predictions for the same units.
 
     Bins hold equal counts: rank i from 0 of n is in bin floor(i * bins / n). Rank correlation uses mean ranks of ties.
+    Units that lack either prediction take no part. Each side is one sort by ranges, which gives place and mean rank.
     """
-    n = df.count()
-    rows = df.select(key, F.col(ref).cast("double").alias("r"), F.col(cur).cast("double").alias("c"))
-    for x in ("r", "c"):
-        cells = rows.groupBy(x).agg(F.count("*").alias("__n"))
-        mean = running(cells, F.col(x), [], {"__u": F.col("__n")}, "__k").select(F.col(x).alias("__x"), (F.col("__u") - (F.col("__n") - 1) / 2).alias(f"rank_{x}"))
-        rows = rows.join(mean, rows[x] == mean["__x"]).drop("__x")
-        rows = running(rows.persist(), F.col(x), [F.col(key)], number=f"rn_{x}")
-        rows = rows.withColumn(f"{'ref' if x == 'r' else 'cur'}_bin", F.floor((F.col(f"rn_{x}") - 1) * bins / n).cast("int"))
+    rows = written(df.select(key, F.col(ref).cast("double").alias("r"), F.col(cur).cast("double").alias("c")).where("r IS NOT NULL AND c IS NOT NULL"))
+    n = rows.count()
+    for x, to in (("r", "ref_bin"), ("c", "cur_bin")):
+        rows = running(rows, F.col(x), [F.col(key)], number=f"rn_{x}", mean_rank=f"rank_{x}").withColumn(to, F.floor((F.col(f"rn_{x}") - 1) * bins / n).cast("int"))
+        rows = written(rows)
     both = (F.col("r") != 0) & (F.col("c") != 0)
     top = F.col("ref_bin") == bins - 1
     summary = rows.agg(

@@ -132,12 +132,46 @@ def hidden_confounder(df: DataFrame, y: str, w: str, x: Sequence[str], key: str,
     return _result(df, "unobserved_confounder", original, values, all(np.sign(v) == np.sign(original) for v in values))
 
 
+def confounder_shift(df: DataFrame, y: str, w: str, x: Sequence[str], key: str, strengths: Sequence[float] = (0.25, 0.5, 1.0), tolerance: float = 0.35, seed: int = 14) -> DataFrame:
+    """(strength, effect, shift, predicted, gap, as_predicted): how far the confounder of ``hidden_confounder`` moves the estimate, and should.
+
+    A confounder that moves the standardised treatment and outcome by s shifts the effect by s^2 sd(y) / sd(w); the gap
+    may reach ``tolerance`` of that, or 0.02 sd(y) if more. A treatment that does not vary gives nulls.
+    """
+    stats = df.agg(F.avg(F.col(w).cast("double")).alias("m"), F.stddev_pop(F.col(w).cast("double")).alias("s"), F.stddev_samp(y).alias("y")).first()
+    kind = "strength double, effect double, shift double, predicted double, gap double, as_predicted boolean"
+    if not stats["s"] or stats["y"] is None:
+        return df.sparkSession.createDataFrame([(float(s), None, None, None, None, None) for s in strengths], kind)
+    # every strength is an outcome of the same regression
+    u = [F.lit(s) * (F.col(w) - stats["m"]) / stats["s"] + (uniform(seed + i, key) - 0.5) * math.sqrt(12) for i, s in enumerate(strengths)]
+    gram, cross, _ = moments(df, [*design(x), F.col(w)], [F.col(y), *[F.col(y) + s * stats["y"] * c for s, c in zip(strengths, u, strict=True)]])[()]
+    effects = solve(gram, cross)[-1]
+    rows = []
+    for s, e in zip(strengths, effects[1:], strict=True):
+        shift, predicted = float(e - effects[0]), s * s * stats["y"] / stats["s"]
+        gap = abs(shift - predicted)
+        rows.append((float(s), float(e), shift, predicted, gap, gap <= max(tolerance * abs(predicted), 0.02 * stats["y"])))
+    return df.sparkSession.createDataFrame(rows, kind)
+
+
+SUITE = "test string, original double, mean double, low double, high double, passed boolean, error string"
+
+
 def suite(df: DataFrame, y: str, w: str, x: Sequence[str], key: str) -> DataFrame:
-    """(test, original, mean, low, high, passed) of all tests."""
-    out = placebo(df, y, w, x, key)
-    for test in (common_cause, subsets, hidden_confounder):
-        out = out.unionByName(test(df, y, w, x, key))
-    return out
+    """(test, original, mean, low, high, passed, error) of all tests.
+
+    A test that the data do not allow (no row, an outcome that does not vary) is a row that has not passed, with what
+    went wrong; what fails in Spark itself is raised.
+    """
+    dof, rows = linear_effect(df, F.col(y), F.col(w), x)["dof"], []
+    for name, test in (("placebo", placebo), ("random_common_cause", common_cause), ("subset", subsets), ("unobserved_confounder", hidden_confounder)):
+        try:
+            if dof <= 0:
+                raise ValueError("fewer rows than the regression has coefficients")
+            rows.append((*test(df, y, w, x, key).first(), None))
+        except (ValueError, TypeError, KeyError, ArithmeticError, np.linalg.LinAlgError) as e:
+            rows.append((name, None, None, None, None, False, f"{type(e).__name__}: {e}"))
+    return df.sparkSession.createDataFrame(rows, SUITE)
 
 
 def contour(df: DataFrame, y: str, w: str, x: Sequence[str], steps: Sequence[float] = (0.0, 0.05, 0.1, 0.2, 0.3)) -> DataFrame:
@@ -149,6 +183,63 @@ def contour(df: DataFrame, y: str, w: str, x: Sequence[str], steps: Sequence[flo
     return grid.withColumn("bias", bias).withColumn("adjusted", toward)
 
 
+def _partial_r2(gram: np.ndarray, cross: np.ndarray, square: float) -> np.ndarray:
+    """What each regressor explains of what the others leave of the target; one that the others determine explains nothing."""
+
+    def left(kept: list[int]) -> float:
+        part = gram[np.ix_(kept, kept)]
+        return max(0.0, square - float(solve(part, cross[kept]) @ cross[kept])) if kept else square
+
+    every = list(range(len(gram)))
+    whole = left(every)
+    without = [left([i for i in every if i != j]) for j in every]
+    return np.array([1 - min(whole / o, 1.0) if o > 1e-12 * square else 0.0 for o in without])
+
+
+def _bias_to(f: float) -> float:
+    """The common partial R2 of outcome and treatment at which a confounder's bias is ``f`` standard errors over root dof."""
+    return (math.sqrt(f**4 + 4 * f * f) - f * f) / 2
+
+
+def robustness(df: DataFrame, y: str, w: str, x: Sequence[str], z: float = 1.959963985) -> DataFrame:
+    """(effect, se, dof, t, robustness, robustness_alpha): the share that a confounder must explain of both outcome and treatment to bring the effect to 0, or within ``z`` standard errors of it.
+
+    Without residual degrees of freedom t and both shares are null.
+    """
+    got = linear_effect(df, F.col(y), F.col(w), x)
+    t = rv = alpha = None
+    if got["dof"] > 0 and got["se"] > 0:
+        t, root = got["effect"] / got["se"], math.sqrt(got["dof"])
+        rv, alpha = _bias_to(abs(t) / root), _bias_to(max(abs(t) - z, 0.0) / root)
+    return df.sparkSession.createDataFrame([(got["effect"], got["se"], int(got["dof"]), t, rv, alpha)], "effect double, se double, dof long, t double, robustness double, robustness_alpha double")
+
+
+def benchmarks(df: DataFrame, y: str, w: str, x: Sequence[str]) -> DataFrame:
+    """(feature, r2_y, r2_w, bias, adjusted, nullified, multiple): a confounder as strong as each feature, on the axes of ``contour``.
+
+    r2_y is what the feature explains of the outcome beside treatment and other features, r2_w of the treatment beside
+    them. ``multiple`` is how many times as strong on both axes a confounder must be to bring the effect to 0: the k with
+    k^2 r2_y r2_w / (1 - k r2_w) = t^2 / dof; null where the feature explains nothing. One aggregate serves all.
+    """
+    gram, cross, square = moments(df, [*design(x), F.col(w)], [F.col(y)])[()]
+    kind = "feature string, r2_y double, r2_w double, bias double, adjusted double, nullified boolean, multiple double"
+    dof = gram[0, 0] - len(gram)
+    if dof <= 0:
+        return df.sparkSession.createDataFrame([(c, *[None] * 6) for c in x], kind)
+    on_y = np.minimum(_partial_r2(gram, cross[:, 0], float(square[0, 0])), 0.999)
+    on_w = np.minimum(_partial_r2(gram[:-1, :-1], gram[:-1, -1], float(gram[-1, -1])), 0.999)
+    effect = float(solve(gram, cross)[-1, 0])
+    share = _partial_r2(gram, cross[:, 0], float(square[0, 0]))[-1]
+    f2 = float(share / (1 - share)) if share < 1 else math.inf  # t^2 / dof
+    rows = []
+    for i, c in enumerate(x, 1):
+        a, b = float(on_y[i]), float(on_w[i])
+        bias = abs(effect) * math.sqrt(a * b / (1 - b) / f2) if f2 > 0 else 0.0
+        multiple = (math.sqrt(f2 * f2 * b * b + 4 * a * b * f2) - f2 * b) / (2 * a * b) if a * b > 1e-12 else None
+        rows.append((c, a, b, bias, effect - math.copysign(bias, effect), bias >= abs(effect), multiple))
+    return df.sparkSession.createDataFrame(rows, kind)
+
+
 def matched_pairs(df: DataFrame, y: str, w: str, score: str, key: str) -> DataFrame:
     """(pair, difference): treated and control rows in order of the score, the longer side thinned evenly, paired by rank."""
     sides = []

@@ -116,12 +116,24 @@ def _treated(spark, sf_dir):
 
 
 def linear_effect(spark, sf_dir):
-    got = refute.linear_effect(_treated(spark, sf_dir), F.col("y"), F.col("w"), ("x1",))
+    got = refute.linear_effect(_treated(spark, sf_dir), F.col("y"), F.col("w"), X)
     return spark.createDataFrame([(round(got["effect"], 6), round(got["se"], 6), int(got["dof"]))], "effect double, se double, dof long")
 
 
 def partial_linear(spark, sf_dir):
-    return _rounded(refute.partial_linear(_treated(spark, sf_dir), "y", "w", ("x1",), "unit_id"), "ate", "se")
+    return _rounded(refute.partial_linear(_treated(spark, sf_dir), "y", "w", X, "unit_id"), "ate", "se")
+
+
+def robustness(spark, sf_dir):
+    return _rounded(refute.robustness(_treated(spark, sf_dir), "y", "w", X), "effect", "se", "t", "robustness", "robustness_alpha", digits=5)
+
+
+def benchmarks(spark, sf_dir):
+    return _rounded(refute.benchmarks(_treated(spark, sf_dir), "y", "w", X), "r2_y", "r2_w", "bias", "adjusted", "multiple", digits=5)
+
+
+def confounder_shift(spark, sf_dir):
+    return _rounded(refute.confounder_shift(_treated(spark, sf_dir), "y", "w", X, "unit_id"), "effect", "shift", "predicted", "gap", digits=5)
 
 
 def _told(df):
@@ -129,27 +141,27 @@ def _told(df):
 
 
 def placebo(spark, sf_dir):
-    return _told(refute.placebo(_treated(spark, sf_dir), "y", "w", ("x1",), "unit_id"))
+    return _told(refute.placebo(_treated(spark, sf_dir), "y", "w", X, "unit_id"))
 
 
 def common_cause(spark, sf_dir):
-    return _told(refute.common_cause(_treated(spark, sf_dir), "y", "w", (), "unit_id"))
+    return _told(refute.common_cause(_treated(spark, sf_dir), "y", "w", X, "unit_id"))
 
 
 def subsets(spark, sf_dir):
-    return _told(refute.subsets(_treated(spark, sf_dir), "y", "w", ("x1",), "unit_id"))
+    return _told(refute.subsets(_treated(spark, sf_dir), "y", "w", X, "unit_id"))
 
 
 def confounder(spark, sf_dir):
-    return _told(refute.hidden_confounder(_treated(spark, sf_dir), "y", "w", ("x1",), "unit_id"))
+    return _told(refute.hidden_confounder(_treated(spark, sf_dir), "y", "w", X, "unit_id"))
 
 
 def suite(spark, sf_dir):
-    return _told(refute.suite(_treated(spark, sf_dir), "y", "w", ("x1",), "unit_id"))
+    return _told(refute.suite(_treated(spark, sf_dir), "y", "w", X, "unit_id"))
 
 
 def contour(spark, sf_dir):
-    return _rounded(refute.contour(_treated(spark, sf_dir), "y", "w", ("x1",)), "bias", "adjusted")
+    return _rounded(refute.contour(_treated(spark, sf_dir), "y", "w", X), "bias", "adjusted")
 
 
 def rosenbaum(spark, sf_dir):
@@ -171,7 +183,7 @@ QUERIES = {
     "learner_leaderboard": leaderboard, "propensity_scores": propensities, "propensity_report": propensity_report, "confounding_demo": confounding, "segment_effects": segment_means, "hazard_model": hazards,
     "hazard_values": hazard_slopes, "cox_survival": cox_curves, "survival_uplift": uplift_on_survival, "linear_effect": linear_effect, "partial_linear_ate": partial_linear, "refute_placebo": placebo, "refute_common_cause": common_cause,
     "refute_subset": subsets, "refute_confounder": confounder, "refutation_suite": suite, "sensitivity_contour": contour, "rosenbaum_bounds": rosenbaum,
-    "refute_placebo_permuted": placebo_permuted, "hodges_lehmann": hodges_lehmann,
+    "refute_placebo_permuted": placebo_permuted, "robustness_value": robustness, "sensitivity_benchmarks": benchmarks, "confounder_shift": confounder_shift, "hodges_lehmann": hodges_lehmann,
 }
 
 _U = f"(SELECT *, ceil(t / 6)::BIGINT AS half_years FROM ({plain(UNITS)}))"
@@ -195,11 +207,22 @@ def _uniform(seed: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {seed}, unit_id)), 1, 12))::BIGINT / 281474976710656::DOUBLE)"
 
 
-def _coef(y: str, a: str, b: str, keep: str = "true") -> str:
-    """The coefficient of ``a`` in a regression of ``y`` on it and ``b``."""
-    f = f"FILTER ({keep})"
-    v, c = (lambda x: f"var_pop({x}) {f}"), (lambda x, z: f"covar_pop({x}, {z}) {f}")
-    return f"({c(a, y)} * {v(b)} - {c(b, y)} * {c(a, b)}) / ({v(a)} * {v(b)} - {c(a, b)} ** 2)"
+def _det(rows: tuple[str, ...], cols: tuple[str, ...], keep: str = "true") -> str:
+    """The determinant of the covariances of ``rows`` with ``cols``."""
+    if not rows:
+        return "1"
+    terms = [f"{'-' if j % 2 else '+'} covar_pop({rows[0]}, {c}) FILTER ({keep}) * {_det(rows[1:], cols[:j] + cols[j + 1:], keep)}" for j, c in enumerate(cols)]
+    return f"({' '.join(terms)})"
+
+
+def _left(y: str, others: tuple[str, ...]) -> str:
+    """The variance of ``y`` that a regression on ``others`` leaves."""
+    return f"({_det((y, *others), (y, *others))} / {_det(others, others)})"
+
+
+def _effect(y: str, a: str, others: tuple[str, ...], keep: str = "true") -> str:
+    """The coefficient of ``a`` in a regression of ``y`` on it and ``others``."""
+    return f"({_det((y, *others), (a, *others), keep)} / {_det((a, *others), (a, *others), keep)})"
 
 
 _R = ", ".join(
@@ -211,10 +234,11 @@ _CENTRE = " UNION ALL ".join(
 )
 _HAZ = f"""u AS {_U}, n AS (SELECT arm, greatest(least(half_years, {HORIZON}), 1) AS n, event = 1 AND half_years <= {HORIZON} AS e FROM u WHERE t IS NOT NULL), p AS (SELECT unnest(range({HORIZON})) AS period), h AS (
   SELECT arm, period, count(*) FILTER (e AND n - 1 = period) / count(*) AS hazard FROM n JOIN p ON n.n > period GROUP BY 1, 2), s AS (SELECT *, product(1 - hazard) OVER (PARTITION BY arm ORDER BY period) AS survival FROM h)"""
-_WHOLE = f"(SELECT {_coef('y', 'w', 'x1')} FROM u)"
+_WHOLE = f"(SELECT {_effect('y', 'w', X)} FROM u)"
 _TOLD = "round(original, 5) AS original, round(avg(v), 5) AS mean, round(quantile_cont(v, 0.025), 5) AS low, round(quantile_cont(v, 0.975), 5) AS high"
 _OUT = "original < quantile_cont(v, 0.025) OR original > quantile_cont(v, 0.975)"
 _NORMAL = "(SELECT sum(exp(-0.5 * pow((i + 0.5) * z / 20000, 2))) * z / 20000 / sqrt(2 * pi()) FROM range(20000) r(i))"
+_SE = f"(SELECT {_effect('y', 'w', X)} AS effect, sqrt({_left('y', ('w', *X))} / {_left('w', X)} / (count(*) - 4)) AS se, count(*) - 4 AS dof FROM u)"
 SQL = {
     "s_learner": f"""WITH u AS {_U}, a AS (SELECT arm, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2 FROM u GROUP BY arm), d AS (SELECT y - my AS y, x1 - m1 AS x1, x2 - m2 AS x2 FROM u JOIN a USING (arm)), m AS (SELECT {_fit('y')} FROM d), b AS (SELECT {_B1} AS b1, {_B2} AS b2 FROM m), c AS (
   SELECT {", ".join(f"round((a{a}.my - a0.my) - b1 * (a{a}.m1 - a0.m1) - b2 * (a{a}.m2 - a0.m2), 6) AS cate_{a}" for a in (1, 2, 3))} FROM b JOIN a a0 ON a0.arm = 0 JOIN a a1 ON a1.arm = 1 JOIN a a2 ON a2.arm = 2 JOIN a a3 ON a3.arm = 3) SELECT unit_id, cate_1, cate_2, cate_3 FROM u, c""",
@@ -237,19 +261,18 @@ FROM (SELECT (arm = {a})::INT AS l, e{a} AS p, rank() OVER (ORDER BY e{a}) + (co
     "hazard_model": f"WITH {_HAZ} SELECT arm, period, round(hazard, 5) AS hazard, round(survival, 5) AS survival FROM s",
     "survival_uplift": f"""WITH {_HAZ}, g AS (SELECT arm, sum(survival) AS rmst, sum(survival * 1.01::DOUBLE ** -(period + 1)) AS v, 1 - max(survival) FILTER (period = 7) AS churn FROM s GROUP BY arm)
 SELECT unit_id, {", ".join(f"round(g{a}.rmst - g0.rmst, 4) AS rmst_{a}, round(mu0 * g{a}.v - mu0 * g0.v, 4) AS value_{a}, round(g0.churn - g{a}.churn, 4) AS churn_{a}" for a in (1, 2, 3))} FROM u {" ".join(f"JOIN g g{a} ON g{a}.arm = {a}" for a in range(4))}""",
-    "linear_effect": f"""WITH u AS {_U}, m AS (SELECT count(*) AS n, {_fit('y', 'w', 'x1')}, var_pop(y) AS yy FROM u), b AS (SELECT *, {_B1} AS bw, {_B2} AS bx FROM m)
-SELECT round(bw, 6) AS effect, round(sqrt(n * (yy - bw * s1 - bx * s2) / (n - 3) / (n * (s11 - s12 * s12 / s22))), 6) AS se, n - 3 AS dof FROM b""",
-    "partial_linear_ate": f"""WITH u AS (SELECT *, {_FOLD.format('w')} AS fold FROM {_U}), f AS (SELECT unnest(range(3))::INT AS fold), c AS (SELECT f.fold, regr_slope(y, x1) AS y1, regr_intercept(y, x1) AS y0, regr_slope(w, x1) AS w1, regr_intercept(w, x1) AS w0 FROM u JOIN f ON u.fold <> f.fold GROUP BY 1), r AS (
-  SELECT y - y0 - y1 * x1 AS y, w - w0 - w1 * x1 AS w FROM u JOIN c USING (fold)), a AS (SELECT sum(w * y) / sum(w * w) AS ate FROM r)
+    "linear_effect": f"WITH u AS {_U} SELECT round(effect, 6) AS effect, round(se, 6) AS se, dof FROM {_SE}",
+    "partial_linear_ate": f"""WITH u AS (SELECT *, {_FOLD.format('w')} AS fold FROM {_U}), f AS (SELECT unnest(range(3))::INT AS fold), c AS (SELECT f.fold, {", ".join(f"{_effect(v, 'x1', ('x2',))} AS {v}1, {_effect(v, 'x2', ('x1',))} AS {v}2, avg({v}) AS {v}m" for v in ("y", "w"))}, avg(x1) AS m1, avg(x2) AS m2
+  FROM u JOIN f ON u.fold <> f.fold GROUP BY 1), r AS (SELECT y - ym - y1 * (x1 - m1) - y2 * (x2 - m2) AS y, w - wm - w1 * (x1 - m1) - w2 * (x2 - m2) AS w FROM u JOIN c USING (fold)), a AS (SELECT sum(w * y) / sum(w * w) AS ate FROM r)
 SELECT round(any_value(ate), 6) AS ate, round(sqrt(sum((w * (y - ate * w)) ** 2)) / sum(w * w), 6) AS se, count(*) AS n FROM r, a""",
-    "refute_placebo": f"""WITH u AS {_U}, s AS (SELECT unnest(range(20)) AS s), z AS (SELECT s, y, x1, ({_uniform('11 + s')} < (SELECT avg(w) FROM u))::INT AS z FROM u, s), v AS (SELECT s, {_coef('y', 'z', 'x1')} AS v FROM z GROUP BY s)
+    "refute_placebo": f"""WITH u AS {_U}, s AS (SELECT unnest(range(20)) AS s), z AS (SELECT s, y, x1, x2, ({_uniform('11 + s')} < (SELECT avg(w) FROM u))::INT AS z FROM u, s), v AS (SELECT s, {_effect('y', 'z', X)} AS v FROM z GROUP BY s)
 SELECT 'placebo' AS test, {_TOLD}, {_OUT} AS passed FROM v, (SELECT {_WHOLE} AS original) GROUP BY original""",
-    "refute_common_cause": f"""WITH u AS {_U}, s AS (SELECT unnest(range(10)) AS s), z AS (SELECT s, y, w, {_uniform('12 + s')} AS z FROM u, s), v AS (SELECT s, {_coef('y', 'w', 'z')} AS v FROM z GROUP BY s)
-SELECT 'random_common_cause' AS test, {_TOLD}, avg(abs(v - original)) / greatest(abs(original), 0.05 * (SELECT stddev_samp(y) FROM u)) < 0.1 AS passed FROM v, (SELECT regr_slope(y, w) AS original FROM u) GROUP BY original""",
-    "refute_subset": f"""WITH u AS {_U}, s AS (SELECT unnest(range(10)) AS s), z AS (SELECT s, y, w, x1, {_uniform('13 + s')} AS z FROM u, s), v AS (SELECT s, {_coef('y', 'w', 'x1', 'z < 0.7')} AS v FROM z GROUP BY s)
+    "refute_common_cause": f"""WITH u AS {_U}, s AS (SELECT unnest(range(10)) AS s), z AS (SELECT s, y, w, x1, x2, {_uniform('12 + s')} AS z FROM u, s), v AS (SELECT s, {_effect('y', 'w', (*X, 'z'))} AS v FROM z GROUP BY s)
+SELECT 'random_common_cause' AS test, {_TOLD}, avg(abs(v - original)) / greatest(abs(original), 0.05 * (SELECT stddev_samp(y) FROM u)) < 0.1 AS passed FROM v, (SELECT {_WHOLE} AS original) GROUP BY original""",
+    "refute_subset": f"""WITH u AS {_U}, s AS (SELECT unnest(range(10)) AS s), z AS (SELECT s, y, w, x1, x2, {_uniform('13 + s')} AS z FROM u, s), v AS (SELECT s, {_effect('y', 'w', X, 'z < 0.7')} AS v FROM z GROUP BY s)
 SELECT 'subset' AS test, {_TOLD}, NOT ({_OUT}) AS passed FROM v, (SELECT {_WHOLE} AS original) GROUP BY original""",
     "refute_confounder": f"""WITH u AS {_U}, s AS (SELECT * FROM (VALUES (0, 0.25::DOUBLE), (1, 0.5::DOUBLE)) t(i, s)), q AS (SELECT avg(w) AS m, stddev_pop(w) AS d, stddev_samp(y) AS sy FROM u), z AS (
-  SELECT i, w, x1, y + s * sy * (s * (w - m) / d + ({_uniform('14 + i')} - 0.5) * sqrt(12)) AS z FROM u, s, q), v AS (SELECT i, {_coef('z', 'w', 'x1')} AS v FROM z GROUP BY i)
+  SELECT i, w, x1, x2, y + s * sy * (s * (w - m) / d + ({_uniform('14 + i')} - 0.5) * sqrt(12)) AS z FROM u, s, q), v AS (SELECT i, {_effect('z', 'w', X)} AS v FROM z GROUP BY i)
 SELECT 'unobserved_confounder' AS test, {_TOLD}, bool_and(sign(v) = sign(original)) AS passed FROM v, (SELECT {_WHOLE} AS original) GROUP BY original""",
     "rosenbaum_bounds": f"""WITH u AS {_U}, k AS (SELECT w, y, row_number() OVER (PARTITION BY w ORDER BY x1, unit_id) AS r, count(*) OVER (PARTITION BY w) AS size FROM u), n AS (SELECT min(size) AS n FROM k), t AS (
   SELECT w, y, floor((r - 1) * n / size) AS pair FROM k, n WHERE r = 1 OR floor((r - 1) * n / size) <> floor((r - 2) * n / size)), d AS (SELECT a.y - b.y AS d FROM t a JOIN t b ON a.pair = b.pair AND a.w = 1 AND b.w = 0), q AS (
@@ -258,24 +281,28 @@ SELECT 'unobserved_confounder' AS test, {_TOLD}, bool_and(sign(v) = sign(origina
   SELECT *, (w - p * r1) / sqrt(p * (1 - p) * r2) AS z_low, (w - (1 - p) * r1) / sqrt(p * (1 - p) * r2) AS z_high FROM s)
 SELECT gamma, n, w AS w_plus, round(z_low, 5) AS z_low, round(z_high, 5) AS z_high, round(0.5 - {_NORMAL.replace(' z ', ' z_high ')}, 5) AS p_low, round(0.5 - {_NORMAL.replace(' z ', ' z_low ')}, 5) AS p_high FROM z""",
 }
-_SE = f"({SQL['linear_effect'].replace('round(bw, 6)', 'bw').replace('round(sqrt', '(sqrt').replace(', 6) AS se', ') AS se')})"
-SQL["sensitivity_contour"] = f"""WITH g AS (SELECT unnest([0, 0.05, 0.1, 0.2, 0.3])::DOUBLE AS r), e AS {_SE}, x AS (SELECT a.r AS r2_y, b.r AS r2_w, effect, se * sqrt(dof) * sqrt(a.r * b.r / (1 - b.r)) AS bias FROM g a, g b, e)
+SQL["sensitivity_contour"] = f"""WITH u AS {_U}, g AS (SELECT unnest([0, 0.05, 0.1, 0.2, 0.3])::DOUBLE AS r), e AS {_SE}, x AS (SELECT a.r AS r2_y, b.r AS r2_w, effect, se * sqrt(dof) * sqrt(a.r * b.r / (1 - b.r)) AS bias FROM g a, g b, e)
 SELECT r2_y, r2_w, round(bias, 6) AS bias, round(effect - sign(effect) * bias, 6) AS adjusted FROM x"""
+_RV = "(sqrt({0} ** 4 + 4 * {0} ** 2) - {0} ** 2) / 2"
+SQL["robustness_value"] = f"""WITH u AS {_U}, e AS {_SE}, f AS (SELECT *, abs(effect / se) / sqrt(dof) AS f, greatest(abs(effect / se) - 1.959963985::DOUBLE, 0) / sqrt(dof) AS fa FROM e)
+SELECT round(effect, 5) AS effect, round(se, 5) AS se, dof, round(effect / se, 5) AS t, round({_RV.format('f')}, 5) AS robustness, round({_RV.format('fa')}, 5) AS robustness_alpha FROM f"""
+SQL["sensitivity_benchmarks"] = f"WITH u AS {_U}, e AS {_SE}, r AS (" + " UNION ALL ".join(
+    f"SELECT '{j}' AS feature, 1 - {_left('y', ('w', *X))} / {_left('y', ('w', k))} AS a, 1 - {_left('w', X)} / {_left('w', (k,))} AS b FROM u" for j, k in (("x1", "x2"), ("x2", "x1"))
+) + """), f AS (SELECT feature, a, b, effect, se * sqrt(dof) * sqrt(a * b / (1 - b)) AS bias, (effect / se) ** 2 / dof AS f2 FROM r, e)
+SELECT feature, round(a, 5) AS r2_y, round(b, 5) AS r2_w, round(bias, 5) AS bias, round(effect - sign(effect) * bias, 5) AS adjusted, bias >= abs(effect) AS nullified,
+  CASE WHEN a * b > 1e-12::DOUBLE THEN round((sqrt(f2 ** 2 * b ** 2 + 4 * a * b * f2) - f2 * b) / (2 * a * b), 5) END AS multiple FROM f"""
+SQL["confounder_shift"] = f"""WITH u AS {_U}, s AS (SELECT * FROM (VALUES (0, 0.25::DOUBLE), (1, 0.5::DOUBLE), (2, 1::DOUBLE)) t(i, s)), q AS (SELECT avg(w) AS m, stddev_pop(w) AS d, stddev_samp(y) AS sy FROM u), z AS (
+  SELECT s, w, x1, x2, y + s * sy * (s * (w - m) / d + ({_uniform('14 + i')} - 0.5) * sqrt(12)) AS z FROM u, s, q), v AS (SELECT s, {_effect('z', 'w', X)} AS v FROM z GROUP BY s), g AS (
+  SELECT s, v, v - {_WHOLE} AS shift, s * s * sy / d AS p, sy FROM v, q)
+SELECT s AS strength, round(v, 5) AS effect, round(shift, 5) AS shift, round(p, 5) AS predicted, round(abs(shift - p), 5) AS gap, abs(shift - p) <= greatest(0.35 * abs(p), 0.02 * sy) AS as_predicted FROM g"""
 SQL["learner_leaderboard"] = "WITH r AS (" + " UNION ALL ".join(
     f"SELECT '{name}' AS learner, (" + " + ".join(f"sqrt(avg((cate_{a} - tau{a}) ** 2))" for a in (1, 2, 3)) + ") / 3 AS pehe, (" + " + ".join(f"abs(avg(cate_{a} - tau{a}))" for a in (1, 2, 3)) + f") / 3 AS eps FROM ({SQL[q]}) c JOIN {_U} u ON u.unit_id = c.unit_id"
     for name, q in (("s", "s_learner"), ("t", "t_learner"), ("dr", "dr_learner"), ("r", "r_learner"))
 ) + ") SELECT learner, round(pehe, 4) AS pehe, round(eps, 4) AS eps_ate, rank() OVER (ORDER BY pehe, learner) AS rank FROM r"
 
 
-def _coef_of_three(y: str, a: str) -> str:
-    """The coefficient of ``a`` in a regression of ``y`` on it and both features."""
-    c = lambda p, q: f"covar_pop({p}, {q})"
-    det, g1, g2 = f"({c('x1', 'x1')} * {c('x2', 'x2')} - {c('x1', 'x2')} ** 2)", f"({c(a, 'x1')} * {c('x2', 'x2')} - {c(a, 'x2')} * {c('x1', 'x2')})", f"({c(a, 'x2')} * {c('x1', 'x1')} - {c(a, 'x1')} * {c('x1', 'x2')})"
-    return f"(({c(y, a)} - ({g1} * {c(y, 'x1')} + {g2} * {c(y, 'x2')}) / {det}) / ({c(a, a)} - ({g1} * {c(a, 'x1')} + {g2} * {c(a, 'x2')}) / {det}))"
-
-
 SQL["refute_placebo_permuted"] = f"""WITH u AS {_U}, s AS (SELECT unnest(range(20)) AS s), r AS (SELECT s, y, x1, x2, row_number() OVER (PARTITION BY s ORDER BY {_uniform('11 + s')}, unit_id) AS r FROM u, s), z AS (
-  SELECT s, y, x1, x2, (r > (SELECT count(*) FROM u WHERE w = 0))::INT AS z FROM r), v AS (SELECT s, {_coef_of_three('y', 'z')} AS v FROM z GROUP BY s)
-SELECT 'placebo_permuted' AS test, {_TOLD}, count(*) FILTER (abs(v) >= abs(original)) / count(*) AS p_value, {_OUT} AS passed FROM v, (SELECT {_coef_of_three('y', 'w')} AS original FROM u) GROUP BY original"""
+  SELECT s, y, x1, x2, (r > (SELECT count(*) FROM u WHERE w = 0))::INT AS z FROM r), v AS (SELECT s, {_effect('y', 'z', X)} AS v FROM z GROUP BY s)
+SELECT 'placebo_permuted' AS test, {_TOLD}, count(*) FILTER (abs(v) >= abs(original)) / count(*) AS p_value, {_OUT} AS passed FROM v, (SELECT {_effect('y', 'w', X)} AS original FROM u) GROUP BY original"""
 SQL["hodges_lehmann"] = SQL["rosenbaum_bounds"].partition(", q AS (")[0] + """, i AS (SELECT d, row_number() OVER (ORDER BY d) AS i FROM d)
 SELECT (SELECT count(*) FROM i) AS n, round((SELECT avg(d) FROM i), 5) AS mean_difference, round(median((a.d + b.d) / 2), 5) AS hodges_lehmann FROM i a JOIN i b ON a.i <= b.i"""

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import shared_dir
 from ..operators import cleaning, pit
 from ..sources import adapters, warehouse
 from .features import _rounded
@@ -17,11 +18,11 @@ SELECT o.o_orderkey AS invoice, l.l_partkey AS stock_code, CASE WHEN l.l_linenum
   l.l_extendedprice / l.l_quantity AS price, CASE WHEN o.o_custkey % 50 = 0 THEN NULL ELSE o.o_custkey END AS customer_id, o.o_orderpriority AS country
 FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey
 """
-HASHED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+ORDERS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
 
 
 def _house(spark: SparkSession, sf_dir: str) -> warehouse.Warehouse:
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/medallion/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/medallion/{uuid.uuid4().hex}"
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     clean, _ = cleaning.clean_panel(frame(spark, sf_dir, DIRTY), ranges={"monetary_12m": (0.0, 500000.0)}, k=3.0)
     gold = clean.groupBy("customer_id").agg(F.count("*").alias("n_periods"), F.sum("monetary_12m").alias("spent"))
@@ -45,7 +46,7 @@ def catalogue_sql(spark, sf_dir):
 
 
 def content(spark, sf_dir):
-    return warehouse.content_hash(spark.read.parquet(f"{sf_dir}/orders.parquet").select(*HASHED))
+    return warehouse.content_hash(spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
 
 def retail(spark, sf_dir):
@@ -75,6 +76,7 @@ QUERIES = {"medallion_tables": tables, "medallion_lineage": lineage, "catalogue_
 
 from .features import SQL as _FEATURES  # noqa: E402
 
+_FIELD = "coalesce(octet_length(encode({0})) || ':' || {0}, '-')"
 _GOLD = f"(SELECT customer_id, count(*) AS n_periods, sum(monetary_12m) AS spent FROM ({_FEATURES['clean_panel']}) GROUP BY customer_id)"
 _COUNTS = f"(SELECT (SELECT count(*) FROM events) AS e, (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM ({_FEATURES['clean_panel']})) AS p, (SELECT count(*) FROM {_GOLD}) AS g, (SELECT count(*) FROM {_GOLD} WHERE n_periods > 3) AS g3)"
 SQL = {
@@ -83,8 +85,8 @@ SQL = {
     "medallion_lineage": f"""SELECT unnest(['bronze_events', 'bronze_customers', 'silver_panel', 'gold_panel', 'gold_panel', 'bronze_customers']) AS "table", unnest(['write', 'write', 'write', 'write', 'write', 'drop']) AS action,
   unnest([e, c, p, g, g3, 0]) AS n_rows, unnest([6, 5, 6, 3, 3, 0]) AS n_cols FROM {_COUNTS}""",
     "catalogue_sql": f"SELECT n_periods, count(*) AS n, round(sum(spent), 2) AS spent FROM {_GOLD} GROUP BY n_periods",
-    "content_hash": """WITH r AS (SELECT ('0x' || substr(md5(o_orderkey::VARCHAR || chr(31) || o_custkey::VARCHAR || chr(31) || o_orderstatus || chr(31) || o_orderpriority), 1, 15))::BIGINT::HUGEINT AS v FROM orders)
-SELECT count(*) AS n_rows, sha256('o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string,o_orderpriority:string|' || count(*) || '|' || sum(v)) AS sha256 FROM r""",
+    "content_hash": f"""WITH r AS (SELECT ('0x' || substr(md5({" || ".join(_FIELD.format(f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if t.startswith("timestamp") else f"{c}::VARCHAR") for c, t in ORDERS.items())}), 1, 15))::BIGINT::HUGEINT AS v FROM orders)
+SELECT count(*) AS n_rows, sha256('{",".join(f"{c}:{t}" for c, t in ORDERS.items())}|' || count(*) || '|' || coalesce(sum(v), 0)) AS sha256 FROM r""",
     "online_retail_panel": f"""WITH l AS (SELECT *, quantity * price AS spent, epoch_us(invoice_date) AS us FROM ({plain(LINES)}) WHERE customer_id IS NOT NULL AND quantity > 0 AND price > 0), c AS (SELECT max(us) - 90 * 86400000000 AS cut FROM l), r AS (
   SELECT *, us <= cut AS past, us <= cut AND us > cut - 365 * 86400000000 AS recent FROM l, c), p AS (
   SELECT customer_id, any_value(cut) AS cut, min(us) FILTER (past) AS f, max(us) FILTER (past) AS z, count(DISTINCT invoice) FILTER (recent) AS n, coalesce(sum(spent) FILTER (recent), 0) AS m, count(DISTINCT stock_code) FILTER (recent) AS k, min(us) FILTER (NOT past) AS nx,

@@ -11,7 +11,7 @@ import time
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The layers in their order, and the rule for names.
@@ -20,14 +20,28 @@ NAME = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 LINEAGE = "write_id long, table string, layer string, name string, action string, version string, n_rows long, n_cols int, sha256 string, types string, written_at timestamp"
 
 
+def _field(name: str, kind: str) -> Column:
+    """A value as text that no other value of the column has: its UTF-8 length, a colon and the value; ``-`` for null. Points in time are microseconds since 1970, whatever the session's zone."""
+    c = F.col(f"`{name}`")
+    if kind.startswith(("array", "map", "struct")):
+        text = F.when(c.isNotNull(), F.to_json(F.struct(c), {"timeZone": "UTC", "ignoreNullFields": "false"}))
+    elif kind == "timestamp":
+        text = F.unix_micros(c).cast("string")
+    elif kind == "binary":
+        text = F.hex(c)
+    else:
+        text = c.cast("string")
+    return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
 def content_hash(df: DataFrame) -> DataFrame:
     """(n_rows, sha256): a hash of names, types and all rows, whatever their order; rows that repeat count.
 
-    Each row's MD5 over its columns as text gives a number, and the sums of those enter the hash, so it is one
-    aggregate with partial sums in every task.
+    Each row's MD5 over its fields gives a number, and the sums of those enter the hash, so it is one aggregate with
+    partial sums in every task. A field tells its length, so values can't run into each other.
     """
     header = ",".join(f"{c}:{t}" for c, t in df.dtypes)
-    text = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string") if not t.startswith(("array", "map", "struct")) else F.to_json(F.struct(F.col(f"`{c}`"))), F.lit("\x00")) for c, t in df.dtypes])
+    text = F.concat(F.lit(""), *[_field(c, t) for c, t in df.dtypes])
     value = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
     sums = df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(value), F.lit(0).cast("decimal(38,0)")).alias("s"))
     return sums.select("n_rows", F.sha2(F.concat_ws("|", F.lit(header), "n_rows", F.col("s").cast("string")).cast("binary"), 256).alias("sha256"))

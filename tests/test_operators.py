@@ -228,6 +228,76 @@ def test_catalogue(spark, tmp_path):
             wrong()
     a, b = (warehouse.content_hash(x).first() for x in (df, df.repartition(3)))
     assert a == b != warehouse.content_hash(df.union(df)).first()
+    told = {warehouse.content_hash(spark.createDataFrame([r], "a string, b string")).first().sha256 for r in [("a\x1fb", "c"), ("a", "b\x1fc"), ("-", None), (None, "-"), ("", None), (None, None)]}
+    assert len(told) == 6
+
+
+def test_content_hash_of_a_time_does_not_hang_on_the_zone(spark):
+    df = spark.createDataFrame([(1,)], "us long").select(F.timestamp_micros("us").alias("t"), F.array(F.timestamp_micros("us")).alias("a"))
+    zone, told = spark.conf.get("spark.sql.session.timeZone"), set()
+    try:
+        for z in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            told.add(warehouse.content_hash(df).first().sha256)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert len(told) == 1
+
+
+def test_mean_ranks_of_ties(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([None, 0.0, 1.0, 2.0, rng.random()])) for i in range(300)]
+    got = {r.k: (r.rn, r.m) for r in running(spark.createDataFrame(rows, "k long, x double"), F.col("x"), [F.col("k")], mean_rank="m").collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0.0, r[0]))
+    for i, (k, x) in enumerate(order, 1):
+        peers = [j for j, r in enumerate(order, 1) if r[1] == x]
+        assert got[k] == (i, sum(peers) / len(peers))
+
+
+def test_sensitivity_equals_regressions(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = rng.normal(0, 1, 400), rng.normal(50, 1000, 400), np.ones(400)
+    w = (a + rng.normal(0, 1, 400) > 0).astype(float)
+    y = 0.8 * w + a + b / 2000 + rng.normal(0, 1, 400)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(zip(y, w, a, b, c, strict=True))], "k long, y double, w double, a double, b double, c double")
+
+    def left(target, *others):
+        z = np.column_stack([np.ones(400), *others])
+        return float(((target - z @ np.linalg.lstsq(z, target, rcond=None)[0]) ** 2).sum())
+
+    got = {r.feature: r for r in refute.benchmarks(df, "y", "w", ("a", "b")).collect()}
+    main = refute.robustness(df, "y", "w", ("a", "b")).first()
+    for name, x, other in (("a", a, b), ("b", b, a)):
+        r = got[name]
+        assert r.r2_y == pytest.approx(1 - left(y, w, a, b) / left(y, w, other), abs=1e-9) and r.r2_w == pytest.approx(1 - left(w, a, b) / left(w, other), abs=1e-9)
+        bias = main.se * math.sqrt(main.dof * r.r2_y * r.r2_w / (1 - r.r2_w))
+        assert r.bias == pytest.approx(bias) and r.nullified == (bias >= abs(main.effect)) and r.adjusted == pytest.approx(main.effect - math.copysign(bias, main.effect))
+        # a confounder that many times as strong brings the effect to 0
+        assert r.multiple**2 * r.r2_y * r.r2_w / (1 - r.multiple * r.r2_w) == pytest.approx(main.t**2 / main.dof)
+    rv = main.robustness
+    assert main.se * math.sqrt(main.dof * rv * rv / (1 - rv)) == pytest.approx(abs(main.effect)) and main.robustness_alpha < rv
+    spread = y.std(ddof=1)
+    for r in refute.confounder_shift(df, "y", "w", ("a", "b"), "k").collect():
+        # the confounder's own noise moves the estimate too: four of its standard errors
+        noise = r.strength * spread / math.sqrt(left(w, a, b))
+        assert r.predicted == pytest.approx(r.strength**2 * spread / w.std()) and r.gap == pytest.approx(abs(r.shift - r.predicted)) and r.gap < 4 * noise
+        assert r.effect - r.shift == pytest.approx(main.effect) and r.as_predicted == (r.gap <= max(0.35 * r.predicted, 0.02 * spread))
+    # a feature that is constant explains nothing; tables without rows tell so
+    assert refute.benchmarks(df, "y", "w", ("a", "c")).where("feature = 'c'").first().multiple is None
+    empty = df.limit(0)
+    assert refute.robustness(empty.unionByName(df.limit(2)), "y", "w", ("a", "b")).first().robustness is None
+    told = refute.suite(empty, "y", "w", ("a",), "k").collect()
+    assert len(told) == 4 and not any(r.passed for r in told) and all(r.error for r in told)
+    assert all(r.error is None for r in refute.suite(df, "y", "w", ("a", "b"), "k").collect())
+
+
+def test_effect_stability_leaves_out_units_without_a_prediction(spark):
+    from stayflow.operators import drift
+
+    rows = [(i, float(i % 7), float(-i)) for i in range(100)]
+    kinds = "k long, a double, b double"
+    one, two = (drift.effect_stability(spark.createDataFrame(r, kinds), "a", "b", "k") for r in (rows, [*rows, (500, None, 1.0), (501, 2.0, None)]))
+    assert one[0].first() == two[0].first() and sorted(map(tuple, one[1].collect())) == sorted(map(tuple, two[1].collect()))
 
 
 def test_joins_and_leakage(spark):
