@@ -59,8 +59,19 @@ def valid_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def sample_vectors(vectors: DataFrame, most: int) -> np.ndarray:
-    """``most`` vectors at most, those whose id hashes lowest, of the width that is most frequent among them."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(most).select("vector").collect()
+    """``most`` vectors at most, those whose id hashes lowest, of the width that is most frequent among them.
+
+    In a table of many times ``most`` rows only those with a hash below a bound, about twice as many as wanted, are
+    sorted, so what tasks send to the driver does not grow with their number; too few below it double the bound.
+    """
+    hashed = vectors.withColumn("__hash", F.xxhash64("id"))
+    n, share = vectors.count(), 1.0
+    if n > 4 * most:
+        share = 2 * most / n
+        while share < 1 and hashed.where(F.col("__hash") < _below(share)).count() < most:
+            share *= 2
+    some = hashed.where(F.col("__hash") < _below(share)) if share < 1 else hashed
+    rows = some.orderBy("__hash", "id").limit(most).select("vector").collect()
     widths = [len(r[0]) for r in rows]
     if not widths:
         return np.zeros((0, 1))
@@ -68,6 +79,11 @@ def sample_vectors(vectors: DataFrame, most: int) -> np.ndarray:
     return np.array([r[0] for r in rows if len(r[0]) == width], dtype=np.float64)
 
 
+def _below(share: float) -> int:
+    """The bound that this share of signed 64-bit hashes lies below."""
+    return min(int(share * 2**64) - 2**63, 2**63 - 1)
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1; scaling by the largest component first keeps squares in range."""
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True, initial=1e-320)

@@ -91,3 +91,15 @@ def test_cell_pairs_at_other_radii(spark):
         got = [(r.a, r.b) for r in vector_dedup._cell_pairs(df, radius, tables).collect()]
         want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= radius}
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_sample_of_vectors_is_the_lowest_hashes_of_any_table(spark):
+    from pyspark.sql import functions as F
+
+    from stayflow.llm import itq
+
+    df = spark.range(3000).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+    want = [r.id for r in df.orderBy(F.xxhash64("id"), "id").limit(100).collect()]
+    assert itq.sample_vectors(df, 100)[:, 0].tolist() == want  # below a bound
+    assert itq.sample_vectors(df.where("id < 150"), 100).shape == (100, 2) and itq.sample_vectors(df.limit(0), 100).shape == (0, 1)
+    assert itq._below(0.0) == -(2**63) and itq._below(1.0) == 2**63 - 1
