@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,8 +55,12 @@ def clip_to_simplex(p: Column, low: float, high: float, rounds: int = 60) -> Col
 
 
 def expected_costs(costs: Sequence[float], redemption: Sequence[float], fixed: float = 0.0) -> list[float]:
-    """Per arm cost times redemption plus the fixed cost of a contact; nothing for the control arm."""
-    return [0.0] + [c * r + fixed for c, r in zip(costs[1:], redemption[1:], strict=True)]
+    """Per arm cost times redemption plus the fixed cost of a contact; nothing for the control arm.
+
+    Products are those of the decimals written, 12 * 0.62 = 7.44: a last binary digit would decide ties between arms.
+    """
+    exact = [Decimal(repr(float(c))) * Decimal(repr(float(r))) + Decimal(repr(float(fixed))) for c, r in zip(costs[1:], redemption[1:], strict=True)]
+    return [0.0, *(float(v) for v in exact)]
 
 
 def average_rank(order: Column, within: list[Column]) -> Column:
