@@ -10,7 +10,7 @@ from stayflow.operators import economics
 from stayflow.plans.catalogue import oracle_sql, queries
 from stayflow.plans.inputs import TABLES
 
-QUERIES = ["decision_frame", "off_policy_value", "pareto_arms", "parity_allocation"]
+QUERIES = ["decision_frame", "off_policy_value", "pareto_arms", "parity_allocation", "repair_budget"]
 
 
 @pytest.fixture(scope="module")
