@@ -44,44 +44,52 @@ def hypergeometric(a: np.ndarray, b, c, z: np.ndarray, terms: int = 2000) -> np.
     return total
 
 
-def purchase_likelihood(theta: np.ndarray, x: np.ndarray, recency: np.ndarray, age: np.ndarray) -> np.ndarray:
-    """The log likelihood of each customer under (r, alpha, a, b)."""
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of x and the place of each element among them: frequencies are few, so gamma functions are worked out for these alone."""
+    return np.unique(x, return_inverse=True)
+
+
+def purchase_likelihood(theta: np.ndarray, x: np.ndarray, recency: np.ndarray, age: np.ndarray, known: tuple | None = None) -> np.ndarray:
+    """The log likelihood of each customer under (r, alpha, a, b); ``known`` is ``distinct(x)``."""
     r, alpha, a, b = theta
-    common = log_gamma(r + x) - log_gamma(r) + r * np.log(alpha) + log_gamma(a + b) + log_gamma(b + x) - log_gamma(b) - log_gamma(a + b + x)
+    u, at = distinct(x) if known is None else known
+    common = (log_gamma(r + u) - log_gamma(r) + r * np.log(alpha) + log_gamma(a + b) + log_gamma(b + u) - log_gamma(b) - log_gamma(a + b + u))[at]
     alive = -(r + x) * np.log(alpha + age)
     gone = np.where(x > 0, np.log(a) - np.log(b + np.maximum(x, 1) - 1) - (r + x) * np.log(alpha + recency), -np.inf)
     return common + np.logaddexp(alive, gone)
 
 
-def spend_likelihood(theta: np.ndarray, x: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """The log likelihood of each customer's mean spend under (p, q, v), of those who bought again."""
+def spend_likelihood(theta: np.ndarray, x: np.ndarray, mean: np.ndarray, known: tuple | None = None) -> np.ndarray:
+    """The log likelihood of each customer's mean spend under (p, q, v), of those who bought again; ``known`` is ``distinct(x)``."""
     p, q, v = theta
+    u, at = distinct(x) if known is None else known
+    u = np.where(u > 0, u, 1.0)
+    common = (log_gamma(p * u + q) - log_gamma(p * u) - log_gamma(q) + q * np.log(v) + p * u * np.log(u))[at]
     some = (x > 0) & (mean > 0)
     x, mean = np.where(some, x, 1.0), np.where(some, mean, 1.0)
-    own = log_gamma(p * x + q) - log_gamma(p * x) - log_gamma(q) + q * np.log(v) + (p * x - 1) * np.log(mean) + p * x * np.log(x) - (p * x + q) * np.log(v + mean * x)
+    own = common + (p * x - 1) * np.log(mean) - (p * x + q) * np.log(v + mean * x)
     return np.where(some, own, 0.0)
 
 
 def _sums(df: DataFrame, columns: Sequence[str], likelihood: Callable, thetas: np.ndarray) -> np.ndarray:
-    """The log likelihood of all rows under each parameter vector: one row per vector and task, then their sums."""
+    """The log likelihood of all rows under each parameter vector: a task's sums are one row, which the driver adds up; ``columns`` begins with the frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(thetas))
         for batch in batches:
             values = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-            total += [float(likelihood(t, *values).sum()) for t in thetas]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(thetas))), pa.array(total)], names=["i", "v"])
+            known = distinct(values[0])
+            total += [float(likelihood(t, *values, known).sum()) for t in thetas]
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
 
-    rows = df.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(len(thetas))
-    for r in rows:
-        out[r.i] = r.v
-    return out
+    rows = df.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(run, "v array<double>").collect()
+    return np.sum([r.v for r in rows], axis=0) if rows else np.zeros(len(thetas))
 
 
 def maximise(df: DataFrame, columns: Sequence[str], likelihood: Callable, start: Sequence[float], penalty: float = 1e-4, rounds: int = 40) -> np.ndarray:
     """The positive parameters of the largest likelihood per row less ``penalty`` times their squares, by damped Newton steps on logarithms."""
-    rows = df.select(*columns).dropna().persist()
+    # every round passes over these rows, so they lie in no more parts than there are cores
+    rows = df.select(*columns).dropna().coalesce(df.sparkSession.sparkContext.defaultParallelism).persist()
     n = max(1, rows.count())
     value = lambda logs: _sums(rows, columns, likelihood, np.exp(logs)) / n - penalty * np.exp(2 * logs).sum(axis=1)
     at, k = np.log(np.array(start, dtype=float)), len(start)

@@ -28,8 +28,9 @@ def value(spark, sf_dir):
 
 
 def fitted(spark, sf_dir):
-    rows = _summary(spark, sf_dir)
+    rows = _summary(spark, sf_dir).persist()
     m, s = lifetime.fit_purchases(rows), lifetime.fit_spending(rows)
+    rows.unpersist()
     return spark.createDataFrame([(k, float(v)) for k, v in (("r", m.r), ("alpha", m.alpha), ("a", m.a), ("b", m.b), ("p", s.p), ("q", s.q), ("v", s.v))], "parameter string, estimate double")
 
 
