@@ -31,10 +31,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 #: Units remembered by a task.
 REMEMBERED = 150_000
-#: Rounds over the most frequent units end once one raises the log likelihood by less than this share, or after so many; every piece starts from a count.
+#: Rounds over all units end once one raises the log likelihood by less than this share, or after so many; every piece starts from a count.
 GAIN, ROUNDS, START_COUNT = 1e-3, 20, 0.1
-#: So many of the most frequent units prepare the scores; a round over all units follows.
-HEAD = 100_000
 #: Bytes of units whose paths are summed at once.
 FIT_BYTES = 400_000
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -380,16 +378,14 @@ def unit_counts(df: DataFrame, v, text: str = "text") -> DataFrame:
 def fit_scores(df: DataFrame, v: Vocabulary, text: str = "text") -> Vocabulary:
     """``v`` with the log probability of each piece in a unigram model of all texts of ``df``, by expectation maximisation.
 
-    Units and their counts are one written table; a round is one Spark aggregate over it, of which the driver gets a
-    row per piece. Rounds over the HEAD most frequent units come first and only save rounds over all units: the scores
-    are what the last round, over every unit of every text, counts. Scores start equal and are rounded, so that they
+    Units and their counts are one written table; a round is one Spark aggregate over all of it, of which the driver
+    gets a row per piece. The scores are what the last round counts. Scores start equal and are rounded, so that they
     don't hang on the order of sums. Pieces that no text holds keep the share of START_COUNT occurrences. Without any
     text all scores stay equal.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(v)  # bounded by the vocabulary
     units = unit_counts(df, shared, text)
-    head = written(units.orderBy(F.desc("n"), "unit").limit(HEAD).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     pieces = np.array([k in (NORMAL, USER) and p != "" for p, k in zip(v.pieces, v.kinds, strict=True)])
 
     def scored(counts: np.ndarray) -> np.ndarray:
@@ -398,8 +394,8 @@ def fit_scores(df: DataFrame, v: Vocabulary, text: str = "text") -> Vocabulary:
         scores[pieces] = np.round(np.log(share / share.sum()), 6)
         return scores
 
-    def expected(rows: DataFrame, counts: np.ndarray) -> tuple[np.ndarray, float]:
-        """One round: the expected counts of all pieces in the units ``rows`` and their log likelihood."""
+    def expected(counts: np.ndarray) -> tuple[np.ndarray, float]:
+        """One round: the expected counts of all pieces in all units and their log likelihood."""
         scores = scored(counts)
         unknown = float(scores[pieces].min()) - UNKNOWN_PENALTY
 
@@ -415,7 +411,7 @@ def fit_scores(df: DataFrame, v: Vocabulary, text: str = "text") -> Vocabulary:
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], likelihood))], names=["piece", "n"])
 
-        sums = {r.piece: r.n for r in rows.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+        sums = {r.piece: r.n for r in units.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
         likelihood = sums.pop(-1, 0.0)
         out = np.zeros(len(pieces))
         out[list(sums)] = list(sums.values())
@@ -423,11 +419,11 @@ def fit_scores(df: DataFrame, v: Vocabulary, text: str = "text") -> Vocabulary:
 
     counts, before = np.zeros(len(pieces)), None
     for _ in range(ROUNDS):
-        counts, now = expected(head, counts)
+        counts, now = expected(counts)
         if not counts.any() or before is not None and now - before <= GAIN * abs(before):
             break
         before = now
-    scores = scored(expected(units, counts)[0])
+    scores = scored(counts)
     out = Vocabulary(v.pieces, scores.tolist(), v.kinds)
     for name in ("trie", "surface", "byte_ids", "by_unit"):  # these don't depend on scores
         out.__dict__[name] = getattr(v, name)
