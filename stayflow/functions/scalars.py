@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,18 +42,41 @@ def first_argmax(values: Column) -> Column:
     return (F.array_position(clean, F.array_max(clean)) - 1).cast("int")
 
 
+def scaled_to_simplex(p: np.ndarray, low: float, high: float, rounds: int = 60) -> np.ndarray:
+    """Rows of probabilities scaled by one factor each, held within [low, high], with sum 1: the factors are found by bisection."""
+
+    def held(s: np.ndarray) -> np.ndarray:
+        z = p * s[:, None]
+        return np.where(np.isnan(z), high, np.minimum(np.maximum(z, low), high))
+
+    least = np.where(p > 0, p, np.inf).min(axis=1, initial=np.inf)
+    lo, hi = np.zeros(len(p)), high / np.maximum(np.where(np.isinf(least), 0.0, least), 1e-12)
+    for _ in range(rounds):
+        mid, total = (lo + hi) / 2, np.zeros(len(p))
+        for column in held(mid).T:
+            total = total + column
+        lo, hi = np.where(total < 1, mid, lo), np.where(total < 1, hi, mid)
+    return held((lo + hi) / 2)
+
+
 def clip_to_simplex(p: Column, low: float, high: float, rounds: int = 60) -> Column:
-    """Probabilities scaled by one factor, held within [low, high], with sum 1: the factor is found by bisection."""
-    held = lambda s: F.transform(p, lambda v: F.least(F.greatest(v * s, F.lit(low)), F.lit(high)))
-    total = lambda s: F.aggregate(held(s), F.lit(0.0), lambda a, b: a + b)
-    start = F.struct(F.lit(0.0).alias("lo"), (F.lit(high) / F.greatest(F.array_min(F.filter(p, lambda v: v > 0)), F.lit(1e-12))).alias("hi"))
+    """``scaled_to_simplex`` of an array column, a batch of rows at a time; a missing probability counts as 0.
 
-    def halve(s, _):
-        mid = (s["lo"] + s["hi"]) / 2
-        return F.when(total(mid) < 1, F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+    As nested array functions the bisection would be evaluated again for every element and every use of the result.
+    """
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve)
-    return held((found["lo"] + found["hi"]) / 2)
+    @F.pandas_udf("array<double>")
+    def run(rows: pd.Series) -> pd.Series:
+        out = np.empty(len(rows), dtype=object)
+        sizes = np.array([-1 if r is None else len(r) for r in rows], dtype=int)
+        for n in np.unique(sizes[sizes >= 0]):
+            at = np.flatnonzero(sizes == n)
+            found = scaled_to_simplex(np.array([rows.iat[i] for i in at], dtype=float).reshape(len(at), n), low, high, rounds)
+            for i, r in zip(at, found, strict=True):
+                out[i] = r
+        return pd.Series(out)
+
+    return run(F.transform(p, lambda v: F.coalesce(v, F.lit(0.0))))
 
 
 def expected_costs(costs: Sequence[float], redemption: Sequence[float], fixed: float = 0.0) -> list[float]:
