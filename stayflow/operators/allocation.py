@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prefix import running
 from ..functions.scalars import first_argmax
+from ..functions.tables import written
 from .economics import COSTS
 from .splits import hashed
 
@@ -35,10 +36,37 @@ def upgrades(net: Column, costs: Sequence[float] = COSTS) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(costs) - 1)), F.array().cast(f"array<{_STEP}>"), take)
 
 
+def with_upgrades(df: DataFrame, net: str, costs: Sequence[float] = COSTS, name: str = "__chain") -> DataFrame:
+    """Adds the chain of ``upgrades`` as the column ``name``.
+
+    Each step is a column of its own over the one before it, so that it is worked out once a row; as nested array
+    functions the chain would be evaluated again for every offer and every use of it. A written table: a filter pushed
+    below the steps would nest them again.
+    """
+    paid = [float(c) for c in costs]
+    cost = F.array(*[F.lit(c) for c in paid])
+    values = [F.when(v.isNull() | F.isnan(v), F.lit(float("-inf"))).otherwise(v) for v in (F.element_at(F.col(net), a + 1).cast("double") for a in range(len(paid)))]
+    out = df.withColumn("__v", F.array(*values))
+    steps = [f"__s{i}" for i in range(1, len(paid))]
+    for last, step in zip([None, *steps], steps):  # noqa: B905
+        at = F.lit(0) if last is None else F.col(f"{last}.arm")
+        out = out.withColumns({"__v0": F.lit(0.0) if last is None else F.element_at("__v", at + 1), "__c0": F.element_at(cost, at + 1)})
+        options = []
+        for a, c in enumerate(paid):
+            dv, dc = F.col("__v")[a] - F.col("__v0"), F.lit(c) - F.col("__c0")
+            options.append(F.when((dc > 0) & (dv > 0), F.struct((dv / F.nullif(dc, F.lit(0.0))).alias("slope"), F.lit(c).alias("upto"), F.lit(a).alias("arm"), dv.alias("dv"), dc.alias("dc"))))
+        out = out.withColumn(step, F.greatest(*options))
+    return written(out.withColumn(name, F.array_compact(F.array(*steps))).drop("__v", "__v0", "__c0", *steps))
+
+
 def prices(df: DataFrame, net: str, budgets: Sequence[float], costs: Sequence[float] = COSTS) -> list[dict]:
     """Per budget its price, spent, value, bound (also the value of the linear relaxation) and treated units, from one ordered table of all upgrades."""
-    steps = df.select(F.inline(upgrades(F.col(net), costs)))
-    cells = steps.groupBy("slope").agg(F.sum("dc").alias("dc"), F.sum("dv").alias("dv"))
+    return _prices(with_upgrades(df.select(net), net, costs), budgets)
+
+
+def _prices(chains: DataFrame, budgets: Sequence[float]) -> list[dict]:
+    steps = chains.select(F.inline("__chain"))
+    cells = written(steps.groupBy("slope").agg(F.sum("dc").alias("dc"), F.sum("dv").alias("dv")))
     ordered = running(cells, -F.col("slope"), [], {"upto": F.col("dc")}).persist()
     budgets = [float(b) for b in budgets]
     # a running sum that rounding alone lifts above the budget fits
@@ -58,7 +86,7 @@ def fill(items: DataFrame, lead: Column, key: str, cost: str, budget: float) ->
     Until an item does not fit, those that do are a prefix, found by running sums; from then on no item of that cost or
     more can fit. So there are at most as many rounds as there are distinct costs.
     """
-    rows = items.withColumn("__order", lead)
+    rows = written(items.withColumn("__order", lead))
     taken, left, after = None, float(budget), None
     while True:
         now = rows.where(F.col(cost) <= left + 1e-9)
@@ -81,8 +109,8 @@ def lagrangian_allocate(df: DataFrame, net: str, key: str, budget: float, costs:
     Each unit takes its upgrades worth more than the price. With ``top_up`` the rest of the budget goes to each unit's
     next upgrade, in order of value per cost, passing over what does not fit.
     """
-    told = prices(df, net, [budget], costs)[0]
-    chain = df.withColumn("__chain", upgrades(F.col(net), costs))
+    chain = with_upgrades(df, net, costs)
+    told = _prices(chain, [budget])[0]
     taken = F.filter("__chain", lambda s: s["slope"] > told["price"])
     chain = chain.withColumn("__n", F.size(taken)).withColumn("arm", F.coalesce(F.try_element_at(taken, F.lit(-1))["arm"], F.lit(0)))
     left = budget - told["spent"]
