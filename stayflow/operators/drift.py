@@ -70,7 +70,7 @@ def js_divergence(reference: DataFrame, current: DataFrame, features: Sequence[s
 def ks_statistic(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, n_ref, n_cur, ks): the largest gap between both distribution functions, from counts of distinct values."""
     both = _both(reference, current, features, "double").where("x IS NOT NULL AND NOT isnan(x)")
-    cells = both.groupBy("feature", "x").agg(F.count_if(F.col("side") == "r").alias("r"), F.count_if(F.col("side") == "c").alias("c"))
+    cells = written(both.groupBy("feature", "x").agg(F.count_if(F.col("side") == "r").alias("r"), F.count_if(F.col("side") == "c").alias("c")))
     totals = cells.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
     upto = running(cells, F.col("x"), [], {"upto_r": F.col("r"), "upto_c": F.col("c")}, by=["feature"])
     gaps = upto.join(F.broadcast(totals), "feature")  # a row per feature

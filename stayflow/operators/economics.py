@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prefix import running
 from ..functions.scalars import expected_costs, first_argmax
+from ..functions.tables import written
 from ..schema import ARM_COSTS, ARM_NAMES, ARM_REDEMPTION
 
 COSTS = expected_costs(ARM_COSTS, ARM_REDEMPTION)
@@ -101,17 +103,20 @@ def bootstrap_differences(df: DataFrame, key: str, values: Mapping[str, Column],
     """(policy, diff, diff_low, diff_high, beats_baseline): paired differences of mean values under Poisson(1) resampling.
 
     A row's weight in a replicate comes from a hash of its key, so all policies share it and results do not depend on
-    partitioning. Replicates are summed within tasks; a row per policy and replicate is shuffled.
+    partitioning. Replicates are summed within tasks; a row per policy and replicate is shuffled. Hashes are compared as
+    the hex digits that they are, with the least ones at or above each cut.
     """
-    from .splits import uniform
+    from .splits import hashed
 
     cut = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]
-    rows = df.select(key, *[v.alias(f"__{k}") for k, v in values.items()]).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = uniform(seed, key, "b")
-    weight = sum((u >= c).cast("int") for c in cut)
-    sums = rows.groupBy("b").agg(*[(F.sum(weight * F.col(f"__{k}")) / F.sum(weight)).alias(k) for k in values])
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # spread first: a small shuffle comes out in few parts, and a task of those would hash for all replicates alone
+    base = written(df.select(key, *[v.cast("double").alias(f"__{k}") for k, v in values.items()]).repartition(n, key))
+    rows = base.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    rows = rows.withColumn("__h", F.substring(hashed(seed, key, "b"), 1, 12)).withColumn("__w", sum((F.col("__h") >= f"{math.ceil(c * (1 << 48)):012x}").cast("int") for c in cut))
+    sums = rows.groupBy("b").agg(*[(F.sum(F.col("__w") * F.col(f"__{k}")) / F.sum("__w")).alias(k) for k in values])
     long = sums.select("b", F.inline(F.array(*[F.struct(F.lit(k).alias("policy"), (F.col(k) - F.col(baseline)).alias("d")) for k in values if k != baseline])))
-    point = df.agg(*[F.avg(v).alias(k) for k, v in values.items()]).select(F.inline(F.array(*[F.struct(F.lit(k).alias("policy"), (F.col(k) - F.col(baseline)).alias("diff")) for k in values if k != baseline])))
+    point = base.agg(*[F.avg(f"__{k}").alias(k) for k in values]).select(F.inline(F.array(*[F.struct(F.lit(k).alias("policy"), (F.col(k) - F.col(baseline)).alias("diff")) for k in values if k != baseline])))
     ci = long.groupBy("policy").agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return point.join(ci, "policy").select("policy", "diff", F.col("q")[0].alias("diff_low"), F.col("q")[1].alias("diff_high"), (F.col("q")[0] > 0).alias("beats_baseline"))
 

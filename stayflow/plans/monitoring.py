@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from ..operators import drift
 from . import allocation
 from .features import _rounded
@@ -83,7 +84,7 @@ def summary_of_alerts(spark, sf_dir):
 
 
 def alerts(spark, sf_dir):
-    found = drift.drift_report(*_sides(spark, sf_dir), NUMBERS, CATEGORIES)
+    found = written(drift.drift_report(*_sides(spark, sf_dir), NUMBERS, CATEGORIES))  # two rules read it
     decayed = drift.performance_decay(frame(spark, sf_dir, DRIFT), "period", "price", "done")
     policy = _policy(spark, sf_dir)
     stable, _ = drift.effect_stability(frame(spark, sf_dir, UNITS), "effect", "effect2", "unit_id")
