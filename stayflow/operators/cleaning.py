@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
+from ..functions.tables import written
 from ..schema import CATEGORICAL_LEVELS, NUMERIC_FEATURES, PANEL, PLAUSIBLE_RANGES, SYNONYMS
 
 # Tokens that mean a missing category, and that mean true.
@@ -54,10 +55,10 @@ def normalise_token(c: Column, levels: Sequence[str] | None = None, synonyms: Ma
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: str) -> tuple[DataFrame, DataFrame]:
-    """(rows that come first by ``order`` for their key, counts of exact and near duplicates dropped); nulls are equal keys."""
+    """(rows that come first by ``order`` for their key, counts of exact and near duplicates dropped); nulls are equal keys. Both read one written table, so keys are dealt and sorted once."""
     payload = F.struct(*[c for c in df.columns if c not in (order, *key)] or [F.lit(1)])  # as values, null-safe: a hash skips nulls
     w = Window.partitionBy(*key).orderBy(order)
-    marked = df.withColumn("__rn", F.row_number().over(w)).withColumn("__same", payload.eqNullSafe(F.first(payload).over(w)))
+    marked = written(df.withColumn("__rn", F.row_number().over(w)).withColumn("__same", payload.eqNullSafe(F.first(payload).over(w))))
     counts = marked.agg(F.count_if((F.col("__rn") > 1) & F.col("__same")).alias("exact"), F.count_if((F.col("__rn") > 1) & ~F.col("__same")).alias("near"))
     return marked.where("__rn = 1").drop("__rn", "__same"), counts
 
@@ -81,7 +82,8 @@ def clean_panel(
 
     Renamed columns are merged into their canonical ones, repeated keys keep their first row, late rows go, categories
     are normalised, numbers outside plausible ranges and outside the training quartile fences are set to the bound.
-    Missing values stay missing. Everything but the counts stays lazy.
+    Missing values stay missing. Rows are written once when repeated keys are gone and once when categories and ranges
+    are settled; counts, fences and the result read those.
     """
     spark = df.sparkSession
     log: list[tuple[str, str, int]] = []
@@ -103,7 +105,7 @@ def clean_panel(
     if touched:
         got = df.agg(*touched).first()
         log += [("normalise", c, got[c]) for c in categories] + [("clip_range", c, got[c]) for c in numbers]
-    df = df.withColumns(fixed | {c: clip(F.col(c), *ranges[c]) for c in numbers})
+    df = written(df.withColumns(fixed | {c: clip(F.col(c), *ranges[c]) for c in numbers}))
     train = df.where("split = 'train'") if "split" in df.columns else df
     fences = iqr_fences(train, numbers, k) if numbers else {}
     if fences:
