@@ -14,7 +14,7 @@ import re
 import struct
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -29,12 +29,16 @@ MARK = "▁"
 #: The kinds of pieces in a model file, and the cost of an uncovered character below the worst piece.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-#: Units remembered by a task.
+#: Units counted at once by a task, and remembered in each of an encoder's two generations.
 REMEMBERED = 150_000
 #: Rounds over all units end once one raises the log likelihood by less than this share, or after so many; every piece starts from a count.
 GAIN, ROUNDS, START_COUNT = 1e-3, 20, 0.1
 #: Bytes of units whose paths are summed at once.
 FIT_BYTES = 400_000
+#: Units of up to so many bytes are searched as tables, at most so many of one length at once; longer ones as sorted edges.
+SHORT, TABLE_UNITS = 48, 2048
+#: Path sums of tables that come out below are done again with logarithms.
+LEAST_SUM = 1e-250
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -154,6 +158,11 @@ class Vocabulary:
         # pieces that the model bans by an absurd score don't set the scale
         return min(s for s, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL and s > -1e8) - UNKNOWN_PENALTY
 
+    @cached_property
+    def costs(self) -> np.ndarray:
+        """The scores of all pieces and, at the end, of an uncovered character."""
+        return np.append(self.scores, self.unknown_score)
+
     @cached_property
     def by_unit(self) -> bool:
         """Whether no piece has a marker after another character."""
@@ -218,8 +227,98 @@ def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges, np.append(edges[1:], len(keys)), strict=True)
 
 
+def _tables(units: list[bytes], v: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]]:
+    """Units of one length at a time: (their places in ``units``, their bytes as columns, per width of edges their (from, piece or -1)).
+
+    An edge's start counts bytes row by row, so that it ends as many rows below as it is wide.
+    """
+    if not units:
+        return
+    base, check, value = v.trie
+    lengths = np.fromiter(map(len, units), np.int64, len(units))
+    order = np.argsort(lengths, kind="stable")
+    for lo, hi in _runs(lengths[order]):
+        for begin in range(lo, hi, TABLE_UNITS):
+            own = order[begin : min(hi, begin + TABLE_UNITS)]
+            n, length = len(own), int(lengths[own[0]])
+            raw = np.ascontiguousarray(np.frombuffer(b"".join([units[k] for k in own]), np.uint8).reshape(n, length).T)
+            codes = np.zeros((length + 1) * n, np.int64)  # the last row's code leads nowhere
+            codes[: length * n] = raw.ravel()
+            codes[: length * n] += 1
+            chars = np.flatnonzero((raw.ravel() & 0xC0) != 0x80)
+            lead = codes[chars] - 1
+            width = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+            covered = np.zeros(length * n, dtype=bool)
+            widths = np.zeros(length * n, np.int8)
+            widths[chars] = width
+            edges, at, state, depth = {}, chars, np.zeros(len(chars), np.int64), 0
+            while len(at):
+                code = codes[at + depth * n]
+                nxt = base[state] + code
+                ok = np.flatnonzero((check[nxt] == state) & (code > 0))
+                at, state = at[ok], nxt[ok]
+                depth += 1
+                piece = value[state]
+                hit = np.flatnonzero(piece >= 0)
+                edges[depth] = own_at, _ = at[hit], piece[hit]
+                if depth <= 4:
+                    covered[own_at[widths[own_at] == depth]] = True
+            bare = ~covered[chars]
+            for d in np.unique(width[bare]).tolist():
+                more = chars[bare & (width == d)]
+                known = edges.get(d, (np.zeros(0, np.int64), np.zeros(0, np.int32)))
+                edges[d] = np.append(known[0], more), np.append(known[1], np.full(len(more), -1, np.int32))
+            yield own, raw, {d: e for d, e in edges.items() if len(e[0])}
+
+
 def expected_counts(units: list[bytes], weights: np.ndarray, v: Vocabulary, scores: np.ndarray, unknown: float) -> tuple[np.ndarray, float]:
-    """How often each piece is expected over all paths of the units, each unit ``weights`` times, and the units' log likelihood."""
+    """How often each piece is expected over all paths of the units, each unit ``weights`` times, and the units' log likelihood.
+
+    Units of one length are summed together, their paths' probabilities themselves; units that are long, or whose sum
+    comes near the least number there is, with logarithms.
+    """
+    weights, chance = np.asarray(weights, dtype=np.float64), np.append(np.exp(scores), np.exp(unknown))
+    rest, pieces, shares, likelihood = [k for k, u in enumerate(units) if len(u) > SHORT], [], [], 0.0
+    short = [k for k, u in enumerate(units) if len(u) <= SHORT] if rest else range(len(units))
+    for own, raw, edges in _tables([units[k] for k in short] if rest else units, v):
+        length, n = raw.shape
+        own = np.asarray(short)[own] if rest else own
+        tables = []
+        for d, (at, piece) in edges.items():
+            w = np.zeros(length * n)
+            w[at] = chance[piece]
+            w = w.reshape(length, n)
+            tables.append((d, w, np.bincount(at // n, minlength=length) > 0))
+        ahead, behind = np.zeros((length + 1, n)), np.zeros((length + 1, n))
+        ahead[0] = behind[length] = 1.0
+        for t in range(1, length + 1):
+            for d, w, some in tables:
+                if d <= t and some[t - d]:
+                    ahead[t] += ahead[t - d] * w[t - d]
+        for f in range(length - 1, -1, -1):
+            for d, w, some in tables:
+                if some[f]:
+                    behind[f] += behind[f + d] * w[f]
+        total = ahead[length].copy()
+        good = total > LEAST_SUM
+        rest += own[~good].tolist()
+        ahead *= np.where(good, weights[own] / np.where(good, total, 1.0), 0.0)
+        likelihood += float(weights[own][good] @ np.log(total[good]))
+        for (d, w, _), (at, piece) in zip(tables, edges.values(), strict=True):
+            share = ahead[: length - d + 1] * w[: length - d + 1]
+            share *= behind[d:]
+            pieces.append(piece)
+            shares.append(share.ravel()[at])
+    piece, share = (np.concatenate(x) if x else np.zeros(0) for x in (pieces, shares))
+    counts = np.bincount(piece.astype(np.int64) + 1, share, len(scores) + 1)[1:]  # uncovered characters come first
+    if rest:
+        found, value = _summed_by_edges([units[k] for k in rest], weights[rest], v, scores, unknown)
+        counts, likelihood = counts + found, likelihood + value
+    return counts, likelihood
+
+
+def _summed_by_edges(units: list[bytes], weights: np.ndarray, v: Vocabulary, scores: np.ndarray, unknown: float) -> tuple[np.ndarray, float]:
+    """``expected_counts`` of units of any length, with logarithms."""
     codes, starts, stops, f, t, i, step = _lattice(units, v)
     cost = np.where(i >= 0, scores[i], unknown)
 
@@ -244,8 +343,69 @@ def expected_counts(units: list[bytes], weights: np.ndarray, v: Vocabulary, scor
     return np.bincount(i[known], share[known], len(scores)), float(weights @ ahead[stops])
 
 
-def viterbi(units: list[bytes], v: Vocabulary) -> list[np.ndarray]:
-    """The piece ids on the best path of each unit; of equal paths the one whose last piece is longest, from the end on."""
+def viterbi(units: list[bytes], v: Vocabulary) -> list[bytes]:
+    """The piece ids (as 32-bit integers) on the best path of each unit; of equal paths the one whose last piece is longest, from the end on."""
+    out = [b""] * len(units)
+
+    def put(places: Sequence[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        blob, ends = ids.tobytes(), np.cumsum(4 * sizes).tolist()
+        for k, lo, hi in zip(places, [0, *ends], ends, strict=False):
+            out[k] = blob[lo:hi]
+
+    rest = [k for k, u in enumerate(units) if len(u) > SHORT]
+    short = [k for k, u in enumerate(units) if len(u) <= SHORT] if rest else range(len(units))
+    for own, *table in _tables([units[k] for k in short] if rest else units, v):
+        put([short[k] for k in own.tolist()] if rest else own.tolist(), *_best_in_table(*table, v))
+    if rest:
+        put(rest, *_best_by_edges([units[k] for k in rest], v))
+    return out
+
+
+def _best_in_table(raw: np.ndarray, edges: dict[int, tuple[np.ndarray, np.ndarray]], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """``viterbi`` for units of one length (see ``_tables``): the ids of all in a row and how many each has."""
+    length, n = raw.shape
+    if not length:
+        return np.zeros(0, np.int32), np.zeros(n, np.int64)
+    scores, ids = v.costs, np.full((len(edges), length * n), -1, np.int32)
+    widths, tables = sorted(edges, reverse=True), []  # the longest first, which stays of equal ones
+    for k, d in enumerate(widths):
+        at, piece = edges[d]
+        cost = np.full(length * n, -np.inf)
+        cost[at], ids[k, at] = scores[piece], piece
+        cost = cost.reshape(length, n)
+        tables.append((k, d, cost, np.bincount(at // n, minlength=length) > 0))
+    best, back = np.full((length + 1, n), -np.inf), np.zeros((length + 1, n), np.int8)
+    best[0] = 0.0
+    for t in range(1, length + 1):
+        for k, d, cost, some in tables:
+            if d <= t and some[t - d]:
+                reach = best[t - d] + cost[t - d]
+                better = reach > best[t]
+                np.copyto(best[t], reach, where=better)
+                np.copyto(back[t], np.int8(k), where=better)
+    # walk back from all ends at once
+    wide, unit, place, trail = np.array(widths), np.arange(n), np.full(n, length), []
+    while len(unit):
+        k = back[place, unit]
+        place = place - wide[k]
+        trail.append((unit, place, wide[k], ids[k, place * n + unit]))
+        live = place > 0
+        unit, place = unit[live], place[live]
+    unit, place, width, piece = (np.concatenate(x[::-1]) for x in zip(*trail, strict=True))
+    order = np.argsort(unit, kind="stable")
+    unit, piece = unit[order], piece[order]
+    known = piece >= 0
+    if known.all():
+        return piece, np.bincount(unit, minlength=n)
+    reps = np.where(known, 1, width[order])
+    inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+    out, bare, owner = np.repeat(piece, reps), ~np.repeat(known, reps), np.repeat(unit, reps)
+    out[bare] = v.byte_ids[raw[(np.repeat(place[order], reps) + inner)[bare], owner[bare]]]
+    return out, np.bincount(owner, minlength=n)
+
+
+def _best_by_edges(units: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """``viterbi`` for units of any length: the ids of all in a row and how many each has."""
     scores = np.array(v.scores)
     codes, starts, stops, f, t, i, step = _lattice(units, v)
     cost = np.where(i >= 0, scores[i], v.unknown_score)
@@ -270,7 +430,7 @@ def viterbi(units: list[bytes], v: Vocabulary) -> list[np.ndarray]:
         live = place > starts[unit]
         unit, place = unit[live], place[live]
     if not trail:
-        return [np.zeros(0, np.int32)] * len(units)
+        return np.zeros(0, np.int32), np.zeros(len(units), np.int64)
     unit = np.concatenate([x[0] for x in trail])[::-1]
     edge = np.concatenate([x[1] for x in trail])[::-1]
     order = np.argsort(unit, kind="stable")
@@ -283,16 +443,16 @@ def viterbi(units: list[bytes], v: Vocabulary) -> list[np.ndarray]:
         inner = np.arange(len(out)) - np.repeat(np.cumsum(reps) - reps, reps)
         bare = ~np.repeat(known, reps)
         out[bare] = v.byte_ids[raw[(np.repeat(f[edge], reps) + inner)[bare]]]
-    cuts = np.cumsum(np.bincount(unit, weights=reps, minlength=len(units)).astype(np.int64))
-    return np.split(out, cuts[:-1])
+    return out, np.bincount(unit, weights=reps, minlength=len(units)).astype(np.int64)
 
 
 class Encoder:
-    """Encodes texts of one task; remembers the ids of up to REMEMBERED units."""
+    """Encodes texts of one task; remembers the ids of up to REMEMBERED units, and of as many from before these, so that common units stay."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _units(self, text: str) -> list[str]:
         """Units of a text with its leading space; a marker in the text itself stands alone."""
@@ -304,14 +464,18 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Piece ids of each text; a null or empty text has none."""
         units = [self._units(t) if t else [] for t in texts]
-        new = list({u for own in units for u in own if u not in self.known})
+        new = list(set().union(*units).difference(self.known))
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({u for own in units for u in own})
-        for k in range(0, len(new), 5_000):
-            part = new[k : k + 5_000]
+            self.older, self.known = self.known, {}
+            new = list(set().union(*units))
+        held = [u for u in new if u in self.older]
+        if held:
+            self.known.update((u, self.older[u]) for u in held)
+            new = list(set(new).difference(self.older))
+        for k in range(0, len(new), 40_000):
+            part = new[k : k + 40_000]
             found = viterbi([u.replace(" ", MARK).encode("utf-8", "surrogatepass") for u in part], self.v)
-            self.known.update((u, x.tobytes()) for u, x in zip(part, found, strict=True))
+            self.known.update(zip(part, found, strict=True))
         # a marker that the text itself holds is spelt in bytes, so that it doesn't decode to a space
         self.known[MARK] = self.v.byte_ids[list(MARK.encode())].tobytes()
         get = self.known.__getitem__
@@ -354,6 +518,7 @@ def unit_counts(df: DataFrame, v, text: str = "text") -> DataFrame:
         encoder, held = Encoder(v.value), Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
+            held.pop(MARK, None)  # a marker in the text is spelt in bytes
             rows = list(held.items())
             held.clear()
             for k in range(0, len(rows), 20_000):
@@ -365,7 +530,7 @@ def unit_counts(df: DataFrame, v, text: str = "text") -> DataFrame:
             for lo in range(0, whole.num_rows, 1024):
                 for t in whole.slice(lo, 1024).column("text").to_pylist():
                     if t:
-                        held.update(u for u in encoder._units(t) if u != MARK)  # a marker in the text is spelt in bytes
+                        held.update(encoder._units(t))
                 if len(held) > REMEMBERED:
                     yield from flush()
         yield from flush()
@@ -401,13 +566,27 @@ def fit_scores(df: DataFrame, v: Vocabulary, text: str = "text") -> Vocabulary:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, likelihood = np.zeros(len(scores)), 0.0
+            blobs, n, held = [], [], 0
+
+            def add() -> None:
+                nonlocal total, likelihood, held
+                found, value = expected_counts(blobs, np.array(n, dtype=float), shared.value, scores, unknown)
+                total, likelihood, held = total + found, likelihood + value, 0
+                blobs.clear()
+                n.clear()
+
             for batch in batches:
-                own = sorted(zip(batch.column("unit").to_pylist(), batch.column("n").to_pylist(), strict=True), key=lambda r: len(r[0]))
-                part = np.cumsum([len(u) for u, _ in own]) // FIT_BYTES
-                for lo, hi in _runs(part):
-                    blobs, n = zip(*own[lo:hi], strict=True)
-                    found, value = expected_counts(list(blobs), np.array(n, dtype=float), shared.value, scores, unknown)
-                    total, likelihood = total + found, likelihood + value
+                if not batch.num_rows:
+                    continue
+                own, times = batch.column("unit").to_pylist(), batch.column("n").to_pylist()
+                for lo, hi in _runs(np.cumsum([len(u) for u in own]) // FIT_BYTES):
+                    blobs += own[lo:hi]
+                    n += times[lo:hi]
+                    held += sum(map(len, own[lo:hi]))
+                    if held >= FIT_BYTES:
+                        add()
+            if blobs:
+                add()
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], likelihood))], names=["piece", "n"])
 
