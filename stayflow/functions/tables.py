@@ -24,3 +24,8 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as a Parquet table in as many parts as shuffles have, dealt by ``key``: a few small files of the source would be read by as few tasks."""
+    return written(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))

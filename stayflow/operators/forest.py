@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import written
 from .meta import centred, nuisances
-from .trees import Trees, _matrix, grow, mixed, quantile_edges, to_bins
+from .trees import Trees, _bytes, _matrix, grow, mixed, quantile_edges, sliced, to_bins
 
 
 @dataclass
@@ -78,7 +78,9 @@ def _bag(h: np.ndarray, slots: int, each: int, per_bag: int, bag: float, share:
     """Whether each row (of hash h) chooses splits and whether it fills leaves, rows x slots; the arms' trees see the same draws."""
     split, fill = np.zeros((len(h), each), dtype=bool), np.zeros((len(h), each), dtype=bool)
     for t in range(each):
-        own = (mixed(h, seed * 3 + 1 + 1000003 * (t // per_bag)) < bag) & (mixed(h, seed * 3 + 2 + 1000003 * t) < min(1.0, share / bag))
+        if t % per_bag == 0:
+            within = mixed(h, seed * 3 + 1 + 1000003 * (t // per_bag)) < bag
+        own = within & (mixed(h, seed * 3 + 2 + 1000003 * t) < min(1.0, share / bag))
         half = mixed(h, seed * 3 + 3 + 1000003 * t)
         split[:, t] = own & (half >= honest)
         fill[:, t] = own & (half < honest) if honest > 0 else own
@@ -108,34 +110,44 @@ def fit_forest(
             b = to_bins(_matrix(batch.column(1), p), edges)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in b], pa.binary()), *batch.columns[2:]], names=["h", "bins", "arm", "ry", "rw"])
 
-    table = written(raw.mapInArrow(binned, "h long, bins binary, arm int, ry array<double>, rw array<double>"))
+    # rows of equal bins lie together, so a batch has few distinct ones; the hash parts those that many rows share
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = written(raw.mapInArrow(binned, "h long, bins binary, arm int, ry array<double>, rw array<double>").repartitionByRange(parts, "bins", "h").sortWithinPartitions("bins"))
     overall = table.agg(*[f(F.when(F.col("arm").isin(0, a + 1), v)).alias(f"{n}{a}") for a in range(arms - 1) for n, f, v in (("n", F.sum, F.col("rw")[a] * F.col("ry")[a]), ("d", F.sum, F.col("rw")[a] * F.col("rw")[a]))]).first()
     ate = np.array([(overall[f"n{a}"] or 0.0) / overall[f"d{a}"] if overall[f"d{a}"] else 0.0 for a in range(arms - 1)])
 
-    def read(batch: pa.RecordBatch):
+    def read(batch: pa.RecordBatch, leaves: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The distinct bins of a batch and, of their rows that choose splits or fill leaves, sums (bins x slots): rows, treated, control, num, den."""
         h, own = batch.column(0).to_numpy().astype(np.int64).view(np.uint64), batch.column(2).to_numpy()
-        b = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, p)
-        ry, rw = _matrix(batch.column(3), arms - 1), _matrix(batch.column(4), arms - 1)
-        of_pair = (own[:, None] == 0) | (own[:, None] == np.arange(1, arms)[None, :])
-        split, fill = _bag(h, slots, each, per_bag, bag, share, honest, seed)
-        wide = lambda m: np.repeat(m, each, axis=1)
-        return b, own, wide(of_pair) & split, wide(of_pair) & fill, wide(rw * ry), wide(rw * rw)
+        b, ry, rw = _bytes(batch.column(1), p), _matrix(batch.column(3), arms - 1), _matrix(batch.column(4), arms - 1)
+        drawn = _bag(h, each, each, per_bag, bag, share, honest, seed)[leaves]
+        group = np.cumsum(np.r_[False, (b[1:] != b[:-1]).any(axis=1)])
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        out = np.zeros((5, len(first), slots))
+        for a in range(arms - 1):
+            for j, pick, weight in ((1, own == a + 1, None), (2, own == 0, None), (3, (own == 0) | (own == a + 1), rw[:, a] * ry[:, a]), (4, (own == 0) | (own == a + 1), rw[:, a] * rw[:, a])):
+                at = np.flatnonzero(pick)
+                if len(at):
+                    start = np.flatnonzero(np.r_[True, np.diff(group[at]) != 0])
+                    sums = np.add.reduceat(drawn[at].astype(np.float64) if weight is None else np.where(drawn[at], weight[at, None], 0.0), start, axis=0)
+                    out[j, group[at[start]], a * each : (a + 1) * each] = sums
+        out[0] = out[1] + out[2]
+        return b[first], list(out)
 
     def inputs(batch: pa.RecordBatch):
-        b, _, split, _, num, den = read(batch)
-        return b, split, num, den
+        b, (n, _, _, num, den) = read(batch, False)
+        return b, n, num, den
 
     trees = grow(table, inputs, slots, p, width, depth, least, 0.0, mtry, seed)
     nodes = trees.feature.shape[1]
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((slots * nodes, 5))
-        for batch in batches:
-            if batch.num_rows:
-                b, own, _, fill, num, den = read(batch)
-                cell = np.arange(slots)[None, :] * nodes + trees.leaves(b)
-                for j, v in enumerate((fill, fill & (own[:, None] > 0), fill & (own[:, None] == 0), np.where(fill, num, 0.0), np.where(fill, den, 0.0))):
-                    total[:, j] += np.bincount(cell.ravel(), v.ravel().astype(np.float64), len(total))
+        for batch in sliced(batches):
+            b, sums = read(batch, True)
+            cell = (np.arange(slots)[None, :] * nodes + trees.leaves(b)).ravel()
+            for j, v in enumerate(sums):
+                total[:, j] += np.bincount(cell, v.ravel(), len(total))
         at = np.flatnonzero(total[:, 0])
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *[pa.array(total[at, j], pa.float64()) for j in range(5)]], names=["cell", *[f"v{j}" for j in range(5)]])
 
@@ -170,8 +182,8 @@ def predict_forest(df: DataFrame, forest: CausalForest, alpha: float = 0.05) ->
     names = [f"{n}_{a}" for a in range(1, forest.arms) for n in ("cate", "low", "high", "kernel")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.zeros(0)] * len(names) if not batch.num_rows else forest.told(to_bins(_matrix(batch.column(at), len(forest.x)), forest.edges), z)
+        for batch in sliced(batches, 512):
+            out = forest.told(to_bins(_matrix(batch.column(at), len(forest.x)), forest.edges), z)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *[pa.array(c, pa.float64()) for c in out]], names=[*kept, *names])
 
     rows = df.withColumn("__x", F.array(*[F.col(c).cast("double") for c in forest.x]))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip_to_simplex
-from ..functions.tables import written
+from ..functions.tables import spread
 from .balance import auc, calibration_error
 from .linear import by_fold, design, dot, logistic, moments, out_of_fold, solve
 from .splits import folds
@@ -36,7 +36,7 @@ def propensity(df: DataFrame, arm: str, x: Sequence[str], arms: int, key: str, k
     Each arm has a logistic regression against the others per fold, fitted on the other folds, all in one aggregate a
     round; a row then counts once for each fold but its own.
     """
-    rows = written(folds(df, arm, key, k, seed))
+    rows = spread(folds(df, arm, key, k, seed), key)
     scale = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in x], *[F.stddev_pop(c).alias(f"s_{c}") for c in x]).first()
     xs = [F.lit(1.0), *[(F.col(c) - F.lit(scale[f"m_{c}"] or 0.0)) / F.lit(scale[f"s_{c}"] or 1.0) for c in x]]
     train = rows.withColumn("__model", F.explode(F.array(*[F.lit(f) for f in range(k)]))).where("__model <> fold")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip_to_simplex
-from ..functions.tables import written
+from ..functions.tables import spread, written
 from .learners import pseudo_outcomes
 from .splits import folds
 from .trees import fit_boosted, predict_boosted
@@ -26,7 +26,7 @@ def nuisances(df: DataFrame, y: str, arm: str, x: Sequence[str], arms: int, key:
     An arm with fewer than ``small`` rows takes the pooled outcome, as its own model would learn noise. A row without
     outcome or arm takes no part in fits and gets predictions all the same. The result is a written table.
     """
-    rows = folds(df, arm, key, k, seed)
+    rows = spread(folds(df, arm, key, k, seed), key)
     has = F.col(arm).isNotNull() & F.col(y).isNotNull()
     names = [*[f"mu_{a}" for a in range(arms)], "m", *[f"e_{a}" for a in range(arms)]]
     targets = [*[F.col(y)] * (arms + 1), *[(F.col(arm) == a).cast("double") for a in range(arms)]]

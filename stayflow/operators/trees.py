@@ -23,10 +23,22 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import written
 
+#: Rows of a batch that are worked on at once, so that a task's memory does not hang on the batches' size.
+SLICE = 2048
+#: Numbers that a task holds while it adds up rows of equal bins.
+HELD = 2_000_000
+
 #: Cells (slot, node, feature, bin) that a task sums at once: 24 bytes each.
 CELLS = 1 << 21
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``rows`` rows at most, without empty ones."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def quantile_edges(df: DataFrame, x: Sequence[str], bins: int = 32, accuracy: int = 2000) -> list[np.ndarray]:
     """Per feature the distinct inner edges of at most ``bins`` bins; a value lies in the bin of as many edges as are below it."""
     finite = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
@@ -99,7 +111,7 @@ Inputs = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def grow(rows: DataFrame, inputs: Inputs, slots: int, features: int, bins: int, depth: int, least: float = 20, l2: float = 0.0, mtry: int | None = None, seed: int = 0) -> Trees:
-    """Grows ``slots`` trees; ``inputs`` gives of a batch of rows the bins, and per slot whether a row takes part, its numerator and its denominator (rows x slots)."""
+    """Grows ``slots`` trees; ``inputs`` gives of a batch the bins, and per slot how many rows take part with them, the sums of their numerators and of their denominators (rows x slots)."""
     trees = Trees.empty(slots, depth)
     active = np.ones((slots, 1), dtype=bool)  # nodes of the level that may be split
     for level in range(depth):
@@ -125,19 +137,17 @@ def _summed(inputs: Inputs, trees: Trees, own: range, level: int, features: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(own), width * features * bins, 3))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             b, part, num, den = inputs(batch)
             node = trees.leaves(b, level) - first
             cell = (np.arange(features) * bins)[None, :] + b
             for k, s in enumerate(own):
-                at = np.flatnonzero(part[:, s] & (node[:, s] >= 0))
+                at = np.flatnonzero((part[:, s] > 0) & (node[:, s] >= 0))
                 at = at[active[s, node[at, s]]]
                 if len(at):
                     flat = (node[at, s][:, None] * (features * bins) + cell[at]).ravel()
-                    for j, w in enumerate((None, num[at, s], den[at, s])):
-                        total[k, :, j] += np.bincount(flat, None if w is None else np.repeat(w, features), total.shape[1])
+                    for j, w in enumerate((part[at, s], num[at, s], den[at, s])):
+                        total[k, :, j] += np.bincount(flat, np.repeat(w, features), total.shape[1])
         whole = total.reshape(len(own), width, -1)
         k, n = np.nonzero(np.abs(whole).sum(axis=2))
         yield pa.RecordBatch.from_arrays([pa.array(k + own.start, pa.int32()), pa.array(n + first, pa.int32()), pa.array([whole[i, j].tobytes() for i, j in zip(k, n, strict=True)], pa.binary())], names=["slot", "node", "cells"])
@@ -166,6 +176,43 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column of ``width`` bytes each."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
+
+
+def added_up(parts: Iterator[tuple[np.ndarray, np.ndarray]], features: int, width: int) -> Iterator[pa.RecordBatch]:
+    """(bins, sums) of rows as one row per distinct bins; where a task meets too many of them, some are told more than once."""
+    held, n, least = [], 0, 0
+
+    def reduced() -> tuple[np.ndarray, np.ndarray]:
+        bins, sums = (np.concatenate(v) for v in zip(*held, strict=True))
+        order = np.lexsort(bins.T[::-1]) if features else np.arange(len(bins))
+        bins, sums = bins[order], sums[order]
+        start = np.flatnonzero(np.r_[True, (bins[1:] != bins[:-1]).any(axis=1)])
+        return bins[start], np.add.reduceat(sums, start, axis=0)
+
+    def told() -> Iterator[pa.RecordBatch]:
+        bins, sums = held[0]
+        for lo in range(0, len(bins), SLICE):
+            own = np.ascontiguousarray(sums[lo : lo + SLICE])
+            lists = pa.ListArray.from_arrays(np.arange(0, own.size + 1, width, dtype=np.int32), pa.array(own.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bins[lo : lo + SLICE]], pa.binary()), lists], names=["bins", "sums"])
+
+    for bins, sums in parts:
+        held.append((bins, sums))
+        n += len(bins)
+        if n >= 2 * least + SLICE and n * width >= HELD // 2:
+            held = [reduced()]
+            n = least = len(held[0][0])
+            if n * width >= HELD:
+                yield from told()
+                held, n, least = [], 0, 0
+    if held:
+        held = [reduced()]
+        yield from told()
+
+
 @dataclass
 class Boosted:
     """Per slot a first value and rounds of trees whose leaves' values are added up."""
@@ -190,20 +237,26 @@ def fit_boosted(df: DataFrame, x: Sequence[str], targets: Sequence[Column], weig
     raw = df.select(F.array(*[F.col(c).cast("double") for c in x]).alias("x"), F.array(*[t.cast("double") for t in targets]).alias("t"), F.array(*[w.cast("double") for w in weights]).alias("w"))
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b = to_bins(_matrix(batch.column(0), len(x)), edges)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in b], pa.binary()), batch.column(1), batch.column(2)], names=["bins", "t", "w"])
+        def one(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            t, w = _matrix(batch.column(1), n), _matrix(batch.column(2), n)
+            part = (w > 0) & ~np.isnan(t)
+            w = np.where(part, w, 0.0)
+            return to_bins(_matrix(batch.column(0), len(x)), edges), np.concatenate([part, w * np.where(part, t, 0.0), w], axis=1)
+
+        return added_up(map(one, sliced(batches)), len(x), 3 * n)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added_up(((_bytes(batch.column(0), len(x)), _matrix(batch.column(1), 3 * n)) for batch in sliced(batches)), len(x), 3 * n)
 
-    rows = written(raw.mapInArrow(binned, "bins binary, t array<double>, w array<double>"))
-    sums = rows.agg(*[c for s in range(n) for ok in [(F.col("w")[s] > 0) & F.col("t")[s].isNotNull() & ~F.isnan(F.col("t")[s])] for c in (F.sum(F.when(ok, F.col("w")[s] * F.col("t")[s])).alias(f"t{s}"), F.sum(F.when(ok, F.col("w")[s])).alias(f"w{s}"))]).first()
-    model = Boosted(tuple(x), edges, np.array([(sums[f"t{s}"] or 0.0) / sums[f"w{s}"] if sums[f"w{s}"] else 0.0 for s in range(n)]))
+    # rows of equal bins end in equal leaves, so their sums stand for them in every round
+    rows = written(raw.mapInArrow(binned, "bins binary, sums array<double>").repartition("bins").mapInArrow(met, "bins binary, sums array<double>"))
+    sums = rows.agg(*[F.sum(F.col("sums")[s]).alias(f"s{s}") for s in range(n, 3 * n)]).first()
+    model = Boosted(tuple(x), edges, np.array([(sums[f"s{n + s}"] or 0.0) / sums[f"s{2 * n + s}"] if sums[f"s{2 * n + s}"] else 0.0 for s in range(n)]))
 
     def inputs(batch: pa.RecordBatch):
-        b = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint8).reshape(-1, len(x))
-        t, w = _matrix(batch.column(1), n), _matrix(batch.column(2), n)
-        part = (w > 0) & ~np.isnan(t)
-        w = np.where(part, w, 0.0)
-        return b, part, w * np.where(part, t - model.predict(b), 0.0), w
+        b = _bytes(batch.column(0), len(x))
+        part, t, w = np.split(_matrix(batch.column(1), 3 * n), 3, axis=1)
+        return b, part, t - w * model.predict(b), w
 
     for _ in range(rounds):
         trees = grow(rows, inputs, n, len(x), width, depth, least, l2)
@@ -224,7 +277,7 @@ def predict_boosted(df: DataFrame, model: Boosted, names: Sequence[str], by: Col
     swaps = swaps or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             raw, own = _matrix(batch.column(at), len(model.x)), batch.column(at + 1).to_numpy(zero_copy_only=False).astype(int)
             p = model.predict(to_bins(raw, model.edges)) if names else None
             out = [p[np.arange(len(raw)), i * among + own] for i in range(len(names))]
