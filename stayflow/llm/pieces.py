@@ -3,23 +3,24 @@
 The pieces are those of a model file (a parameter, read on the driver); they become a trie over UTF-8 bytes in two
 integer arrays, which tasks receive with the code. Their scores are unigram log probabilities fitted on the documents
 by expectation maximisation: the file's own are merge ranks, whose sums mean nothing. A space is the marker U+2581, and no piece has a marker after
-another character, so the best path of a text is the best paths of its units (spaces and the word behind them) in a
-row. Units are searched together, one array step for all units of a batch, and remembered in a bounded table.
+another character. No path crosses a place between two bytes that no piece holds in a row (a space and the letter before
+it, a full stop and a line's end), so the best path of a text is the best paths of its units, the parts between such
+places, in a row. Units are searched together, one array step for all units of a batch, and remembered in a bounded table.
 Characters no piece covers become byte pieces, so every text decodes to itself.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 #: Units counted at once by a task, and remembered in each of an encoder's two generations.
-REMEMBERED = 150_000
+COUNTED, REMEMBERED = 400_000, 300_000
+#: Bytes of texts that are cut into units at once, and pieces whose bytes are compared with a text at once.
+CUT_BYTES, COMPARED = 4_000_000, 1 << 20
 #: Rounds over all units end once one raises the log likelihood by less than this share, or after so many; every piece starts from a count.
 GAIN, ROUNDS, START_COUNT = 1e-3, 20, 0.1
 #: Bytes of units whose paths are summed at once.
@@ -164,9 +167,21 @@ class Vocabulary:
         return np.append(self.scores, self.unknown_score)
 
     @cached_property
-    def by_unit(self) -> bool:
-        """Whether no piece has a marker after another character."""
-        return not any(MARK in p.lstrip(MARK) for p, k in zip(self.pieces, self.kinds, strict=True) if k in (NORMAL, USER))
+    def apart(self) -> np.ndarray:
+        """For each two bytes (256 * first + second; a space for a marker) whether a text is cut between them: the second begins a character and no piece holds both in a row."""
+        out = np.ones((256, 256), dtype=bool)
+        out[:, 0x80:0xC0] = False
+        for p, k in zip(self.pieces, self.kinds, strict=True):
+            if k in (NORMAL, USER):
+                b = np.frombuffer(p.replace(MARK, " ").encode(), dtype=np.uint8)
+                out[b[:-1], b[1:]] = False
+        return out.ravel()
+
+    @cached_property
+    def surfaces(self) -> pa.Array:
+        """``surface`` as an array of bytes."""
+        blob, start, _ = self.surface
+        return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(start, len(blob)).astype(np.int32)), pa.py_buffer(blob.tobytes())])
 
     @cached_property
     def surface(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -446,40 +461,86 @@ def _best_by_edges(units: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.nd
     return out, np.bincount(unit, weights=reps, minlength=len(units)).astype(np.int64)
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CUT_BYTES each, at least one text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    return _runs(np.cumsum(sizes) // CUT_BYTES)
+
+
+def cut(texts: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """(bytes of all texts in a row, each with a space ahead; where each begins among the units; the units): a null or empty text has none."""
+    raw = pc.fill_null(texts.cast(pa.binary()), b"")
+    raw = pc.if_else(pc.greater(pc.binary_length(raw), 0), pc.binary_join_element_wise(pa.scalar(b""), raw, pa.scalar(b" ")), raw)
+    at = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    key = data[:-1].astype(np.uint16)
+    key <<= 8
+    key |= data[1:]
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[1:-1] = v.apart[key] if len(data) else False
+    begins[at] = True
+    begins = np.flatnonzero(begins).astype(np.int32)
+    units = pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(begins), pa.py_buffer(data)])
+    return data, np.searchsorted(begins, at), units.dictionary_encode()
+
+
+def _distinct(units: pa.DictionaryArray) -> list[bytes]:
+    """The distinct units."""
+    words = units.dictionary
+    at = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    blob = (words.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+    return [blob[lo:hi] for lo, hi in pairwise(at)]
+
+
+def _searched(unit: bytes) -> list[bytes]:
+    """The parts of a unit as they are searched, with markers for spaces; a marker in the text itself is a part of its own, empty."""
+    mark = MARK.encode()
+    if mark not in unit:
+        return [unit.replace(b" ", mark)]
+    return [x for part in unit.split(mark) for x in (b"", part.replace(b" ", mark))][1:]
+
+
 class Encoder:
     """Encodes texts of one task; remembers the ids of up to REMEMBERED units, and of as many from before these, so that common units stay."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _units(self, text: str) -> list[str]:
-        """Units of a text with its leading space; a marker in the text itself stands alone."""
-        if MARK in text or not self.v.by_unit:
-            return [u for part in re.split(f"({MARK})", " " + text) for u in ([part] if part == MARK or not self.v.by_unit else re.findall(" *[^ ]+| +", part))]
-        words = text.split(" ")
-        return [" " + w for w in words] if "" not in words else re.findall(" *[^ ]+| +", " " + text)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Piece ids of each text; a null or empty text has none."""
-        units = [self._units(t) if t else [] for t in texts]
-        new = list(set().union(*units).difference(self.known))
+        blobs = pa.array([None if t is None else t.encode("utf-8", "surrogatepass") for t in texts], pa.binary())
+        ids, ends, _ = self.encode_all(blobs)
+        return np.split(ids, ends[1:-1]) if texts else []
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(Piece ids of all texts in a row, where each text's begin and end, the texts' bytes as in ``cut``)."""
+        data, begins, units = cut(texts, self.v)
+        own = _distinct(units)
+        new = [u for u in own if u not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.older, self.known = self.known, {}
-            new = list(set().union(*units))
+            new = own
         held = [u for u in new if u in self.older]
         if held:
             self.known.update((u, self.older[u]) for u in held)
-            new = list(set(new).difference(self.older))
+            new = [u for u in new if u not in self.older]
+        spelt = self.v.byte_ids[list(MARK.encode())].tobytes()  # so that a marker in the text doesn't decode to a space
         for k in range(0, len(new), 40_000):
             part = new[k : k + 40_000]
-            found = viterbi([u.replace(" ", MARK).encode("utf-8", "surrogatepass") for u in part], self.v)
-            self.known.update(zip(part, found, strict=True))
-        # a marker that the text itself holds is spelt in bytes, so that it doesn't decode to a space
-        self.known[MARK] = self.v.byte_ids[list(MARK.encode())].tobytes()
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)), dtype=np.int32) for own in units]
+            searched = [_searched(u) for u in part]
+            found = iter(viterbi([x for own_parts in searched for x in own_parts if x], self.v))
+            for u, own_parts in zip(part, searched, strict=True):
+                if len(own_parts) == 1:
+                    self.known[u] = next(found)
+                else:  # parts and markers take turns
+                    self.known[u] = b"".join(next(found) if x else spelt if i % 2 else b"" for i, x in enumerate(own_parts))
+        whole = pa.array(list(map(self.known.__getitem__, own)), pa.binary()).take(units.indices)
+        at = np.frombuffer(whole.buffers()[1], dtype=np.int32)[whole.offset : whole.offset + len(whole) + 1] // 4
+        ids = np.frombuffer(whole.buffers()[2] or b"", dtype=np.int32)[: at[-1]]
+        return ids, at[begins].astype(np.int64), data
 
 
 #: The encoder of the worker process, kept between tasks of one model.
@@ -505,9 +566,27 @@ def decode(ids: np.ndarray, v: Vocabulary) -> str:
     return blob[place].tobytes().decode("utf-8", "replace").removeprefix(" ")
 
 
+def decodes(ids: np.ndarray, ends: np.ndarray, data: np.ndarray, texts: pa.Array, v: Vocabulary) -> np.ndarray:
+    """Whether the ids of each text (see ``Encoder.encode_all``) decode to it: all are decoded in a row and compared by bytes, and one by one where these differ."""
+    at, same = 0, True
+    for lo in range(0, len(ids), COMPARED):
+        part = v.surfaces.take(pa.array(ids[lo : lo + COMPARED]))
+        own = np.frombuffer(part.buffers()[2] or b"", dtype=np.uint8)
+        same = same and np.array_equal(own, data[at : at + len(own)])
+        at += len(own)
+    if same and at == len(data):
+        # equal as a whole; a text is equal too if its pieces are as many bytes as it has
+        _, _, length = v.surface
+        sums = np.append(0, np.cumsum(length[ids]))[ends]
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        if np.array_equal(np.diff(sums), sizes + (sizes > 0)):
+            return np.ones(len(texts), dtype=bool)
+    return np.array([decode(x, v) == (t or "") for x, t in zip(np.split(ids, ends[1:-1]), texts.to_pylist(), strict=True)], dtype=bool)
+
+
 def load(path: str = DEFAULT_MODEL) -> Vocabulary:
     v = Vocabulary(*read_model(path))
-    v.trie, v.surface, v.byte_ids, v.unknown_score, v.by_unit  # noqa: B018  built once, on the driver
+    v.trie, v.surface, v.byte_ids, v.unknown_score, v.apart  # noqa: B018  built once, on the driver
     return v
 
 
@@ -515,23 +594,24 @@ def unit_counts(df: DataFrame, v, text: str = "text") -> DataFrame:
     """(unit in UTF-8, n): how often each unit occurs in all texts; ``v`` is a broadcast vocabulary. A written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held = Encoder(v.value), Counter()
+        held: dict[bytes, int] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            held.pop(MARK, None)  # a marker in the text is spelt in bytes
             rows = list(held.items())
             held.clear()
             for k in range(0, len(rows), 20_000):
                 units, n = zip(*rows[k : k + 20_000], strict=True)
-                blobs = [u.replace(" ", MARK).encode("utf-8", "surrogatepass") for u in units]
-                yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array(n, pa.int64())], names=["unit", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.binary()), pa.array(n, pa.int64())], names=["unit", "n"])
 
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                for t in whole.slice(lo, 1024).column("text").to_pylist():
-                    if t:
-                        held.update(encoder._units(t))
-                if len(held) > REMEMBERED:
+            for lo, hi in _parts(whole.column("text")):
+                units = cut(whole.column("text").slice(lo, hi - lo), v.value)[2]
+                times = np.bincount(units.indices.to_numpy(zero_copy_only=False), minlength=len(units.dictionary)).tolist()
+                for unit, k in zip(_distinct(units), times, strict=True):
+                    for part in _searched(unit):
+                        if part:
+                            held[part] = held.get(part, 0) + k
+                if len(held) > COUNTED:
                     yield from flush()
         yield from flush()
 
@@ -604,7 +684,7 @@ def fit_scores(df: DataFrame, v: Vocabulary, text: str = "text") -> Vocabulary:
         before = now
     scores = scored(counts)
     out = Vocabulary(v.pieces, scores.tolist(), v.kinds)
-    for name in ("trie", "surface", "byte_ids", "by_unit"):  # these don't depend on scores
+    for name in ("trie", "surface", "byte_ids", "apart"):  # these don't depend on scores
         out.__dict__[name] = getattr(v, name)
     out.unknown_score  # noqa: B018
     shared.unpersist()
@@ -638,14 +718,13 @@ def encode_pieces(df: DataFrame, model: str = DEFAULT_MODEL, key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(v.value)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                texts = batch.column("text").to_pylist()
-                ids = encoder.encode(texts)
-                exact = [decode(x, v.value) == (t or "") for x, t in zip(ids, texts, strict=True)]
-                sizes = np.array([len(x) for x in ids], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes.astype(np.int64)), lists, pa.array(exact)], names=["key", "n_pieces", "ids", "exact"])
+            for lo, hi in _parts(whole.column("text")):
+                batch = whole.slice(lo, hi - lo)
+                texts = batch.column("text")
+                ids, ends, data = encoder.encode_all(texts)
+                exact = decodes(ids, ends, data, texts, v.value)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.diff(ends)), lists, pa.array(exact)], names=["key", "n_pieces", "ids", "exact"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
