@@ -31,16 +31,20 @@ class Hazard:
         return survival_of(self.hazard())
 
 
-def fit_hazard(df: DataFrame, time: str, event: str, horizon: int, x: Sequence[str] = (), by: str | None = None, l2: float = 1e-6, rounds: int = 30, tol: float = 1e-9) -> dict:
+def fit_hazard(df: DataFrame, time: str, event: str, horizon: int, x: Sequence[str] = (), by: str | None = None, l2: float = 1e-6, rounds: int = 30, tol: float = 1e-9, weight: str | None = None) -> dict:
     """Per value of ``by`` (few; one entry None without) the model fitted on a row per unit and period lived, by Newton's method.
 
-    Rows that agree in group, period and features are counted once, before the first round. A round is one aggregate
+    Units that agree in group, time, event and features are counted before they become rows per period, and rows that
+    agree in group, period and features before the first round. ``weight``: how many units a row stands for. A round is one aggregate
     per group and period: levels meet in no row, so their part of the second derivatives is diagonal. Periods without
     an event have hazard 0, those that nobody outlives hazard 1, whatever the features. It ends with steps below ``tol``.
     """
     p = len(x)
-    rows = person_period(df, time, event, horizon, [*x, *([by] if by else [])]).select((F.col(by) if by else F.lit(0)).alias("g"), "period", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)], "event").dropna()
-    cells = rows.groupBy("g", "period", *[f"x{i}" for i in range(p)]).agg(F.count("*").alias("n"), F.sum("event").alias("d")).persist()
+    xs = [F.col(f"x{i}") for i in range(p)]
+    units = df.select((F.col(by) if by else F.lit(0)).alias("g"), F.ceil(F.col(time) - 1e-9).alias("t"), F.col(event).cast("boolean").alias("e"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)])
+    units = units.groupBy("g", "t", "e", *xs).agg(F.sum("w").alias("w"))
+    rows = person_period(units, "t", "e", horizon, ["g", "w", *[f"x{i}" for i in range(p)]]).dropna()
+    cells = rows.groupBy("g", "period", *xs).agg(F.sum("w").alias("n"), F.sum(F.col("event") * F.col("w")).alias("d")).persist()
     start = cells.groupBy("g", "period").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).collect()
     beta = {g: np.zeros(horizon + p) for g in sorted({r.g for r in start})}
     for g, b in beta.items():
@@ -51,7 +55,6 @@ def fit_hazard(df: DataFrame, time: str, event: str, horizon: int, x: Sequence[s
     kind = dict(rows.dtypes)["g"]
     for _ in range(rounds):
         now = df.sparkSession.createDataFrame([(g, k, float(b[k]), [float(v) for v in b[horizon:]]) for g, b in beta.items() for k in range(horizon) if (g, k) in seen], f"g {kind}, period int, level double, slopes array<double>")
-        xs = [F.col(f"x{i}") for i in range(p)]
         z = F.col("level")
         for i, c in enumerate(xs):
             z = z + F.col("slopes")[i] * c

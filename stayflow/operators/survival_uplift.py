@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import written
-from .hazard import Hazard, fit_hazard, mean_time, value_of
+from .hazard import Hazard, fit_hazard
 from .learners import propensity
 from .linear import by_fold, design, dot, moments, out_of_fold, solve
 from .survival import restricted_outcome
@@ -44,6 +45,42 @@ def conditional_ipcw(df: DataFrame, time: str, event: str, horizon: int, x: Sequ
     return out.withColumn("weight", F.when(F.col("complete"), 1 / F.col("g")).otherwise(0.0)).withColumn("pseudo", F.col("value") * F.col("weight"))
 
 
+def _promises(outcome: Mapping[int, Hazard], censoring: Mapping[int, Hazard | None], arms: int, k: int, horizon: int, names: Sequence[str], rate: float, least: float):
+    """What the models of a row's fold promise it, under ``names``: per arm the mean time (see ``mean_time``) and value (``value_of``), and ``uncensored_before`` its follow-up's end; batches of rows at once."""
+
+    def curve(model: Hazard, x: Sequence[np.ndarray], n: int) -> list[np.ndarray]:
+        shift, alive, out = np.zeros(n), np.ones(n), []
+        for b, c in zip(model.slopes, x, strict=True):
+            shift = shift + b * c
+        for level in model.levels:
+            with np.errstate(over="ignore"):
+                alive = alive * (1 - 1 / (1 + np.exp(-(level + shift))))
+            out.append(alive)
+        return out
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def run(fold: pd.Series, paid: pd.Series, at: pd.Series, *x: pd.Series) -> pd.DataFrame:
+        out = {n: np.full(len(fold), np.nan) for n in names}
+        folds = fold.to_numpy()
+        for f in range(k):
+            own = np.flatnonzero(folds == f)
+            own_x, pays, end = [c.to_numpy(dtype=float)[own] for c in x], paid.to_numpy(dtype=float)[own], at.to_numpy(dtype=float)[own]
+            for a in range(arms):
+                if a * k + f in outcome:
+                    alive = curve(outcome[a * k + f], own_x, len(own))
+                    out[f"rmst_{a}"][own] = sum(alive[:horizon], np.zeros(len(own)))
+                    out[f"worth_{a}"][own] = pays * sum((s * (1 + rate) ** -(i + 1) for i, s in enumerate(alive)), np.zeros(len(own)))
+            if censoring.get(f) is None:
+                out["g"][own] = 1.0
+            else:
+                alive = np.stack(curve(censoring[f], own_x, len(own)))
+                place = np.where(np.isnan(end), horizon, np.minimum(end - 1, horizon)).astype(int)
+                out["g"][own] = np.where(end <= 1, 1.0, np.maximum(alive[np.maximum(place, 1) - 1, np.arange(len(own))], least))
+        return pd.DataFrame(out)
+
+    return run
+
+
 def robust_scores(df: DataFrame, time: str, event: str, arm: str, arms: int, horizon: int, x: Sequence[str], key: str, margin: Column | None = None, rate: float = 0.01, k: int = 3, least: float = 0.05, low: float = 0.01, high: float = 0.99, seed: int = 0) -> DataFrame:
     """Adds fold, e_a, g, rmst_a and worth_a (what the arm's hazards promise), and per arm but 0 psi_a and psi_value_a.
 
@@ -53,22 +90,14 @@ def robust_scores(df: DataFrame, time: str, event: str, arm: str, arms: int, hor
     """
     paid = F.lit(1.0) if margin is None else margin
     rows = restricted_outcome(propensity(df, arm, x, arms, key, k, low, high, seed), time, event, horizon)
-    rows = rows.withColumn("__paid", paid.cast("double"))
-    train = rows.select(*x, time, event, arm, "fold").withColumn("__f", F.explode(F.array(*[F.lit(f) for f in range(k)]))).where("__f <> fold").withColumn("__g", F.col(arm) * k + F.col("__f"))
-    outcome, censoring = fit_hazard(train, time, event, horizon, x, "__g"), fit_censoring(train, time, event, horizon, x, "__f")
-
-    def own(pick) -> Column:
-        out = F.lit(None).cast("double")
-        for f in range(k):
-            value = pick(f)
-            out = out if value is None else F.when(F.col("fold") == f, value).otherwise(out)
-        return out
-
-    def promised(a: int, of) -> Column:
-        return own(lambda f: of(outcome[a * k + f].survival()) if a * k + f in outcome else None)
-
-    rows = rows.withColumns({f"rmst_{a}": promised(a, lambda s: mean_time(s, horizon)) for a in range(arms)} | {f"worth_{a}": promised(a, lambda s: value_of(s, F.col("__paid"), rate)) for a in range(arms)})
-    rows = rows.withColumn("g", own(lambda f: uncensored_before(censoring.get(f), F.col("follow_up"), least)))
+    rows = written(rows.withColumn("__paid", paid.cast("double")))  # propensities are predicted once, not for each fit
+    train = written(rows.groupBy(*x, time, event, arm, "fold").agg(F.count("*").alias("__n"))).withColumn("__f", F.explode(F.array(*[F.lit(f) for f in range(k)]))).where("__f <> fold").withColumn("__g", F.col(arm) * k + F.col("__f"))
+    outcome, censoring = fit_hazard(train, time, event, horizon, x, "__g", weight="__n"), fit_censoring(train, time, event, horizon, x, "__f", weight="__n")
+
+    names = [*[f"rmst_{a}" for a in range(arms)], *[f"worth_{a}" for a in range(arms)], "g"]
+    told = _promises(outcome, censoring, arms, k, horizon, names, rate, least)
+    rows = rows.withColumn("__told", told("fold", "__paid", F.col("follow_up").cast("double"), *[F.col(c).cast("double") for c in x]))
+    rows = rows.withColumns({n: F.col("__told")[n] for n in names}).drop("__told")
     lived = {"rmst": F.col("periods").cast("double"), "worth": F.col("__paid") * (F.col("periods").cast("double") if rate == 0 else (1 - F.pow(F.lit(1 + rate), -F.col("periods"))) / rate)}
     weight = F.when(F.col("complete"), 1 / F.col("g")).otherwise(F.when(F.col("complete").isNotNull(), 0.0))
     scores = {}
@@ -89,7 +118,7 @@ def second_stage(df: DataFrame, targets: Mapping[str, str], x: Sequence[str], k:
     fits = [(c, (u & (F.col("fold") != f)).cast("double")) for c, u in zip(cols, usable, strict=True) for f in range(k)] + [(c, u.cast("double")) for c, u in zip(cols, usable, strict=True)]
     model = fit_boosted(rows, x, [t for t, _ in fits], [w for _, w in fits], **boost)
     # slots are numbered fold first; the whole fits follow
-    judged = predict_boosted(rows, model, [f"__t_{n}" for n in names], F.col("fold"), k)
+    judged = predict_boosted(rows.select(*dict.fromkeys([*x, "fold", *targets.values()])), model, [f"__t_{n}" for n in names], F.col("fold"), k)
     linear, whole = {}, {}
     for n, c in zip(names, cols, strict=True):
         parts = {("all", f): m for (f,), m in moments(rows, xs, [c], [F.col("fold")]).items()}
@@ -105,7 +134,9 @@ def second_stage(df: DataFrame, targets: Mapping[str, str], x: Sequence[str], k:
     got = judged.agg(*errors).first().asDict()
     told = {n: {kind: got[f"{kind}|{n}"] for kind in ("mean", "linear", "trees")} for n in names}
     best = {n: min(("mean", "linear", "trees"), key=lambda kind: (told[n][kind] is None, told[n][kind])) for n in names}
-    full = predict_boosted(rows, type(model)(model.x, model.edges, model.first[len(names) * k :], [(_part(t, len(names) * k), v[len(names) * k :]) for t, v in model.rounds]), [f"__w_{n}" for n in names])
+    full = rows
+    if "trees" in best.values():
+        full = predict_boosted(rows, type(model)(model.x, model.edges, model.first[len(names) * k :], [(_part(t, len(names) * k), v[len(names) * k :]) for t, v in model.rounds]), [f"__w_{n}" for n in names])
     out = {}
     for i, n in enumerate(names):
         total = sum(r[f"s{i}"] or 0.0 for r in sums) / max(1, sum(r[f"n{i}"] for r in sums))
