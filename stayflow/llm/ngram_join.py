@@ -399,14 +399,20 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+def _marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` (id, text_key and more) with the column marked: false for documents that are surely not in ``wanted`` (id, text_key), by a bit filter of fixed size."""
+    bit = F.pmod(F.xxhash64("id", "text_key"), F.lit(FILTER_BITS))
+    bits = wanted.select(bit.alias("bit")).distinct().groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit % 64))")).alias("bits"))
+    placed = docs.withColumn("bit", bit).withColumn("word", (F.col("bit") / 64).cast("int")).join(F.broadcast(bits), "word", "left")
+    return placed.withColumn("marked", F.expr("coalesce(shiftrightunsigned(bits, int(bit % 64)) & 1 = 1, false)")).drop("bit", "word", "bits")
+
+
 def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (node, id, text_key and more) with its texts: a fixed-size bit filter drops other documents before the shuffle.
 
     A row that the input repeats comes once per task that reads it.
     """
-    bit = F.pmod(F.xxhash64("id", "text_key"), F.lit(FILTER_BITS))
-    bits = wanted.select(bit.alias("bit")).distinct().groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit % 64))")).alias("bits"))
-    kept = docs.withColumn("bit", bit).withColumn("word", (F.col("bit") / 64).cast("int")).join(F.broadcast(bits), "word").where("shiftrightunsigned(bits, int(bit % 64)) & 1 = 1")
+    kept = _marked(docs, wanted.select("id", "text_key")).where("marked")
     kept = kept.select("id", "text", "text_key").mapInArrow(_once, "id long, text string, text_key long")
     return kept.join(wanted, ["id", "text_key"]).drop("id", "text_key")
 
@@ -609,9 +615,14 @@ def keep_one(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key:
     other = stands.join(chosen, key).where("text_key <> chosen")
     gone = written(joined.where(F.col(key) != F.col("component_id")).select(key, "text_key").union(other.select(key, "text_key")).distinct().toDF("__key", "__text"))
     again = written(stands.groupBy(key, "text_key").count().where("count > 1").select(key, "text_key").toDF("__key", "__text"))
-    same = lambda x: (df[key] == x["__key"]) & (F.xxhash64(df[text]) == x["__text"])
-    stays = df.join(gone, same(gone), "left_anti")
+    # texts of rows that neither names stay where they are; only the others move for the joins
+    ids = {"id": F.col("__key").cast("long"), "text_key": F.col("__text")}
+    rows = df.withColumns({"id": F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)), "text_key": F.xxhash64(text)})
+    rows = _marked(rows, gone.union(again).select(*[c.alias(n) for n, c in ids.items()])).drop("id", "text_key")
+    clear, named = (rows.where(c).select(*df.columns) for c in ("NOT marked", "marked"))
+    same = lambda x: (named[key] == x["__key"]) & (F.xxhash64(named[text]) == x["__text"])
+    stays = named.join(gone, same(gone), "left_anti")
     if again.isEmpty():
-        return stays
+        return clear.unionByName(stays)
     repeated, single = (stays.join(again, same(again), how) for how in ("left_semi", "left_anti"))
-    return single.unionByName(repeated.dropDuplicates([key, text]))
+    return clear.unionByName(single).unionByName(repeated.dropDuplicates([key, text]))
